@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+MODULES = ("retrieval", "ledger", "ingest", "relational", "notifications", "facts", "answers", "names", "scalars", "evaluation", "routing", "streams")
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir); sql: what DuckDB runs on the same tables."""
+
+    def add(f):
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"folioquery.plans.queries_{name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
