@@ -14,6 +14,7 @@ import pyarrow as pa
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = 1, 2, 3, 0, 4
 CHUNK_BYTES = 4 << 20
+BASE = 0x9E3779B97F4A7C15
 #: Distinct words whose ids a Python worker remembers; beyond it the table starts anew.
 KNOWN_WORDS = 300_000
 
@@ -70,6 +71,48 @@ def starts_of_words(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return start
 
 
+@lru_cache(1)
+def lower_points() -> np.ndarray:
+    """The lower case of each code point, where it is one."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x20000):
+        if len(x := chr(c).lower()) == 1:
+            out[c] = ord(x)
+    return out
+
+
+@lru_cache(2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2**64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines of each text, line of each word, 32-bit hash of each word in lower case): runs of letters, runs of digits."""
+    joined = "\n".join(texts) + "\n"
+    points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    kind = classes()[points]
+    kind = np.where((kind == LETTER) | (kind == NUMBER), kind, 0)
+    edge = np.flatnonzero(np.diff(kind, prepend=0, append=0))  # where the kind changes
+    start, end = edge[:-1], edge[1:]
+    real = kind[start] > 0
+    start, end = start[real], end[real]
+    size = 1 << max(12, int(len(points)).bit_length())
+    up, down = powers(size)
+    total = np.cumsum(lower_points()[points] * up[: len(points)])
+    mixed = (total[end - 1] - np.where(start > 0, total[np.maximum(start - 1, 0)], 0)) * down[start]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    breaks = np.flatnonzero(points == 10)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    last = np.searchsorted(breaks, np.cumsum(lengths + 1) - 1)
+    return np.diff(np.append(-1, last)), np.searchsorted(breaks, start), (mixed >> np.uint64(32)).astype(np.uint32)
+
+
 def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     """All pre-tokens of texts as a binary array, and how many each text has."""
     if not texts:
