@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioquery.functions.text import query_terms, snippet
+from folioquery.functions.text import explanation, highlights, query_terms, shared_text, snippet
 from folioquery.operators import retrieval as R
 from folioquery.plans.registry import query
 from folioquery.sources.tables import table
@@ -125,3 +125,18 @@ def snippets(spark, sf):
     own = chunks(spark, sf)
     found = R.bm25(own, texts(spark), R.RECOMMENDED, 10).join(own, "chunk_id").join(texts(spark).withColumnRenamed("text", "asked"), "query_id")
     return found.select("query_id", "rank", "chunk_id", snippet(F.col("text"), query_terms(F.col("asked"))).alias("snippet"))
+
+
+@query("search_explanations")
+def explained(spark, sf):
+    """Each hit's text, the places to highlight and why it was found."""
+    own = chunks(spark, sf)
+    found = R.search(own, vectors(spark, sf), asked(spark, sf), R.RECOMMENDED, 5).join(own.select("chunk_id", "text"), "chunk_id").join(texts(spark).withColumnRenamed("text", "asked"), "query_id")
+    shown = found.withColumn("shown", snippet(F.col("text"), query_terms(F.col("asked")))).withColumn("spans", highlights(F.col("shown"), query_terms(F.col("asked"))))
+    why = explanation(F.col("shown"), F.col("spans"), F.col("keyword_rank"), F.col("meaning_rank"), F.lit("photo"), F.lit(None).cast("date"))
+    return shown.select("query_id", "rank", "shown", F.size("spans").alias("n_spans"), why.alias("why"))
+
+
+@query("shared_texts", r"SELECT doc_id, CASE WHEN t = '' THEN NULL WHEN length(t) <= 300 THEN t WHEN contains(substr(t, 1, 300), ' ') THEN trim(regexp_replace(substr(t, 1, 300), ' [^ ]*$', '')) ELSE substr(t, 1, 300) END AS shared FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents)")
+def shared(spark, sf):
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", shared_text(F.col("text")).alias("shared"))
