@@ -3,8 +3,8 @@
 A linear classifier is trained in numpy from confirmed toxic texts and unlabelled ones, by the risk
 pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)]) with the logistic loss l and the class prior pi of the labelled rows; where
 the second part falls below zero, the step goes against its gradient. Features are the words of a text, in lower case, and
-their beginnings, hashed; those that tell confirmed toxic texts from unlabelled ones take part. Fitting uses a bounded
-sample; scoring reads every whole text once, without a shuffle.
+their beginnings, hashed; those that tell confirmed toxic texts from unlabelled ones take part, unless texts known to be
+clean have them, too. Fitting uses a bounded sample; scoring reads every whole text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from folioquery.llm.shared import struct
 BITS = 20
 PREFIXES = (4, 5, 6)
 #: Bounds of the sample that the classifier is fitted on.
-MOST_POSITIVE, MOST_UNLABELLED = 6_000, 18_000
-MOST_FEATURES, LEAST_LIFT = 256, 4.0
+MOST_POSITIVE, MOST_CLEAN, MOST_UNLABELLED = 6_000, 6_000, 15_000
+MOST_FEATURES, LEAST_LIFT, LEAST_OVER_CLEAN, LEAST_TEXTS = 256, 3.0, 10.0, 4
 THRESHOLD, HELD_OUT_FOLD, FOLDS = 0.7, 1, 3
 STEPS, RATE, RIDGE = 400, 0.1, 1e-5
 
@@ -58,15 +58,17 @@ def features(texts: list[str], chosen: np.ndarray | None = None) -> list[np.ndar
     return np.split(flat, np.searchsorted(doc, np.arange(1, len(texts)))) if len(texts) else []
 
 
-def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features whose share of positive texts is LEAST_LIFT times that of unlabelled ones, and 5 to 10 standard errors above it, more with more texts."""
-    n, m = len(positive), len(unlabelled)
-    p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS) if m else np.zeros(1 << BITS)
+def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:
+    """Features whose share of positive texts is LEAST_LIFT times that of unlabelled ones, and 3 to 8 standard errors above it,
+    more with more texts; and LEAST_OVER_CLEAN times their share of clean texts."""
+    n, m, k = len(positive), max(1, len(unlabelled)), max(1, len(clean))
+    p, u, c = (np.bincount(np.concatenate(x), minlength=1 << BITS) if x else np.zeros(1 << BITS) for x in (positive, unlabelled, clean))
     pooled = (p + u + 1) / (n + m + 2)
-    z = (p / n - u / max(1, m)) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / max(1, m)))
-    best = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    return np.sort(best[(z[best] >= np.clip(0.3 * np.sqrt(n), 5, 10)) & (p[best] / n >= LEAST_LIFT * u[best] / max(1, m))])
+    z = (p / n - u / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    telling = (p >= LEAST_TEXTS) & (z >= np.clip(0.2 * np.sqrt(n), 3, 8)) & (p / n >= LEAST_LIFT * u / m)
+    telling &= (not clean) | (p / n >= LEAST_OVER_CLEAN * (c + 0.5) / k)
+    best = np.flatnonzero(telling)
+    return np.sort(best[np.argsort(-z[best], kind="stable")[:MOST_FEATURES]])
 
 
 def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
@@ -100,9 +102,10 @@ def sample(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
     part = lambda most, of: share < int(1_000_000 * min(1.0, most / max(1, of)))
     positive = known.where("toxic = 1").where(part(MOST_POSITIVE, toxic)).select("doc_id", F.lit(1).alias("kind"))
+    clean = known.where("toxic = 0").where(part(MOST_CLEAN, n - toxic)).select("doc_id", F.lit(-1).alias("kind"))
     others = documents.select(F.col("doc_id").cast("long")).where("doc_id is not null").where(~held_out() & part(MOST_UNLABELLED, rows)).distinct()
     unlabelled = others.join(labels.select(F.col("doc_id").cast("long")), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("kind"))
-    ids = positive.unionByName(unlabelled)
+    ids = positive.unionByName(clean).unionByName(unlabelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +114,7 @@ def sample(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
                 own = [x.astype("<u4").tobytes() for x in features(texts[i:j])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.binary())], names=["kind", "features"])
 
-    drawn = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")  # about MOST_POSITIVE + MOST_UNLABELLED rows
+    drawn = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")  # about MOST_POSITIVE + MOST_CLEAN + MOST_UNLABELLED rows
     return drawn.select("kind", "text").mapInArrow(run, struct(kind="int", features="binary")), toxic / n if n else 0.0
 
 
@@ -122,10 +125,10 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarr
     kinds = table["kind"].to_numpy()
     sets = table["features"].to_pylist()
     # Copies of a text count once, lest their common words pass for telling ones.
-    positive, unlabelled = ([np.frombuffer(x, "<u4") for x in sorted({s for s, k in zip(sets, kinds) if k == kind})] for kind in (1, 0))
+    positive, unlabelled, clean = ([np.frombuffer(x, "<u4") for x in sorted({s for s, k in zip(sets, kinds) if k == kind})] for kind in (1, 0, -1))
     if not positive or not 0 < prior < 1:
         return np.zeros(0, np.int64), np.zeros(0), 5.0 if prior == 1 else -5.0
-    chosen = choose(positive, unlabelled)
+    chosen = choose(positive, unlabelled, clean)
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
 
