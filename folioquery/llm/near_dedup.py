@@ -5,8 +5,8 @@
 3. In a band's bucket, the member that is most popular - whose keys most others have - is the pivot. A bucket's members are
    compared with its pivot only, so that a group of near copies of any size gives as many pairs as it has members.
 4. Members that aren't like it are compared with the other members of their bucket by their samples, in blocks of bounded
-   size; of those whose samples agree as near copies' do, each member's best few are passed on, and the next few as long as
-   that brings new links.
+   size; of those of other classes whose samples agree as near copies' do, each member's best few are passed on, then GROWTH
+   times as many, until none is left over.
 5. Pairs are verified on whole texts: weighted Jaccard similarity, or that of the shingle sets, of SIMILAR or more.
 6. Linked texts form a class; copies of a text join its class without being compared.
 """
@@ -28,7 +28,7 @@ BANDS, ROWS = 10, 3
 HASHES = BANDS * ROWS
 #: Of two texts as similar as SIMILAR, so many of HASHES samples agree at least, but for a chance of 2 in 10,000.
 AGREE = 16
-PIVOTS, PARTNERS, BLOCK, GROUP, SALTS = 1, 4, 2048, 256, 16
+PIVOTS, PARTNERS, GROWTH, BLOCK, GROUP, SALTS = 1, 4, 8, 2048, 256, 16
 #: Bits of the filter that keeps texts which no pair needs from being shuffled.
 FILTER = 1 << 22
 COUNTERS = 1 << 17
@@ -239,10 +239,12 @@ def buckets(sketches: DataFrame) -> DataFrame:
 
 
 def agreeing(members: DataFrame, rest: DataFrame, sketches: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of a bucket, b in rest, of different classes, whose samples agree in AGREE places; both sides meet in blocks.
+    """Pairs (a, b) of a bucket (band, key), b in rest, of different classes, whose samples agree in AGREE places; both sides meet in blocks.
 
-    Of the partners that b has in a block, the best: PARTNERS of them, and as many more in each later turn.
+    Of the partners that b has in a block, the best: PARTNERS of them, and GROWTH times as many in each later turn. Where that
+    leaves some over, a row with a null a says so.
     """
+    limit = PARTNERS * GROWTH**turn
     sizes = rest.groupBy("band", "key").agg(F.max("n").alias("n")).select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -260,13 +262,13 @@ def agreeing(members: DataFrame, rest: DataFrame, sketches: DataFrame, classes:
             for row, doc_id, class_ in zip(other, y["doc_id"].to_pylist(), y["class"].to_pylist()):
                 agree = (grid == row).sum(1)
                 near = np.flatnonzero((agree >= AGREE) & (of != class_))
-                best = near[np.argsort(-agree[near], kind="stable")][: (turn + 1) * PARTNERS]
-                a += ids[best].tolist()
-                b += [doc_id] * len(best)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                best = near[np.argsort(-agree[near], kind="stable")][:limit]
+                a += ids[best].tolist() + [None] * (len(near) > limit)
+                b += [doc_id] * (len(best) + (len(near) > limit))
+        return pa.table({"band": pa.array([key[0].as_py()] * len(a), pa.int32()), "key": pa.array([key[1].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     keys = ["band", "key", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, struct(a="long", b="long"))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, struct(band="int", key="long", a="long", b="long"))
 
 
 def near_dedup(documents: DataFrame) -> DataFrame:
@@ -301,12 +303,15 @@ def near_dedup(documents: DataFrame) -> DataFrame:
     turn, found = 0, rest.limit(1).count()
     tried_pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while found:
-        more = agreeing(members, rest, sketches, components(links), turn)
-        more = more.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct().select("a", "b")
+        near = written(agreeing(members, rest, sketches, components(links), turn), "agreeing-samples")
+        more = near.where("a is not null").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct().select("a", "b")
         more = written(more.join(tried_pairs, ["a", "b"], "left_anti"), "agreeing-pairs")
         new = written(verify(more, docs, rare), "links")
-        found = new.limit(1).count()
         links, tried_pairs, turn = links.unionByName(new), tried_pairs.unionByName(more), turn + 1
+        # Only members with partners left over go on; by then, many of those are of their own class.
+        left_over = near.where("a is null").select("band", "key", F.col("b").alias("doc_id")).distinct()
+        rest = written(rest.join(left_over, ["band", "key", "doc_id"], "left_semi"), "unlinked")
+        found = rest.limit(1).count()
     links = written(links, "links")
     classes = components(links)
     degree = links.select(F.col("a").alias("x")).unionByName(links.select(F.col("b").alias("x"))).groupBy("x").count()

@@ -126,6 +126,21 @@ def test_a_large_group_of_near_copies_is_one_class(rows):
     assert {r.class_id for r in got} == {0} and len(got) == 300
 
 
+def test_partners_among_many_that_are_nearly_similar(rows):
+    name = lambda *k: "w" + "".join(chr(97 + int(d)) for d in "x".join(map(str, k)).replace("x", "9"))
+    base, texts = [name(0, k) for k in range(400)], {}
+    for i in range(150):  # any two at about 0.75; the first 80 in pairs at more than 0.8
+        own = [name(1, i, k) for k in range(52)]
+        if i < 80 and i % 2:
+            own = [name(1, i - 1, k) for k in range(18)] + own[18:]
+        texts[i] = " ".join(base[:180] + own + base[232:])
+    sets = {k: shingle_set(t) for k, t in texts.items()}
+    want = classes(texts, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(set(want.values())) == 110
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(rows(list(texts.items()))).collect()}
+    assert got == want
+
+
 def test_samples_estimate_similarity():
     rare = np.zeros(near_dedup.COUNTERS, np.float32)
     name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
