@@ -4,8 +4,8 @@ A line is the set of its words, in lower case. Words are ordered from rare to fr
 any one order of words keeps the join exact. Two sets of Jaccard similarity 0.8 or more then share a word within their
 prefixes, have like sizes, and leave enough words behind the shared one's positions; besides, parities of their words'
 hashes differ in no more places than the sets do. Lines of the same set are collapsed before they are joined. In the list
-of a prefix word, a line meets the earliest of those before it that pass these filters; only a line for which they fail the
-verification meets all the others. Long lists are met in blocks. Texts are read once; words are hashed by array operations.
+of a prefix word, a line meets all of those before it that pass these filters, and every such pair is verified. Long lists
+are met in blocks. Texts are read once; words are hashed by array operations.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ SIMILAR_NUM, SIMILAR_DEN = 4, 5  # 0.8, in whole numbers
 COUNTERS = 1 << 17
 #: Smaller sets are similar to none but their own.
 LEAST_SIZE = 4
-#: Earlier lines that a line meets at first in a list, and rows of a list's block.
-FIRST, BLOCK, SALTS = 1, 1024, 16
+#: Nothing reads FIRST any more (a line meets all earlier lines of a list); tests set it. BLOCK: rows of a list's block.
+FIRST, BLOCK, SALTS = 0, 1024, 16
 CHUNK = 2 << 20
+#: Pairs that a task holds before it passes them on, but for those of one step back.
+HELD = 1 << 20
 
 
 def counter(words: np.ndarray) -> np.ndarray:
@@ -105,27 +107,36 @@ def prefixes(sets: DataFrame, often: np.ndarray) -> DataFrame:
     return sets.select("key", "doc_id", "line", "words").mapInArrow(run, schema)
 
 
-def candidates(postings: DataFrame, first: int) -> DataFrame:
-    """Pairs of lines (earlier x, later y) of one list that pass the filters: for each y its first one, or all if first is 0."""
+def candidates(postings: DataFrame) -> DataFrame:
+    """Distinct pairs of lines (earlier x, later y) that pass the filters in one list at least."""
     # Written, so that the planner knows its size: if small, it is broadcast and the postings aren't shuffled for this.
     sizes = written(postings.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("word", F.ceil(F.col("n") / BLOCK).cast("int").alias("many")), "long-lists")
     joined = postings.join(sizes, "word", "left").withColumn("blocks", F.coalesce("many", F.lit(1)))
     # A row of a long list stands in the pairs of blocks (i, j), i <= j, that its block is part of.
     dealt = joined.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    columns = ["word", "i", "j", "own", "key", "size", "position", "parities", "asks"]
+    columns = ["word", "i", "j", "own", "key", "size", "position", "parities"]
     rows = dealt.select(*columns, "doc_id", "line").repartition("word", "i", "j").sortWithinPartitions("word", "i", "j", "doc_id", "line", "key").select(*columns)
 
-    def met(table: pa.Table, last: bool) -> tuple[np.ndarray, np.ndarray, int]:
-        """Pairs of the whole lists at the start of a table, and how many rows those are."""
-        w, i, j, own, key, size, position, parities, asks = (table[c].to_numpy() for c in columns)
+    def whole(table: pa.Table) -> int:
+        """How many rows the lists take up that surely end within the table."""
+        w, i, j = (table[c].to_numpy() for c in columns[:3])
+        return int(np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))[-1])
+
+    def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Pairs of the lists in a table."""
+        w, i, j, own, key, size, position, parities = (table[c].to_numpy() for c in columns)
         new = np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-        starts = np.flatnonzero(new)
-        upto = len(w) if last else int(starts[-1])
-        begin = starts[np.cumsum(new) - 1][:upto]
-        live, back = np.flatnonzero(asks[:upto]), 0
+        begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+        live, back = np.arange(len(w)), 0
         parities = parities.view(np.uint64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told() -> pa.RecordBatch:
+            x, y = (np.concatenate(c) for c in zip(*found))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y])], names=["x", "y"])
+
         while True:
             back += 1
             live = live[live - back >= begin[live]]
@@ -139,13 +150,10 @@ def candidates(postings: DataFrame, first: int) -> DataFrame:
             ok &= 2 * np.minimum(a - position[x], b - position[live]) >= a + b - apart
             ok &= (i[live] == j[live]) | (own[x] != own[live])
             found.append((x[ok], live[ok]))
-        if not found:
-            return key[:0], key[:0], upto
-        x, y = (np.concatenate(c) for c in zip(*found))
-        if first and len(y):  # the earliest is the one found last
-            y, at = np.unique(y[::-1], return_index=True)
-            x = x[::-1][at]
-        return key[x], key[y], upto
+            if sum(len(x) for x, _ in found) > HELD:
+                yield told()
+        if found:
+            yield told()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -154,12 +162,12 @@ def candidates(postings: DataFrame, first: int) -> DataFrame:
                 held.append(batch)
                 if sum(map(len, held)) >= 50_000:
                     table = pa.Table.from_batches(held)
-                    x, y, upto = met(table, False)
+                    upto = whole(table)
+                    if upto:
+                        yield from met(table.slice(0, upto))
                     held = table.slice(upto).combine_chunks().to_batches()
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
         if held:
-            x, y, _ = met(pa.Table.from_batches(held), True)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+            yield from met(pa.Table.from_batches(held))
 
     return rows.mapInArrow(run, struct(x="long", y="long")).distinct()
 
@@ -180,19 +188,8 @@ def matches(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     flag = lambda df: df.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc", F.coalesce("doc_id", F.lit(0)))
     own = flag(lines.where(F.size("words") >= LEAST_SIZE)).join(flag(firsts).select("key", "doc", "no_id", "line"), ["key", "doc", "no_id", "line"], "left_semi")
     sets = written(own.select("key", "doc_id", "line", "words").dropDuplicates(["key", "line"]), "line-sets")
-    often = frequencies(sets)
-    postings = prefixes(sets, often)
-    pairs = written(candidates(postings.withColumn("asks", F.lit(True)), FIRST), "line-pairs")
-    links = written(verified(pairs, sets), "line-links")
-    failed = written(pairs.select("y").distinct().join(links.select("y"), "y", "left_anti").select(F.col("y").alias("key"), F.lit(True).alias("failed")), "unmatched-lines")
-    if not failed.limit(1).count():
-        return firsts, links
-    asked = postings.join(failed, "key", "left").withColumn("asks", F.col("failed").isNotNull()).drop("failed")
-    # Only lists that a failed line stands in.
-    lists = prefixes(sets.join(failed, "key", "left_semi"), often).select("word").distinct()
-    lists = written(lists, "asked-lists")
-    rest = candidates(asked.join(lists, "word", "left_semi"), 0).join(pairs, ["x", "y"], "left_anti")
-    return firsts, written(links.unionByName(verified(written(rest, "line-pairs"), sets)), "line-links")
+    pairs = written(candidates(prefixes(sets, frequencies(sets))), "line-pairs")
+    return firsts, written(verified(pairs, sets), "line-links")
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:
@@ -200,22 +197,24 @@ def line_dedup(documents: DataFrame) -> DataFrame:
 
     Lines end at newlines; words are runs of letters and of digits. Lines come in the order of doc_id, then of their number.
     A line goes if an earlier one has a Jaccard similarity of 0.8 or more, itself removed or not; a line without words stays.
-    removed holds the numbers of a document's lines that go (apply() takes them out); n_links is their number; class_id is
-    the least doc_id that its lines match directly, else its own. A null text is empty: one empty line. Rows that repeat a
+    removed holds the numbers of a document's lines that go (apply() takes them out). n_links is the number of links of its
+    lines: a line has one to each distinct set of words that is similar to its own and occurred earlier than that at first,
+    and, where it isn't its set's first line, one to that. class_id is the least doc_id that its lines match directly, else its own. A null text is empty: one empty line. Rows that repeat a
     doc_id are one document with the lines of each of them, and lines of one number there don't remove each other; null
     doc_ids likewise, before all others. Other columns are
     ignored; an empty table gives no rows.
     """
     lines = written(lines_of(documents), "lines")
     firsts, links = matches(lines)
-    earliest = links.join(firsts.select(F.col("key").alias("x"), F.struct("doc_id", "line").alias("at")), "x").groupBy(F.col("y").alias("key")).agg(F.min("at").alias("match"))
+    earliest = links.join(firsts.select(F.col("key").alias("x"), F.struct("doc_id", "line").alias("at")), "x").groupBy(F.col("y").alias("key")).agg(F.min("at").alias("match"), F.count("*").alias("matched"))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    told = firsts.join(earliest, "key", "left").where("match is not null or n > 1").select("key", F.struct("doc_id", "line").alias("first"), "match", salt)
+    told = firsts.join(earliest, "key", "left").where("match is not null or n > 1").select("key", F.struct("doc_id", "line").alias("first"), "match", "matched", salt)
     rows = lines.select("doc_id", "line", "key", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int").alias("salt")).join(told, ["key", "salt"], "left")
     own = F.struct("doc_id", "line")
     source = F.when(F.col("match").isNotNull(), F.least("match", "first")).when(F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.select("doc_id", "line", source["doc_id"].alias("source"), source.isNotNull().alias("gone"))
-    grouped = rows.groupBy("doc_id").agg(F.min("source").alias("source"), F.count_if("gone").alias("n_links"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
+    copied = (F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first"))).cast("long")
+    rows = rows.select("doc_id", "line", source["doc_id"].alias("source"), source.isNotNull().alias("gone"), (F.coalesce("matched", F.lit(0)) + copied).alias("links"))
+    grouped = rows.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("links").alias("n_links"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
     return grouped.select("doc_id", F.coalesce(F.least("source", "doc_id"), "doc_id").alias("class_id"), "n_links", "n_lines", "removed")
 
 

@@ -269,6 +269,39 @@ def test_line_dedup(rows, monkeypatch, seed, block, first):
     assert all(kept[r.doc_id].count("\n") + 1 == r.n_lines - len(r.removed) or len(r.removed) == r.n_lines for r in got.collect())
 
 
+def links_by_brute_force(pairs):
+    """doc_id -> (class_id, n_links), over distinct sets of words; a copy has a link to its set's first line besides."""
+    first, out = {}, {i: [i, 0] for i, _ in pairs}
+    for i, t in sorted(pairs, key=lambda p: p[0]):
+        for x in (t or "").split("\n"):
+            s = frozenset(words(x))
+            if not s:
+                continue
+            copied = s in first
+            first.setdefault(s, (len(first), i))
+            near = [d for o, (n, d) in first.items() if n < first[s][0] and 5 * len(s & o) >= 4 * len(s | o)] + [first[s][1]] * copied
+            out[i] = [min([out[i][0], *near]), out[i][1] + len(near)]
+    return {i: tuple(v) for i, v in out.items()}
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_line_dedup_gives_all_links(rows, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    vocabulary = np.array([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)])
+    bases, pairs = [list(rng.choice(vocabulary, 20, False)) for _ in range(5)], []
+    for i in range(50):
+        own = []
+        for _ in range(3):
+            line = list(bases[rng.integers(5)])
+            for _ in range(rng.integers(0, 4)):
+                line[rng.integers(20)] = str(rng.choice(vocabulary))
+            own.append(" ".join(line))
+        pairs.append((i, "\n".join(own)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in line_dedup.line_dedup(rows(pairs)).collect()}
+    assert got == links_by_brute_force(pairs)
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = {r.doc_id: (r.removed, r.n_links, r.n_lines, r.class_id) for r in line_dedup.line_dedup(odd).collect()}
     assert got[1] == ([], 0, 1, 1) and got[3] == ([], 0, 2, 3) and got[5][1:3] == (0, 2) and got[6] == ([0], 1, 1, 5) and got[None][3] is None
