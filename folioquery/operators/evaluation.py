@@ -45,6 +45,20 @@ def character_errors(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("texts"), F.avg(error).alias("error"))
 
 
+def whole_character_errors(rows: DataFrame) -> DataFrame:
+    """character_errors() of rows(lang, truth, text) over whole texts, blanks collapsed and joiners left out.
+
+    Edits are at most the places at which the texts differ, and what one is longer by; so bounded, the search for the least
+    number of edits stays near the diagonal and is exact.
+    """
+    clean = lambda c: F.trim(F.regexp_replace(F.translate(c, "\u200c\u200d", ""), r"(?U)\s+", " "))
+    own = rows.select("lang", clean("truth").alias("truth"), clean("text").alias("text"))
+    differ = F.size(F.filter(F.zip_with(F.split("truth", ""), F.split("text", ""), lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
+    bounded = own.withColumn("edits", F.call_function("levenshtein", "truth", "text", differ))
+    error = F.least(F.lit(1.0), F.col("edits") / F.greatest(F.lit(1), F.length("truth")))
+    return bounded.groupBy("lang").agg(F.count("*").alias("texts"), F.avg(error).alias("error"))
+
+
 def choose_variant(scores: DataFrame, base: str, allowed_loss: float = 0.0) -> DataFrame:
     """scores(variant, metric, guard): the variant with the best metric of those whose guard isn't below the base's; ties to the name."""
     floor = scores.where(F.col("variant") == base).select(F.col("guard").alias("floor"))

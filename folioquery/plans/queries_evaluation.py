@@ -36,6 +36,13 @@ def errors(spark, sf):
     return E.character_errors(rows).withColumn("error", F.round("error", 6))
 
 
+@query("character_errors_whole")
+def whole_errors(spark, sf):
+    """As character_errors, over whole texts; DuckDB's levenshtein is too slow for them."""
+    rows = table(spark, sf, "documents", "lang", "text").where(F.length("text") > 0).select("lang", F.col("text").alias("truth"), F.translate("text", "e", "c").alias("text"))
+    return E.whole_character_errors(rows).withColumn("error", F.round("error", 6))
+
+
 @query("latency_percentiles", "SELECT event_type, list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95, list_sort(list(value))[CAST(round_even(0.5 * (count(*) - 1), 0) AS BIGINT) + 1] AS p50 FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def percentiles(spark, sf):
     return table(spark, sf, "events", "event_type", "value").where("value is not null").groupBy("event_type").agg(E.nearest_rank("value", 95).alias("p95"), E.nearest_rank("value", 50).alias("p50"))
