@@ -29,6 +29,32 @@ def retrieval_quality(spark, sf):
     return scored.select("style", "queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr")])
 
 
+@query("retrieval_quality_modes")
+def quality_by_mode(spark, sf):
+    """Each hundredth vector asks, with the first eight words of its document, in each of the three modes, limit 20.
+
+    The asking document itself is left out of its ranking; items of the same label are relevant.
+    """
+    v = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    asking = v.where("vec_id % 100 = 0")
+    documents = table(spark, sf, "documents", "doc_id", "text")
+    opening = documents.select(F.col("doc_id").alias("vec_id"), F.array_join(F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 8), " ").alias("text"))
+    asked = asking.join(opening, "vec_id", "left").select(F.col("vec_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("embedding").alias("vector"))
+    own = R.chunk(documents, "doc_id", "text")
+    keyword = R.bm25(own, asked.select("query_id", "text"))
+    meaning = R.cosine_in_blocks(v.select((F.col("vec_id") * 1000).alias("chunk_id"), F.col("embedding").alias("vector")), asked.select("query_id", "vector"))
+    of_query, of_item = (d.select(F.col("vec_id").alias(c), "label") for d, c in ((asking, "query_id"), (v, "item_id")))
+    styles = asking.select(F.col("vec_id").alias("query_id"), (F.col("label") % 3).alias("style"))
+    scored = None
+    for mode in ("KEYWORDS", "MEANING", "MERGED"):
+        found = R.per_item(R.fuse(keyword, meaning, R.SearchOptions(mode=mode)), own, 21).where("query_id <> item_id")
+        found = R.ranked(found.drop("rank"), 20).select("query_id", "rank", "item_id")
+        relevant = found.select("query_id", "item_id").join(of_query, "query_id").join(of_item, ["item_id", "label"]).select("query_id", "item_id")
+        one = E.quality(found, relevant, styles).select(F.lit(mode).alias("mode"), "style", "queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr")])
+        scored = one if scored is None else scored.unionByName(one)
+    return scored
+
+
 @query("character_errors", "SELECT lang, count(*) AS texts, round(avg(least(1.0, levenshtein(substr(text, 1, 80), replace(substr(text, 1, 80), 'e', 'c')) / length(substr(text, 1, 80)))), 6) AS error FROM documents WHERE length(text) > 0 GROUP BY lang")
 def errors(spark, sf):
     head = F.substring("text", 1, 80)  # what a damaged reading is made of

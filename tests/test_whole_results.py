@@ -1,10 +1,13 @@
 """Queries over whole texts and whole tables: against brute force."""
 
 import random
+from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from folioquery.operators import evaluation
+from folioquery.plans import registry
 
 
 def edits(a, b):
@@ -24,3 +27,21 @@ def test_character_errors_of_whole_texts(spark):
     clean = lambda t: " ".join(t.replace("\u200c", "").replace("\u200d", "").split())
     want = {str(k): min(1.0, edits(clean(a), clean(b)) / max(1, len(clean(a)))) for k, (a, b) in enumerate(pairs)}
     assert {r.lang: r.error for r in evaluation.whole_character_errors(rows).collect()} == pytest.approx(want)
+
+
+def test_retrieval_quality_asks_in_three_modes_over_the_whole_table(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    items = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").where("trim(text) <> ''").select("doc_id").collect()}
+    label, x = {r.vec_id: r.label for r in v}, np.array([r.embedding for r in v], np.float64)
+    asking = [k for k, r in enumerate(v) if r.vec_id % 100 == 0]
+    want = defaultdict(list)
+    for k in asking:
+        score = np.round(x @ x[k], 9)
+        near = [v[j].vec_id for j in np.lexsort((np.arange(len(v)), -score))[:50]]
+        near = [i for i in near if i in items][:21]
+        near = [i for i in near if i != v[k].vec_id][:20]
+        want[v[k].label % 3].append(next((1 / n for n, i in enumerate(near, 1) if label[i] == v[k].label), 0.0))
+    got = registry.queries()["retrieval_quality_modes"](spark, sf).collect()
+    for mode in ("KEYWORDS", "MEANING", "MERGED"):
+        assert sum(r.queries for r in got if r.mode == mode) == len(asking) > 0
+    assert {r.style: r.mrr for r in got if r.mode == "MEANING"} == pytest.approx({s: np.mean(m) for s, m in want.items()}, abs=1e-5)
