@@ -27,25 +27,37 @@ APART = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MAIN = {"article", "main"}
-# Words in class, id and role that mark what is no article.
+# Whole names in class, id and role that mark what is no article.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead",
     "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "recommended", "related", "replies", "reply", "responses", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-WORD = re.compile(r"[a-z0-9]+")
 
 
 def marked(attributes: str) -> bool:
-    return any(w in MARKS for v in NAMED.findall(attributes) for w in WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
+    return any(w in MARKS for v in NAMED.findall(attributes) for w in v.strip("\"'").lower().split())
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, whether it stands in the article's own element) of each block that the markup doesn't mark as something else."""
+    """(text, whether it stands in the article's own element) of each block that the markup doesn't mark as something else.
+
+    Marks give way where they would leave out the only article, or all there is.
+    """
+    out = parsed(page, 0)
+    if not any(inside for _, inside in out):
+        wrapped = parsed(page, 1)
+        if any(inside for _, inside in wrapped):
+            return wrapped
+    return out or parsed(page, 2)
+
+
+def parsed(page: str, least: int) -> list[tuple[str, bool]]:
+    """blocks(), with all marks (0), with those of elements that hold no article or main (1), or without marks (2)."""
     out: list[tuple[str, bool]] = []
     held: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, whether it is left out, whether it is of the article
+    open_: list[tuple[str, bool, bool, bool]] = []  # element, whether it is left out, whether it is of the article, whether a mark leaves it out
     out_of, of = 0, 0
     at = 0
 
@@ -82,9 +94,16 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID and not m[3].rstrip().endswith("/"):
-            left_out = name in APART or name == "header" and not of or name not in MAIN and name not in ("html", "body") and bool(m[3]) and marked(m[3])
+            apart = name in APART or name == "header" and not of
+            # In an article, marks on its paragraphs and words say what they are about.
+            can_be = least < 2 and name not in MAIN and name not in ("html", "body") and not (of and (name in INLINE or name == "p"))
+            by_mark = not apart and can_be and bool(m[3]) and marked(m[3])
+            left_out = apart or by_mark
+            if name in MAIN and least == 1 and out_of:  # what is around it is left out no more, if a mark did that
+                open_[:] = [(x[0], x[1] and not x[3], x[2], x[3]) for x in open_]
+                out_of = sum(x[1] for x in open_)
             if left_out or name in MAIN or name not in INLINE and name not in ("p", "li", "br"):
-                open_.append((name, left_out, name in MAIN and not out_of))
+                open_.append((name, left_out, name in MAIN and not out_of, by_mark))
                 out_of += left_out
                 of += open_[-1][2]
     end_block()

@@ -203,6 +203,15 @@ def test_extraction(spark):
     assert extraction.extract(df.limit(0)).count() == 0
 
 
+def test_marks_leave_the_article():
+    text = lambda page: extraction.main_text(extraction.blocks(page), None)
+    article = "<article><p>One</p><p class='notice'>two <span class='search-term'>three</span></p><div class='ad'>Buy</div></article>"
+    for wrapper in ("class='content has-sidebar'", "id='page' class='with-header'", "class='sidebar'", "class=x"):
+        assert text(f"<body><div class='ad'>Buy</div><div {wrapper}>{article}</div><div id='comments'>first!</div></body>") == "One two three"
+    assert text(f"<div id='comments'><article>first!</article></div>{article}") == "One two three"
+    assert text("<body><div class='widget'>All there is</div></body>") == "All there is"
+
+
 def test_alignment_is_a_longest_common_subsequence():
     assert [list("abcbdab")[k] for k in sorted(extraction.aligned(list("abcbdab"), list("bdcaba")))] in (list("bcba"), list("bdab"), list("bcab"), list("bda"), list("bca"))
     assert extraction.aligned(["a", "b", "c"], ["x", "a", "c"]) == {0, 2} and extraction.aligned([], ["a"]) == set()
