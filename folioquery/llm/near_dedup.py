@@ -1,14 +1,18 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Document frequencies of shingles are counted over all documents, in a fixed number of hashed counters.
-2. Each text's shingles, weighted by TF-IDF, give HASHES consistent samples; three by three they are the keys of bands.
-3. In a band's bucket, the member that is most popular - whose keys most others have - is the pivot. A bucket's members are
-   compared with its pivot only, so that a group of near copies of any size gives as many pairs as it has members.
-4. Members that aren't like it are compared with the other members of their bucket by their samples, in blocks of bounded
-   size; of those of other classes whose samples agree as near copies' do, each member's best few are passed on, then GROWTH
-   times as many, until none is left over.
-5. Pairs are verified on whole texts: weighted Jaccard similarity, or that of the shingle sets, of SIMILAR or more.
-6. Linked texts form a class; copies of a text join its class without being compared.
+2. Each distinct text's shingles, weighted by TF-IDF, give HASHES consistent samples; three by three they are the keys of bands.
+3. In a band's bucket, the member that is most popular - whose keys most others have - is the pivot. All members are verified
+   against their pivots, so that a group of near copies of any size gives as many pairs as it has members. What is linked
+   forms classes.
+4. In a bucket that still holds several classes, every member outside the pivot's class is verified against every member of
+   another class. They meet in blocks of bounded size, each with an inverted index from shingle to members; of a member's
+   links to one class the first is passed on, as more change no class. So no pair of a bucket is left out.
+5. Pairs are verified on whole texts by their weighted Jaccard similarity, SIMILAR or more. Linked texts form a class; copies
+   of a text join its class without being compared.
+
+The number of jobs depends on the data only through the rounds of components(), which grow as the logarithm of a class's width.
+Texts are named by NODE_BYTES bytes of their SHA-256 digest.
 """
 
 from __future__ import annotations
@@ -17,18 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioquery.llm import counting
 from folioquery.llm.pretok import _tables, chunks, hashed_words, texts_of
 from folioquery.llm.shared import struct, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
 HASHES = BANDS * ROWS
-#: Of two texts as similar as SIMILAR, so many of HASHES samples agree at least, but for a chance of 2 in 10,000.
-AGREE = 16
-PIVOTS, PARTNERS, GROWTH, BLOCK, GROUP, SALTS = 1, 4, 8, 2048, 256, 16
+NODE_BYTES = 16
+#: Shingles of a block of members, of a pivot's part, and of what a task holds beside the members that are asked for.
+BLOCK, PART, HELD = 1 << 19, 1 << 17, 1 << 19
+SALTS = 16
 #: Bits of the filter that keeps texts which no pair needs from being shuffled.
 FILTER = 1 << 22
 COUNTERS = 1 << 17
@@ -78,24 +84,16 @@ def document_frequencies(documents: DataFrame) -> np.ndarray:
     """How rare the shingles of each counter are: 1 for one document, 0 for as many as there are documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(COUNTERS, np.int64), 0
+        total = np.zeros(COUNTERS + counting.SLICE, np.int64)  # the rows come last
         for batch in batches:
             texts, sizes = texts_of(batch.column(0))
-            rows += len(texts)
+            total[COUNTERS] += len(texts)
             for i, j in chunks(sizes, 2 << 20):
-                for hashes, _ in shingles(texts[i:j]):
-                    np.add.at(total, counter(hashes), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(rows, total[some]))], names=["counter", "n"])
+                total[:COUNTERS] += np.bincount(counter(np.concatenate([h for h, _ in shingles(texts[i:j])])), minlength=COUNTERS)
+        yield counting.sliced(total)
 
-    counts = documents.select(F.col("text").cast("string")).mapInArrow(run, struct(counter="long", n="long")).groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS + 1 rows at most
-    df, rows = np.ones(COUNTERS), 1
-    for c, n in zip(counts["counter"].to_pylist(), counts["n"].to_pylist()):
-        if c < 0:
-            rows = n
-        else:
-            df[c] = n
-    return np.clip(1 - np.log(df) / np.log(max(2, rows)), 0, 1).astype(np.float32)
+    total = counting.summed(documents.select(F.col("text").cast("string")).mapInArrow(run, counting.SCHEMA), COUNTERS + counting.SLICE)
+    return np.clip(1 - np.log(np.maximum(1, total[:COUNTERS])) / np.log(max(2, total[COUNTERS])), 0, 1).astype(np.float32)
 
 
 def random_tables() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -129,43 +127,33 @@ def samples(sets: list[tuple[np.ndarray, np.ndarray]], rare: np.ndarray) -> np.n
     return out
 
 
-def sketch(documents: DataFrame, rare: np.ndarray) -> DataFrame:
-    """doc_id, bands (keys of the text's buckets) and samples (little-endian) of each document that has words."""
+def sketch(texts: DataFrame, rare: np.ndarray) -> DataFrame:
+    """node, size (number of shingles) and bands (keys of the text's buckets) of each distinct one of texts(node, text) that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            nodes = batch.column(0).to_pylist()
+            batch = batch.take(pa.array(sorted({n: k for k, n in enumerate(nodes)}.values()), pa.int64()))
             texts, sizes = texts_of(batch.column(1))
             for i, j in chunks(sizes, 2 << 20):
                 sets = shingles(texts[i:j])
                 some = [k for k, (h, _) in enumerate(sets) if len(h)]
                 if not some:
                     continue
-                own = samples([sets[k] for k in some], rare)
-                grid = own.reshape(len(own), BANDS, ROWS)
-                keys = np.zeros((len(own), BANDS), np.uint64)
+                grid = samples([sets[k] for k in some], rare).reshape(len(some), BANDS, ROWS)
+                keys = np.zeros((len(some), BANDS), np.uint64)
                 for k in range(ROWS):
                     keys = (keys ^ grid[:, :, k]) * np.uint64(0xC2B2AE3D27D4EB4F) + np.arange(BANDS, dtype=np.uint64)
                     keys ^= keys >> np.uint64(32)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.astype(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(some)), bands, pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())], names=["doc_id", "bands", "samples"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(some)), pa.array([len(sets[k][0]) for k in some], pa.int64()), bands], names=["node", "size", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, struct(doc_id="long", bands="array<long>", samples="binary"))
+    return texts.mapInArrow(run, struct(node="binary", size="long", bands="array<long>")).dropDuplicates(["node"])
 
 
-def similar(a: tuple, b: tuple, rare: np.ndarray) -> float:
-    """The larger of the weighted Jaccard similarity and that of the sets."""
-    (x, tx), (y, ty) = a, b
-    if min(len(x), len(y)) < 0.5 * max(len(x), len(y)):
-        return 0.0
-    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    wx, wy = weights(x, tx, rare), weights(y, ty, rare)
-    shared = np.minimum(wx[i], wy[j]).sum()
-    return max(shared / (wx.sum() + wy.sum() - shared), len(both) / (len(x) + len(y) - len(both)))
-
-
-def only(documents: DataFrame, needed: DataFrame) -> DataFrame:
-    """documents(doc_id, text), without most of those whose doc_id isn't needed: by a bit for each hash, of fixed size."""
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(FILTER))
+def only(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """texts(node, text), without most of those whose node isn't needed: by a bit for each hash, of fixed size."""
+    slot = F.pmod(F.xxhash64("node", F.lit(17)), F.lit(FILTER))
     words = needed.select(slot.alias("slot")).selectExpr("CAST(slot DIV 32 AS INT) AS w", "shiftleft(1L, CAST(slot % 32 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # FILTER / 32 rows at most
     bits = np.zeros(FILTER // 32, np.uint32)
     bits[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
@@ -176,49 +164,99 @@ def only(documents: DataFrame, needed: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy()
             kept = batch.filter(pa.array(own[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1))
-            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["doc_id", "text"])
-
-    return documents.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, struct(doc_id="long", text="string"))
+            last = {n: k for k, n in enumerate(kept.column(0).to_pylist())}
+            yield pa.RecordBatch.from_arrays(kept.take(pa.array(sorted(last.values()), pa.int64())).columns[:2], names=["node", "text"])
+
+    return texts.select("node", "text", slot.alias("slot")).mapInArrow(run, struct(node="binary", text="string")).dropDuplicates(["node"])
+
+
+class Held:
+    """Members that are met at once: shingles, weights and owners in one array each."""
+
+    def __init__(self, rows: list[tuple], rare: np.ndarray):
+        self.nodes, self.classes = [r[0] for r in rows], [r[1] for r in rows]
+        sizes = np.fromiter((len(r[2]) for r in rows), np.int64, len(rows))
+        self.hashes, tf = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
+        self.weights = weights(self.hashes, tf, rare)
+        self.owner = np.repeat(np.arange(len(rows)), sizes)
+        self.totals = np.bincount(self.owner, self.weights, len(rows))
+        self.order = None
+
+    def shared(self, hashes: np.ndarray, own: np.ndarray, many: bool) -> np.ndarray:
+        """The sum of the lesser weights of the shingles that each member shares with a text."""
+        if not many:
+            at = np.minimum(np.searchsorted(hashes, self.hashes), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[at] == self.hashes)
+            return np.bincount(self.owner[hit], np.minimum(self.weights[hit], own[at[hit]]), len(self.totals))
+        if self.order is None:  # the inverted index: members in the order of shingles
+            self.order = np.argsort(self.hashes, kind="stable")
+            self.sorted = self.hashes[self.order]
+        low, high = np.searchsorted(self.sorted, hashes, "left"), np.searchsorted(self.sorted, hashes, "right")
+        n = high - low
+        at = self.order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return np.bincount(self.owner[at], np.minimum(self.weights[at], np.repeat(own, n)), len(self.totals))
+
+
+def links(asked: list[tuple], members: list[tuple], rare: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(asked, member) of those of another class that are similar; of several of one class the first. Rows: node, class, hashes, tf."""
+    held, out = Held(members, rare), []
+    names = {c: k for k, c in enumerate(dict.fromkeys(held.classes))}
+    of = np.fromiter((names[c] for c in held.classes), np.int64, len(members))
+    for node, class_, hashes, tf in asked:
+        own = weights(hashes, tf, rare)
+        shared = held.shared(hashes, own, len(asked) > 3)
+        near = np.flatnonzero((shared >= (SIMILAR - 1e-12) * (own.sum() + held.totals - shared)) & (of != names.get(class_, -1)))
+        out += [(node, held.nodes[k]) for k in near[np.unique(of[near], return_index=True)[1]]]
+    return out
 
 
-def verify(pairs: DataFrame, documents: DataFrame, rare: np.ndarray) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose texts are similar, with a their pivot.
+def verified(needed: DataFrame, texts: DataFrame, rare: np.ndarray) -> DataFrame:
+    """Links (a, b) in groups: every asked member of a group meets all of the group's members of other classes.
 
-    A pivot's partners are dealt into groups of about GROUP; the pivot's text goes to each group once.
+    needed: band, key, i, j (the group), asked, node, class. A group's asked members are held, the others pass by.
     """
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))
-    pivots = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("doc_id"))
-    members = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("doc_id"))
-    needed = pivots.unionByName(members)
     needed = written(needed, "needed-texts")
-    rows = only(documents, needed).join(needed, "doc_id").select("a", "part", "role", "doc_id", "text")
+    rows = only(texts, needed).join(needed, "node").select("band", "key", "i", "j", "asked", "node", "class", "text")
+    dealt = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", F.desc("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, pivot = None, None
+        group, asked, held, size = None, [], [], 0
         for batch in batches:
-            texts, sizes = texts_of(batch.column(4))
-            keys = [batch.column(k).to_pylist() for k in range(4)]
+            texts, sizes = texts_of(batch.column(7))
+            keys = [batch.column(k).to_pylist() for k in range(7)]
             for i, j in chunks(sizes, 1 << 20):
                 out = []
-                for k, own in zip(range(i, j), shingles(texts[i:j])):
-                    if keys[2][k] == 0:
-                        group, pivot = (keys[0][k], keys[1][k]), own
-                    elif group == (keys[0][k], keys[1][k]) and similar(pivot, own, rare) >= SIMILAR:
-                        out.append((keys[0][k], keys[3][k]))
+                for k, (hashes, tf) in zip(range(i, j), shingles(texts[i:j])):
+                    now = tuple(c[k] for c in keys[:4])
+                    if now != group or size > HELD:
+                        if held and asked:
+                            out += links(asked, held, rare)
+                        held, size = [], 0
+                        if now != group:
+                            group, asked = now, []
+                    row = (keys[5][k], keys[6][k], hashes, tf)
+                    held.append(row)
+                    size += len(hashes)
+                    if keys[4][k]:
+                        asked.append(row)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                    yield told(out)
+        if held and asked and (out := links(asked, held, rare)):
+            yield told(out)
+
+    def told(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
-    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return dealt.mapInArrow(run, struct(a="long", b="long"))
+    return written(dealt.mapInArrow(run, struct(a="binary", b="binary")).distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, class): the least node that links lead to. Each round takes the least class among neighbours, then that class's own."""
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    both = written(both, "links")
+    both = written(both, "links-both-ways")
     labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("class")).select(F.col("x").alias("node"), "class"), "classes")
     while True:
-        said = both.join(labels.select(F.col("node").alias("y"), "class"), "y").select(F.col("x").alias("node"), "class", F.lit(None).cast("long").alias("was"))
+        said = both.join(labels.select(F.col("node").alias("y"), "class"), "y").select(F.col("x").alias("node"), "class", F.lit(None).cast("binary").alias("was"))
         low = said.unionByName(labels.select("node", "class", F.col("class").alias("was"))).groupBy("node").agg(F.min("class").alias("low"), F.max("was").alias("was"))
         jump = labels.select(F.col("node").alias("low"), F.col("class").alias("of_low"))
         new = written(low.join(jump, "low").select("node", F.least("low", "of_low").alias("class"), (F.least("low", "of_low") < F.col("was")).alias("moved")), "classes")
@@ -227,96 +265,96 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(classes: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, class) after links between nodes of classes or of their own: the links are carried over to classes first."""
+    of = lambda name: classes.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class"))
+    edges = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).where("a <> b").distinct()
+    joined = components(edges)
+    kept = classes.join(joined.select(F.col("node").alias("class"), F.col("class").alias("new")), "class", "left").select("node", F.coalesce("new", "class").alias("class"))
+    return written(kept.unionByName(joined.join(classes, "node", "left_anti")), "classes")
+
+
+def salted(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """The join of rows(node, ...) with few(by, ...), whose keys each stand in SALTS rows, as a key may hold most of rows."""
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int")).join(few, [*by, "salt"]).drop("salt")
+
+
+def parts(total: str, size: int):
+    return F.greatest(F.lit(1), F.ceil(F.col(total) / size)).cast("int")
+
+
+def part(number: str, seed: int):
+    return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(number)).cast("int")
+
+
+def every(number: str):
+    return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
+
+
+def with_pivots(members: DataFrame) -> DataFrame:
+    """Groups of pivots and the members of their buckets, in parts."""
+    top = members.groupBy("band", "key").agg(F.max(F.struct("popularity", "node", "size")).alias("top")).select("band", "key", F.col("top.node").alias("pivot"), F.col("top.size").alias("pivot_size"))
+    pairs = salted(members.select("band", "key", "node", "size"), top, ["band", "key"]).where("node <> pivot").select("pivot", "pivot_size", "node", "size").distinct()
+    pairs = written(pairs, "pivot-pairs")
+    counts = pairs.groupBy("pivot", "pivot_size").agg(F.sum("size").alias("total")).select("pivot", parts("total", PART).alias("many"))
+    met = salted(pairs.select("pivot", "node"), counts, ["pivot"]).select("pivot", part("many", 7).alias("i"), F.lit(False).alias("asked"), "node")
+    asked = counts.select("pivot", every("many").alias("i"), F.lit(True).alias("asked"), F.col("pivot").alias("node"))
+    return met.unionByName(asked).select(F.lit(-1).alias("band"), F.xxhash64("pivot").alias("key"), "i", F.lit(0).alias("j"), "asked", "node", F.col("node").alias("class"))
+
+
+def between_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Groups of members outside the class of their bucket's pivot and of all members, in blocks."""
+    own = members.join(classes, "node", "left").select("band", "key", "node", "size", "popularity", F.coalesce("class", "node").alias("class"))
+    own = written(own, "classed-members")
+    top = F.max(F.struct("popularity", "node", "class"))["class"]
+    mixed = own.groupBy("band", "key").agg(top.alias("main"), F.min("class").alias("low"), F.max("class").alias("high"), F.sum("size").alias("total")).where("low <> high").select("band", "key", "main", parts("total", BLOCK).alias("all"))
+    rows = written(salted(own, mixed, ["band", "key"]).select("band", "key", "node", "size", "class", (F.col("class") != F.col("main")).alias("asked"), "all"), "mixed-buckets")
+    rest = rows.where("asked").groupBy("band", "key").agg(F.sum("size").alias("total")).select("band", "key", parts("total", BLOCK).alias("some"))
+    rows = salted(rows, rest, ["band", "key"]).drop("size")
+    columns = ["band", "key", "i", "j", "asked", "node", "class"]
+    small = rows.where("`all` = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}).select(*columns)
+    large = rows.where("`all` > 1")
+    passing = large.select("band", "key", part("all", 9).alias("i"), every("some").alias("j"), F.lit(False).alias("asked"), "node", "class")
+    asked = large.where("asked").select("band", "key", every("all").alias("i"), part("some", 11).alias("j"), "asked", "node", "class")
+    return small.unionByName(passing).unionByName(asked)
+
+
 def buckets(sketches: DataFrame) -> DataFrame:
-    """band, key, doc_id, samples and popularity of members of buckets that have several."""
-    rows = sketches.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    """band, key, node, size and popularity of the members of buckets that have several."""
+    rows = sketches.select("node", "size", F.posexplode("bands").alias("band", "key"))
     counts = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    salt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS)).cast("int")
-    held = rows.withColumn("salt", salt).join(counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["band", "key", "salt"]).drop("salt")
-    held = written(held, "bucket-members")
-    popular = held.groupBy("doc_id").agg(F.sum("n").alias("popularity"))
-    return written(held.join(popular, "doc_id"), "bucket-members")
+    held = written(salted(rows, counts, ["band", "key"]), "bucket-members")
+    popular = held.groupBy("node").agg(F.sum("n").alias("popularity"))
+    return written(held.drop("n").join(popular, "node"), "bucket-members")
 
 
-def agreeing(members: DataFrame, rest: DataFrame, sketches: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of a bucket (band, key), b in rest, of different classes, whose samples agree in AGREE places; both sides meet in blocks.
+def near_dedup(documents: DataFrame, row: str | None = None) -> DataFrame:
+    """One row per row of documents(doc_id, text, ...): doc_id, class_id, class_size, kept; and the column row, if one is named.
 
-    Of the partners that b has in a block, the best: PARTNERS of them, and GROWTH times as many in each later turn. Where that
-    leaves some over, a row with a null a says so.
-    """
-    limit = PARTNERS * GROWTH**turn
-    sizes = rest.groupBy("band", "key").agg(F.max("n").alias("n")).select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = sketches.select("doc_id", "samples").join(classes.select(F.col("node").alias("doc_id"), "class"), "doc_id", "left").select("doc_id", "samples", F.coalesce("class", "doc_id").alias("class"))
-    left = members.select("band", "key", "doc_id").join(sizes, ["band", "key"]).select("band", "key", "doc_id", block.alias("i"), every.alias("j")).join(own, "doc_id")
-    right = rest.select("band", "key", "doc_id").join(sizes, ["band", "key"]).select("band", "key", "doc_id", block.alias("j"), every.alias("i")).join(own, "doc_id")
-    right = written(right, "unlinked-samples")  # a plan may not meet itself in a cogroup
-
-    def meet(key, x: pa.Table, y: pa.Table) -> pa.Table:
-        a, b = [], []
-        if len(x) and len(y):
-            order = np.argsort(x["doc_id"].to_numpy(), kind="stable")
-            grid, other = (np.frombuffer(b"".join(t["samples"].to_pylist()), "<u8").reshape(len(t), HASHES) for t in (x, y))
-            grid, ids, of = grid[order], x["doc_id"].to_numpy()[order], x["class"].to_numpy()[order]
-            for row, doc_id, class_ in zip(other, y["doc_id"].to_pylist(), y["class"].to_pylist()):
-                agree = (grid == row).sum(1)
-                near = np.flatnonzero((agree >= AGREE) & (of != class_))
-                best = near[np.argsort(-agree[near], kind="stable")][:limit]
-                a += ids[best].tolist() + [None] * (len(near) > limit)
-                b += [doc_id] * (len(best) + (len(near) > limit))
-        return pa.table({"band": pa.array([key[0].as_py()] * len(a), pa.int32()), "key": pa.array([key[1].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    keys = ["band", "key", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, struct(band="int", key="long", a="long", b="long"))
-
-
-def near_dedup(documents: DataFrame) -> DataFrame:
-    """One row per row of documents(doc_id, text, ...): doc_id, class_id, class_size, n_links, kept.
-
-    Words are runs of letters and of digits in lower case. Texts whose similarity is SIMILAR or more are linked, and what
-    links lead to is one class, named by its least doc_id, which is the one kept. n_links counts the verified links of the
-    row's text to other texts. A null text is an empty one; identical texts, empty ones too, are in one class, while a text
-    without words is like no other. Rows that repeat a doc_id share its class; a null doc_id gets a class of its own if its
-    text has no other. Other columns are ignored; an empty table gives no rows.
+    Words are runs of letters and of digits in lower case. Texts whose weighted Jaccard similarity is SIMILAR or more are
+    linked, and what links lead to is one class, named by its least doc_id (null only if none has one). A null text is an
+    empty one; identical texts, empty ones too, are in one class, while a text without words is like no other. Rows that
+    repeat a doc_id are classed each by its own text. kept marks the class's row of the least doc_id; where several rows have
+    that doc_id, those of the text of the least digest, and of them the one of the least row, if row names a column that
+    tells rows apart (else all of them, as they are equal). Other columns are ignored; an empty table gives no rows.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    salt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS)).cast("int").alias("salt")
-    small = written(docs.select("doc_id", F.md5("text").alias("digest"), salt), "digests")
-    copies = small.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = copies.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    firsts = written(small.join(copies, ["digest", "salt"], "left").select("doc_id", F.coalesce("first", "doc_id").alias("first")), "first-copies")
-    own = firsts.where("doc_id = first").select("doc_id").distinct()
+    node = F.unhex(F.substring(F.sha2("text", 256), 1, 2 * NODE_BYTES))
+    extra = [F.col(row).alias("row")] if row else []
+    docs = documents.select(F.col("doc_id").cast("long"), *extra, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(node.alias("node"), "text")
+    rows = written(docs.select("doc_id", *(["row"] if row else []), node.alias("node")), "nodes")
     rare = document_frequencies(docs)
-    sketches = written(sketch(docs, rare).dropDuplicates(["doc_id"]).join(own, "doc_id", "left_semi"), "sketches")
-    members = buckets(sketches)
-    order = Window.partitionBy("band", "key").orderBy(F.desc("popularity"), "doc_id")
-    pivots = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS).select("band", "key", F.col("doc_id").alias("pivot"))
-    salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, ["band", "key", "salt"]).where("doc_id <> pivot")
-    met = written(met.select("band", "key", "n", "doc_id", "pivot"), "pivot-pairs")
-    pairs = met.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(verify(pairs, docs, rare), "links")
-    # What is linked to no pivot of a bucket meets the bucket's other members.
-    tried = met.join(links.withColumn("linked", F.lit(1)), (F.col("pivot") == F.col("a")) & (F.col("doc_id") == F.col("b")), "left")
-    rest = written(tried.groupBy("band", "key", "n", "doc_id").agg(F.max("linked").alias("linked")).where("linked is null and n > 2").drop("linked"), "unlinked")
-    turn, found = 0, rest.limit(1).count()
-    tried_pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    while found:
-        near = written(agreeing(members, rest, sketches, components(links), turn), "agreeing-samples")
-        more = near.where("a is not null").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct().select("a", "b")
-        more = written(more.join(tried_pairs, ["a", "b"], "left_anti"), "agreeing-pairs")
-        new = written(verify(more, docs, rare), "links")
-        links, tried_pairs, turn = links.unionByName(new), tried_pairs.unionByName(more), turn + 1
-        # Only members with partners left over go on; by then, many of those are of their own class.
-        left_over = near.where("a is null").select("band", "key", F.col("b").alias("doc_id")).distinct()
-        rest = written(rest.join(left_over, ["band", "key", "doc_id"], "left_semi"), "unlinked")
-        found = rest.limit(1).count()
-    links = written(links, "links")
-    classes = components(links)
-    degree = links.select(F.col("a").alias("x")).unionByName(links.select(F.col("b").alias("x"))).groupBy("x").count()
-    known = classes.join(degree.withColumnRenamed("x", "node"), "node", "left").select(F.col("node").alias("first"), "class", F.col("count").alias("links"))
-    rows = written(firsts.join(known, "first", "left").select("doc_id", F.coalesce("class", "first").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), "classed")
-    sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    final = rows.withColumn("salt", salt).join(sizes, ["class_id", "salt"], "left")
-    return final.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    members = buckets(written(sketch(texts, rare), "sketches"))
+    classes = components(verified(with_pivots(members), texts, rare))
+    classes = merged(classes, verified(between_classes(members, classes), texts, rare))
+    own = ["doc_id", "node", *(["row"] if row else [])]
+    known = written(rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "classed")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), *own)
+    firsts = known.groupBy("class").agg(F.min(first).alias("first"), F.count("*").alias("class_size"))
+    # A class may hold most rows, all of one text: its entry stands in each salt, and its rows are salted by doc_id.
+    salt = F.pmod(F.xxhash64("doc_id", "node", F.lit(5)), F.lit(SALTS)).cast("int")
+    many = firsts.where("class_size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = known.withColumn("salt", salt).join(many, ["class", "salt"], "left")
+    best = F.coalesce("first", first)
+    return found.select("doc_id", best["doc_id"].alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), best.eqNullSafe(first).alias("kept"), *([F.col("row").alias(row)] if row else []))

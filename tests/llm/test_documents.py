@@ -2,11 +2,12 @@
 
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from folioquery.llm import ann, exact_dedup, extraction, line_dedup, near_dedup, sharding, toxicity
 from tests.llm.conftest import ODD
@@ -87,6 +88,25 @@ def classes(pairs, linked):
     return {i: root(i) for i in ids}
 
 
+def weighted_similarity(texts):
+    """(a, b) -> weighted Jaccard similarity of texts a and b, by dictionaries of shingles."""
+    counts = {}
+    for k, t in texts.items():
+        w = words(t)
+        counts[k] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+    hashed = {tuple(words(" ".join(s))): near_dedup.counter(near_dedup.shingles([" ".join(s)])[0][0])[0] for c in counts.values() for s in c}
+    df = Counter(hashed[s] for c in counts.values() for s in c)
+    weight = lambda s, n: (1 + np.log(n)) * (1 + near_dedup.LIFT * (1 - np.log(df[hashed[s]]) / np.log(len(texts))))
+    weights = {k: {s: weight(s, n) for s, n in c.items()} for k, c in counts.items()}
+
+    def similarity(a, b):
+        x, y = weights[a], weights[b]
+        shared = sum(min(x[s], y[s]) for s in x.keys() & y.keys())
+        return shared / (sum(x.values()) + sum(y.values()) - shared) if x and y else 0.0
+
+    return similarity
+
+
 def test_near_dedup(rows, odd, none):
     rng = np.random.default_rng(3)
     vocabulary = np.array([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)])
@@ -132,15 +152,29 @@ def test_partners_among_many_that_are_nearly_similar(rows):
     for i in range(150):  # any two at about 0.75; the first 80 in pairs at more than 0.8
         own = [name(1, i, k) for k in range(52)]
         if i < 80 and i % 2:
-            own = [name(1, i - 1, k) for k in range(18)] + own[18:]
+            own = [name(1, i - 1, k) for k in range(30)] + own[30:]
         texts[i] = " ".join(base[:180] + own + base[232:])
-    sets = {k: shingle_set(t) for k, t in texts.items()}
-    want = classes(texts, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    similarity = weighted_similarity(texts)
+    want = classes(texts, lambda a, b: similarity(a, b) >= 0.8)
     assert len(set(want.values())) == 110
     got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(rows(list(texts.items()))).collect()}
     assert got == want
 
 
+def test_repeated_shingles_and_doc_ids(rows):
+    long = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    text = " ".join([long] * 40)
+    pairs = [(1, text), (2, text + " " + " ".join(f"v{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(45))), (3, "quite another text that is like none"), (3, long), (4, long + " end"), (4, long + " end")]
+    similarity = weighted_similarity({k: t for k, (_, t) in enumerate(pairs)})
+    got = {(r.doc_id, r.n): r for r in near_dedup.near_dedup(rows(pairs).withColumn("n", F.monotonically_increasing_id()), "n").collect()}
+    assert similarity(3, 4) >= 0.8 > similarity(0, 3) and len(got) == 6
+    own = sorted((d, r.class_id, r.class_size, r.kept) for (d, _), r in got.items())
+    joined = similarity(0, 1) >= 0.8
+    assert own[2:] == [(3, 3, 1, True), (3, 3, 3, True), (4, 3, 3, False), (4, 3, 3, False)] and own[:2] == [(1, 1, 1 + joined, True), (2, 1 if joined else 2, 1 + joined, not joined)]
+    again = {r.doc_id: r.class_id for r in near_dedup.near_dedup(rows(pairs[:4][::-1])).collect() if r.doc_id < 3}
+    assert again == {1: 1, 2: 1 if joined else 2}
+
+
 def test_samples_estimate_similarity():
     rare = np.zeros(near_dedup.COUNTERS, np.float32)
     name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
