@@ -1,11 +1,20 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words, in lower case. Words are ordered from rare to frequent - by hashed counts over all lines;
-any one order of words keeps the join exact. Two sets of Jaccard similarity 0.8 or more then share a word within their
-prefixes, have like sizes, and leave enough words behind the shared one's positions; besides, parities of their words'
-hashes differ in no more places than the sets do. Lines of the same set are collapsed before they are joined. In the list
-of a prefix word, a line meets all of those before it that pass these filters, and every such pair is verified. Long lists
-are met in blocks. Texts are read once; words are hashed by array operations.
+A line is the set of its words, in lower case. Words are ordered from rare to frequent - by hashed counts over all lines; any
+one order keeps the join exact. Two sets of Jaccard similarity 0.8 or more share a word within their prefixes, have like
+sizes, and leave enough words behind the shared one's positions; besides, parities of their words' hashes differ in no more
+places than the sets do.
+
+1. Texts are read once for counts and keys: lines(doc_id, line, key), and from them each set's first line.
+2. They are read once more for postings: for each prefix word of a set its key, size, position, parities and the prefix word
+   before. A set's postings are made once a task. They travel packed, a row for what a task has for a partition, and the lists
+   of equal words are met there by array operations; a set that two tasks met is one in a list. A frequent word's list is
+   split by the next word that similar sets must share, which stands within few places of it.
+3. Of each list, the sets that passed all filters with another one are verified, on their words. A pair whose words before
+   the list's are the same is left to an earlier list, and a link counts in the list of the first word that both sets have, so
+   it counts once. Large lists are verified in blocks.
+
+Nothing is cut: lists, blocks and pairs are as many as the filters leave.
 """
 
 from __future__ import annotations
@@ -17,179 +26,354 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm.pretok import BASE, chunks, hashed_words, texts_of
+from folioquery.llm import counting
+from folioquery.llm.pretok import Words, chunks, texts_of
 from folioquery.llm.shared import struct, written
 
 SIMILAR_NUM, SIMILAR_DEN = 4, 5  # 0.8, in whole numbers
-COUNTERS = 1 << 17
+COUNTERS = 1 << 20
 #: Smaller sets are similar to none but their own.
 LEAST_SIZE = 4
-#: Nothing reads FIRST any more (a line meets all earlier lines of a list); tests set it. BLOCK: rows of a list's block.
-FIRST, BLOCK, SALTS = 0, 1024, 16
-CHUNK = 2 << 20
-#: Pairs that a task holds before it passes them on, but for those of one step back.
-HELD = 1 << 20
+#: A word is frequent from so many lines on; its list is split by the next shared word.
+FREQUENT = 1 << 14
+#: Sets of a list that are verified at once; postings and pairs that a task holds before it passes them on.
+BLOCK, HELD, PAIRS = 2048, 1 << 20, 1 << 15
+SALTS, CHUNK = 16, 2 << 20
+#: Bits of the filter for lines whose text is needed: so many for each, and at most.
+BITS_A_LINE, MOST_BITS = 16, 1 << 26
+MIX = np.uint64(0xD6E8FEB86659FD93)
+POSTING = np.dtype([("list", "<u4"), ("size", "<u4"), ("position", "<u4"), ("key", "<i8"), ("parities", "<u8"), ("before", "<u8")])
 
 
-def counter(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint32(15)).astype(np.int64)
+def counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)  # the first 20 bits
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def list_of(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """The list of a word, or of a frequent word and the next shared one. Lists of one number are met together, which does no harm."""
+    return (mixed(first if second is None else first * np.uint64(3) ^ mixed(second)) >> np.uint64(32)).astype(np.uint32)
+
+
+def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Words that similar sets of these sizes share at least."""
+    return -(-SIMILAR_NUM * (a + b) // (SIMILAR_NUM + SIMILAR_DEN))
+
+
+class Sets:
+    """The sets of words of lines, each in the order of rarity: hashes of all words, and where each line's begin and end."""
+
+    def __init__(self, words: Words, lines: int, often: np.ndarray | None = None):
+        rarity = np.zeros(len(words.hashes), np.int64) if often is None else often[counter(words.hashes)]
+        order = np.lexsort((words.hashes, rarity, words.line))
+        line, flat = words.line[order], words.hashes[order]
+        new = np.append(True, (line[1:] != line[:-1]) | (flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
+        self.order, self.line, self.flat = order[new], line[new], flat[new]
+        self.size = np.bincount(self.line, minlength=lines)
+        self.ends = np.cumsum(self.size)
+        self.begin = self.ends - self.size
+        self.position = np.arange(len(self.flat)) - self.begin[self.line]
+
+    def keys(self) -> np.ndarray:
+        """Two 64-bit sums over the words of each set, whatever their order."""
+        sums = [np.append(np.uint64(0), np.cumsum(mixed(self.flat * np.uint64(odd) + np.uint64(odd)))) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+        return np.stack([s[self.ends] - s[self.begin] for s in sums], 1).view(np.int64)
+
+    def parities(self) -> np.ndarray:
+        slots = np.append(np.uint64(1) << (self.flat & np.uint64(63)), np.uint64(0))
+        return np.where(self.size > 0, np.bitwise_xor.reduceat(slots, np.minimum(self.begin, len(self.flat))), np.uint64(0)) if len(self.size) else np.zeros(0, np.uint64)
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), key (64-bit hash of the set; null without words) and words (in the order of hashes) of each line."""
+    """doc_id, line (from 0), a, b (the key of its set; null without words) of each line; rows with a slice hold counts of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             texts, sizes = texts_of(batch.column(1))
             for i, j in chunks(sizes, CHUNK):
-                n_lines, line, flat = hashed_words(texts[i:j])
-                n = int(n_lines.sum())
-                both = np.unique(line.astype(np.uint64) << np.uint64(32) | flat)
-                line, flat = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                counts = np.bincount(line, minlength=n)
-                mixed = (flat.astype(np.uint64) + np.uint64(0x9E37)) * np.uint64(BASE)
-                mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                total = np.append(np.uint64(0), np.cumsum(mixed ^ (mixed >> np.uint64(29))))
-                bounds = np.append(0, np.cumsum(counts))
-                key = total[bounds[1:]] - total[bounds[:-1]]
-                doc = np.repeat(np.arange(j - i), n_lines)
-                number = np.arange(n) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
-                words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(key.astype(np.int64), mask=counts == 0), words], names=["doc_id", "line", "key", "words"])
+                words = Words(texts[i:j])
+                n = int(words.n_lines.sum())
+                sets = Sets(words, n)
+                total += np.bincount(counter(sets.flat), minlength=COUNTERS)
+                keys, none = sets.keys(), sets.size == 0
+                doc = np.repeat(np.arange(j - i), words.n_lines)
+                number = np.arange(n) - np.repeat(np.cumsum(words.n_lines) - words.n_lines, words.n_lines)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(keys[:, 0], mask=none), pa.array(keys[:, 1], mask=none), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
+        counts = counting.sliced(total)
+        nulls = [pa.nulls(len(counts), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*nulls, *counts.columns], names=schema.names)
+
+    schema = struct(doc_id="long", line="int", a="long", b="long", slice="int", counts="binary")
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def postings_of(sets: Sets, often: np.ndarray, chosen: np.ndarray, key: np.ndarray, many: int) -> np.ndarray:
+    """The postings of the chosen sets' prefixes; a word of so many lines is frequent."""
+    parities = sets.parities()
+    spare = sets.size - -(-SIMILAR_NUM * sets.size // SIMILAR_DEN)  # words that a similar set may lack
+    at = np.flatnonzero(chosen[sets.line] & (sets.position <= spare[sets.line]))
+    frequent = often[counter(sets.flat[at])] >= many
+    plain, hot = at[~frequent], at[frequent]
+    # With a frequent word go the words that may be the next shared one.
+    room = spare[sets.line[hot]] + 1 - sets.position[hot]
+    ends = np.cumsum(room)
+    first = np.repeat(hot, room)
+    second = first + 1 + np.arange(len(first)) - np.repeat(ends - room, room)
+    out = np.empty(len(plain) + len(first), POSTING)
+    out["list"] = np.append(list_of(sets.flat[plain]), list_of(sets.flat[first], sets.flat[second]))
+    last = np.append(plain, second)
+    row = sets.line[last]
+    out["position"] = np.append(sets.position[plain], sets.position[second] - 1)
+    before = last - 1
+    before[len(plain) :] -= before[len(plain) :] == first
+    inside = before >= sets.begin[row]
+    out["before"] = np.where(inside, sets.flat[before], np.uint64(0))
+    out["size"], out["key"], out["parities"] = sets.size[row], key[row], parities[row]
+    return out
+
+
+def similar_sizes(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of postings, as places in p, may be of similar sets."""
+    a, b = p["size"][x].astype(np.int64), p["size"][y].astype(np.int64)
+    need = least_overlap(a, b)
+    ok = np.bitwise_count(p["parities"][x] ^ p["parities"][y]) <= a + b - 2 * need
+    ok &= np.minimum(a, b) * SIMILAR_DEN >= np.maximum(a, b) * SIMILAR_NUM
+    ok &= np.minimum(a - p["position"][x], b - p["position"][y]) >= need
+    before = p["before"][x]
+    return ok & ((before != p["before"][y]) | (before == 0))
+
+
+def candidates(postings: np.ndarray) -> np.ndarray:
+    """Of lists in the order of list and size, which postings pass the filters with another one of their list."""
+    found = np.zeros(len(postings), bool)
+    of, size = postings["list"], postings["size"].astype(np.int64)
+    live, back = np.arange(len(postings)), 0
+    while True:
+        back += 1
+        live = live[live >= back]
+        x = live - back
+        near = (of[x] == of[live]) & (size[x] * SIMILAR_DEN >= size[live] * SIMILAR_NUM)  # sizes ascend: beyond, all are smaller
+        live, x = live[near], x[near]
+        if not len(live):
+            return found
+        ok = similar_sizes(postings, x, live)
+        found[x[ok]] = found[live[ok]] = True
+
+
+def listed(documents: DataFrame, often: np.ndarray) -> DataFrame:
+    """list, a (key), n (of the list) of the sets that pass the filters with another one."""
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * tasks  # so that each task gets about as many
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        part = rows["list"] % parts
+        order = np.argsort(part, kind="stable")
+        rows, part = rows[order], part[order]
+        cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        blobs = [b"".join(np.ascontiguousarray(rows[n][i:j]).tobytes() for n in POSTING.names) for i, j in zip(cut, cut[1:])]  # column by column, as they are compressed
+        return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array(np.diff(cut)), pa.array(blobs, pa.binary())], names=["part", "n", "blob"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        held: list[np.ndarray] = []
+        for batch in batches:
+            texts, sizes = texts_of(batch.column(0))
+            for i, j in chunks(sizes, CHUNK):
+                words = Words(texts[i:j])
+                sets = Sets(words, int(words.n_lines.sum()), often)
+                keys = np.ascontiguousarray(sets.keys())
+                first = np.zeros(len(keys), bool)
+                for k in np.flatnonzero(sets.size >= LEAST_SIZE).tolist():
+                    if (name := keys[k].tobytes()) not in seen:
+                        seen.add(name)
+                        first[k] = True
+                held.append(postings_of(sets, often, first, keys[:, 0], FREQUENT))
+                if sum(map(len, held)) >= HELD:
+                    yield pack(held)
+                    held = []
+        if sum(map(len, held)):
+            yield pack(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                rows, at = np.empty(n, POSTING), 0
+                for name in POSTING.names:
+                    kind = POSTING[name]
+                    rows[name] = np.frombuffer(blob, kind, n, at)
+                    at += n * kind.itemsize
+                held.append(rows)
+        if held:
+            rows = np.concatenate(held)
+            held.clear()
+            rows = rows[np.lexsort((rows["key"], rows["size"], rows["list"]))]
+            rows = rows[np.append(True, (rows["list"][1:] != rows["list"][:-1]) | (rows["key"][1:] != rows["key"][:-1]))]
+            rows = rows[candidates(rows)]
+            _, place, n = np.unique(rows["list"], return_inverse=True, return_counts=True)
+            for k in range(0, len(rows), 100_000):
+                own = rows[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(own["list"].astype(np.int64)), pa.array(own["key"]), pa.array(n[place[k : k + 100_000]])], names=["list", "a", "n"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, struct(doc_id="long", line="int", key="long", words="array<int>"))
+    dealt = documents.select("text").mapInArrow(make, struct(part="int", n="long", blob="binary")).repartition(tasks, "part")
+    return dealt.mapInArrow(meet, struct(list="long", a="long", n="long"))
 
 
-def flattened(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(words of all lists, size of each list)"""
-    counts = np.diff(column.offsets.to_numpy())
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint32), counts
+def line_slot(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(mixed(doc.astype(np.uint64)) + line.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def frequencies(lines: DataFrame) -> np.ndarray:
-    """In how many lines the words of each counter occur."""
+def texts_of_lines(documents: DataFrame, needed: DataFrame) -> DataFrame:
+    """doc_id, line, text of the lines in needed(doc_id, line), and of a few others that share a bit of a filter with them."""
+    rows = needed.count()
+    bits = 1 << max(15, min(MOST_BITS, BITS_A_LINE * rows).bit_length() - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            total += np.bincount(counter(flattened(batch.column(0))[0]), minlength=COUNTERS)
+            at = line_slot(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits)
+            np.bitwise_or.at(total, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["counter", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].view(np.int64))], names=["word", "bits"])
 
-    found = lines.select("words").mapInArrow(run, struct(counter="long", n="long")).groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
-    out = np.zeros(COUNTERS, np.int64)
-    out[found["counter"].to_numpy()] = found["n"].to_numpy()
-    return out
+    found = needed.select(F.coalesce("doc_id", F.lit(0)), "line").mapInArrow(mark, struct(word="long", bits="long")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # MOST_BITS / 64 rows at most
+    table = np.zeros(bits // 64, np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes = texts_of(batch.column(1))
+            keys, docs = batch.column(0), batch.column(0).fill_null(0).to_numpy()
+            for i, j in chunks(sizes, CHUNK):
+                split = [t.split("\n") for t in texts[i:j]]
+                counts = np.fromiter(map(len, split), np.int64, j - i)
+                doc = np.repeat(np.arange(i, j), counts)
+                line = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = line_slot(docs[doc], line, bits)
+                own = np.flatnonzero(table[at >> 6] >> (at & 63) & 1)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc[own])), pa.array(line[own].astype(np.int32)), pa.array([split[doc[k] - i][line[k]] for k in own.tolist()], pa.string())], names=["doc_id", "line", "text"])
 
-def prefixes(sets: DataFrame, often: np.ndarray) -> DataFrame:
-    """word, key, doc_id, line, size, position and parities of each prefix word of sets(key, doc_id, line, words)."""
+    return documents.select("doc_id", "text").mapInArrow(pick, struct(doc_id="long", line="int", text="string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            flat, size = flattened(batch.column(3))
-            row = np.repeat(np.arange(len(size)), size)
-            ends = np.cumsum(size)
-            slot = np.uint64(1) << (flat & np.uint32(63)).astype(np.uint64)
-            parities = np.bitwise_xor.reduceat(slot, ends - size)
-            order = np.lexsort((flat, often[counter(flat)], row))
-            flat = flat[order]
-            position = np.arange(len(flat)) - np.repeat(ends - size, size)
-            length = size + (-SIMILAR_NUM * size) // SIMILAR_DEN + 1  # less the words that similar sets share at least
-            at = np.flatnonzero(position < length[row])
-            row = row[at]
-            own = [batch.column(k).take(pa.array(row)) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int32)), *own, pa.array(size[row].astype(np.int32)), pa.array(position[at].astype(np.int32)), pa.array(parities[row].view(np.int64))], names=schema.names)
-
-    schema = struct(word="int", key="long", doc_id="long", line="int", size="int", position="int", parities="long")
-    return sets.select("key", "doc_id", "line", "words").mapInArrow(run, schema)
-
-
-def candidates(postings: DataFrame) -> DataFrame:
-    """Distinct pairs of lines (earlier x, later y) that pass the filters in one list at least."""
-    # Written, so that the planner knows its size: if small, it is broadcast and the postings aren't shuffled for this.
-    sizes = written(postings.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("word", F.ceil(F.col("n") / BLOCK).cast("int").alias("many")), "long-lists")
-    joined = postings.join(sizes, "word", "left").withColumn("blocks", F.coalesce("many", F.lit(1)))
-    # A row of a long list stands in the pairs of blocks (i, j), i <= j, that its block is part of.
-    dealt = joined.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    columns = ["word", "i", "j", "own", "key", "size", "position", "parities"]
-    rows = dealt.select(*columns, "doc_id", "line").repartition("word", "i", "j").sortWithinPartitions("word", "i", "j", "doc_id", "line", "key").select(*columns)
-
-    def whole(table: pa.Table) -> int:
-        """How many rows the lists take up that surely end within the table."""
-        w, i, j = (table[c].to_numpy() for c in columns[:3])
-        return int(np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))[-1])
-
-    def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Pairs of the lists in a table."""
-        w, i, j, own, key, size, position, parities = (table[c].to_numpy() for c in columns)
-        new = np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-        begin = np.flatnonzero(new)[np.cumsum(new) - 1]
-        live, back = np.arange(len(w)), 0
-        parities = parities.view(np.uint64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def told() -> pa.RecordBatch:
-            x, y = (np.concatenate(c) for c in zip(*found))
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y])], names=["x", "y"])
+def verified(rows: DataFrame, often: np.ndarray) -> DataFrame:
+    """a, b, matched, doc_id, line: of the sets in rows, links to earlier ones and the earliest of these, by list.
 
+    rows: list, i, j (block pair), own (block), a, b, doc_id, line, text.
+    """
+    dealt = rows.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", F.col("doc_id").asc_nulls_first(), "line", "a", "b")
+
+    def links(table: pa.Table) -> pa.RecordBatch | None:
+        """Of whole groups of members, which are in the order of their lines."""
+        texts, _ = texts_of(table["text"].combine_chunks())
+        number = np.arange(len(texts))
+        words = Words(["".join(" " if c == "\n" else c for c in t) if "\n" in t else t for t in texts])
+        sets = Sets(words, len(texts), often)
+        keys = sets.keys()
+        a, b, own = (table[c].to_numpy() for c in ("a", "b", "own"))
+        true = (keys[:, 0] == a) & (keys[:, 1] == b)  # rows that repeat a doc_id bring lines of the same number
+        group = np.stack([table[c].to_numpy() for c in ("list", "i", "j")], 1)
+        start = np.append(True, (group[1:] != group[:-1]).any(axis=1))
+        begin = np.flatnonzero(start)[np.cumsum(start) - 1]
+        spot = np.stack([table["doc_id"].is_null().to_numpy(), table["doc_id"].fill_null(0).to_numpy(), table["line"].to_numpy()], 1)
+        spot = np.cumsum(start | np.append(True, (spot[1:] != spot[:-1]).any(axis=1)))
+        # Where rows of one key come twice, the first counts.
+        seen = np.lexsort((number, b, a, begin))
+        again = np.append(False, (begin[seen[1:]] == begin[seen[:-1]]) & (a[seen[1:]] == a[seen[:-1]]) & (b[seen[1:]] == b[seen[:-1]]) & true[seen[:-1]])
+        true[seen[again]] = False
+        names = words.numbers()[sets.order]
+        parities = sets.parities()
+        cross, many = group[:, 1] != group[:, 2], int(names.max()) + 1 if len(names) else 1
+        known = np.sort(sets.line * many + names)
+        hot = often[counter(sets.flat)] >= FREQUENT
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        live, back = number[true], 0
+
+        def check(x: np.ndarray, y: np.ndarray) -> None:
+            """Passes on the pairs of members (earlier x, later y) that are similar and count in this list."""
+            for k in range(0, len(x), PAIRS):
+                xs, ys = x[k : k + PAIRS], y[k : k + PAIRS]
+                size = sets.size[ys]
+                pair = np.repeat(np.arange(len(xs)), size)
+                ends = np.cumsum(size)
+                at = sets.begin[ys][pair] + np.arange(len(pair)) - (ends - size)[pair]
+                want = xs[pair] * many + names[at]
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want)
+                of, at = pair[hit], at[hit]
+                shared = np.bincount(of, minlength=len(xs))
+                rank = np.arange(len(of)) - (np.cumsum(shared) - shared)[of]
+                first, second = np.zeros(len(xs), np.int64), np.zeros(len(xs), np.int64)
+                first[of[rank == 0]], second[of[rank == 1]] = at[rank == 0], at[rank == 1]
+                home = np.where(hot[first], list_of(sets.flat[first], sets.flat[second]), list_of(sets.flat[first]))
+                ok = shared * SIMILAR_DEN >= (sets.size[xs] + sets.size[ys] - shared) * SIMILAR_NUM
+                ok &= (home == group[ys, 0].astype(np.uint32)) & (shared > 1)
+                found.append((xs[ok], ys[ok]))
+
+        held_x, held_y, held = [], [], 0
         while True:
             back += 1
             live = live[live - back >= begin[live]]
             if not len(live):
                 break
             x = live - back
-            a, b = size[x], size[live]
-            apart = a + b - 2 * (-(-SIMILAR_NUM * (a + b) // (SIMILAR_NUM + SIMILAR_DEN)))  # words that similar sets differ in at most
-            ok = np.bitwise_count(parities[x] ^ parities[live]) <= apart
-            ok &= np.minimum(a, b) * SIMILAR_DEN >= np.maximum(a, b) * SIMILAR_NUM
-            ok &= 2 * np.minimum(a - position[x], b - position[live]) >= a + b - apart
-            ok &= (i[live] == j[live]) | (own[x] != own[live])
-            found.append((x[ok], live[ok]))
-            if sum(len(x) for x, _ in found) > HELD:
-                yield told()
-        if found:
-            yield told()
+            s, t = sets.size[x], sets.size[live]
+            ok = true[x] & (spot[x] != spot[live]) & (np.minimum(s, t) * SIMILAR_DEN >= np.maximum(s, t) * SIMILAR_NUM) & (~cross[live] | (own[x] != own[live]))
+            ok &= np.bitwise_count(parities[x] ^ parities[live]) <= s + t - 2 * least_overlap(s, t)
+            held_x.append(x[ok])
+            held_y.append(live[ok])
+            held += len(held_x[-1])
+            if held >= PAIRS:
+                check(np.concatenate(held_x), np.concatenate(held_y))
+                held_x, held_y, held = [], [], 0
+        if held:
+            check(np.concatenate(held_x), np.concatenate(held_y))
+        if not found or not sum(len(x) for x, _ in found):
+            return None
+        x, y = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((x, y))
+        x, y = x[order], y[order]
+        cut = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+        doc = table["doc_id"].combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array(a[y[cut]]), pa.array(b[y[cut]]), pa.array(np.diff(np.append(cut, len(y)))), doc.take(pa.array(x[cut])), table["line"].combine_chunks().take(pa.array(x[cut]))], names=["a", "b", "matched", "doc_id", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if len(batch):
                 held.append(batch)
-                if sum(map(len, held)) >= 50_000:
+                if sum(map(len, held)) >= 4 * BLOCK:
                     table = pa.Table.from_batches(held)
-                    upto = whole(table)
-                    if upto:
-                        yield from met(table.slice(0, upto))
+                    group = np.stack([table[c].to_numpy() for c in ("list", "i", "j")], 1)
+                    upto = int(np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))[-1])  # the last group may go on
+                    if upto and (out := links(table.slice(0, upto))):
+                        yield out
                     held = table.slice(upto).combine_chunks().to_batches()
-        if held:
-            yield from met(pa.Table.from_batches(held))
-
-    return rows.mapInArrow(run, struct(x="long", y="long")).distinct()
-
+        if held and (out := links(pa.Table.from_batches(held))):
+            yield out
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs whose sets are similar."""
-    x = sets.select(F.col("key").alias("x"), F.col("words").alias("x_words"))
-    y = sets.select(F.col("key").alias("y"), F.col("words").alias("y_words"))
-    both = pairs.join(x, "x").join(y, "y").select("x", "y", F.size("x_words").alias("a"), F.size("y_words").alias("b"), F.size(F.array_intersect("x_words", "y_words")).alias("c"))
-    return both.where(F.col("c") * SIMILAR_DEN >= (F.col("a") + F.col("b") - F.col("c")) * SIMILAR_NUM).select("x", "y")
+    return dealt.select("list", "i", "j", "own", "a", "b", "doc_id", "line", "text").mapInArrow(run, struct(a="long", b="long", matched="long", doc_id="long", line="int"))
 
 
-def matches(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(firsts: key, doc_id, line, n of each distinct set; links: y, x - a set and an earlier one that is similar)"""
-    at = F.struct("doc_id", "line")
-    firsts = written(lines.select("doc_id", "line", "key").where("key is not null").groupBy("key").agg(F.min(at).alias("at"), F.count("*").alias("n")).select("key", "at.doc_id", "at.line", "n"), "distinct-lines")
-    # Null doc_ids are told apart from others by a flag, as joins don't match nulls.
-    flag = lambda df: df.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc", F.coalesce("doc_id", F.lit(0)))
-    own = flag(lines.where(F.size("words") >= LEAST_SIZE)).join(flag(firsts).select("key", "doc", "no_id", "line"), ["key", "doc", "no_id", "line"], "left_semi")
-    sets = written(own.select("key", "doc_id", "line", "words").dropDuplicates(["key", "line"]), "line-sets")
-    pairs = written(candidates(prefixes(sets, frequencies(sets))), "line-pairs")
-    return firsts, written(verified(pairs, sets), "line-links")
+def matches(documents: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """a, b, matched, match: of each set that is similar to earlier ones, their number and the first line of the earliest."""
+    often = counting.summed(lines.where("slice is not null").select("slice", "counts"), COUNTERS)
+    sets = written(listed(documents, often).join(firsts.select("a", "b", "doc_id", "line"), "a"), "listed-sets")
+    texts = texts_of_lines(documents, sets.select("doc_id", "line").distinct())
+    flag = lambda df: df.withColumns({"no_id": F.col("doc_id").isNull(), "doc": F.coalesce("doc_id", F.lit(0))})  # noqa: E731  joins don't match nulls
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
+    # A set of a large list stands in the pairs of blocks (i, j), i <= j, that its block is part of.
+    rows = flag(sets).withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "b", "doc_id", "line", "doc", "no_id")
+    met = rows.join(flag(texts).select("doc", "no_id", "line", "text"), ["doc", "no_id", "line"]).drop("doc", "no_id")
+    found = verified(met, often)
+    return written(found.groupBy("a", "b").agg(F.sum("matched").alias("matched"), F.min(F.struct("doc_id", "line")).alias("match")), "line-links")
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:
@@ -199,17 +383,20 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     A line goes if an earlier one has a Jaccard similarity of 0.8 or more, itself removed or not; a line without words stays.
     removed holds the numbers of a document's lines that go (apply() takes them out). n_links is the number of links of its
     lines: a line has one to each distinct set of words that is similar to its own and occurred earlier than that at first,
-    and, where it isn't its set's first line, one to that. class_id is the least doc_id that its lines match directly, else its own. A null text is empty: one empty line. Rows that repeat a
-    doc_id are one document with the lines of each of them, and lines of one number there don't remove each other; null
-    doc_ids likewise, before all others. Other columns are
+    and, where it isn't its set's first line, one to that. class_id is the least doc_id that its lines match directly, else
+    its own. A null text is empty: one empty line. Rows that repeat a doc_id are one document with the lines of each of them,
+    and lines of one number there don't remove each other; null doc_ids likewise, before all others. Other columns are
     ignored; an empty table gives no rows.
     """
-    lines = written(lines_of(documents), "lines")
-    firsts, links = matches(lines)
-    earliest = links.join(firsts.select(F.col("key").alias("x"), F.struct("doc_id", "line").alias("at")), "x").groupBy(F.col("y").alias("key")).agg(F.min("at").alias("match"), F.count("*").alias("matched"))
+    documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    table = written(lines_of(documents), "lines")
+    lines = table.where("line is not null").select("doc_id", "line", "a", "b")
+    firsts = lines.where("a is not null").groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
+    firsts = written(firsts.select("a", "b", "at.doc_id", "at.line", "n"), "first-lines")
+    links = matches(documents, table, firsts)
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    told = firsts.join(earliest, "key", "left").where("match is not null or n > 1").select("key", F.struct("doc_id", "line").alias("first"), "match", "matched", salt)
-    rows = lines.select("doc_id", "line", "key", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int").alias("salt")).join(told, ["key", "salt"], "left")
+    told = firsts.join(links, ["a", "b"], "left").where("match is not null or n > 1").select("a", "b", F.struct("doc_id", "line").alias("first"), "match", "matched", salt)
+    rows = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int")).join(told, ["a", "b", "salt"], "left")
     own = F.struct("doc_id", "line")
     source = F.when(F.col("match").isNotNull(), F.least("match", "first")).when(F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first")), F.col("first"))
     copied = (F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first"))).cast("long")
