@@ -1,9 +1,14 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Centroids and codebooks are fitted in numpy on a bounded sample; every vector is indexed. A list of the inverted file is
-split into blocks of bounded size, and the queries that probe it too, so that a task meets bounded numbers of both however
-many copies of a vector there are. In a block, asymmetric distance tables give each query a shortlist, which is reranked by
-exact inner products of the original vectors in double precision; the best of all blocks are the query's answer.
+Centroids and codebooks are fitted in numpy on a bounded sample; every vector is indexed, in one list of the inverted file. A
+list is split into blocks of bounded size, and a query goes to the blocks of the lists that it probes, and to no others. A
+vector is sent once, save that the block of a list which more than QUERY_PART queries probe meets them in several parts.
+Vectors and queries travel as matrices, one row for what a batch has for a block. In a block, asymmetric distance tables give
+each query a shortlist, which is reranked by exact inner products of the original vectors in double precision; the best of
+all blocks are the query's answer.
+
+How many lists have to be probed is measured on the sample. Where vectors have no structure, as those of random directions,
+that is a constant share of the lists, and work grows as queries times vectors, with this as with any inverted file.
 """
 
 from __future__ import annotations
@@ -14,14 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioquery.llm.shared import struct, written
 
-#: Rows that centroids and codebooks are fitted on, at most; every row is indexed.
-MOST_FITTED = 20_000
-MOST_LISTS, WANTED, LEAST_PROBED = 256, 0.97, 8
+#: Rows that codebooks are fitted on, and those that centroids are fitted on for each list; every row is indexed.
+MOST_FITTED, FITTED_A_LIST = 20_000, 16
+#: There are sqrt(rows) / 2 lists, as long as FITTED_A_LIST rows of a sample of FITTED_FOR_LISTS rows fall to each.
+FITTED_FOR_LISTS = 65_536
+WANTED, LEAST_PROBED = 0.97, 8
 PARTS, CODES, SHORTLIST = 16, 256, 160
-BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCK, QUERY_PART = 4096, 65_536
 TOP, EVERY = 20, 20
 
 
@@ -62,17 +70,26 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near, far
 
 
+def lists_for(rows: int) -> int:
+    return int(math.sqrt(rows)) // 2
+
+
+def fitted_for(rows: int) -> int:
+    """Rows of the sample."""
+    return min(rows, max(MOST_FITTED, min(FITTED_FOR_LISTS, FITTED_A_LIST * lists_for(rows))))
+
+
 class Quantiser:
     """Coarse centroids, and a codebook for each part of the residuals."""
 
     def __init__(self, sample: np.ndarray, rows: int):
         self.size = sample.shape[1]
-        self.lists = max(1, min(MOST_LISTS, int(math.sqrt(rows)) // 2, len(sample) // 16))
-        self.coarse = k_means(sample, self.lists)
+        self.coarse = k_means(sample, max(1, min(lists_for(rows), len(sample) // FITTED_A_LIST)))
         self.lists = len(self.coarse)
         self.parts = min(PARTS, self.size)
         self.bounds = np.linspace(0, self.size, self.parts + 1).astype(int)
-        rest = sample - self.coarse[nearest(sample, self.coarse)[0]]
+        few = sample[:: -(-len(sample) // MOST_FITTED)]
+        rest = few - self.coarse[nearest(few, self.coarse)[0]]
         self.books = [k_means(rest[:, a:b], CODES, 8) for a, b in zip(self.bounds, self.bounds[1:])]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +156,16 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     out = struct(query_id="long", rank="int", vec_id="long", score="double")
     if not n:
         return vectors.sparkSession.createDataFrame([], out)
-    part = int(1_000_000 * min(1.0, 0.95 * MOST_FITTED / n))
-    drawn = rows if n <= MOST_FITTED else rows.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_000)) < part)
-    sample = drawn.select("v").toArrow()["v"]
+    fitted = fitted_for(n)
+    drawn = rows if n <= fitted else rows.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_000)) < int(950_000 * fitted / n))
+    sample = drawn.select("v").toArrow()["v"]  # about FITTED_FOR_LISTS rows at most
     size = len(sample[0])
     sample = vectors_of(sample, size)
     sample = sample[np.lexsort(sample.T)]  # the same fit, in whatever order rows come
+    sample = sample[np.random.default_rng(9).permutation(len(sample))]
     model = Quantiser(sample, n)
     share = share_needed(model, sample)
+    kind = "<f4" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "<f8"
 
     def encode(batches):
         for batch in batches:
@@ -156,43 +175,76 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
 
     coded = written(rows.mapInArrow(encode, struct(vec_id="long", list="int", codes="binary", v="array<double>")), "coded-vectors")
     held = np.zeros(model.lists, np.int64)
-    for r in coded.groupBy("list").count().collect():  # MOST_LISTS rows at most
+    for r in coded.groupBy("list").count().collect():  # a row for each list
         held[r["list"]] = r["count"]
     least = min(model.lists, max(LEAST_PROBED, int(np.ceil(share * model.lists))))
     blocks = np.maximum(1, -(-held // BLOCK))
+    matrices = struct(list="int", block="int", part="int", asked="boolean", n="int", ids="binary", codes="binary", v="binary")
+
+    def told(keys: np.ndarray, ids: np.ndarray, codes: np.ndarray | None, x: np.ndarray) -> pa.RecordBatch:
+        """A row for each distinct (list, block) of keys."""
+        order = np.lexsort(keys.T[::-1])
+        keys, ids, x = keys[order], ids[order], x[order].astype(kind)
+        cut = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))), len(keys))
+        runs = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+        packed = [b""] * len(runs) if codes is None else [codes[order[i:j]].tobytes() for i, j in runs]
+        columns = [pa.array(keys[cut[:-1], k].astype(np.int32)) for k in (0, 1)] + [pa.array(np.zeros(len(runs), np.int32)), pa.array([codes is None] * len(runs)), pa.array(np.diff(cut).astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([ids[i:j].tobytes() for i, j in runs], pa.binary()), pa.array(packed, pa.binary()), pa.array([x[i:j].tobytes() for i, j in runs], pa.binary())], names=matrices.names)
 
     def probe(batches):
-        """Each query with the lists of largest inner product; more of them where they hold too few rows."""
+        """Each query with the blocks of the lists of largest inner product; more lists where they hold too few rows."""
         for batch in batches:
             if not len(batch):
                 continue
-            order = np.argsort(-(vectors_of(batch.column(1), size) @ model.coarse.T), axis=1, kind="stable")
+            x = vectors_of(batch.column(1), size)
+            order = np.argsort(-(x @ model.coarse.T), axis=1, kind="stable")
             enough = (np.cumsum(held[order], axis=1) < 2 * top + 1).sum(1) + 1
             counts = np.minimum(model.lists, np.maximum(least, enough))
-            row = np.repeat(np.arange(len(batch)), counts)
             lists = np.concatenate([o[:c] for o, c in zip(order, counts)])
-            columns = [batch.column(0).take(pa.array(row)), pa.array(lists.astype(np.int32)), pa.array(blocks[lists].astype(np.int32)), batch.column(1).take(pa.array(row))]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "list", "blocks", "q"])
+            row = np.repeat(np.repeat(np.arange(len(batch)), counts), blocks[lists])
+            ends = np.cumsum(blocks[lists])
+            block = np.arange(ends[-1]) - np.repeat(ends - blocks[lists], blocks[lists])
+            yield told(np.stack([np.repeat(lists, blocks[lists]), block], 1), batch.column(0).to_numpy()[row], None, x[row])
+
+    def gather(batches):
+        for batch in batches:
+            if len(batch):
+                keys = np.stack([batch.column(3).to_numpy(), batch.column(4).to_numpy()], 1)
+                codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)
+                yield told(keys, batch.column(0).to_numpy(), codes, vectors_of(batch.column(2), size))
 
-    spread = lambda column, number: F.pmod(F.xxhash64(column, F.lit(13)), number).cast("int")
     asked = coded.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("q"))
-    parts = max(1, -(-asked.count() // QUERY_BLOCK))
-    queries = asked.mapInArrow(probe, struct(query_id="long", list="int", blocks="int", q="array<double>"))
-    queries = queries.select("query_id", "q", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), spread("query_id", F.lit(parts)).alias("part"))
+    queries = written(asked.mapInArrow(probe, matrices), "probes")
     number = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)
     # Copies of a vector differ in their ids, and so go to different blocks.
-    members = coded.select("vec_id", "codes", "v", "list", spread("vec_id", number).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-
-    def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids = left["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        codes = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(len(left), -1)
-        query_id, vec_id, score = answers(model, key[0].as_py(), ids[order], codes[order], vectors_of(left["v"], size)[order], right["query_id"].to_numpy(), vectors_of(right["q"], size), top)
-        return pa.table({"query_id": query_id, "vec_id": vec_id, "score": score})
-
-    keys = ["list", "block", "part"]
-    found = members.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, struct(query_id="long", vec_id="long", score="double"))
+    block = F.pmod(F.xxhash64("vec_id", F.lit(13)), number).cast("int")
+    members = coded.select("vec_id", "codes", "v", "list", block.alias("block")).mapInArrow(gather, matrices)
+    # Lists that more queries probe than one task is to answer: their members are sent to each part.
+    busy = queries.groupBy("list", "block").agg(F.sum("n").alias("probing")).where(F.col("probing") > QUERY_PART).select("list", "block", F.ceil(F.col("probing") / QUERY_PART).cast("int").alias("parts"))
+    busy = written(busy, "busy-blocks")
+    parts = F.coalesce("parts", F.lit(1))
+    columns = [c for c in matrices.names if c != "part"]
+    dealt = lambda df, part: df.drop("part").join(busy, ["list", "block"], "left").select(*columns, part.alias("part")).select(*matrices.names)
+    both = dealt(members, F.explode(F.sequence(F.lit(0), parts - 1))).unionByName(dealt(queries, F.pmod(F.xxhash64("ids"), parts).cast("int")))
+    met = both.repartition("list", "block", "part").sortWithinPartitions("list", "block", "part", "asked")
+
+    def meet(batches):
+        """Members of a block come first and are held; the queries pass by."""
+        key, found, block_of = None, [], None
+        for batch in batches:
+            for at, block, part, is_query, rows_, ids, codes, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if (at, block, part) != key:
+                    key, found, block_of = (at, block, part), [], None
+                ids, x = np.frombuffer(ids, "<i8"), np.frombuffer(v, kind).astype(np.float64).reshape(rows_, size)
+                if not is_query:
+                    found.append((ids, np.frombuffer(codes, np.uint8).reshape(rows_, -1), x))
+                elif found:
+                    if block_of is None:
+                        block_of = [np.concatenate(c) for c in zip(*found)]
+                        order = np.argsort(block_of[0], kind="stable")
+                        block_of = [c[order] for c in block_of]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in answers(model, at, *block_of, ids, x, top)], names=["query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(meet, struct(query_id="long", vec_id="long", score="double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
