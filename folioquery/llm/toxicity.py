@@ -1,10 +1,11 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
 A linear classifier is trained in numpy from confirmed toxic texts and unlabelled ones, by the risk
-pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)]) with the logistic loss l and the class prior pi of the labelled rows; where
-the second part falls below zero, the step goes against its gradient. Features are the words of a text, in lower case, and
-their beginnings, hashed; those that tell confirmed toxic texts from unlabelled ones take part, unless texts known to be
-clean have them, too. Fitting uses a bounded sample; scoring reads every whole text once, without a shuffle.
+pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)]) with the logistic loss l and the class prior pi; where the second part falls
+below zero, the step goes against its gradient. Unlabelled texts are drawn from all documents, whatever their labels, and pi
+is the toxic share of labelled rows, which are taken for a draw from all. No text counts as a negative one. Features are the
+words of a text, in lower case, and their beginnings, hashed; all those that stand out in toxic texts against unlabelled ones
+take part. Fitting uses a bounded sample; scoring reads every whole text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioquery.llm import counting
 from folioquery.llm.pretok import WordTable, _tables, chunks, texts_of
-from folioquery.llm.shared import struct
+from folioquery.llm.shared import struct, written
 
 BITS = 20
 PREFIXES = (4, 5, 6)
-#: Bounds of the sample that the classifier is fitted on.
-MOST_POSITIVE, MOST_CLEAN, MOST_UNLABELLED = 6_000, 6_000, 15_000
-MOST_FEATURES, LEAST_LIFT, LEAST_OVER_CLEAN, LEAST_TEXTS = 256, 3.0, 10.0, 4
+#: Bounds of the sample that the classifier is fitted on, in rows, and tasks that read it.
+MOST_POSITIVE, MOST_UNLABELLED, SAMPLE_TASKS = 6_000, 15_000, 8
+#: A feature takes part if its share of toxic texts is so many times that of unlabelled ones, in so many texts.
+LEAST_LIFT, LEAST_TEXTS = 3.0, 4
 THRESHOLD, HELD_OUT_FOLD, FOLDS = 0.7, 1, 3
 STEPS, RATE, RIDGE = 400, 0.1, 1e-5
 
@@ -58,34 +61,33 @@ def features(texts: list[str], chosen: np.ndarray | None = None) -> list[np.ndar
     return np.split(flat, np.searchsorted(doc, np.arange(1, len(texts)))) if len(texts) else []
 
 
-def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:
-    """Features whose share of positive texts is LEAST_LIFT times that of unlabelled ones, and 3 to 8 standard errors above it,
-    more with more texts; and LEAST_OVER_CLEAN times their share of clean texts."""
-    n, m, k = len(positive), max(1, len(unlabelled)), max(1, len(clean))
-    p, u, c = (np.bincount(np.concatenate(x), minlength=1 << BITS) if x else np.zeros(1 << BITS) for x in (positive, unlabelled, clean))
+def choose(p: np.ndarray, u: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Features whose share of the n positive texts (p: counts) is LEAST_LIFT times that of the m unlabelled ones (u), and 3 to
+    8 standard errors above it, more with more texts."""
     pooled = (p + u + 1) / (n + m + 2)
     z = (p / n - u / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
-    telling = (p >= LEAST_TEXTS) & (z >= np.clip(0.2 * np.sqrt(n), 3, 8)) & (p / n >= LEAST_LIFT * u / m)
-    telling &= (not clean) | (p / n >= LEAST_OVER_CLEAN * (c + 0.5) / k)
-    best = np.flatnonzero(telling)
-    return np.sort(best[np.argsort(-z[best], kind="stable")[:MOST_FEATURES]])
+    return np.flatnonzero((p >= LEAST_TEXTS) & (z >= np.clip(0.2 * np.sqrt(n), 3, 8)) & (p / n >= LEAST_LIFT * u / m))
 
 
-def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the non-negative risk, by Adam over all rows at once."""
-    n = x_p.shape[1]
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights of n features and intercept that minimise the non-negative risk, by Adam over all rows at once; a row is the list of its features."""
     w = np.append(np.zeros(n), np.log(prior / (1 - prior)))
     mean, square = np.zeros(n + 1), np.zeros(n + 1)
-    x_p, x_u = (np.column_stack([x, np.ones(len(x), np.float32)]).astype(np.float32) for x in (x_p, x_u))
 
-    def slope(x, sign):  # loss l(sign g) and its gradient, means over the rows
-        g = sign * (x @ w.astype(np.float32))
-        return np.logaddexp(0, -g).mean(), -sign * (x.T @ (1 / (1 + np.exp(np.clip(g, -50, 50))))) / len(x)
+    def flat(rows: list[np.ndarray]):
+        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), len(rows)
 
+    def slopes(rows, *signs):  # for each sign the mean loss l(sign g) and its gradient
+        row, column, size = rows
+        g = np.bincount(row, w[column], size) + w[-1]
+        for sign in signs:
+            pull = -sign / (1 + np.exp(np.clip(sign * g, -50, 50))) / size
+            yield np.logaddexp(0, -sign * g).mean(), np.append(np.bincount(column, pull[row], n), pull.sum())
+
+    toxic, others = flat(positive), flat(unlabelled)
     for step in range(1, STEPS + 1):
-        _, as_positive = slope(x_p, 1)
-        loss_p, p_negative = slope(x_p, -1)
-        loss_u, u_negative = slope(x_u, -1)
+        (_, as_positive), (loss_p, p_negative) = slopes(toxic, 1, -1)
+        ((loss_u, u_negative),) = slopes(others, -1)
         rest, rest_slope = loss_u - prior * loss_p, u_negative - prior * p_negative
         grad = prior * as_positive + rest_slope if rest >= 0 else -rest_slope
         grad[:-1] += RIDGE * w[:-1]
@@ -95,64 +97,80 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float) -> tuple[np.ndarray, flo
 
 
 def sample(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(kind, features) of the fitting sample, and the class prior. No held-out row is in it, nor its label looked at."""
+    """(kind, text) of the fitting sample, a table in the shared folder, and the class prior. No held-out row is in it, nor its label looked at.
+
+    kind: 1 of toxic texts, 0 of unlabelled ones, which any document may be. Copies of a text count once in either, lest
+    their common words pass for telling ones.
+    """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rows = documents.agg(F.count("*")).first()[0]
-    share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
-    part = lambda most, of: share < int(1_000_000 * min(1.0, most / max(1, of)))
-    positive = known.where("toxic = 1").where(part(MOST_POSITIVE, toxic)).select("doc_id", F.lit(1).alias("kind"))
-    clean = known.where("toxic = 0").where(part(MOST_CLEAN, n - toxic)).select("doc_id", F.lit(-1).alias("kind"))
-    others = documents.select(F.col("doc_id").cast("long")).where("doc_id is not null").where(~held_out() & part(MOST_UNLABELLED, rows)).distinct()
-    unlabelled = others.join(labels.select(F.col("doc_id").cast("long")), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("kind"))
-    ids = positive.unionByName(clean).unionByName(unlabelled)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, sizes = texts_of(batch.column(1))
-            for i, j in chunks(sizes):
-                own = [x.astype("<u4").tobytes() for x in features(texts[i:j])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.binary())], names=["kind", "features"])
-
-    drawn = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")  # about MOST_POSITIVE + MOST_CLEAN + MOST_UNLABELLED rows
-    return drawn.select("kind", "text").mapInArrow(run, struct(kind="int", features="binary")), toxic / n if n else 0.0
+    part = lambda most, of, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, of)))
+    positive = known.where("toxic = 1").where(part(MOST_POSITIVE, toxic, 3)).select("doc_id", F.lit(True).alias("toxic"))
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").where(~held_out())
+    drawn = texts.join(F.broadcast(positive), "doc_id", "left").withColumn("drawn", part(MOST_UNLABELLED, rows, 4))  # about MOST_POSITIVE rows
+    kinds = F.array_compact(F.array(F.when(F.col("toxic"), F.lit(1)), F.when(F.col("drawn"), F.lit(0))))
+    drawn = drawn.where("toxic or drawn").select(F.explode(kinds).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    return written(drawn.dropDuplicates(["kind", "text"]).repartition(SAMPLE_TASKS), "toxicity-sample"), toxic / n if n else 0.0
 
 
 def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """(chosen features, their weights, intercept); without a toxic example nothing is toxic."""
+    """(chosen features, their weights, intercept); without a toxic example nothing is toxic.
+
+    Counts of features and then the chosen features of each text come to the driver; texts don't.
+    """
     drawn, prior = sample(documents, labels)
-    table = drawn.toArrow()
-    kinds = table["kind"].to_numpy()
-    sets = table["features"].to_pylist()
-    # Copies of a text count once, lest their common words pass for telling ones.
-    positive, unlabelled, clean = ([np.frombuffer(x, "<u4") for x in sorted({s for s, k in zip(sets, kinds) if k == kind})] for kind in (1, 0, -1))
-    if not positive or not 0 < prior < 1:
+    size = 1 << BITS
+
+    def sets(batches: Iterator[pa.RecordBatch], mask: np.ndarray | None) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        for batch in batches:
+            texts, sizes = texts_of(batch.column(1))
+            for i, j in chunks(sizes):
+                yield batch.column(0).slice(i, j - i).to_numpy(), features(texts[i:j], mask)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size + counting.SLICE), np.int64)  # the rows come last
+        for kinds, rows in sets(batches, None):
+            for kind in (0, 1):
+                own = [x for k, x in zip(kinds, rows) if k == kind]
+                if own:
+                    total[kind, :size] += np.bincount(np.concatenate(own), minlength=size)
+                    total[kind, size] += len(own)
+        yield counting.sliced(total.ravel())
+
+    total = counting.summed(drawn.mapInArrow(count, counting.SCHEMA), 2 * (size + counting.SLICE)).reshape(2, -1)
+    if not total[1, size] or not 0 < prior < 1:
         return np.zeros(0, np.int64), np.zeros(0), 5.0 if prior == 1 else -5.0
-    chosen = choose(positive, unlabelled, clean)
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-
-    def dense(rows):
-        x = np.zeros((max(1, len(rows)), len(chosen)), np.float32)
-        for k, row in enumerate(rows):
-            own = place[row]
-            x[k, own[own >= 0]] = 1
-        return x
-
-    weights, intercept = fit(dense(positive), dense(unlabelled), prior)
+    chosen = choose(total[1, :size], total[0, :size], int(total[1, size]), max(1, int(total[0, size])))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(size, bool)
+        mask[chosen] = True
+        for kinds, rows in sets(batches, mask):
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([x.astype("<u4").tobytes() for x in rows], pa.binary())], names=["kind", "features"])
+
+    picked = drawn.mapInArrow(pick, struct(kind="int", features="binary")).toArrow()  # the sample's rows
+    rows = sorted(zip(picked["kind"].to_pylist(), picked["features"].to_pylist()))  # the same fit, in whatever order they come
+    positive, unlabelled = ([np.searchsorted(chosen, np.frombuffer(x, "<u4")) for k, x in rows if k == kind] for kind in (1, 0))
+    weights, intercept = fit(positive, unlabelled or [np.zeros(0, np.int64)], len(chosen), prior)
     return chosen, weights, intercept
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, scored: DataFrame | None = None, carried: bool = False) -> DataFrame:
     """Scores every whole text of documents(doc_id, text, ...), or of scored, if given, with a classifier fitted to documents.
 
     labels(doc_id, toxic, ...); of several labels of a doc_id the largest counts, null ones don't. Returns per row: doc_id,
     held_out (crc32 of the doc_id as text has remainder 1 by 3; a null doc_id counts as an empty text), score (0 to 1),
-    predicted (1 from THRESHOLD). Null and empty texts get the score of a text without features. Repeated rows are scored
-    each; other columns are ignored; an empty table gives no rows.
+    predicted (1 from THRESHOLD); with carried, the whole row besides, as a struct named row. Null and empty texts get the
+    score of a text without features. Repeated rows are scored each; other columns are ignored; an empty table gives no rows.
     """
     chosen, weights, intercept = train(documents, labels)
     model = {"at": chosen.astype(np.int32), "weights": weights}
+    scored = documents if scored is None else scored
+    own = scored.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"), *([F.struct(*scored.columns).alias("row")] if carried else []))
+    schema = struct(doc_id="long", held_out="boolean", score="double", predicted="int")
+    if carried:
+        schema = schema.add("row", own.schema["row"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, mask = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
@@ -162,7 +180,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, scored: DataFrame | None =
             for i, j in chunks(sizes):
                 g = np.array([weight[x].sum() for x in features(texts[i:j], mask)]) + intercept
                 score = 1 / (1 + np.exp(-np.clip(g, -50, 50)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *([batch.column(3).slice(i, j - i)] if carried else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    rows = (documents if scored is None else scored).select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, struct(doc_id="long", held_out="boolean", score="double", predicted="int"))
+    return own.mapInArrow(run, schema)
