@@ -1,9 +1,10 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A row's doc_id draws, level by level, one of the node's children: the child with the largest ln(u) / weight, where u is a
-hash of the doc_id and the child's name. A child's draw depends on its own name and weight only. So a change of a weight
-moves rows only into (or out of) the subtree whose weight changes; shard number s stands in region s // 8 and rack
-s // 4 % 2 there, and a shard that opens a region takes rows only into itself.
+A row descends from the root through region and rack to a shard. Each shard of the tree has a draw, -ln(u) / weight, where u
+is a hash of the doc_id and the shard's number; the draw of a rack or region is the least one in it, which is by itself a
+draw with the sum of its weights. At each level the row takes the child of the least draw. So a change of a weight, or a
+shard more, moves rows only between the subtree that changes and the others, and of those only into (or out of) the shard
+that changes, whatever the number of shards. Shard s stands in rack s // RACK of region s // (RACK * RACKS).
 """
 
 from __future__ import annotations
@@ -26,34 +27,21 @@ def tree(shards: int, weights: dict[int, float] | None = None) -> dict[int, dict
     return out
 
 
-def draw(level: str, children: dict[int, float]):
-    """The number of the child that the row's doc_id draws."""
-    if len(children) == 1:
-        return F.lit(next(iter(children)))
-    options = []
-    for name, weight in children.items():
-        bits = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(f"{level}/{name}")), 11)
-        options.append(F.struct((F.log((bits + 0.5) / F.lit(float(1 << 53))) / F.lit(weight)).alias("draw"), F.lit(-name).alias("name")))
-    return -F.greatest(*options)["name"]
+def draw(shard: int, weight: float):
+    """(draw, shard) of one shard for the row's doc_id."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(f"shard/{shard}")), 11)
+    return F.struct((-F.log((bits + 0.5) / F.lit(float(1 << 53))) / F.lit(weight)).alias("draw"), F.lit(shard).alias("shard"))
 
 
-def choose(column, options: dict):
-    """options[column], where the options are columns."""
-    out = None
-    for k, v in options.items():
-        out = F.when(column == k, v) if out is None else out.when(column == k, v)
-    return out
+def descend(node: dict):
+    """(draw, shard) of the shard that a row reaches from a node of the tree."""
+    children = [descend(x) if isinstance(x, dict) else draw(k, x) for k, x in node.items()]
+    return F.least(*children) if len(children) > 1 else children[0]
 
 
 def shard_of(nodes: dict[int, dict[int, dict[int, float]]], df: DataFrame, name: str) -> DataFrame:
-    """df with the shard that each row's doc_id (null counts as a value of its own) draws in the tree."""
-    def weight(x):
-        return sum(map(weight, x.values())) if isinstance(x, dict) else x
-
-    df = df.withColumn("_region", draw("region", {r: weight(x) for r, x in nodes.items()}))
-    df = df.withColumn("_rack", choose(F.col("_region"), {r: draw(f"rack/{r}", {k: weight(x) for k, x in racks.items()}) for r, racks in nodes.items()}))
-    racks = {k: x for r in nodes.values() for k, x in r.items()}
-    return df.withColumn(name, choose(F.col("_rack"), {k: draw(f"shard/{k}", x) for k, x in racks.items()}).cast("int")).drop("_region", "_rack")
+    """df with the shard that each row's doc_id (null counts as a value of its own) reaches in the tree."""
+    return df.withColumn(name, descend(nodes)["shard"].cast("int"))
 
 
 def shard(documents: DataFrame, shards: int = SHARDS, weights: dict[int, float] | None = None) -> DataFrame:
