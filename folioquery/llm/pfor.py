@@ -69,15 +69,15 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     grid = np.zeros((len(heads), BLOCK), np.int64)
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        full = np.zeros((len(own), BLOCK * w // 8), np.uint8)
+        full = np.zeros((len(own), BLOCK * w // 8 + 5), np.uint8)  # a value's bits lie in five bytes from the one of its first bit
         for row, k in enumerate(own):
-            n = -(-int(sizes[k]) * w // 8)
-            full[row, :n] = raw[starts[k] + HEAD.size :][:n]
-        bits = np.unpackbits(full, axis=1, bitorder="little").reshape(len(own), BLOCK, w)
+            n, at = -(-int(sizes[k]) * w // 8), int(starts[k]) + HEAD.size
+            full[row, :n] = raw[at : at + n]
+        bit = np.arange(BLOCK) * w
         value = np.zeros((len(own), BLOCK), np.int64)
-        for b in range(w):
-            value |= bits[:, :, b].astype(np.int64) << b
-        grid[own] = value
+        for b in range((w + 14) // 8):
+            value |= full[:, (bit >> 3) + b].astype(np.int64) << (8 * b)
+        grid[own] = value >> (bit & 7) & ((1 << w) - 1)
     for k in np.flatnonzero(patches):
         n, at = int(patches[k]), int(starts[k]) + HEAD.size + -(-int(sizes[k]) * int(width[k]) // 8)
         grid[k, np.frombuffer(data, "<u2", n, at)] = np.frombuffer(data, "<u4", n, at + 2 * n)

@@ -17,6 +17,8 @@ CHUNK_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 #: Distinct words whose ids a Python worker remembers; beyond it the table starts anew.
 KNOWN_WORDS = 300_000
+#: Words that go to a tokenizer in one text.
+JOINED = 1000
 
 
 @lru_cache(1)
@@ -92,25 +94,54 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+class Words:
+    """The words of texts - runs of letters, runs of digits, in lower case - by array operations.
+
+    n_lines: lines of each text; line: each word's line, counted over all texts; hashes: 64 bits of each word; points, start,
+    end: the lower-case code points of the texts, and where each word stands in them.
+    """
+
+    def __init__(self, texts: list[str]):
+        joined = "\n".join(texts) + "\n"
+        raw = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = classes()[raw]
+        kind = np.where((kind == LETTER) | (kind == NUMBER), kind, 0)
+        edge = np.flatnonzero(np.diff(kind, prepend=0, append=0))  # where the kind changes
+        start, end = edge[:-1], edge[1:]
+        real = kind[start] > 0
+        self.start, self.end = start[real], end[real]
+        up, down = powers(1 << max(12, int(len(raw)).bit_length()))
+        self.points = lower_points()[raw]
+        total = np.cumsum(self.points * up[: len(raw)])
+        mixed = (total[self.end - 1] - np.where(self.start > 0, total[np.maximum(self.start - 1, 0)], 0)) * down[self.start]
+        self.hashes = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        breaks = np.flatnonzero(raw == 10)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.n_lines = np.diff(np.append(-1, np.searchsorted(breaks, np.cumsum(lengths + 1) - 1)))
+        self.line = np.searchsorted(breaks, self.start)
+
+    def numbers(self) -> np.ndarray:
+        """A number for each word, the same for equal words and for no others: words of one hash are compared by their letters."""
+        _, first, number = np.unique(self.hashes, return_index=True, return_inverse=True)
+        of = first[number]
+        size = self.end - self.start
+        same = size == size[of]
+        at = np.flatnonzero(same)
+        ends = np.cumsum(size[at])
+        step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size[at], size[at])
+        differ = self.points[np.repeat(self.start[at], size[at]) + step] != self.points[np.repeat(self.start[of[at]], size[at]) + step]
+        same[np.repeat(at, size[at])[differ]] = False
+        if not same.all():  # different words of one hash
+            names: dict[tuple, int] = {}
+            for k in np.flatnonzero(~same):
+                number[k] = len(first) + names.setdefault((int(number[k]), self.points[self.start[k] : self.end[k]].tobytes()), len(names))
+        return number
+
+
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lines of each text, line of each word, 32-bit hash of each word in lower case): runs of letters, runs of digits."""
-    joined = "\n".join(texts) + "\n"
-    points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
-    kind = classes()[points]
-    kind = np.where((kind == LETTER) | (kind == NUMBER), kind, 0)
-    edge = np.flatnonzero(np.diff(kind, prepend=0, append=0))  # where the kind changes
-    start, end = edge[:-1], edge[1:]
-    real = kind[start] > 0
-    start, end = start[real], end[real]
-    size = 1 << max(12, int(len(points)).bit_length())
-    up, down = powers(size)
-    total = np.cumsum(lower_points()[points] * up[: len(points)])
-    mixed = (total[end - 1] - np.where(start > 0, total[np.maximum(start - 1, 0)], 0)) * down[start]
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    breaks = np.flatnonzero(points == 10)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    last = np.searchsorted(breaks, np.cumsum(lengths + 1) - 1)
-    return np.diff(np.append(-1, last)), np.searchsorted(breaks, start), (mixed >> np.uint64(32)).astype(np.uint32)
+    """(lines of each text, line of each word, 32-bit hash of each word)"""
+    words = Words(texts)
+    return words.n_lines, words.line, (words.hashes >> np.uint64(32)).astype(np.uint32)
 
 
 def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
@@ -171,10 +202,12 @@ class WordTable:
         distinct = coded.dictionary.to_pylist()
         if len(self.number) > KNOWN_WORDS:
             self.clear()
-        new = [w for w in distinct if w not in self.number]
-        if new:
+        known = list(map(self.number.get, distinct))
+        fresh = iter(range(len(self.number), len(self.number) + len(known)))
+        if new := [w for w, k in zip(distinct, known) if k is None]:
             self.add(new)
-        own = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        places = np.fromiter((next(fresh) if k is None else k for k in known), np.int64, len(known))
+        own = places[coded.indices.to_numpy(zero_copy_only=False)]
         first, size = self.start[own], self.start[own + 1] - self.start[own]
         ends = np.cumsum(size)
         flat = self.ids[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
@@ -210,12 +243,38 @@ def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.nda
     tok = Tokenizer.from_file(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
 
-    def encode_new(words: list[bytes]):
-        got = tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in got]
+    width = np.zeros(tok.get_vocab_size(with_added_tokens=True), np.int64)  # bytes of each token; a character of its name is a byte
+    for name, k in tok.get_vocab(with_added_tokens=False).items():
+        width[k] = len(name)
+
+    def one_by_one(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return counts, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
 
+    def encode_new(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A blank and letters are a word wherever they stand, so many such words go to the library in one text; its ids are told apart by their bytes."""
+        plain = [w.decode() for w in words]
+        joined = np.fromiter((w[:1] == " " and w[1:].isalpha() for w in plain), bool, len(plain))
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        own = np.flatnonzero(joined)
+        runs = [own[k : k + JOINED] for k in range(0, len(own), JOINED)]
+        for run, got in zip(runs, tok.encode_batch_fast(["".join([plain[k] for k in run]) for run in runs], add_special_tokens=False)):
+            ids = np.array(got.ids, np.uint32)
+            ends, upto = np.cumsum([len(words[k]) for k in run]), np.cumsum(width[ids])
+            at = np.searchsorted(upto, ends)
+            if len(ids) and upto[-1] == ends[-1] and (upto[at] == ends).all():
+                parts.append((run, np.diff(np.append(-1, at)), ids))
+            else:
+                joined[run] = False  # the library splits it otherwise
+        other = np.flatnonzero(~joined)
+        parts.append((other, *one_by_one([plain[k] for k in other])))
+        order, sizes, flat = (np.concatenate(x) for x in zip(*parts))
+        counts, begin = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        counts[order], begin[order] = sizes, np.cumsum(sizes) - sizes
+        ends = np.cumsum(counts)
+        return counts, flat[np.repeat(begin - (ends - counts), counts) + np.arange(len(flat))]
+
     words = WordTable(encode_new)
 
     def encode(texts: list[str]):
