@@ -1,9 +1,10 @@
 """Byte-level BPE by merge replay over distinct words.
 
-A merge inside one word never depends on another word. So the corpus' merges are replayed split by split: each task takes
-the distinct words of its split, keeps an inverted index from the rank of a token pair to the word positions where the pair
-stands, and applies the merges in rank order to all positions at once, updating only the neighbours of what it merged.
-No shuffle and no broadcast is needed, whatever the size of the corpus' vocabulary.
+A merge inside one word never depends on another word. So the corpus' merges are replayed part by part: a task takes a run
+of texts of bounded size, and of their distinct words those that its worker hasn't met yet. It keeps an inverted index from
+the rank of a token pair to the positions in all these words where the pair stands, and applies the merges in rank order to
+all positions at once, updating only the neighbours of what it merged. A worker remembers the ids of KNOWN_WORDS words.
+The ids are those of one replay over the whole corpus, without a shuffle or a broadcast, whatever its vocabulary's size.
 """
 
 from __future__ import annotations

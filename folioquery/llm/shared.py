@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (tests)."""
+    """spark.checkpoint.dir of the session. Where that is unset, a temporary folder serves a local master; a cluster's executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"folioquery-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

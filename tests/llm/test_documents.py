@@ -1,6 +1,7 @@
 """op6 to op10 and op4, op5: against brute force."""
 
 import hashlib
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from folioquery.llm import ann, exact_dedup, extraction, line_dedup, near_dedup, sharding, toxicity
+from folioquery.llm import ann, exact_dedup, extraction, line_dedup, near_dedup, pretok, sharding, toxicity
 from tests.llm.conftest import ODD
 
 LOWER = str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)
@@ -27,14 +28,23 @@ def test_exact_dedup(rows, odd, none, capacity):
             norm = (t or "").translate(LOWER)
             keep = max((x for x in groups[norm] if x is not None), default=None)
             want.append((i, keep, len(groups[norm]), i == keep, hashlib.sha256(norm.encode()).hexdigest()))
-        got = exact_dedup.exact_dedup(df, capacity, 8).collect()
+        got = exact_dedup.exact_dedup(df, capacity).collect()
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
-def test_directory_doubles_where_a_bucket_is_full():
-    found = exact_dedup.directory({0: 5, 1: 5, 8: 1}, capacity=4, depth=4)
-    assert found == [(0, 0, 4), (1, 1, 4), (2, 3, 3), (4, 7, 2), (8, 15, 1)]
+def test_directory_doubles_where_a_bucket_is_full(spark):
+    ends = [*range(5), *((1 << 59) * 2 + k for k in range(5)), -1]  # first four bits 0000, 0001 and 1111
+    slots, bits = exact_dedup.directory(spark.createDataFrame([(k,) for k in ends], "key long"), 11, 4)
+    got = {(r.bucket >> (bits - 4) if bits >= 4 else r.bucket << (4 - bits), min(r.depth, 4)) for r in slots.collect()}
+    assert bits > 4 and got == {(0, 4), (1, 4), (8, 1)}
+    slots, bits = exact_dedup.directory(spark.createDataFrame([(k << 56,) for k in range(-100, 100)], "key long"), 200, 16)
+    held = defaultdict(int)
+    for r in slots.collect():
+        held[r.bucket, r.depth] += sum((k << 56) % (1 << 64) >> (64 - bits) == r.slot for k in range(-100, 100))
+    assert sum(held.values()) == 200 and max(held.values()) <= 16
+    for (a, m), (b, n) in zip(sorted(held), sorted(held)[1:]):
+        assert b >= a + (1 << (bits - m))  # buckets don't overlap
 
 
 def test_native(spark, rows):
@@ -42,6 +52,14 @@ def test_native(spark, rows):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("shards", [1, 5, 20, 26])
+def test_one_more_shard_takes_rows_only_into_itself(rows, shards):
+    got = sharding.shard(rows([(i, "x") for i in range(4000)] + [(None, "x")]), shards).collect()
+    moved = [r for r in got if r.grown_shard != r.shard]
+    assert moved and all(r.grown_shard == shards for r in moved) and {r.shard for r in got} == set(range(shards))
+    assert len(moved) < 2 * 4000 / (shards + 1)
+
+
 def test_sharding(rows, odd, none):
     df = rows([(i, "x" * (i % 50)) for i in range(6000)])
     got = sharding.shard(df).collect()
@@ -246,9 +264,56 @@ def test_marks_leave_the_article():
     assert text("<body><div class='widget'>All there is</div></body>") == "All there is"
 
 
-def test_alignment_is_a_longest_common_subsequence():
-    assert [list("abcbdab")[k] for k in sorted(extraction.aligned(list("abcbdab"), list("bdcaba")))] in (list("bcba"), list("bdab"), list("bcab"), list("bda"), list("bca"))
-    assert extraction.aligned(["a", "b", "c"], ["x", "a", "c"]) == {0, 2} and extraction.aligned([], ["a"]) == set()
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def is_subsequence(part, whole):
+    rest = iter(whole)
+    return all(x in rest for x in part)
+
+
+@pytest.mark.parametrize("bits", [1 << 30, 8])
+def test_alignment_is_a_longest_common_subsequence(monkeypatch, bits):
+    monkeypatch.setattr(extraction, "HELD_BITS", bits)
+    rng = np.random.default_rng(7)
+    cases = [("aba", "ba"), ("abcbdab", "bdcaba"), ("", "a"), ("abc", "xac")] + [("".join(rng.choice(list("abcd"), rng.integers(0, 14))), "".join(rng.choice(list("abcd"), rng.integers(0, 14)))) for _ in range(300)]
+    for own, other in cases:
+        found = sorted(extraction.aligned(list(own), list(other)))
+        assert len(found) == longest_common(own, other) and is_subsequence([own[k] for k in found], other)
+    assert len(extraction.aligned(["same"] * 3000, ["x", *["same"] * 2999])) == 2999
+
+
+def neighbours_by_brute_force(pages):
+    """page_id -> text, each page against all others of its host."""
+    out = {}
+    order = sorted(pages, key=lambda p: (p[1], p[0]))
+    for n, (i, url, page) in enumerate(order):
+        own = [t for t, _, _ in extraction.blocks(page)]
+        near = [(len(os.path.commonprefix([u, url])), m < n, -abs(m - n), extraction.blocks(x)) for m, (_, u, x) in enumerate(order) if [t for t, _, _ in extraction.blocks(x)] != own]
+        out[i] = extraction.main_text(extraction.blocks(page), max(near, key=lambda x: x[:3])[3] if near else None)
+    return out
+
+
+def test_neighbours_do_not_depend_on_ranges(spark):
+    rng = np.random.default_rng(9)
+    lines = [f"<div>shared line {k}</div>" for k in range(6)]
+    pages = []
+    for i in range(60):
+        kind = i % 5  # pages without an article; runs of copies at both ends and between
+        body = "<div>copied page</div>" + lines[0] if kind in (0, 1) or i < 9 or i > 50 else f"<div>own text {i}</div>" + "".join(rng.permutation(lines)[: rng.integers(1, 5)])
+        pages.append((i, f"http://h.example/{'ab'[i // 30]}/{i:03d}", f"<body><div>menu of all</div>{body}</body>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = neighbours_by_brute_force([(i, u.split("example")[1], p) for i, u, p in pages])
+    for ranges in (1, 3, 12, 40):
+        assert {r.page_id: r.text for r in extraction.extract(df, ranges).collect()} == want
+    assert any("menu of all" not in t for t in want.values())
 
 
 def vectors(spark, rows):
@@ -275,6 +340,27 @@ def test_nearest_neighbours(spark):
     assert [v for _, v, _ in found[100]][:20] == list(range(101, 121))
 
 
+def test_recall_on_the_table(spark, sf, monkeypatch):
+    """Of the table's queries at the scale that has most vectors, against brute force; lists that many queries probe in parts."""
+    folder = sf.replace("0.001", "0.1") if os.path.isdir(sf.replace("0.001", "0.1")) else sf
+    df = spark.read.parquet(f"{folder}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    results = []
+    for part in (ann.QUERY_PART, 16):
+        monkeypatch.setattr(ann, "QUERY_PART", part)
+        found = defaultdict(list)
+        for r in ann.search(df).orderBy("query_id", "rank").collect():
+            found[r.query_id].append((r.vec_id, r.score))
+        results.append(dict(found))
+    hits = 0
+    for q, own in found.items():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits += len({v for v, _ in own} & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert results[0] == results[1] and len(found) == (ids % 20 == 0).sum() and hits / 20 / len(found) >= 0.9
+
+
 def test_few_vectors(spark):
     got = ann.search(vectors(spark, [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.0, 1.0])])).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 20, 1.0), (0, 2, 3, 0.0), (20, 1, 0, 1.0), (20, 2, 3, 0.0)]
@@ -290,10 +376,20 @@ def removed_by_brute_force(pairs):
     return out
 
 
-@pytest.mark.parametrize(("seed", "block", "first"), [(0, 1024, 1), (1, 4, 1), (2, 1024, 0)])
-def test_line_dedup(rows, monkeypatch, seed, block, first):
-    monkeypatch.setattr(line_dedup, "BLOCK", block)
-    monkeypatch.setattr(line_dedup, "FIRST", first)
+@pytest.fixture
+def in_blocks(monkeypatch):
+    """Small blocks, and words that are soon frequent; for the driver's and the workers' code."""
+
+    def set_to(block, frequent):
+        for name, value in (("BLOCK", block), ("FREQUENT", frequent), ("PAIRS", 1 << 15 if block > 100 else 7)):
+            monkeypatch.setattr(line_dedup, name, value)
+
+    return set_to
+
+
+@pytest.mark.parametrize(("seed", "block", "frequent"), [(0, 2048, 1 << 14), (1, 4, 1 << 14), (2, 2048, 3), (3, 4, 1)])
+def test_line_dedup(rows, in_blocks, seed, block, frequent):
+    in_blocks(block, frequent)
     rng = np.random.default_rng(seed)
     vocabulary = np.array([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(90)])
     bases = [list(rng.choice(vocabulary, rng.integers(3, 14))) for _ in range(25)]
@@ -327,9 +423,30 @@ def links_by_brute_force(pairs):
     return {i: tuple(v) for i, v in out.items()}
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_line_dedup_gives_all_links(rows, monkeypatch, block):
-    monkeypatch.setattr(line_dedup, "BLOCK", block)
+def test_words_of_one_short_hash_are_told_apart(rows):
+    """Lines of words whose first 32 bits agree pairwise, but for no word in common."""
+    rng = np.random.default_rng(11)
+    names = ["".join(chr(97 + c) for c in x) for x in rng.integers(0, 26, (400_000, 8))]
+    short = pretok.hashed_words(["\n".join(names)])[2]
+    order = np.argsort(short, kind="stable")
+    at = np.flatnonzero(short[order][1:] == short[order][:-1])
+    pairs = [(names[order[k]], names[order[k + 1]]) for k in at if names[order[k]] != names[order[k + 1]]]
+    assert len(pairs) >= 10
+    a, b = (" ".join(p[k] for p in pairs[:10]) for k in (0, 1))
+    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(rows([(1, a), (2, b), (3, b + " more")])).collect()}
+    assert got == {1: [], 2: [], 3: [0]}
+
+
+def test_words_of_one_hash_are_compared():
+    words = pretok.Words(["one two three one", "two four"])
+    words.hashes = np.full(len(words.hashes), 7, np.uint64)
+    found = words.numbers()
+    assert found[0] == found[3] and found[1] == found[4] and len(set(found.tolist())) == 4
+
+
+@pytest.mark.parametrize(("block", "frequent"), [(2048, 1 << 14), (4, 1 << 14), (2048, 5), (4, 2)])
+def test_line_dedup_gives_all_links(rows, in_blocks, block, frequent):
+    in_blocks(block, frequent)
     rng = np.random.default_rng(8)
     vocabulary = np.array([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)])
     bases, pairs = [list(rng.choice(vocabulary, 20, False)) for _ in range(5)], []
