@@ -17,12 +17,6 @@ def quality(rankings: DataFrame, relevant: DataFrame, queries: DataFrame) -> Dat
     return rows.groupBy("style").agg(F.count("*").alias("queries"), share(1).alias("recall_1"), share(5).alias("recall_5"), F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    """The value at place round(p % of (n - 1)), halves to even; an array aggregate, for bounded groups."""
-    values = F.array_sort(F.collect_list(column))
-    return F.get(values, F.bround(F.lit(p / 100) * (F.size(values) - 1)).cast("int"))
-
-
 def outcomes(answers: DataFrame, expected: DataFrame) -> DataFrame:
     """answers(query_id, outcome, value), expected(query_id, style, value; null if none exists) -> counts by style."""
     rows = expected.withColumnRenamed("value", "true_value").join(answers, "query_id", "left")
@@ -40,15 +34,9 @@ def hit_rates(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def character_errors(rows: DataFrame) -> DataFrame:
-    """rows(lang, truth, text) -> lang, texts, error: the mean of edits by the true length, at most 1 each."""
-    error = F.when(F.length("truth") == 0, F.when(F.length("text") == 0, 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.levenshtein("truth", "text") / F.length("truth")))
-    return rows.groupBy("lang").agg(F.count("*").alias("texts"), F.avg(error).alias("error"))
-
-
-def whole_character_errors(rows: DataFrame) -> DataFrame:
-    """character_errors() of rows(lang, truth, text) over whole texts, blanks collapsed and joiners left out.
+    """rows(lang, truth, text) -> lang, texts, error: the mean of edits by the true length, at most 1 each.
 
-    Edits are at most the places at which the texts differ, and what one is longer by; so bounded, the search for the least
+    Whole texts are compared, blanks collapsed and joiners left out. Edits are at most the places at which the texts differ, and what one is longer by; so bounded, the search for the least
     number of edits stays near the diagonal and is exact.
     """
     clean = lambda c: F.trim(F.regexp_replace(F.translate(c, "\u200c\u200d", ""), r"(?U)\s+", " "))
@@ -59,6 +47,95 @@ def whole_character_errors(rows: DataFrame) -> DataFrame:
     return bounded.groupBy("lang").agg(F.count("*").alias("texts"), F.avg(error).alias("error"))
 
 
+def ledger_by_month(truth: DataFrame, counted: DataFrame) -> DataFrame:
+    """truth(reference, outcome, direction, paise, paid_date, id) and counted(paise, paid_date) -> month, truth_paise, counted_paise, share.
+
+    A true payment is a successful one that was paid; of records of one reference the first counts.
+    """
+    paid = truth.where((F.col("outcome") == "SUCCESS") & (F.col("direction") == "PAID") & F.col("reference").isNotNull())
+    once = paid.groupBy("reference").agg(F.min_by(F.struct("paise", "paid_date"), "id").alias("p")).select("p.paise", "p.paid_date")
+    by_month = lambda df, name: df.groupBy(F.substring("paid_date", 1, 7).alias("month")).agg(F.sum("paise").alias(name))
+    both = by_month(once, "truth_paise").join(by_month(counted, "counted_paise"), "month", "full").na.fill(0, ["truth_paise", "counted_paise"])
+    return both.withColumn("share", F.when(F.col("truth_paise") > 0, F.col("counted_paise") / F.col("truth_paise")))
+
+
+def same_language(style: Column, target: Column) -> Column:
+    """Whether a query's style (en, rt: in Latin letters, mix, hi, te) is that of its target's language."""
+    return (style.isin("en", "rt", "mix") & (target == "en")) | ((style == target) & style.isin("hi", "te"))
+
+
+def language_split(rankings: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
+    """quality() of queries(query_id, style, target_lang) in the language of what they look for, and across languages: as style same and cross."""
+    own = queries.select("query_id", F.when(same_language(F.col("style"), F.col("target_lang")), "same").otherwise("cross").alias("style"))
+    return quality(rankings, relevant, own)
+
+
+#: Retrieval variants (stop words of all languages, coverage gate, weight of the keyword leg) and answer gates.
+VARIANTS = [("B0", False, 0.0, 1.0), ("S1", True, 0.0, 1.0), ("C1", False, 0.5, 1.0), ("S2", True, 0.5, 1.0), ("S3", True, 0.5, 0.5)]
+GATES = [("A0", False, False, False), ("A1", True, False, False), ("A2", True, True, False), ("A3", True, True, True)]
+
+
+def sweep(search, judge, variants=VARIANTS, gates=GATES) -> DataFrame:
+    """Every variant with every gate. search(extended, coverage, weight) -> (ranking, quality of one row); judge(ranking, grounded,
+    without function words, without generic words) -> one row of counts. Rows: variant, gate, and the columns of both."""
+    out = None
+    for name, extended, coverage, weight in variants:
+        ranking, scores = search(extended, coverage, weight)
+        for gate, *switches in gates:
+            one = scores.join(F.broadcast(judge(ranking, *switches))).select(F.lit(name).alias("variant"), F.lit(gate).alias("gate"), "*")  # a row each
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def choose_gate(scores: DataFrame) -> DataFrame:
+    """scores(gate, wrong, made_up, correct): the gate of fewest wrong and made-up answers, then of most correct ones, then the simpler."""
+    return scores.orderBy(F.col("wrong") + F.col("made_up"), F.desc("correct"), "gate").limit(1)
+
+
+def choose_policy(scores: DataFrame, base: str) -> DataFrame:
+    """scores(policy, own, other, mrr): of the policies that read 0.20 more of their own language than the base and lose at most
+    0.01 of the others and of mrr, the one that reads most; ties to the name. No row if none does."""
+    was = scores.where(F.col("policy") == base).select(F.col("own").alias("b_own"), F.col("other").alias("b_other"), F.col("mrr").alias("b_mrr"))
+    able = (F.col("own") >= F.col("b_own") + 0.20) & (F.col("other") >= F.col("b_other") - 0.01) & (F.col("mrr") >= F.col("b_mrr") - 0.01)
+    rows = scores.where(F.col("policy") != base).join(F.broadcast(was)).where(able)  # one row
+    return rows.orderBy(F.desc(F.round("own", 6)), "policy").limit(1).select(*scores.columns)
+
+
+AMOUNT_OUTCOMES = ["CORRECT_CONFIDENT", "CORRECT_FLAGGED", "WRONG_CONFIDENT", "WRONG_FLAGGED", "NONE"]
+
+
+def judged_amounts(amounts: DataFrame, truth: DataFrame, confident: float = 0.6) -> DataFrame:
+    """amounts(mode, item_id, value, confidence, line), truth(item_id, value) -> mode, item_id, outcome, offered, for each mode and true item."""
+    modes = amounts.select("mode").distinct()
+    best = amounts.groupBy("mode", "item_id").agg(F.min_by(F.struct("value", "confidence"), F.struct(-F.col("confidence"), F.col("line"))).alias("top"), F.collect_set("value").alias("all"))
+    rows = truth.withColumnRenamed("value", "true_value").join(F.broadcast(modes)).join(best, ["mode", "item_id"], "left")  # a row for each mode
+    sure, right = F.col("top.confidence") >= confident, F.col("top.value") == F.col("true_value")
+    outcome = F.when(F.col("top").isNull(), "NONE").when(right, F.when(sure, "CORRECT_CONFIDENT").otherwise("CORRECT_FLAGGED")).otherwise(F.when(sure, "WRONG_CONFIDENT").otherwise("WRONG_FLAGGED"))
+    return rows.select("mode", "item_id", outcome.alias("outcome"), F.coalesce(F.array_contains("all", F.col("true_value")), F.lit(False)).alias("offered"))
+
+
+def amount_outcomes(judged: DataFrame, base: str = "OFF") -> DataFrame:
+    """judged_amounts() -> by mode: items, the outcomes, offered, regressed and false_flags (of what the base mode had right and sure)."""
+    was = judged.where((F.col("mode") == base) & (F.col("outcome") == "CORRECT_CONFIDENT")).select("item_id", F.lit(True).alias("was_right"))
+    rows = judged.join(was, "item_id", "left")
+    lost = F.col("was_right") & (F.col("outcome") != "CORRECT_CONFIDENT")
+    return rows.groupBy("mode").agg(
+        F.count("*").alias("items"), *[F.count_if(F.col("outcome") == x).alias(x.lower()) for x in AMOUNT_OUTCOMES], F.count_if("offered").alias("offered"),
+        F.count_if(lost).alias("regressed"), F.count_if(F.col("was_right") & (F.col("outcome") == "CORRECT_FLAGGED")).alias("false_flags"),
+    )
+
+
+def choose_mode(real: DataFrame, clean: DataFrame, order: list[str]) -> DataFrame:
+    """Of amount_outcomes() over damaged and over clean readings: the mode without regressions and with at most one in a hundred
+    false flags (the first of order may regress) that has the fewest sure wrong amounts, then wrong ones, then most right ones."""
+    base = real.where(F.col("mode") == order[0]).select(F.col("correct_confident").alias("base_right"))
+    rows = real.join(clean.select("mode", F.col("regressed").alias("regressed_clean")), "mode").join(F.broadcast(base))  # one row
+    able = ((F.col("regressed") + F.col("regressed_clean") == 0) | (F.col("mode") == order[0])) & (F.col("false_flags") <= 0.01 * F.col("base_right"))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("mode"))
+    wrong = F.col("wrong_confident") + F.col("wrong_flagged")
+    return rows.where(able).orderBy("wrong_confident", wrong, F.desc(F.col("correct_confident") + F.col("correct_flagged")), place).limit(1).select("mode")
+
+
 def choose_variant(scores: DataFrame, base: str, allowed_loss: float = 0.0) -> DataFrame:
     """scores(variant, metric, guard): the variant with the best metric of those whose guard isn't below the base's; ties to the name."""
     floor = scores.where(F.col("variant") == base).select(F.col("guard").alias("floor"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.functions import facts as R
+from folioquery.sources.store import spread
 
 FACTS = "item_id long, kind string, value string, raw string, label string, line int, confidence double"
 PAYMENT = "item_id long, app string, outcome string, direction string, amount_paise long, amount_confidence double, amount_raw string, payee string, upi_id string, paid_date string, paid_time string, reference string, problem string"
@@ -28,7 +29,7 @@ def mapped(texts: DataFrame, schema: str, read) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return texts.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return spread(texts.select(F.col("item_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def facts(texts: DataFrame, mode: str = "LOOKALIKE") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions.text import clean_lines
 
-LEAST_SIDE, MOST_FILES = 200, 1000
+LEAST_SIDE, MOST_FILES, SALTS = 200, 1000, 16
 
 
 def content_hash(content: Column) -> Column:
@@ -15,16 +15,19 @@ def content_hash(content: Column) -> Column:
 
 
 def statuses(items: DataFrame) -> DataFrame:
-    """items(id, added_at, text, failed) with content_hash and status.
+    """items(id, added_at, text, failed, ...) with content_hash and status, without text.
 
     Of equal contents the newest that doesn't fail is worked on (ties: the larger id), the others are DUPLICATE. The winner
     of each hash is found by an aggregate with partial sums, so that a content of any number of copies is no hot spot.
     """
-    rows = items.withColumn("content_hash", content_hash(F.coalesce(F.col("text"), F.lit(""))))
-    winners = rows.where(~F.col("failed")).groupBy("content_hash").agg(F.max(F.struct("added_at", "id"))["id"].alias("winner"))
-    empty = F.size(clean_lines(F.coalesce(F.col("text"), F.lit("")))) == 0
-    status = F.when(F.col("failed"), "FAILED").when(F.col("winner") != F.col("id"), "DUPLICATE").when(empty, "NO_TEXT").otherwise("INDEXED")
-    return rows.join(winners, "content_hash", "left").withColumn("status", status).drop("winner")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    # Texts stay behind: only their hashes, and whether they have any line, are joined.
+    rows = items.withColumns({"content_hash": content_hash(text), "empty": F.size(clean_lines(text)) == 0, "salt": salt}).drop("text")
+    winners = rows.where(~F.col("failed")).groupBy("content_hash").agg(F.max(F.struct("added_at", "id"))["id"].alias("winner"), F.count("*").alias("n"))
+    copied = winners.where("n > 1").select("content_hash", "winner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    status = F.when(F.col("failed"), "FAILED").when(F.col("winner") != F.col("id"), "DUPLICATE").when(F.col("empty"), "NO_TEXT").otherwise("INDEXED")
+    return rows.join(copied, ["content_hash", "salt"], "left").withColumn("status", status).drop("winner", "empty", "salt")
 
 
 def scan(files: DataFrame, most: int = MOST_FILES) -> DataFrame:
@@ -78,9 +81,3 @@ def retry_failed(items: DataFrame) -> DataFrame:
 def outdated(items: DataFrame, version: int) -> DataFrame:
     """Indexed items whose facts were read by older rules."""
     return items.where((F.col("status") == "INDEXED") & (F.col("facts_version") < version))
-
-
-def upper_median(column: str) -> Column:
-    """The upper one of the two middle values; null without values. An array aggregate, for bounded groups."""
-    sorted_ = F.array_sort(F.collect_list(column))
-    return F.get(sorted_, F.floor(F.size(sorted_) / 2).cast("int"))

@@ -6,10 +6,10 @@ paid_time, reference, problem and decision.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_CONFIDENCE = 0.6
+LEAST_CONFIDENCE, SALTS = 0.6, 16
 
 
 def payee_key(name: Column) -> Column:
@@ -31,19 +31,22 @@ def dedupe_key() -> Column:
 def buckets(payments: DataFrame) -> DataFrame:
     """payments with bucket, duplicate_of and amounts_differ.
 
-    Only rows with a key are windowed, so that those without one never meet in a task.
+    Of records of one payment one counts: decided to be included, else of the surest amount, else of the least id. It is an
+    aggregate of each key, with partial sums; only keys of several records are joined back, each in SALTS rows.
     """
     readable = F.col("problem").isNull() & F.col("amount_paise").isNotNull() & F.col("paid_date").isNotNull()
     spending = (F.col("outcome") == "SUCCESS") & (F.col("direction") == "PAID")
     rows = payments.withColumn("first", F.when(~readable, "UNREADABLE").when(~spending, "NOT_SPENDING")).withColumn("key", F.when(F.col("first").isNull(), dedupe_key()))
-    order = Window.partitionBy("key").orderBy((F.coalesce("decision", F.lit("")) == "INCLUDE").desc(), F.desc("amount_confidence"), "id")
-    keyed = rows.where("key is not null").withColumn("of", F.first("id").over(order)).withColumn("of_amount", F.first("amount_paise").over(order))
-    single = rows.where("key is null").withColumn("of", F.col("id")).withColumn("of_amount", F.col("amount_paise"))
-    all_ = keyed.unionByName(single)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    place = F.struct((F.coalesce("decision", F.lit("")) != "INCLUDE").alias("a"), (-F.col("amount_confidence")).alias("b"), F.col("id").alias("c"))
+    best = rows.where("key is not null").groupBy("key").agg(F.min_by(F.struct("id", "amount_paise"), place).alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = best.select("key", F.col("best.id").alias("of"), F.col("best.amount_paise").alias("of_amount"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    all_ = rows.join(best, ["key", "salt"], "left")
     decided = F.when(F.col("first").isNotNull(), F.col("first")).when(F.col("of") != F.col("id"), "DUPLICATE").when(F.col("decision") == "EXCLUDE", "EXCLUDED")
     bucket = decided.when((F.col("decision") == "INCLUDE") | (F.col("amount_confidence") >= LEAST_CONFIDENCE), "COUNTED").otherwise("NEEDS_CHECK")
     double = F.col("bucket") == "DUPLICATE"
-    return all_.withColumn("bucket", bucket).withColumn("duplicate_of", F.when(double, F.col("of"))).withColumn("amounts_differ", F.when(double, F.col("amount_paise") != F.col("of_amount"))).drop("first", "key", "of", "of_amount")
+    out = all_.withColumn("bucket", bucket).withColumn("duplicate_of", F.when(double, F.col("of"))).withColumn("amounts_differ", F.when(double, F.col("amount_paise") != F.col("of_amount")))
+    return out.select(*payments.columns, "bucket", "duplicate_of", "amounts_differ")
 
 
 def month() -> Column:
@@ -81,7 +84,7 @@ def indian_grouping(number: Column) -> Column:
 def money(paise: Column) -> Column:
     """Rupees with Indian grouping; decimals only where there are paise."""
     rest = F.lpad((F.abs(paise) % 100).cast("string"), 2, "0")
-    whole = F.floor(F.abs(paise) / 100).cast("string")
+    whole = F.call_function("div", F.abs(paise), F.lit(100)).cast("string")  # whole numbers: doubles hold 53 bits only
     text = F.when(paise % 100 == 0, indian_grouping(whole)).otherwise(F.concat(indian_grouping(whole), F.lit("."), rest))
     return F.concat(F.lit("₹"), F.when(paise < 0, F.lit("-")).otherwise(F.lit("")), text)
 

@@ -9,34 +9,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquery.functions import names as N
+from folioquery.operators.requests import SETTINGS_NOISE
+from folioquery.sources.store import spread
 
-MOST_REQUESTS = 10_000
+#: Requests, or else labels, that are sent to every task; where both are more, they meet in pairs of blocks.
+MOST_SENT, BLOCKS = 10_000, 16
 
 
-def scored(labels: DataFrame, requests: list[tuple[int, str]], columns: list[str], score, least: float) -> DataFrame:
-    """query_id, score and the columns of labels that score least or more for a request.
-
-    Requests travel with the task - at most MOST_REQUESTS - and labels stay where they are; only hits leave a task.
-    """
-    if len(requests) > MOST_REQUESTS:
-        raise ValueError(f"more than {MOST_REQUESTS} requests; ask in batches")
-    schema = labels.select(F.lit(0).cast("long").alias("query_id"), F.lit(0.0).alias("score"), *columns).schema
+def scored(labels: DataFrame, requests: DataFrame | list[tuple[int, str]], columns: list[str], score, least: float) -> DataFrame:
+    """query_id, score and the columns of labels that score least or more for one of requests(query_id, text). Only hits leave a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    spark = labels.sparkSession
+    asked = spark.createDataFrame(requests, "query_id long, text string") if isinstance(requests, list) else requests.select(F.col("query_id").cast("long"), F.col("text").cast("string"))
+    labels = labels.select(*columns)
+    schema = labels.select(F.lit(0).cast("long").alias("query_id"), F.lit(0.0).alias("score"), *columns).schema
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                for query_id, text in requests:
-                    s = score(text, *row)
-                    if s >= least - 1e-12:
-                        out.append((query_id, s, *row))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+    def hits(texts, rows) -> pa.Table:
+        out = [(query_id, s, *row) for row in rows for query_id, text in texts if (s := score(text, *row)) >= least - 1e-12]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)] if out else [pa.array([], f.type) for f in arrow], schema=arrow)
 
-    return labels.select(*columns).mapInArrow(run, schema)
+    def each(batches: Iterator[pa.RecordBatch], few: list[tuple], sent_labels: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = list(zip(*(c.to_pylist() for c in batch.columns)))
+            yield from (hits(own, few) if sent_labels else hits(few, own)).to_batches()
+
+    few = [tuple(r) for r in asked.limit(MOST_SENT + 1).collect()]
+    if len(few) <= MOST_SENT:
+        return labels.mapInArrow(lambda batches: each(batches, few, False), schema)
+    known = [tuple(r) for r in labels.limit(MOST_SENT + 1).collect()]
+    if len(known) <= MOST_SENT:
+        return spread(asked).mapInArrow(lambda batches: each(batches, known, True), schema)
+    every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)).cast("int").alias("_i"), every.alias("_j"))
+    right = labels.select("*", F.pmod(F.xxhash64(*columns), F.lit(BLOCKS)).cast("int").alias("_j"), every.alias("_i"))
+    rows = lambda table, names: list(zip(*(table[c].to_pylist() for c in names))) if len(table) else []
+    meet = lambda a, b: hits(rows(a, ["query_id", "text"]), rows(b, columns))
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(meet, schema)
 
 
 def best(hits: DataFrame, limit: int, *ties: str) -> DataFrame:
@@ -44,13 +54,13 @@ def best(hits: DataFrame, limit: int, *ties: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def search_apps(apps: DataFrame, requests: list[tuple[int, str]], limit: int = 4) -> DataFrame:
+def search_apps(apps: DataFrame, requests: DataFrame | list[tuple[int, str]], limit: int = 4) -> DataFrame:
     """apps(label, package, component)"""
     hits = scored(apps.dropDuplicates(["component"]), requests, ["label", "package", "component"], lambda q, label, package, _: N.app_score(q, label, package), 0.7)
     return best(hits, limit, "label", "component")
 
 
-def search_contacts(contacts: DataFrame, requests: list[tuple[int, str]], limit: int = 4) -> DataFrame:
+def search_contacts(contacts: DataFrame, requests: DataFrame | list[tuple[int, str]], limit: int = 4) -> DataFrame:
     """contacts(id, name, number); of equal id and last ten digits the best name counts."""
     hits = scored(contacts.dropna(subset=["name", "number"]), requests, ["id", "name", "number"], lambda q, _, name, __: N.contact_score(q, name), 0.8)
     tail = F.substring(F.regexp_replace("number", "[^0-9]", ""), -10, 10)
@@ -58,15 +68,16 @@ def search_contacts(contacts: DataFrame, requests: list[tuple[int, str]], limit:
     return best(hits.withColumn("one", F.row_number().over(one)).where("one = 1").drop("one"), limit, "name", "id")
 
 
-def search_settings(settings: DataFrame, requests: list[tuple[int, str]], limit: int = 2) -> DataFrame:
-    """settings(label, action, names): requests under four letters have to be a name as it stands."""
+def search_settings(settings: DataFrame, requests: DataFrame | list[tuple[int, str]], limit: int = 2) -> DataFrame:
+    """settings(label, action, names): words around a name don't count; under four letters it has to be a name as it stands."""
 
     def score(q: str, label: str, action: str, known: list[str]) -> float:
-        text = " ".join((q or "").split()).lower()
-        if not text or len(text) > 40 or len(text.split()) > 3:
+        kept = [w for w in (q or "").lower().split() if w not in SETTINGS_NOISE]
+        text = " ".join(kept)
+        if not 0 < len(kept) <= 3 or len(q) > 40 or len(text) < 2:
             return 0.0
         if len(text) < 4:
-            return float(text in {x.lower() for x in known})
+            return float(max((N.name_score(text, x) for x in known), default=0.0) >= 1.0)
         return max((N.name_score(text, x) for x in known), default=0.0)
 
     return best(scored(settings, requests, ["label", "action", "names"], score, 0.85), limit, "label")

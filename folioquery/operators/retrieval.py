@@ -1,15 +1,28 @@
-"""Hybrid retrieval for batches of queries: BM25 over prefix terms, cosine top-k, reciprocal rank fusion, one row per item."""
+"""Hybrid retrieval for batches of queries: BM25 over prefix terms, cosine top-k, reciprocal rank fusion, one row per item.
+
+The inverted index is stored once, in the order of terms (build_index), so that a search reads the row groups of its tokens
+only; chunks that aren't stored are indexed as they are searched.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import clean_lines, query_terms, words
 
 K1, B, RRF_K, DEPTH = 1.2, 0.75, 60, 50
+#: A chunk's id is its item's id times this, and its place; an item of more chunks raises an error.
+CHUNKS_AN_ITEM = 1 << 20
+#: Tokens that are pushed down to the scan of the index, and query vectors that are sent to every task; more are joined.
+PUSHED_TOKENS, SENT_VECTORS = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -42,7 +55,31 @@ def chunk(documents: DataFrame, id_column: str, text_column: str, budget: int =
 
     finish = lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
     rows = documents.select(F.col(id_column).alias("item_id"), F.posexplode(F.aggregate(pieces, empty, add, finish)).alias("ordinal", "text"))
-    return rows.select((F.col("item_id") * 1000 + F.col("ordinal")).alias("chunk_id"), "item_id", "ordinal", "text")
+    checked = F.when(F.col("ordinal") < CHUNKS_AN_ITEM, F.col("ordinal")).otherwise(F.raise_error(F.lit("an item has too many chunks")).cast("int"))
+    return rows.select((F.col("item_id") * CHUNKS_AN_ITEM + checked).alias("chunk_id"), "item_id", "ordinal", "text")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index: chunks(chunk_id, item_id, ordinal, text), postings by term, statistics (one row)."""
+
+    chunks: DataFrame
+    postings: DataFrame
+    statistics: DataFrame
+
+
+def build_index(chunks: DataFrame, folder: str, exact_mean: bool = False) -> Index:
+    """Writes chunks, postings and statistics into folder; the postings in the order of terms."""
+    spark = chunks.sparkSession
+    chunks.write.parquet(f"{folder}/chunks")
+    own = spark.read.parquet(f"{folder}/chunks")
+    postings(own).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
+    statistics(own, exact_mean).write.parquet(f"{folder}/statistics")
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("chunks", "postings", "statistics")))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -63,19 +100,24 @@ def prefix_hits(index: DataFrame, queries: DataFrame, options: SearchOptions = B
     The theta join of tokens and terms becomes an equi-join: a term is joined by its beginnings, of the lengths that tokens have.
     """
     asked = queries.select("query_id", query_terms(F.col("text"), extended=options.extended).alias("t")).select("query_id", F.size("t").alias("phrases"), F.explode("t").alias("token"))
+    tokens = [r["token"] for r in asked.select("token").distinct().limit(PUSHED_TOKENS + 1).collect()]
+    if len(tokens) <= PUSHED_TOKENS:  # the scan of a stored index skips what holds none of them
+        index = index.where(reduce(lambda a, b: a | b, (F.col("term").startswith(t) for t in tokens), F.lit(False)))
+        asked = F.broadcast(asked) if queries.limit(PUSHED_TOKENS + 1).count() <= PUSHED_TOKENS else asked
     lengths = asked.agg(F.collect_set(F.length("token")).alias("lengths"))  # one row of a few numbers
     starts = index.join(F.broadcast(lengths)).select("term", "chunk_id", "len", "tf", F.explode(F.filter("lengths", lambda n: n <= F.length("term"))).alias("n"))
     starts = starts.select("chunk_id", "len", "tf", F.col("term").substr(F.lit(1), F.col("n")).alias("token"))
     return starts.join(asked, "token").groupBy("query_id", "phrases", "token", "chunk_id", "len").agg(F.sum("tf").alias("hits"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, options: SearchOptions = BASELINE, depth: int = DEPTH) -> DataFrame:
+def bm25(chunks: DataFrame | Index, queries: DataFrame, options: SearchOptions = BASELINE, depth: int = DEPTH) -> DataFrame:
     """The keyword leg: query_id, chunk_id, score, matched, rank - best first, ties to the smaller chunk_id."""
-    hits = prefix_hits(postings(chunks), queries, options)
+    stored = isinstance(chunks, Index)
+    hits = prefix_hits(chunks.postings if stored else postings(chunks), queries, options)
     df = hits.groupBy("query_id", "token").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = idf * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.join(df, ["query_id", "token"]).join(F.broadcast(statistics(chunks))).groupBy("query_id", "phrases", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    scored = hits.join(df, ["query_id", "token"]).join(F.broadcast(chunks.statistics if stored else statistics(chunks))).groupBy("query_id", "phrases", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
     least = F.greatest(F.lit(1), F.least(F.greatest(F.lit(1), F.col("phrases")), F.ceil(F.col("phrases") * options.coverage - 1e-9)))
     return ranked(scored.where(F.col("matched") >= least), depth).select("query_id", "chunk_id", "score", "matched", "rank")
 
@@ -90,13 +132,37 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFrame:
+def cosine(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH, model: str | None = None) -> DataFrame:
     """The meaning leg: vectors(chunk_id, vector), queries(query_id, vector), all of unit length; other lengths are skipped.
 
-    Every query meets every vector; a partition keeps each query's best before anything is shuffled.
+    Up to SENT_VECTORS queries go to every task, which multiplies them with its vectors and keeps each query's best; more
+    meet the vectors in blocks. With model, only vectors whose column model says so take part.
     """
-    pairs = queries.select("query_id", F.col("vector").alias("q")).join(vectors.select("chunk_id", F.col("vector").alias("v")), F.size("q") == F.size("v"))
-    return ranked(pairs.select("query_id", "chunk_id", dot(F.col("q"), F.col("v")).alias("score")), depth)
+    vectors = vectors.where(F.col("model") == model) if model is not None else vectors
+    asked = [r for r in queries.select("query_id", "vector").limit(SENT_VECTORS + 1).collect() if r["vector"] and None not in r["vector"]]
+    if len(asked) > SENT_VECTORS:
+        return cosine_in_blocks(vectors, queries, depth)
+    by_size: dict[int, tuple[list, np.ndarray]] = {}
+    for n in {len(r["vector"]) for r in asked}:
+        own = [r for r in asked if len(r["vector"]) == n]
+        by_size[n] = [r["query_id"] for r in own], np.array([r["vector"] for r in own], np.float64)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            sizes = np.diff(column.offsets.to_numpy())
+            for n, (ids, q) in by_size.items():
+                own = column.filter(pa.array((sizes == n) & column.is_valid().to_numpy(zero_copy_only=False)))
+                if not len(own):
+                    continue
+                chunk = batch.column(0).filter(pa.array((sizes == n) & column.is_valid().to_numpy(zero_copy_only=False))).to_numpy()
+                score = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n) @ q.T
+                for k, query_id in enumerate(ids):
+                    first = np.lexsort((chunk, -np.round(score[:, k], 9)))[:depth] if len(chunk) > depth else np.arange(len(chunk))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), query_id)), pa.array(chunk[first]), pa.array(score[first, k])], names=["query_id", "chunk_id", "score"])
+
+    found = vectors.select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(best, "query_id long, chunk_id long, score double")
+    return ranked(found.where("NOT isnan(score)"), depth)
 
 
 def cosine_in_blocks(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH, blocks: int = 16) -> DataFrame:
@@ -108,25 +174,57 @@ def cosine_in_blocks(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH,
     return ranked(pairs.select("query_id", "chunk_id", dot(F.col("q"), F.col("v")).alias("score")), depth)
 
 
-def fuse(keyword: DataFrame, meaning: DataFrame, options: SearchOptions = BASELINE) -> DataFrame:
-    """Reciprocal rank fusion: query_id, chunk_id, score, keyword_rank, meaning_rank, meaning_score."""
+def fuse(keyword: DataFrame | None, meaning: DataFrame | None, options: SearchOptions = BASELINE) -> DataFrame:
+    """Reciprocal rank fusion: query_id, chunk_id, score, keyword_rank, meaning_rank, meaning_score; in a mode of one leg, that leg with its scores."""
+    if options.mode != "MERGED":  # a leg by itself keeps its own scores
+        by_words = options.mode == "KEYWORDS"
+        rank, none, nothing = F.col("rank"), F.lit(None).cast("int"), F.lit(None).cast("double")
+        return (keyword if by_words else meaning).select("query_id", "chunk_id", "score", (rank if by_words else none).alias("keyword_rank"), (none if by_words else rank).alias("meaning_rank"), (nothing if by_words else F.col("score")).alias("meaning_score"))
     a = keyword.select("query_id", "chunk_id", F.lit(options.keyword_weight).alias("w"), F.col("rank").alias("k"), F.lit(None).cast("int").alias("m"), F.lit(None).cast("double").alias("s"))
     b = meaning.select("query_id", "chunk_id", F.lit(1.0).alias("w"), F.lit(None).cast("int").alias("k"), F.col("rank").alias("m"), F.col("score").alias("s"))
-    both = a.unionByName(b) if options.mode == "MERGED" else a if options.mode == "KEYWORDS" else b
     score = F.sum(F.col("w") / (RRF_K + F.coalesce("k", "m")))
-    return both.groupBy("query_id", "chunk_id").agg(score.alias("score"), F.max("k").alias("keyword_rank"), F.max("m").alias("meaning_rank"), F.max("s").alias("meaning_score"))
+    return a.unionByName(b).groupBy("query_id", "chunk_id").agg(score.alias("score"), F.max("k").alias("keyword_rank"), F.max("m").alias("meaning_rank"), F.max("s").alias("meaning_score"))
 
 
-def per_item(fused: DataFrame, chunks: DataFrame, limit: int = 20, depth: int = DEPTH) -> DataFrame:
+def per_item(fused: DataFrame, chunks: DataFrame | Index, limit: int = 20, depth: int = DEPTH) -> DataFrame:
     """The best chunk of each item, over the first depth fused chunks: query_id, rank, item_id, chunk_id, score and ranks."""
+    chunks = chunks.chunks if isinstance(chunks, Index) else chunks
     first = ranked(fused, depth).drop("rank").join(chunks.select("chunk_id", "item_id"), "chunk_id")
     best = Window.partitionBy("query_id", "item_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     one = first.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
     return ranked(one, limit).select("query_id", F.col("rank"), "item_id", "chunk_id", "score", "keyword_rank", "meaning_rank", "meaning_score")
 
 
-def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, options: SearchOptions = BASELINE, limit: int = 20) -> DataFrame:
+def search(chunks: DataFrame | Index, vectors: DataFrame, queries: DataFrame, options: SearchOptions = BASELINE, limit: int = 20) -> DataFrame:
     """queries(query_id, text, vector): a blank text finds nothing; without terms only the meaning leg answers."""
     real = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    keyword, meaning = bm25(chunks, real, options), cosine(vectors, real)
+    keyword = bm25(chunks, real, options) if options.mode != "MEANING" else None
+    meaning = cosine(vectors, real) if options.mode != "KEYWORDS" else None
     return per_item(fuse(keyword, meaning, options), chunks, limit)
+
+
+@dataclass
+class Timings:
+    """Milliseconds of each stage of a search, and how many chunks it went over."""
+
+    stages: dict[str, float] = field(default_factory=dict)
+    chunks_searched: int = 0
+
+
+def timed_search(index: Index, vectors: DataFrame, queries: DataFrame, options: SearchOptions = BASELINE, limit: int = 20) -> tuple[list, Timings]:
+    """The rows of search() for a few queries, each stage run to its end by itself and timed."""
+    out = Timings(chunks_searched=int(index.statistics.first()["n"]))
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        began = time.perf_counter()
+        rows = df.toArrow()  # DEPTH rows for each query at most
+        out.stages[name] = 1000 * (time.perf_counter() - began)
+        return df.sparkSession.createDataFrame(rows, df.schema)
+
+    real = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    keyword = stage("keywords", bm25(index, real, options)) if options.mode != "MEANING" else None
+    meaning = stage("meaning", cosine(vectors, real)) if options.mode != "KEYWORDS" else None
+    fused = stage("fusion", fuse(keyword, meaning, options))
+    found = stage("items", per_item(fused, index, limit))
+    out.stages["total"] = sum(out.stages.values())
+    return found.collect(), out

@@ -25,21 +25,44 @@ def spending(texts: DataFrame) -> DataFrame:
     return own.select("query_id", number.alias("month_number"), year.alias("year"), relative.alias("relative"))
 
 
-def route(texts: DataFrame, today: str, apps: DataFrame | None = None, contacts: DataFrame | None = None, settings: DataFrame | None = None) -> DataFrame:
-    """texts(query_id, text) -> query_id, kinds (in order, joined by commas), detail. A blank text goes nowhere."""
+def route(texts: DataFrame, today: str, apps: DataFrame | None = None, contacts: DataFrame | None = None, settings: DataFrame | None = None, mode: str = "MERGED") -> DataFrame:
+    """texts(query_id, text) -> query_id, kinds (in order, joined by commas), detail, understood. A blank text goes nowhere."""
     spark = texts.sparkSession
     rows = texts.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).withColumn("calc", scalars.calculate(F.col("text"), today))
-    rows = rows.join(spending(texts).select("query_id", F.lit(True).alias("spends")), "query_id", "left")
+    rows = rows.join(spending(texts).select("query_id", F.lit(True).alias("spends"), "relative", "month_number"), "query_id", "left")
     rows = rows.join(answers.classify(texts).select("query_id", F.col("kind").alias("asked")), "query_id", "left")
-    rows = rows.join(scalars.commands(texts).select("query_id").distinct().withColumn("commands", F.lit(True)), "query_id", "left")
-    requests = [(r["query_id"], r["text"]) for r in texts.where("text is not null").select("query_id", "text").limit(names.MOST_REQUESTS + 1).collect()]
+    rows = rows.join(scalars.commands(texts).groupBy("query_id").agg(F.min("kind").alias("commanded"), F.lit(True).alias("commands")), "query_id", "left")
+    requests = texts.where("text is not null").select("query_id", "text")
     for column, table, search in (("app", apps, names.search_apps), ("contact", contacts, names.search_contacts), ("setting", settings, names.search_settings)):
-        hits = search(table, requests) if table is not None else spark.createDataFrame([], "query_id long")
-        rows = rows.join(hits.select(F.col("query_id")).distinct().withColumn(column, F.lit(True)), "query_id", "left")
+        hits = search(table, requests) if table is not None else spark.createDataFrame([], "query_id long, rank int, label string, name string")
+        label = F.min_by(F.col("name" if column == "contact" else "label"), "rank")
+        rows = rows.join(hits.groupBy("query_id").agg(label.alias(f"{column}_label"), F.lit(True).alias(column)), "query_id", "left")
     files = F.lit("FILE_SEARCH")
     several = F.concat_ws(",", F.when(F.col("commands"), "COMMAND"), F.when(F.col("setting"), "SETTINGS"), F.when(F.col("contact"), "CONTACT"), F.when(F.col("app"), "APP"), files)
     kinds = F.when(F.col("text") == "", "").when(F.col("calc.kind").isNotNull(), "CALCULATOR").when(F.col("spends"), F.concat(F.lit("SPENDING,"), files)).when(F.col("asked").isNotNull(), F.concat(F.lit("QUESTION,"), files)).otherwise(several)
-    return rows.select("query_id", kinds.alias("kinds"), F.coalesce(F.col("calc.primary"), F.col("asked")).alias("detail"))
+    return rows.select("query_id", kinds.alias("kinds"), F.coalesce(F.col("calc.primary"), F.col("asked")).alias("detail"), understood(kinds, mode).alias("understood"))
+
+
+# What a kind of question asks for, and how each mode of search looks.
+ASKED_FOR = {"AMOUNT": "an amount", "DATE": "a date", "PHONE": "a phone number", "ADDRESS": "an address"}
+HOW = {"MERGED": "by words and by meaning", "MEANING": "by meaning only", "KEYWORDS": "by exact words only"}
+
+
+def understood(kinds: Column, mode: str) -> Column:
+    """How the text was read, in plain words; over the columns that route() joins."""
+    calc = F.when(F.col("calc.kind") == "FAILED", "This looks like a calculation, but it cannot be worked out.").when(F.col("calc.kind") == "RATE_PROPOSAL", "You typed an exchange rate. Nothing is saved unless you choose to save it.").otherwise("A calculation, worked out on this phone.")
+    scope = F.when(F.col("relative") == "THIS_MONTH", "this month").when(F.col("relative") == "LAST_MONTH", "last month").when(F.col("month_number").isNotNull(), "the month you named").otherwise("all months")
+    spending_ = F.concat(F.lit("A spending question: adding up the payment screenshots that could be read for "), scope, F.lit(". Matching files are listed too."))
+    what = F.create_map(*[F.lit(x) for pair in ASKED_FOR.items() for x in pair])[F.col("asked")]
+    question = F.concat(F.lit("A question asking for "), what, F.lit(": looking in your files, and answering from the best match only if it is clearly the right one."))
+    name = lambda column, text: F.when(F.col(column).isNotNull(), F.concat(F.lit(f"the {text} “"), F.col(column), F.lit("”")))
+    names_ = F.concat_ws(" or ", name("setting_label", "settings screen"), name("contact_label", "contact"), name("app_label", "app"))
+    files = F.concat(F.lit("ooking in your files for “"), F.col("text"), F.lit(f"”, {HOW[mode]}."))
+    command = F.concat(F.lit("Reads this as a request to set "), F.when(F.col("commanded") == "ALARM", "an alarm").otherwise("a timer"), F.lit(". Nothing is set until you confirm."))
+    return (
+        F.when(F.col("text") == "", F.lit(None)).when(F.col("calc.kind").isNotNull(), calc).when(F.col("spends"), spending_).when(F.col("asked").isNotNull(), question)
+        .when((kinds == "COMMAND,FILE_SEARCH"), command).when(names_ != "", F.concat(F.lit("Matches "), names_, F.lit(". Also l"), files)).otherwise(F.concat(F.lit("L"), files))
+    )
 
 
 def actions(facts: DataFrame, today: str) -> DataFrame:

@@ -4,27 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioquery.functions.ranks import nearest_rank
+from folioquery.operators import answers as A
 from folioquery.operators import evaluation as E
+from folioquery.operators import facts as X
+from folioquery.operators import ledger as L
 from folioquery.operators import retrieval as R
+from folioquery.plans.queries_answers import questions
+from folioquery.plans.queries_facts import texts
+from folioquery.plans.queries_ledger import SQL_LEDGER, payments
 from folioquery.plans.registry import query
+from folioquery.sources.store import kept, new_folder, signature
 from folioquery.sources.tables import table
 
 SQL_Q = """
 v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, list_dot_product(q.v, v.v) AS score FROM v q, v WHERE q.vec_id < 40 AND q.vec_id <> v.vec_id),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, list_dot_product(q.v, v.v) AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM s QUALIFY rank <= 20),
 f AS (SELECT query_id, min(rank) AS first FROM r JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = item_id WHERE a.label = b.label GROUP BY query_id),
-q AS (SELECT vec_id AS query_id, label % 3 AS style FROM v WHERE vec_id < 40)
+q AS (SELECT vec_id AS query_id, label % 3 AS style FROM v WHERE vec_id % 100 = 0)
 """
 
 
 @query("retrieval_quality", "WITH " + SQL_Q + "SELECT style, count(*) AS queries, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr FROM q LEFT JOIN f USING (query_id) GROUP BY style")
 def retrieval_quality(spark, sf):
     v = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
-    asked = v.where("vec_id < 40")
+    asked = v.where("vec_id % 100 = 0")
     found = R.cosine(v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 21)
     found = R.ranked(found.drop("rank").where("query_id <> chunk_id"), 20).select("query_id", "rank", F.col("chunk_id").alias("item_id"))
-    relevant = asked.select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("item_id"), "label"), "label").select("query_id", "item_id")
+    of_query, of_item = (d.select(F.col("vec_id").alias(c), "label") for d, c in ((asked, "query_id"), (v, "item_id")))
+    relevant = found.select("query_id", "item_id").join(of_query, "query_id").join(of_item, ["item_id", "label"]).select("query_id", "item_id")
     scored = E.quality(found, relevant, asked.select(F.col("vec_id").alias("query_id"), (F.col("label") % 3).alias("style")))
     return scored.select("style", "queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr")])
 
@@ -42,7 +51,7 @@ def quality_by_mode(spark, sf):
     asked = asking.join(opening, "vec_id", "left").select(F.col("vec_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("embedding").alias("vector"))
     own = R.chunk(documents, "doc_id", "text")
     keyword = R.bm25(own, asked.select("query_id", "text"))
-    meaning = R.cosine_in_blocks(v.select((F.col("vec_id") * 1000).alias("chunk_id"), F.col("embedding").alias("vector")), asked.select("query_id", "vector"))
+    meaning = R.cosine_in_blocks(v.select((F.col("vec_id") * R.CHUNKS_AN_ITEM).alias("chunk_id"), F.col("embedding").alias("vector")), asked.select("query_id", "vector"))
     of_query, of_item = (d.select(F.col("vec_id").alias(c), "label") for d, c in ((asking, "query_id"), (v, "item_id")))
     styles = asking.select(F.col("vec_id").alias("query_id"), (F.col("label") % 3).alias("style"))
     scored = None
@@ -55,23 +64,95 @@ def quality_by_mode(spark, sf):
     return scored
 
 
-@query("character_errors", "SELECT lang, count(*) AS texts, round(avg(least(1.0, levenshtein(substr(text, 1, 80), replace(substr(text, 1, 80), 'e', 'c')) / length(substr(text, 1, 80)))), 6) AS error FROM documents WHERE length(text) > 0 GROUP BY lang")
+@query("character_errors")
 def errors(spark, sf):
-    head = F.substring("text", 1, 80)  # what a damaged reading is made of
-    rows = table(spark, sf, "documents", "lang", "text").where(F.length("text") > 0).select("lang", head.alias("truth"), F.translate(head, "e", "c").alias("text"))
-    return E.character_errors(rows).withColumn("error", F.round("error", 6))
-
-
-@query("character_errors_whole")
-def whole_errors(spark, sf):
-    """As character_errors, over whole texts; DuckDB's levenshtein is too slow for them."""
+    """Over whole texts, which DuckDB's levenshtein is too slow for."""
     rows = table(spark, sf, "documents", "lang", "text").where(F.length("text") > 0).select("lang", F.col("text").alias("truth"), F.translate("text", "e", "c").alias("text"))
-    return E.whole_character_errors(rows).withColumn("error", F.round("error", 6))
+    return E.character_errors(rows).withColumn("error", F.round("error", 6))
 
 
 @query("latency_percentiles", "SELECT event_type, list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95, list_sort(list(value))[CAST(round_even(0.5 * (count(*) - 1), 0) AS BIGINT) + 1] AS p50 FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def percentiles(spark, sf):
-    return table(spark, sf, "events", "event_type", "value").where("value is not null").groupBy("event_type").agg(E.nearest_rank("value", 95).alias("p95"), E.nearest_rank("value", 50).alias("p50"))
+    rows = table(spark, sf, "events", "event_type", "value")
+    return nearest_rank(rows, ["event_type"], "value", 95, "p95").join(nearest_rank(rows, ["event_type"], "value", 50, "p50"), "event_type")
+
+
+SQL_STYLE = "(['en', 'hi', 'te', 'rt', 'mix'])[1 + CAST(o_orderkey % 5 AS INT)]"
+
+
+@query("language_split", f"WITH q AS (SELECT o_orderkey AS query_id, {SQL_STYLE} AS style, (['en', 'hi', 'te'])[1 + CAST(o_custkey % 3 AS INT)] AS target_lang, 1 + o_orderkey % 7 AS first FROM orders), s AS (SELECT *, CASE WHEN (style IN ('en', 'rt', 'mix') AND target_lang = 'en') OR (style = target_lang AND style IN ('hi', 'te')) THEN 'same' ELSE 'cross' END AS side FROM q) SELECT side AS style, count(*) AS queries, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(1.0 / first), 6) AS mrr FROM s GROUP BY side")
+def languages(spark, sf):
+    """Rankings whose relevant item stands at a place known from the order."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey")
+    q = o.select(F.col("o_orderkey").alias("query_id"), F.element_at(F.array(*map(F.lit, ("en", "hi", "te", "rt", "mix"))), (1 + F.col("o_orderkey") % 5).cast("int")).alias("style"), F.element_at(F.array(*map(F.lit, ("en", "hi", "te"))), (1 + F.col("o_custkey") % 3).cast("int")).alias("target_lang"))
+    rankings = o.select(F.col("o_orderkey").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("rank")).withColumn("item_id", F.col("rank"))
+    relevant = o.select(F.col("o_orderkey").alias("query_id"), (1 + F.col("o_orderkey") % 7).cast("int").alias("item_id"))
+    scored = E.language_split(rankings, relevant, q)
+    return scored.select("style", "queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr")])
+
+
+@query("ledger_truth_by_month", SQL_LEDGER + ", t0 AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY id) AS n FROM payments WHERE outcome = 'SUCCESS' AND direction = 'PAID' AND reference IS NOT NULL AND amount_paise IS NOT NULL AND paid_date IS NOT NULL), t AS (SELECT substr(paid_date, 1, 7) AS month, sum(amount_paise) AS truth_paise FROM t0 WHERE n = 1 GROUP BY 1), c AS (SELECT month, sum(amount_paise) AS counted_paise FROM counted GROUP BY month) SELECT month, CAST(coalesce(truth_paise, 0) AS BIGINT) AS truth_paise, CAST(coalesce(counted_paise, 0) AS BIGINT) AS counted_paise, round(CASE WHEN truth_paise > 0 THEN coalesce(counted_paise, 0) / truth_paise END, 6) AS share FROM t FULL JOIN c USING (month)")
+def truth_by_month(spark, sf):
+    own = payments(spark, sf).where("amount_paise IS NOT NULL AND paid_date IS NOT NULL").withColumnRenamed("amount_paise", "paise")
+    counted = L.buckets(payments(spark, sf)).where("bucket = 'COUNTED'").select(F.col("amount_paise").alias("paise"), "paid_date")
+    return E.ledger_by_month(own, counted).withColumn("share", F.round("share", 6))
+
+
+@query("answer_outcomes", "SELECT style, count(*) FILTER (r = 'correct') AS correct, count(*) FILTER (r = 'wrong') AS wrong, count(*) FILTER (r = 'made_up') AS made_up, count(*) FILTER (r = 'declined') AS declined, count(*) FILTER (r = 'not_a_question') AS not_a_question FROM (SELECT 's' || o_custkey % 4 AS style, CASE WHEN o_orderkey % 6 = 0 THEN 'not_a_question' WHEN o_orderkey % 6 = 1 THEN 'declined' WHEN o_orderkey % 5 = 0 THEN 'made_up' WHEN o_orderkey % 3 = 0 THEN 'wrong' ELSE 'correct' END AS r FROM orders) GROUP BY style")
+def answered(spark, sf):
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey")
+    expected = o.selectExpr("o_orderkey AS query_id", "concat('s', o_custkey % 4) AS style", "CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS STRING) END AS value")
+    given = o.where("o_orderkey % 6 <> 0").selectExpr("o_orderkey AS query_id", "CASE WHEN o_orderkey % 6 = 1 THEN 'DECLINED' ELSE 'FOUND' END AS outcome", "CASE WHEN o_orderkey % 6 <> 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'other' ELSE CAST(o_custkey AS STRING) END END AS value")
+    return E.outcomes(given, expected)
+
+
+@query("fact_hit_rates", "SELECT 'DATE' AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS lang, count(*) AS facts, round(avg(CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE 1.0 END), 6) AS share FROM orders GROUP BY 2")
+def hits(spark, sf):
+    """Dates read from texts made of orders, against truth that is another day for each fourth."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderdate")
+    truth = o.selectExpr("o_orderkey AS item_id", "'DATE' AS kind", "concat(date_format(CASE WHEN o_orderkey % 4 = 0 THEN date_add(CAST(o_orderdate AS DATE), 1) ELSE CAST(o_orderdate AS DATE) END, 'yyyy-MM-dd'), CASE WHEN o_orderkey % 3 < 2 THEN date_format(o_orderdate, \"'T'HH:mm\") ELSE '' END) AS value", "CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS lang")
+    return E.hit_rates(X.facts(texts(spark, sf)), truth).withColumn("share", F.round("share", 6))
+
+
+MODES = ["OFF", "LOOKALIKE", "GUARD", "ALTERNATIVE"]
+
+
+@query("amount_outcomes", "SELECT mode, count(*) AS items, count(*) FILTER (good) AS correct_confident, 0 AS correct_flagged, 0 AS wrong_confident, 0 AS wrong_flagged, count(*) FILTER (NOT good) AS none, count(*) FILTER (good) AS offered, 0 AS regressed, 0 AS false_flags FROM (SELECT unnest(['OFF', 'LOOKALIKE', 'GUARD', 'ALTERNATIVE']) AS mode, o_orderkey % 3 = 0 AS good FROM orders) GROUP BY mode")
+def amounts(spark, sf):
+    """Amounts of one line, which two of three texts don't show, in each mode of reading."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_totalprice")
+    shown = o.selectExpr("o_orderkey AS item_id", "CASE WHEN o_orderkey % 3 = 0 THEN concat('Amount: ₹', format_number(o_totalprice, 2)) ELSE 'Amount: none' END AS text")
+    truth = o.selectExpr("o_orderkey AS item_id", "regexp_replace(regexp_replace(format_number(o_totalprice, 2), ',', ''), '[.]?0+$', '') AS value")
+    read = None
+    for mode in MODES:
+        one = X.facts(shown, mode).where("kind = 'AMOUNT'").select(F.lit(mode).alias("mode"), "item_id", "value", "confidence", "line")
+        read = one if read is None else read.unionByName(one)
+    return E.amount_outcomes(E.judged_amounts(read, truth))
+
+
+@query("variant_sweep")
+def sweep(spark, sf):
+    """Five variants of retrieval by four answer gates, over questions about texts made of orders; a row each."""
+    own = texts(spark, sf)
+    chunks = own.select(F.col("item_id").alias("chunk_id"), "item_id", "text")
+    index = kept(spark, ("orders-index", *signature(spark, f"{sf}/orders.parquet")), lambda: R.build_index(chunks, new_folder(spark, "orders-index")))
+    asked = questions(spark)
+    classes = A.classify(asked).where("kind is not null")
+    df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    n = int(index.statistics.first()["n"])
+
+    def search(extended, coverage, weight):
+        found = R.bm25(index, asked, R.SearchOptions(extended=extended, coverage=coverage, keyword_weight=weight), 10)
+        best = found.where("rank = 1").join(index.chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "text")
+        return best, found.agg(F.countDistinct("query_id").alias("found"), F.round(F.avg("matched"), 6).alias("matched"))
+
+    def judge(best, grounded, function_words, generic_words):
+        rows = best.join(classes, "query_id").select("query_id", "topic", "text")
+        if not grounded:
+            return spark.createDataFrame([(0,)], "declined long")
+        return A.ungrounded(rows, df, n, function_words, generic_words).agg(F.count("*").alias("declined"))
+
+    return E.sweep(search, judge)
 
 
 @query("choose_variant", "SELECT 'S2' AS variant, 0.74 AS metric, 0.90 AS guard")

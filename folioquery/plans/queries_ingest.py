@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioquery.functions.ranks import upper_median
 from folioquery.functions.text import clean_lines
 from folioquery.operators import ingest as I
 from folioquery.plans.registry import query
@@ -106,4 +107,6 @@ def replace(spark, sf):
 
 @query("text_lengths", "SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars, quantile_disc(n_chars, 0.0) AS least, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS upper_median FROM documents GROUP BY source")
 def lengths(spark, sf):
-    return table(spark, sf, "documents", "source", "text", "n_chars").groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.min("n_chars").alias("least"), I.upper_median("n_chars").alias("upper_median"))
+    rows = table(spark, sf, "documents", "source", "text", "n_chars")
+    sums = rows.groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.min("n_chars").alias("least"))
+    return sums.join(upper_median(rows, ["source"], "n_chars", "upper_median"), "source", "left")

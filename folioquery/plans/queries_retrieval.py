@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioquery.functions.text import explanation, highlights, query_terms, shared_text, snippet
 from folioquery.operators import retrieval as R
 from folioquery.plans.registry import query
+from folioquery.sources.store import kept, new_folder, signature, spread
 from folioquery.sources.tables import table
 
 # Queries by number: text, and the vec_id whose vector stands for its meaning.
@@ -27,7 +28,7 @@ packed AS (
     SELECT l.doc_id, l.i, l.text, l.n, CASE WHEN r.filled + l.n > 256 THEN r.ordinal + 1 ELSE r.ordinal END, CASE WHEN r.filled + l.n > 256 THEN l.n ELSE r.filled + l.n END
     FROM r JOIN line l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
   SELECT * FROM r),
-chunks AS (SELECT doc_id * 1000 + ordinal AS chunk_id, doc_id AS item_id, ordinal, string_agg(text, chr(10) ORDER BY i) AS text FROM packed GROUP BY doc_id, ordinal)
+chunks AS (SELECT doc_id * 1048576 + ordinal AS chunk_id, doc_id AS item_id, ordinal, string_agg(text, chr(10) ORDER BY i) AS text FROM packed GROUP BY doc_id, ordinal)
 """
 SQL_KEYWORD = SQL_CHUNKS + rf""",
 q(query_id, text, vec_id) AS (VALUES {VALUES}),
@@ -42,7 +43,7 @@ gated AS (SELECT * FROM scored WHERE matched >= greatest(1, least(greatest(1, ph
 keyword AS (SELECT * FROM (SELECT query_id, chunk_id, score, matched, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM gated) WHERE rank <= 50)
 """
 SQL_MEANING = """,
-v AS (SELECT vec_id * 1000 AS chunk_id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+v AS (SELECT vec_id * 1048576 AS chunk_id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 meant AS (SELECT q.query_id, v.chunk_id, list_dot_product(own.v, v.v) AS score FROM q JOIN v own ON own.vec_id = q.vec_id, v),
 meaning AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM meant) WHERE rank <= 50)
 """
@@ -69,11 +70,16 @@ def texts(spark):
 
 
 def chunks(spark, sf):
-    return R.chunk(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+    return R.chunk(spread(table(spark, sf, "documents", "doc_id", "text")), "doc_id", "text")
+
+
+def index(spark, sf):
+    """The stored index of the documents' chunks, built once for a table as it is."""
+    return kept(spark, ("index", *signature(spark, f"{sf}/documents.parquet")), lambda: R.build_index(chunks(spark, sf), new_folder(spark, "search-index")))
 
 
 def vectors(spark, sf):
-    return table(spark, sf, "embeddings", "vec_id", "embedding").select((F.col("vec_id") * 1000).alias("chunk_id"), F.col("embedding").alias("vector"))
+    return table(spark, sf, "embeddings", "vec_id", "embedding").select((F.col("vec_id") * R.CHUNKS_AN_ITEM).alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
 @query("chunk_documents", "WITH RECURSIVE " + SQL_CHUNKS + "SELECT chunk_id, item_id, ordinal, text FROM chunks")
@@ -94,12 +100,12 @@ def term_statistics(spark, sf):
 
 @query("bm25", keyword_sql(0.0) + "SELECT query_id, chunk_id, round(score, 6) AS score, matched, rank FROM keyword")
 def keyword(spark, sf):
-    return R.bm25(chunks(spark, sf), texts(spark)).withColumn("score", F.round("score", 6))
+    return R.bm25(index(spark, sf), texts(spark)).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_gated", keyword_sql(0.5) + "SELECT query_id, chunk_id, round(score, 6) AS score, matched, rank FROM keyword")
 def keyword_gated(spark, sf):
-    return R.bm25(chunks(spark, sf), texts(spark), R.RECOMMENDED).withColumn("score", F.round("score", 6))
+    return R.bm25(index(spark, sf), texts(spark), R.RECOMMENDED).withColumn("score", F.round("score", 6))
 
 
 @query("cosine_top_k", f"WITH q(query_id, text, vec_id) AS (VALUES {VALUES})" + SQL_MEANING + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM meaning")
@@ -109,29 +115,48 @@ def meaning(spark, sf):
 
 @query("rank_fusion", keyword_sql(0.0) + SQL_MEANING + SQL_FUSED + "SELECT query_id, chunk_id, round(score, 9) AS score, keyword_rank, meaning_rank FROM fused")
 def fused(spark, sf):
-    own = R.fuse(R.bm25(chunks(spark, sf), texts(spark)), R.cosine(vectors(spark, sf), asked(spark, sf)))
+    own = R.fuse(R.bm25(index(spark, sf), texts(spark)), R.cosine(vectors(spark, sf), asked(spark, sf)))
     return own.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "keyword_rank", "meaning_rank")
 
 
 @query("hybrid_search", keyword_sql(0.5) + SQL_MEANING + SQL_FUSED + SQL_ITEMS + "SELECT query_id, rank, item_id, chunk_id, round(score, 9) AS score, keyword_rank, meaning_rank FROM items")
 def hybrid(spark, sf):
-    found = R.search(chunks(spark, sf), vectors(spark, sf), asked(spark, sf), R.RECOMMENDED)
+    found = R.search(index(spark, sf), vectors(spark, sf), asked(spark, sf), R.RECOMMENDED)
     return found.select("query_id", "rank", "item_id", "chunk_id", F.round("score", 9).alias("score"), "keyword_rank", "meaning_rank")
 
 
+@query("search_by_words", keyword_sql(0.5) + ", fused AS (SELECT query_id, chunk_id, score, rank AS keyword_rank FROM keyword)" + SQL_ITEMS + "SELECT query_id, rank, item_id, chunk_id, round(score, 6) AS score, keyword_rank FROM items")
+def by_words(spark, sf):
+    found = R.search(index(spark, sf), vectors(spark, sf), asked(spark, sf), R.SearchOptions(coverage=0.5, mode="KEYWORDS"))
+    return found.select("query_id", "rank", "item_id", "chunk_id", F.round("score", 6).alias("score"), "keyword_rank")
+
+
+@query("search_by_meaning", "WITH RECURSIVE " + SQL_CHUNKS + f", q(query_id, text, vec_id) AS (VALUES {VALUES})" + SQL_MEANING + ", fused AS (SELECT query_id, chunk_id, score, rank AS meaning_rank FROM meaning)" + SQL_ITEMS + "SELECT query_id, rank, item_id, chunk_id, round(score, 6) AS score, meaning_rank FROM items")
+def by_meaning(spark, sf):
+    found = R.search(index(spark, sf), vectors(spark, sf), asked(spark, sf), R.SearchOptions(mode="MEANING"))
+    return found.select("query_id", "rank", "item_id", "chunk_id", F.round("score", 6).alias("score"), "meaning_rank")
+
+
+@query("search_timings")
+def timings(spark, sf):
+    """Stages of one search with their milliseconds, and the number of chunks searched."""
+    _, found = R.timed_search(index(spark, sf), vectors(spark, sf), asked(spark, sf), R.RECOMMENDED)
+    return spark.createDataFrame([(name, ms, found.chunks_searched) for name, ms in found.stages.items()], "stage string, ms double, chunks_searched long")
+
+
 @query("search_snippets")
 def snippets(spark, sf):
     """Text to show for each keyword hit."""
-    own = chunks(spark, sf)
-    found = R.bm25(own, texts(spark), R.RECOMMENDED, 10).join(own, "chunk_id").join(texts(spark).withColumnRenamed("text", "asked"), "query_id")
+    own = index(spark, sf)
+    found = R.bm25(own, texts(spark), R.RECOMMENDED, 10).join(own.chunks, "chunk_id").join(texts(spark).withColumnRenamed("text", "asked"), "query_id")
     return found.select("query_id", "rank", "chunk_id", snippet(F.col("text"), query_terms(F.col("asked"))).alias("snippet"))
 
 
 @query("search_explanations")
 def explained(spark, sf):
     """Each hit's text, the places to highlight and why it was found."""
-    own = chunks(spark, sf)
-    found = R.search(own, vectors(spark, sf), asked(spark, sf), R.RECOMMENDED, 5).join(own.select("chunk_id", "text"), "chunk_id").join(texts(spark).withColumnRenamed("text", "asked"), "query_id")
+    own = index(spark, sf)
+    found = R.search(own, vectors(spark, sf), asked(spark, sf), R.RECOMMENDED, 5).join(own.chunks.select("chunk_id", "text"), "chunk_id").join(texts(spark).withColumnRenamed("text", "asked"), "query_id")
     shown = found.withColumn("shown", snippet(F.col("text"), query_terms(F.col("asked")))).withColumn("spans", highlights(F.col("shown"), query_terms(F.col("asked"))))
     why = explanation(F.col("shown"), F.col("spans"), F.col("keyword_rank"), F.col("meaning_rank"), F.lit("photo"), F.lit(None).cast("date"))
     return shown.select("query_id", "rank", "shown", F.size("spans").alias("n_spans"), why.alias("why"))

@@ -26,7 +26,7 @@ def test_character_errors_of_whole_texts(spark):
     rows = spark.createDataFrame([(str(k), a, b) for k, (a, b) in enumerate(pairs)], "lang string, truth string, text string")
     clean = lambda t: " ".join(t.replace("\u200c", "").replace("\u200d", "").split())
     want = {str(k): min(1.0, edits(clean(a), clean(b)) / max(1, len(clean(a)))) for k, (a, b) in enumerate(pairs)}
-    assert {r.lang: r.error for r in evaluation.whole_character_errors(rows).collect()} == pytest.approx(want)
+    assert {r.lang: r.error for r in evaluation.character_errors(rows).collect()} == pytest.approx(want)
 
 
 def test_retrieval_quality_asks_in_three_modes_over_the_whole_table(spark, sf):
