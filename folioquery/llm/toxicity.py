@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from folioquery.llm import counting
 from folioquery.llm.pretok import WordTable, _tables, chunks, texts_of
-from folioquery.llm.shared import struct, written
+from folioquery.llm.shared import scratch, struct, written
 
 BITS = 20
 PREFIXES = (4, 5, 6)
 #: Bounds of the sample that the classifier is fitted on, in rows, and tasks that read it.
 MOST_POSITIVE, MOST_UNLABELLED, SAMPLE_TASKS = 6_000, 15_000, 8
-#: A feature takes part if its share of toxic texts is so many times that of unlabelled ones, in so many texts.
-LEAST_LIFT, LEAST_TEXTS = 3.0, 4
+#: A feature takes part if its share of toxic texts is so many times that of the others, and it stands in so many texts.
+LEAST_LIFT, LEAST_TEXTS = 10.0, 4
 THRESHOLD, HELD_OUT_FOLD, FOLDS = 0.7, 1, 3
 STEPS, RATE, RIDGE = 400, 0.1, 1e-5
 
@@ -61,12 +61,19 @@ def features(texts: list[str], chosen: np.ndarray | None = None) -> list[np.ndar
     return np.split(flat, np.searchsorted(doc, np.arange(1, len(texts)))) if len(texts) else []
 
 
-def choose(p: np.ndarray, u: np.ndarray, n: int, m: int) -> np.ndarray:
-    """Features whose share of the n positive texts (p: counts) is LEAST_LIFT times that of the m unlabelled ones (u), and 3 to
-    8 standard errors above it, more with more texts."""
+def choose(p: np.ndarray, u: np.ndarray, n: int, m: int, prior: float) -> np.ndarray:
+    """Features that stand out in the n positive texts (p: counts) against the m unlabelled ones (u).
+
+    Their share must be LEAST_LIFT times that of what is left of the unlabelled texts once the class prior's part of positive
+    ones is taken out, and above the unlabelled share by more than chance would let any of the features be: by
+    sqrt(2 ln features) standard errors, and by up to 8 with more texts.
+    """
     pooled = (p + u + 1) / (n + m + 2)
     z = (p / n - u / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
-    return np.flatnonzero((p >= LEAST_TEXTS) & (z >= np.clip(0.2 * np.sqrt(n), 3, 8)) & (p / n >= LEAST_LIFT * u / m))
+    tried = p >= LEAST_TEXTS
+    least = np.clip(0.2 * np.sqrt(n), np.sqrt(2 * np.log(max(2, np.count_nonzero(tried)))), 8)
+    others = np.maximum(0, u / m - prior * p / n) / (1 - prior) + 0.5 / m
+    return np.flatnonzero(tried & (z >= least) & (p / n >= LEAST_LIFT * others))
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float) -> tuple[np.ndarray, float]:
@@ -141,7 +148,7 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarr
     total = counting.summed(drawn.mapInArrow(count, counting.SCHEMA), 2 * (size + counting.SLICE)).reshape(2, -1)
     if not total[1, size] or not 0 < prior < 1:
         return np.zeros(0, np.int64), np.zeros(0), 5.0 if prior == 1 else -5.0
-    chosen = choose(total[1, :size], total[0, :size], int(total[1, size]), max(1, int(total[0, size])))
+    chosen = choose(total[1, :size], total[0, :size], int(total[1, size]), max(1, int(total[0, size])), prior)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(size, bool)
@@ -164,7 +171,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, scored: DataFrame | None =
     predicted (1 from THRESHOLD); with carried, the whole row besides, as a struct named row. Null and empty texts get the
     score of a text without features. Repeated rows are scored each; other columns are ignored; an empty table gives no rows.
     """
-    chosen, weights, intercept = train(documents, labels)
+    with scratch(documents.sparkSession):
+        chosen, weights, intercept = train(documents, labels)
     model = {"at": chosen.astype(np.int32), "weights": weights}
     scored = documents if scored is None else scored
     own = scored.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"), *([F.struct(*scored.columns).alias("row")] if carried else []))
