@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm.shared import written
+from folioquery.llm.shared import scratch, written
 
 #: Distinct keys of a bucket; slots that a directory has at first for each full bucket, as a power of two; bits of a key.
 CAPACITY, FINER, MOST_BITS = 4096, 3, 62
@@ -45,7 +45,12 @@ def directory(keys: DataFrame, rows: int, capacity: int = CAPACITY) -> tuple[Dat
 
     slot: the first bits of a key, where there are keys; bucket: the least slot of the bucket; depth: its own bits.
     """
-    bits = max(1, math.ceil(math.log2(max(2, rows) / capacity)) + FINER)
+    with scratch(keys.sparkSession):
+        return doubled(keys, max(1, math.ceil(math.log2(max(2, rows) / capacity)) + FINER), capacity)
+
+
+def doubled(keys: DataFrame, bits: int, capacity: int) -> tuple[DataFrame, int]:
+    """directory(), with this many bits at least."""
     while True:  # with more bits if a slot is itself overfull, as keys that share many bits are
         slots = written(keys.groupBy(first_bits(F.col("key"), bits, 64).alias("slot")).agg(F.count("*").alias("n")), "directory-slots")
         fullest = slots.agg(F.max("n")).first()[0] or 0
@@ -63,7 +68,7 @@ def directory(keys: DataFrame, rows: int, capacity: int = CAPACITY) -> tuple[Dat
     buckets = roots.unionByName(below)
     found = depths.select("slot", "depth", first_bits(F.col("slot"), F.col("depth"), bits).alias("prefix")).join(buckets, ["depth", "prefix"])
     bucket = F.call_function("shiftleft", F.col("prefix"), (F.lit(bits) - F.col("depth")).cast("int"))
-    return written(found.select("slot", bucket.alias("bucket"), "depth"), "directory"), bits
+    return written(found.select("slot", bucket.alias("bucket"), "depth"), "directory", keep=1), bits
 
 
 def placed(rows: DataFrame, slots: DataFrame, bits: int) -> DataFrame:

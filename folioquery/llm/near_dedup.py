@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folioquery.llm import counting
 from folioquery.llm.pretok import _tables, chunks, hashed_words, texts_of
-from folioquery.llm.shared import struct, written
+from folioquery.llm.shared import scratch, struct, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
@@ -88,7 +88,7 @@ def document_frequencies(documents: DataFrame) -> np.ndarray:
         for batch in batches:
             texts, sizes = texts_of(batch.column(0))
             total[COUNTERS] += len(texts)
-            for i, j in chunks(sizes, 2 << 20):
+            for i, j in chunks(sizes, 1 << 19):
                 total[:COUNTERS] += np.bincount(counter(np.concatenate([h for h, _ in shingles(texts[i:j])])), minlength=COUNTERS)
         yield counting.sliced(total)
 
@@ -135,7 +135,7 @@ def sketch(texts: DataFrame, rare: np.ndarray) -> DataFrame:
             nodes = batch.column(0).to_pylist()
             batch = batch.take(pa.array(sorted({n: k for k, n in enumerate(nodes)}.values()), pa.int64()))
             texts, sizes = texts_of(batch.column(1))
-            for i, j in chunks(sizes, 2 << 20):
+            for i, j in chunks(sizes, 1 << 20):
                 sets = shingles(texts[i:j])
                 some = [k for k, (h, _) in enumerate(sets) if len(h)]
                 if not some:
@@ -224,7 +224,7 @@ def verified(needed: DataFrame, texts: DataFrame, rare: np.ndarray) -> DataFrame
         for batch in batches:
             texts, sizes = texts_of(batch.column(7))
             keys = [batch.column(k).to_pylist() for k in range(7)]
-            for i, j in chunks(sizes, 1 << 20):
+            for i, j in chunks(sizes, 1 << 19):
                 out = []
                 for k, (hashes, tf) in zip(range(i, j), shingles(texts[i:j])):
                     now = tuple(c[k] for c in keys[:4])
@@ -343,13 +343,14 @@ def near_dedup(documents: DataFrame, row: str | None = None) -> DataFrame:
     extra = [F.col(row).alias("row")] if row else []
     docs = documents.select(F.col("doc_id").cast("long"), *extra, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = docs.select(node.alias("node"), "text")
-    rows = written(docs.select("doc_id", *(["row"] if row else []), node.alias("node")), "nodes")
-    rare = document_frequencies(docs)
-    members = buckets(written(sketch(texts, rare), "sketches"))
-    classes = components(verified(with_pivots(members), texts, rare))
-    classes = merged(classes, verified(between_classes(members, classes), texts, rare))
     own = ["doc_id", "node", *(["row"] if row else [])]
-    known = written(rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "classed")
+    with scratch(documents.sparkSession):
+        rows = written(docs.select("doc_id", *(["row"] if row else []), node.alias("node")), "nodes")
+        rare = document_frequencies(docs)
+        members = buckets(written(sketch(texts, rare), "sketches"))
+        classes = components(verified(with_pivots(members), texts, rare))
+        classes = merged(classes, verified(between_classes(members, classes), texts, rare))
+        known = written(rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "classed", keep=1)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), *own)
     firsts = known.groupBy("class").agg(F.min(first).alias("first"), F.count("*").alias("class_size"))
     # A class may hold most rows, all of one text: its entry stands in each salt, and its rows are salted by doc_id.

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = 1, 2, 3, 0, 4
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 #: Distinct words whose ids a Python worker remembers; beyond it the table starts anew.
 KNOWN_WORDS = 300_000

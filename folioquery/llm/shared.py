@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +29,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
+#: For each block of scratch() that is open, the tables written in it.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written in the block are deleted at its end, save those to keep, which are left to the block around it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, name: str, keep: int = 0) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage and outlives executors. keep: beyond so many blocks of scratch()."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    outer = _open[: max(0, len(_open) - keep)]
+    if outer:
+        outer[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
