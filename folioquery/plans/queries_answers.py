@@ -8,7 +8,9 @@ from folioquery.operators import answers as A
 from folioquery.operators import facts as X
 from folioquery.operators import retrieval as R
 from folioquery.plans.queries_facts import texts
+from folioquery.plans.queries_ledger import sql_grouped
 from folioquery.plans.registry import query
+from folioquery.sources.tables import table
 
 ASKED = [(1, "how much did I pay to shop abc"), (2, "when did I pay shop bcd"), (3, "amount 500"), (4, "what is the amount paid to shop cde?"), (5, "how much did I spend last month"), (6, "phone number of shop def"), (7, "photos of the beach"), (8, "कितना पैसा दिया"), (9, "how much did I pay for zeppelin")]
 EXPECTED = [(1, "AMOUNT"), (2, "DATE"), (3, None), (4, "AMOUNT"), (5, None), (6, "PHONE"), (7, None), (8, "AMOUNT"), (9, "AMOUNT")]
@@ -48,3 +50,17 @@ def answered(spark, sf):
 def shown(spark, sf):
     rows = [(1, "AMOUNT", "123456.5"), (2, "DATE", "2026-09-05T18:45"), (3, "DATE", "--02-29"), (4, "PHONE", "+919876543210"), (5, "ADDRESS", "Plot 5, Main Road"), (6, "AMOUNT", "about 12")]
     return spark.createDataFrame(rows, "id int, kind string, value string").select("id", A.display(F.col("kind"), F.col("value")).alias("shown"))
+
+
+@query("questions_classified", "SELECT o_orderkey AS query_id, CASE o_orderkey % 7 WHEN 0 THEN 'AMOUNT' WHEN 1 THEN 'DATE' WHEN 2 THEN 'PHONE' WHEN 3 THEN 'ADDRESS' WHEN 4 THEN 'AMOUNT' END AS kind FROM orders")
+def kinds(spark, sf):
+    """Questions made of the orders' numbers, by what they ask for; spending and plain words ask for nothing."""
+    typed = table(spark, sf, "orders", "o_orderkey", "o_custkey").selectExpr("o_orderkey AS query_id", "CASE o_orderkey % 7 WHEN 0 THEN concat('how much was bill ', o_custkey) WHEN 1 THEN concat('when is bill ', o_custkey, ' due') WHEN 2 THEN concat('phone number of shop ', o_custkey) WHEN 3 THEN concat('address of shop ', o_custkey) WHEN 4 THEN concat('what is the total of ', o_custkey, '?') WHEN 5 THEN concat('how much did I spend at ', o_custkey) ELSE concat('photos of trip ', o_custkey) END AS text")
+    return A.classify(typed).select("query_id", "kind")
+
+
+@query("facts_displayed", f"WITH w AS (SELECT o_orderkey, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS p, CAST(CAST(round(o_totalprice * 100) AS BIGINT) // 100 AS VARCHAR) AS w FROM orders) SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN '₹' || {sql_grouped('w')} || CASE WHEN p % 100 = 0 THEN '' ELSE '.' || lpad(CAST(p % 100 AS VARCHAR), 2, '0') END WHEN 1 THEN strftime(o_orderdate, '%-d %b %Y') ELSE '+91 98765 ' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') END AS shown FROM w")
+def displayed(spark, sf):
+    """Amounts, dates and phone numbers of the orders as they are shown."""
+    rows = table(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_totalprice").selectExpr("o_orderkey AS id", "CASE o_orderkey % 3 WHEN 0 THEN 'AMOUNT' WHEN 1 THEN 'DATE' ELSE 'PHONE' END AS kind", "CASE o_orderkey % 3 WHEN 0 THEN regexp_replace(regexp_replace(format_number(o_totalprice, 2), ',', ''), '[.]00$', '') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM-dd') ELSE concat('+9198765', lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')) END AS value")
+    return rows.select("id", A.display(F.col("kind"), F.col("value")).alias("shown"))

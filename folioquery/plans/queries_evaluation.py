@@ -158,3 +158,10 @@ def sweep(spark, sf):
 @query("choose_variant", "SELECT 'S2' AS variant, 0.74 AS metric, 0.90 AS guard")
 def variant(spark, sf):
     return E.choose_variant(spark.createDataFrame([("B0", 0.69, 0.90), ("S1", 0.80, 0.85), ("S2", 0.74, 0.90), ("S3", 0.74, 0.95)], "variant string, metric double, guard double"), "B0")
+
+
+@query("variant_chosen", "WITH s AS (SELECT 'v' || o_custkey % 9 AS variant, round(avg(o_totalprice), 4) AS metric, CAST(count(*) AS DOUBLE) AS guard FROM orders GROUP BY 1) SELECT variant, metric, guard FROM s WHERE guard >= (SELECT guard FROM s WHERE variant = 'v0') ORDER BY metric DESC, variant LIMIT 1")
+def chosen(spark, sf):
+    """Of nine variants whose figures come from the orders, the best whose guard isn't below the first one's."""
+    scores = table(spark, sf, "orders", "o_custkey", "o_totalprice").groupBy(F.concat(F.lit("v"), (F.col("o_custkey") % 9).cast("string")).alias("variant")).agg(F.round(F.avg("o_totalprice"), 4).alias("metric"), F.count("*").cast("double").alias("guard"))
+    return E.choose_variant(scores, "v0")

@@ -95,7 +95,13 @@ def split(spark, sf):
     return ledger(spark, sf).where("bucket = 'NOT_SPENDING'").groupBy((F.col("outcome") != "SUCCESS").alias("not_successful")).agg(F.count("*").alias("payments"))
 
 
-@query("money_format")
+def sql_grouped(whole: str) -> str:
+    """Indian grouping of a whole number's text in DuckDB: the last three digits, and pairs before them."""
+    head = f"substr({whole}, 1, length({whole}) - 3)"
+    return f"CASE WHEN length({whole}) <= 3 THEN {whole} ELSE ltrim(reverse(regexp_replace(reverse({head}), '(..)', '\\1,', 'g')), ',') || ',' || right({whole}, 3) END"
+
+
+@query("money_format", SQL_LEDGER + f", w AS (SELECT id, amount_paise AS p, CAST(abs(amount_paise) // 100 AS VARCHAR) AS w FROM payments WHERE amount_paise IS NOT NULL) SELECT id, '₹' || CASE WHEN p < 0 THEN '-' ELSE '' END || {sql_grouped('w')} || CASE WHEN p % 100 <> 0 THEN '.' || lpad(CAST(abs(p) % 100 AS VARCHAR), 2, '0') ELSE '' END AS shown FROM w")
 def money(spark, sf):
     return payments(spark, sf).where("amount_paise is not null").select("id", L.money(F.col("amount_paise")).alias("shown"))
 
