@@ -45,6 +45,11 @@ def kept(spark: SparkSession, key: tuple, make: Callable[[], object]) -> object:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many tasks as there are cores, for work that costs far more than moving a row: a small table is often one row group."""
+    """df over at least as many tasks as there are cores, for work that costs far more than moving a row: a small table is often one row group.
+
+    Only what is read without a shuffle is looked at; counting the partitions of another plan would run it.
+    """
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
