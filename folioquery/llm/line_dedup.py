@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.llm import counting
 from folioquery.llm.pretok import Words, chunks, texts_of
-from folioquery.llm.shared import struct, written
+from folioquery.llm.shared import scratch, struct, written
 
 SIMILAR_NUM, SIMILAR_DEN = 4, 5  # 0.8, in whole numbers
 COUNTERS = 1 << 20
@@ -36,9 +37,13 @@ COUNTERS = 1 << 20
 LEAST_SIZE = 4
 #: A word is frequent from so many lines on; its list is split by the next shared word.
 FREQUENT = 1 << 14
-#: Sets of a list that are verified at once; postings and pairs that a task holds before it passes them on.
-BLOCK, HELD, PAIRS = 2048, 1 << 20, 1 << 15
-SALTS, CHUNK = 16, 2 << 20
+#: Sets of a block of a list, and their words; postings that a task holds before it passes them on.
+BLOCK, BLOCK_WORDS, HELD = 2048, 1 << 17, 1 << 20
+#: Words that are looked up at once; sets of a list from which on they are compared by a matrix of words, and its cells.
+LOOKED_UP, MANY, CELLS = 1 << 19, 24, 1 << 22
+#: Bytes of text that are verified at once, besides what belongs to the group of the last of them.
+VERIFIED = 1 << 20
+SALTS, CHUNK = 16, 1 << 18
 #: Bits of the filter for lines whose text is needed: so many for each, and at most.
 BITS_A_LINE, MOST_BITS = 16, 1 << 26
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -68,8 +73,14 @@ class Sets:
     """The sets of words of lines, each in the order of rarity: hashes of all words, and where each line's begin and end."""
 
     def __init__(self, words: Words, lines: int, often: np.ndarray | None = None):
-        rarity = np.zeros(len(words.hashes), np.int64) if often is None else often[counter(words.hashes)]
-        order = np.lexsort((words.hashes, rarity, words.line))
+        rarity = np.zeros(len(words.hashes), np.int64) if often is None else np.minimum(often[counter(words.hashes)], (1 << 24) - 1)
+        # One number has line, rarity and the first bits of the hash; where that ties different words, the whole hash decides.
+        bits = max(1, lines).bit_length()
+        place = words.line.astype(np.uint64) << np.uint64(64 - bits) | rarity.astype(np.uint64) << np.uint64(40 - bits) | words.hashes >> np.uint64(24 + bits)
+        order = np.argsort(place)
+        tied = place[order[1:]] == place[order[:-1]]
+        if (words.hashes[order[1:][tied]] != words.hashes[order[:-1][tied]]).any():
+            order = np.lexsort((words.hashes, rarity, words.line))
         line, flat = words.line[order], words.hashes[order]
         new = np.append(True, (line[1:] != line[:-1]) | (flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
         self.order, self.line, self.flat = order[new], line[new], flat[new]
@@ -112,28 +123,39 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def postings_of(sets: Sets, often: np.ndarray, chosen: np.ndarray, key: np.ndarray, many: int) -> np.ndarray:
-    """The postings of the chosen sets' prefixes; a word of so many lines is frequent."""
-    parities = sets.parities()
+def listed_words(sets: Sets, often: np.ndarray, chosen: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, second) places in sets of the words that name the lists of the chosen sets; a plain word stands in both.
+
+    A word of many lines goes with each of the words that may be the next shared one.
+    """
     spare = sets.size - -(-SIMILAR_NUM * sets.size // SIMILAR_DEN)  # words that a similar set may lack
     at = np.flatnonzero(chosen[sets.line] & (sets.position <= spare[sets.line]))
     frequent = often[counter(sets.flat[at])] >= many
     plain, hot = at[~frequent], at[frequent]
-    # With a frequent word go the words that may be the next shared one.
     room = spare[sets.line[hot]] + 1 - sets.position[hot]
     ends = np.cumsum(room)
     first = np.repeat(hot, room)
-    second = first + 1 + np.arange(len(first)) - np.repeat(ends - room, room)
-    out = np.empty(len(plain) + len(first), POSTING)
-    out["list"] = np.append(list_of(sets.flat[plain]), list_of(sets.flat[first], sets.flat[second]))
-    last = np.append(plain, second)
-    row = sets.line[last]
-    out["position"] = np.append(sets.position[plain], sets.position[second] - 1)
-    before = last - 1
-    before[len(plain) :] -= before[len(plain) :] == first
-    inside = before >= sets.begin[row]
-    out["before"] = np.where(inside, sets.flat[before], np.uint64(0))
-    out["size"], out["key"], out["parities"] = sets.size[row], key[row], parities[row]
+    return np.append(plain, first), np.append(plain, first + 1 + np.arange(len(first)) - np.repeat(ends - room, room))
+
+
+def lists_of(sets: Sets, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    out = list_of(sets.flat[first])
+    hot = np.flatnonzero(first != second)
+    out[hot] = list_of(sets.flat[first[hot]], sets.flat[second[hot]])
+    return out
+
+
+def postings_of(sets: Sets, often: np.ndarray, chosen: np.ndarray, key: np.ndarray, many: int) -> np.ndarray:
+    """The postings of the chosen sets; a word of so many lines is frequent."""
+    first, second = listed_words(sets, often, chosen, many)
+    row = sets.line[second]
+    out = np.empty(len(first), POSTING)
+    out["list"] = lists_of(sets, first, second)
+    out["position"] = sets.position[second] - (first != second)
+    before = second - 1
+    before -= (before == first) & (first != second)
+    out["before"] = np.where(before >= sets.begin[row], sets.flat[before], np.uint64(0))
+    out["size"], out["key"], out["parities"] = sets.size[row], key[row], sets.parities()[row]
     return out
 
 
@@ -151,13 +173,13 @@ def similar_sizes(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def candidates(postings: np.ndarray) -> np.ndarray:
     """Of lists in the order of list and size, which postings pass the filters with another one of their list."""
     found = np.zeros(len(postings), bool)
-    of, size = postings["list"], postings["size"].astype(np.int64)
+    of, size = postings["list"], np.minimum(postings["size"], (1 << 18) - 1).astype(np.int64)
     live, back = np.arange(len(postings)), 0
     while True:
         back += 1
         live = live[live >= back]
         x = live - back
-        near = (of[x] == of[live]) & (size[x] * SIMILAR_DEN >= size[live] * SIMILAR_NUM)  # sizes ascend: beyond, all are smaller
+        near = (of[x] == of[live]) & (size[x] * SIMILAR_DEN >= size[live] * SIMILAR_NUM)  # sizes ascend up to 2**18, beyond which they count as that
         live, x = live[near], x[near]
         if not len(live):
             return found
@@ -166,7 +188,7 @@ def candidates(postings: np.ndarray) -> np.ndarray:
 
 
 def listed(documents: DataFrame, often: np.ndarray) -> DataFrame:
-    """list, a (key), n (of the list) of the sets that pass the filters with another one."""
+    """list, a (key), blocks (of the list) of the sets that pass the filters with another one."""
     tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * tasks  # so that each task gets about as many
 
@@ -213,16 +235,18 @@ def listed(documents: DataFrame, often: np.ndarray) -> DataFrame:
         if held:
             rows = np.concatenate(held)
             held.clear()
-            rows = rows[np.lexsort((rows["key"], rows["size"], rows["list"]))]
+            place = rows["list"].astype(np.uint64) << np.uint64(32) | np.minimum(rows["size"], (1 << 18) - 1).astype(np.uint64) << np.uint64(14) | (rows["key"] & 0x3FFF).astype(np.uint64)
+            rows = rows[np.argsort(place)]  # a set that isn't beside its own copy is met with it, which does no harm
             rows = rows[np.append(True, (rows["list"][1:] != rows["list"][:-1]) | (rows["key"][1:] != rows["key"][:-1]))]
             rows = rows[candidates(rows)]
             _, place, n = np.unique(rows["list"], return_inverse=True, return_counts=True)
+            blocks = np.maximum(-(-n // BLOCK), -(-np.bincount(place, rows["size"], len(n)).astype(np.int64) // BLOCK_WORDS))
             for k in range(0, len(rows), 100_000):
                 own = rows[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(own["list"].astype(np.int64)), pa.array(own["key"]), pa.array(n[place[k : k + 100_000]])], names=["list", "a", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(own["list"].astype(np.int64)), pa.array(own["key"]), pa.array(blocks[place[k : k + 100_000]].astype(np.int32))], names=["list", "a", "blocks"])
 
     dealt = documents.select("text").mapInArrow(make, struct(part="int", n="long", blob="binary")).repartition(tasks, "part")
-    return dealt.mapInArrow(meet, struct(list="long", a="long", n="long"))
+    return dealt.mapInArrow(meet, struct(list="long", a="long", blocks="int"))
 
 
 def line_slot(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
@@ -262,7 +286,7 @@ def texts_of_lines(documents: DataFrame, needed: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(pick, struct(doc_id="long", line="int", text="string"))
 
 
-def verified(rows: DataFrame, often: np.ndarray) -> DataFrame:
+def verified(rows: DataFrame, often: np.ndarray, many: int) -> DataFrame:
     """a, b, matched, doc_id, line: of the sets in rows, links to earlier ones and the earliest of these, by list.
 
     rows: list, i, j (block pair), own (block), a, b, doc_id, line, text.
@@ -273,87 +297,126 @@ def verified(rows: DataFrame, often: np.ndarray) -> DataFrame:
         """Of whole groups of members, which are in the order of their lines."""
         texts, _ = texts_of(table["text"].combine_chunks())
         number = np.arange(len(texts))
-        words = Words(["".join(" " if c == "\n" else c for c in t) if "\n" in t else t for t in texts])
+        words = Words([t.replace("\n", " ") for t in texts])
         sets = Sets(words, len(texts), often)
         keys = sets.keys()
         a, b, own = (table[c].to_numpy() for c in ("a", "b", "own"))
-        true = (keys[:, 0] == a) & (keys[:, 1] == b)  # rows that repeat a doc_id bring lines of the same number
         group = np.stack([table[c].to_numpy() for c in ("list", "i", "j")], 1)
         start = np.append(True, (group[1:] != group[:-1]).any(axis=1))
         begin = np.flatnonzero(start)[np.cumsum(start) - 1]
         spot = np.stack([table["doc_id"].is_null().to_numpy(), table["doc_id"].fill_null(0).to_numpy(), table["line"].to_numpy()], 1)
         spot = np.cumsum(start | np.append(True, (spot[1:] != spot[:-1]).any(axis=1)))
-        # Where rows of one key come twice, the first counts.
+        # Rows that repeat a doc_id bring other lines of the same number, and of rows of one key the first counts.
+        true = (keys[:, 0] == a) & (keys[:, 1] == b)
         seen = np.lexsort((number, b, a, begin))
         again = np.append(False, (begin[seen[1:]] == begin[seen[:-1]]) & (a[seen[1:]] == a[seen[:-1]]) & (b[seen[1:]] == b[seen[:-1]]) & true[seen[:-1]])
         true[seen[again]] = False
+        # The words that name the list, in each set.
         names = words.numbers()[sets.order]
-        parities = sets.parities()
-        cross, many = group[:, 1] != group[:, 2], int(names.max()) + 1 if len(names) else 1
-        known = np.sort(sets.line * many + names)
-        hot = often[counter(sets.flat)] >= FREQUENT
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        live, back = number[true], 0
-
-        def check(x: np.ndarray, y: np.ndarray) -> None:
-            """Passes on the pairs of members (earlier x, later y) that are similar and count in this list."""
-            for k in range(0, len(x), PAIRS):
-                xs, ys = x[k : k + PAIRS], y[k : k + PAIRS]
+        first, second = listed_words(sets, often, true, many)
+        hit = lists_of(sets, first, second) == group[sets.line[second], 0].astype(np.uint32)
+        first, second = first[hit], second[hit]
+        rows, at = np.unique(sets.line[second], return_index=True)
+        true &= np.isin(number, rows)
+        one, two = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        one[rows], two[rows] = first[at], second[at]
+        name = np.where(true, names[one] * (int(names.max(initial=0)) + 1) + names[two], -1 - number) if len(names) else -1 - number
+        cross = group[:, 1] != group[:, 2]
+        matched, earliest = np.zeros(len(texts), np.int64), np.full(len(texts), len(texts), np.int64)
+
+        def by_look_up(x: np.ndarray, y: np.ndarray) -> None:
+            """Pairs of members (earlier x, later y): each word of y is looked up in x."""
+            top = int(names.max()) + 1
+            known = np.sort(sets.line * top + names)
+            for k, n in chunks(sets.size[y], LOOKED_UP):
+                xs, ys = x[k:n], y[k:n]
                 size = sets.size[ys]
                 pair = np.repeat(np.arange(len(xs)), size)
-                ends = np.cumsum(size)
-                at = sets.begin[ys][pair] + np.arange(len(pair)) - (ends - size)[pair]
-                want = xs[pair] * many + names[at]
-                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want)
-                of, at = pair[hit], at[hit]
+                place = sets.begin[ys][pair] + np.arange(len(pair)) - (np.cumsum(size) - size)[pair]
+                want = xs[pair] * top + names[place]
+                found = np.flatnonzero(known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want)
+                of, place = pair[found], place[found]
                 shared = np.bincount(of, minlength=len(xs))
                 rank = np.arange(len(of)) - (np.cumsum(shared) - shared)[of]
-                first, second = np.zeros(len(xs), np.int64), np.zeros(len(xs), np.int64)
-                first[of[rank == 0]], second[of[rank == 1]] = at[rank == 0], at[rank == 1]
-                home = np.where(hot[first], list_of(sets.flat[first], sets.flat[second]), list_of(sets.flat[first]))
-                ok = shared * SIMILAR_DEN >= (sets.size[xs] + sets.size[ys] - shared) * SIMILAR_NUM
-                ok &= (home == group[ys, 0].astype(np.uint32)) & (shared > 1)
-                found.append((xs[ok], ys[ok]))
-
-        held_x, held_y, held = [], [], 0
+                firsts, seconds = np.full(len(xs), -1), np.full(len(xs), -1)
+                firsts[of[rank == 0]], seconds[of[rank == 1]] = place[rank == 0], place[rank == 1]
+                ok = shared * SIMILAR_DEN >= (sets.size[xs] + size - shared) * SIMILAR_NUM
+                ok &= (firsts == one[ys]) & ((one[ys] == two[ys]) | (seconds == two[ys]))
+                np.add.at(matched, ys[ok], 1)
+                np.minimum.at(earliest, ys[ok], xs[ok])
+
+        def shares(members: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+            """How many of the columns each two members share; row (place among members) and column of each of their words."""
+            _, column, n = np.unique(column, return_inverse=True, return_counts=True)
+            row, column = row[n[column] > 1], np.unique(column[n[column] > 1], return_inverse=True)[1]
+            out = np.zeros((len(members), len(members)), np.float32)
+            step = max(1, CELLS // len(members))
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            for low in range(0, int(column.max(initial=-1)) + 1, step):
+                part = slice(*np.searchsorted(column, [low, low + step]))
+                grid = np.zeros((len(members), step), np.float32)
+                grid[row[part], column[part] - low] = 1
+                out += grid @ grid.T
+            return out
+
+        def by_matrix(members: np.ndarray) -> None:
+            """All pairs of the members of one list, by products of a matrix of members and words."""
+            size = sets.size[members]
+            row = np.repeat(np.arange(len(members)), size)
+            place = sets.begin[members][row] + np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            shared = shares(members, row, names[place])
+            early = (place < two[members][row]) & (place != one[members][row])
+            ok = shares(members, row[early], names[place[early]]) == 0
+            ok &= shared * SIMILAR_DEN >= (size[:, None] + size[None, :] - shared) * SIMILAR_NUM
+            ok &= spot[members][:, None] < spot[members][None, :]
+            if cross[members[0]]:
+                ok &= own[members][:, None] != own[members][None, :]
+            n = ok.sum(axis=0)
+            matched[members] += n
+            earliest[members[n > 0]] = members[ok.argmax(axis=0)[n > 0]]
+
+        # Members of one list and of the same words that name it meet.
+        order = np.lexsort((number, name, begin))
+        order = order[true[order]]
+        cut = np.append(np.flatnonzero(np.append(True, (begin[order[1:]] != begin[order[:-1]]) | (name[order[1:]] != name[order[:-1]]))), len(order)) if len(order) else np.zeros(1, np.int64)
+        sizes = np.diff(cut)
+        for k in np.flatnonzero(sizes >= MANY).tolist():
+            by_matrix(order[cut[k] : cut[k + 1]])
+        low = np.repeat(cut[:-1], sizes)
+        live, back = np.flatnonzero(np.repeat(sizes < MANY, sizes)), 0
+        parities, xs, ys = sets.parities(), [], []
         while True:
             back += 1
-            live = live[live - back >= begin[live]]
+            live = live[live - back >= low[live]]
             if not len(live):
                 break
-            x = live - back
-            s, t = sets.size[x], sets.size[live]
-            ok = true[x] & (spot[x] != spot[live]) & (np.minimum(s, t) * SIMILAR_DEN >= np.maximum(s, t) * SIMILAR_NUM) & (~cross[live] | (own[x] != own[live]))
-            ok &= np.bitwise_count(parities[x] ^ parities[live]) <= s + t - 2 * least_overlap(s, t)
-            held_x.append(x[ok])
-            held_y.append(live[ok])
-            held += len(held_x[-1])
-            if held >= PAIRS:
-                check(np.concatenate(held_x), np.concatenate(held_y))
-                held_x, held_y, held = [], [], 0
-        if held:
-            check(np.concatenate(held_x), np.concatenate(held_y))
-        if not found or not sum(len(x) for x, _ in found):
+            x, y = order[live - back], order[live]
+            s, t = sets.size[x], sets.size[y]
+            ok = (spot[x] != spot[y]) & (np.minimum(s, t) * SIMILAR_DEN >= np.maximum(s, t) * SIMILAR_NUM) & (~cross[y] | (own[x] != own[y]))
+            ok &= np.bitwise_count(parities[x] ^ parities[y]) <= s + t - 2 * least_overlap(s, t)
+            xs.append(x[ok])
+            ys.append(y[ok])
+        if sum(map(len, xs)):
+            by_look_up(np.concatenate(xs), np.concatenate(ys))
+        y = np.flatnonzero(matched)
+        if not len(y):
             return None
-        x, y = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((x, y))
-        x, y = x[order], y[order]
-        cut = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
-        doc = table["doc_id"].combine_chunks()
-        return pa.RecordBatch.from_arrays([pa.array(a[y[cut]]), pa.array(b[y[cut]]), pa.array(np.diff(np.append(cut, len(y)))), doc.take(pa.array(x[cut])), table["line"].combine_chunks().take(pa.array(x[cut]))], names=["a", "b", "matched", "doc_id", "line"])
+        x = pa.array(earliest[y])
+        return pa.RecordBatch.from_arrays([pa.array(a[y]), pa.array(b[y]), pa.array(matched[y]), table["doc_id"].combine_chunks().take(x), table["line"].combine_chunks().take(x)], names=["a", "b", "matched", "doc_id", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if len(batch):
-                held.append(batch)
-                if sum(map(len, held)) >= 4 * BLOCK:
-                    table = pa.Table.from_batches(held)
-                    group = np.stack([table[c].to_numpy() for c in ("list", "i", "j")], 1)
-                    upto = int(np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))[-1])  # the last group may go on
-                    if upto and (out := links(table.slice(0, upto))):
-                        yield out
-                    held = table.slice(upto).combine_chunks().to_batches()
+            sizes = pc.binary_length(batch.column(8)).to_numpy(zero_copy_only=False)
+            for i, j in chunks(sizes, VERIFIED):
+                held.append(batch.slice(i, j - i))
+                table = pa.Table.from_batches(held)
+                group = np.stack([table[c].to_numpy() for c in ("list", "i", "j")], 1)
+                upto = int(np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))[-1])  # the last group may go on
+                if upto and (out := links(table.slice(0, upto))):
+                    yield out
+                held = table.slice(upto).to_batches()
         if held and (out := links(pa.Table.from_batches(held))):
             yield out
 
@@ -362,18 +425,22 @@ def verified(rows: DataFrame, often: np.ndarray) -> DataFrame:
 
 def matches(documents: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """a, b, matched, match: of each set that is similar to earlier ones, their number and the first line of the earliest."""
-    often = counting.summed(lines.where("slice is not null").select("slice", "counts"), COUNTERS)
+    with scratch(documents.sparkSession):
+        return linked(documents, counting.summed(lines.where("slice is not null").select("slice", "counts"), COUNTERS), firsts)
+
+
+def linked(documents: DataFrame, often: np.ndarray, firsts: DataFrame) -> DataFrame:
+    """matches(), by the number of lines of each counter's words."""
     sets = written(listed(documents, often).join(firsts.select("a", "b", "doc_id", "line"), "a"), "listed-sets")
     texts = texts_of_lines(documents, sets.select("doc_id", "line").distinct())
     flag = lambda df: df.withColumns({"no_id": F.col("doc_id").isNull(), "doc": F.coalesce("doc_id", F.lit(0))})  # noqa: E731  joins don't match nulls
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
     # A set of a large list stands in the pairs of blocks (i, j), i <= j, that its block is part of.
-    rows = flag(sets).withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = flag(sets).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "b", "doc_id", "line", "doc", "no_id")
     met = rows.join(flag(texts).select("doc", "no_id", "line", "text"), ["doc", "no_id", "line"]).drop("doc", "no_id")
-    found = verified(met, often)
-    return written(found.groupBy("a", "b").agg(F.sum("matched").alias("matched"), F.min(F.struct("doc_id", "line")).alias("match")), "line-links")
+    found = verified(met, often, FREQUENT)
+    return written(found.groupBy("a", "b").agg(F.sum("matched").alias("matched"), F.min(F.struct("doc_id", "line")).alias("match")), "line-links", keep=1)
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:

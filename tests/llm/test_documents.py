@@ -381,7 +381,7 @@ def in_blocks(monkeypatch):
     """Small blocks, and words that are soon frequent; for the driver's and the workers' code."""
 
     def set_to(block, frequent):
-        for name, value in (("BLOCK", block), ("FREQUENT", frequent), ("PAIRS", 1 << 15 if block > 100 else 7)):
+        for name, value in (("BLOCK", block), ("FREQUENT", frequent), ("LOOKED_UP", 1 << 20 if block > 100 else 50), ("MANY", 24 if block > 100 else 3), ("CELLS", 1 << 22 if block > 100 else 40), ("BLOCK_WORDS", 1 << 17 if block > 100 else 60), ("VERIFIED", 1 << 20 if block > 100 else 300)):
             monkeypatch.setattr(line_dedup, name, value)
 
     return set_to
