@@ -235,6 +235,14 @@ def test_held_out_labels_change_nothing(spark, rows):
     assert score(base) == score(flipped)
 
 
+def test_conflicting_labels(spark, rows):
+    """Of several labels of a doc_id the largest counts."""
+    texts = [(i, f"word{i % 50} badword" if i % 5 == 0 else f"word{i % 50} fine") for i in range(600)]
+    once = [(i, int(i % 5 == 0)) for i in range(0, 600, 3)]
+    score = lambda known: sorted((r.doc_id, r.score) for r in toxicity.toxicity(rows(texts), spark.createDataFrame(known, "doc_id long, toxic int")).collect())
+    assert score(once) == score(once + [(i, 0) for i, _ in once] + [(i, None) for i, _ in once])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div>{body}<!-- x --><div id="comments"><p>first!</p></div><footer>&copy; me</footer></body></html>"""
 
 
@@ -361,6 +369,12 @@ def test_recall_on_the_table(spark, sf, monkeypatch):
     assert results[0] == results[1] and len(found) == (ids % 20 == 0).sum() and hits / 20 / len(found) >= 0.9
 
 
+def test_repeated_vectors(spark):
+    """Each row of a vec_id is a candidate; its smallest vector asks."""
+    got = ann.search(vectors(spark, [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [1.0, 1.0]), (3, [0.0, 2.0]), (4, [1.0, 0.0])])).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 3, 2.0), (0, 2, 3, 1.0), (0, 3, 4, 0.0)]
+
+
 def test_few_vectors(spark):
     got = ann.search(vectors(spark, [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.0, 1.0])])).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 20, 1.0), (0, 2, 3, 0.0), (20, 1, 0, 1.0), (20, 2, 3, 0.0)]
@@ -449,13 +463,15 @@ def test_line_dedup_gives_all_links(rows, in_blocks, block, frequent):
     in_blocks(block, frequent)
     rng = np.random.default_rng(8)
     vocabulary = np.array([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)])
-    bases, pairs = [list(rng.choice(vocabulary, 20, False)) for _ in range(5)], []
+    sizes = [20, 20, 20, 60, 110]  # longer ones have more parities
+    bases, pairs = [list(rng.choice(vocabulary, n, False)) for n in sizes], []
     for i in range(50):
         own = []
         for _ in range(3):
-            line = list(bases[rng.integers(5)])
-            for _ in range(rng.integers(0, 4)):
-                line[rng.integers(20)] = str(rng.choice(vocabulary))
+            n = sizes[base := rng.integers(5)]
+            line = list(bases[base])
+            for _ in range(rng.integers(0, max(4, n // 6))):
+                line[rng.integers(n)] = str(rng.choice(vocabulary))
             own.append(" ".join(line))
         pairs.append((i, "\n".join(own)))
     got = {r.doc_id: (r.class_id, r.n_links) for r in line_dedup.line_dedup(rows(pairs)).collect()}
