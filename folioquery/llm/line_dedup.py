@@ -47,7 +47,12 @@ SALTS, CHUNK = 16, 1 << 18
 #: Bits of the filter for lines whose text is needed: so many for each, and at most.
 BITS_A_LINE, MOST_BITS = 16, 1 << 26
 MIX = np.uint64(0xD6E8FEB86659FD93)
-POSTING = np.dtype([("list", "<u4"), ("size", "<u4"), ("position", "<u4"), ("key", "<i8"), ("parities", "<u8"), ("before", "<u8")])
+#: Sets of more words have parities in MORE numbers besides the first.
+LONG, MORE = 56, 2
+POSTING = np.dtype([("list", "<u4"), ("size", "<u4"), ("position", "<u4"), ("key", "<i8"), ("parities", "<u8"), ("before", "<u8"), *((f"more{k}", "<u8") for k in range(MORE))])
+
+
+PARITIES = ["parities", *(f"more{k}" for k in range(MORE))]
 
 
 def counter(hashes: np.ndarray) -> np.ndarray:
@@ -94,9 +99,13 @@ class Sets:
         sums = [np.append(np.uint64(0), np.cumsum(mixed(self.flat * np.uint64(odd) + np.uint64(odd)))) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
         return np.stack([s[self.ends] - s[self.begin] for s in sums], 1).view(np.int64)
 
-    def parities(self) -> np.ndarray:
-        slots = np.append(np.uint64(1) << (self.flat & np.uint64(63)), np.uint64(0))
-        return np.where(self.size > 0, np.bitwise_xor.reduceat(slots, np.minimum(self.begin, len(self.flat))), np.uint64(0)) if len(self.size) else np.zeros(0, np.uint64)
+    def parities(self) -> list[np.ndarray]:
+        """Of each set, which bits an odd number of its words' hashes has, in 64 slots; and in other 64 MORE slots for sets of more than LONG words, else zeros."""
+        at = np.minimum(self.begin, len(self.flat))
+        odd = lambda slots, some: np.where(some, np.bitwise_xor.reduceat(np.append(slots, np.uint64(0)), at), np.uint64(0)) if len(at) else np.zeros(0, np.uint64)
+        out = [odd(np.uint64(1) << (self.flat & np.uint64(63)), self.size > 0)]
+        slot, own = (self.flat >> np.uint64(6)) & np.uint64(63), ((self.flat >> np.uint64(12)) % np.uint64(MORE)).astype(np.int64)
+        return out + [odd(np.where(own == k, np.uint64(1) << slot, np.uint64(0)), self.size > LONG) for k in range(MORE)]
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -155,15 +164,25 @@ def postings_of(sets: Sets, often: np.ndarray, chosen: np.ndarray, key: np.ndarr
     before = second - 1
     before -= (before == first) & (first != second)
     out["before"] = np.where(before >= sets.begin[row], sets.flat[before], np.uint64(0))
-    out["size"], out["key"], out["parities"] = sets.size[row], key[row], sets.parities()[row]
+    out["size"], out["key"] = sets.size[row], key[row]
+    for name, parities in zip(PARITIES, sets.parities()):
+        out[name] = parities[row]
     return out
 
 
+def apart(parities: list[np.ndarray], x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs' parities differ in no more places than `most` words could make them."""
+    ok = np.bitwise_count(parities[0][x] ^ parities[0][y]) <= most
+    at = np.flatnonzero(ok & (size_x > LONG) & (size_y > LONG))
+    ok[at] = sum(np.bitwise_count(p[x[at]] ^ p[y[at]]).astype(np.int64) for p in parities[1:]) <= most[at]
+    return ok
+
+
 def similar_sizes(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which pairs of postings, as places in p, may be of similar sets."""
     a, b = p["size"][x].astype(np.int64), p["size"][y].astype(np.int64)
     need = least_overlap(a, b)
-    ok = np.bitwise_count(p["parities"][x] ^ p["parities"][y]) <= a + b - 2 * need
+    ok = apart([p[name] for name in PARITIES], x, y, a, b, a + b - 2 * need)
     ok &= np.minimum(a, b) * SIMILAR_DEN >= np.maximum(a, b) * SIMILAR_NUM
     ok &= np.minimum(a - p["position"][x], b - p["position"][y]) >= need
     before = p["before"][x]
@@ -394,7 +413,7 @@ def verified(rows: DataFrame, often: np.ndarray, many: int) -> DataFrame:
             x, y = order[live - back], order[live]
             s, t = sets.size[x], sets.size[y]
             ok = (spot[x] != spot[y]) & (np.minimum(s, t) * SIMILAR_DEN >= np.maximum(s, t) * SIMILAR_NUM) & (~cross[y] | (own[x] != own[y]))
-            ok &= np.bitwise_count(parities[x] ^ parities[y]) <= s + t - 2 * least_overlap(s, t)
+            ok &= apart(parities, x, y, s, t, s + t - 2 * least_overlap(s, t))
             xs.append(x[ok])
             ys.append(y[ok])
         if sum(map(len, xs)):
