@@ -247,7 +247,7 @@ def neighbours_across(keyed: DataFrame, ranges: int) -> DataFrame:
 
     slim = struct(part="int", host="string", path="string", page_id="long", digest="long", lines="long")
     order = ["part", "host", "path", "page_id", "digest"]
-    runs = keyed.select(*order, "html").mapInArrow(digested, slim).repartition(ranges, "part").sortWithinPartitions(*order)
+    runs = keyed.select(*order, "html").mapInArrow(digested, slim).repartitionById(ranges, "part").sortWithinPartitions(*order)
     summaries = runs.mapInArrow(summed, struct(part="int", first=RUN, after_first=RUN, before_last=RUN, last=RUN)).collect()
     needed = [(x["host"], x["path"], x["page_id"], x["digest"], part) for part, x in context([r.asDict(recursive=True) for r in summaries])]
     return keyed.sparkSession.createDataFrame(needed, "host string, path string, page_id long, digest long, part int")
@@ -280,7 +280,7 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     near = F.broadcast(needed) if ranges <= 1 << 16 else needed  # two rows for each range
     both = [rows[k] == needed[k] for k in ("host", "path", "digest")] + [rows["page_id"].eqNullSafe(needed["page_id"])]
     across = rows.join(near, both).select(*(rows[k] for k in rows.columns), "part", F.lit(True).alias("passing"))
-    met = keyed.withColumn("passing", F.lit(False)).unionByName(across).repartition(ranges, "part").sortWithinPartitions("part", "host", "path", "page_id", "digest")
+    met = keyed.withColumn("passing", F.lit(False)).unionByName(across).repartitionById(ranges, "part").sortWithinPartitions("part", "host", "path", "page_id", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def runs():
