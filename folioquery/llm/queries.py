@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import ann, bpe, exact_dedup, extraction, line_dedup, near_dedup, packing, pfor, sharding, toxicity
+from folioquery.llm import ann, bpe, exact_dedup, extraction, line_dedup, near_dedup, packing, pfor, phrases, sharding, toxicity
 from folioquery.llm.shared import table
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -56,5 +56,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}

@@ -11,6 +11,34 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY norm)
 """
 
+PHRASES = f"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, words FROM (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS words
+    FROM documents)),
+w AS (SELECT lang, piece, unnest(words) AS w, generate_subscripts(words, 1) AS spot FROM pieces),
+three AS (SELECT lang, w AS w1, lead(w) OVER (PARTITION BY piece ORDER BY spot) AS w2, lead(w, 2) OVER (PARTITION BY piece ORDER BY spot) AS w3 FROM w),
+one AS (SELECT lang, w1, count(*) AS f FROM three GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+pairs AS (SELECT lang, w1, w2, count(*) AS f FROM three WHERE w2 IS NOT NULL GROUP BY ALL),
+triples AS (SELECT lang, w1, w2, w3, count(*) AS f FROM three WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM triples UNION ALL SELECT lang, w2, w3, f FROM triples) GROUP BY ALL),
+kept AS (SELECT p.* FROM pairs p LEFT JOIN longer x USING (lang, w1, w2) WHERE p.f >= 10 AND (x.f IS NULL OR 100 * x.f < 50 * p.f)),
+cuts AS (
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, 1 AS cut, p.f AS a, x.f AS l, y.f AS r
+  FROM kept p JOIN one x ON x.lang = p.lang AND x.w1 = p.w1 JOIN one y ON y.lang = p.lang AND y.w1 = p.w2
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.f, x.f, y.f
+  FROM triples t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN pairs y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.f, x.f, y.f
+  FROM triples t JOIN pairs x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.w1 = t.w3),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT_DEDUP}
+    return {"op8_exact_dedup": EXACT_DEDUP, "op11_phrases": PHRASES}
