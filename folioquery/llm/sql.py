@@ -39,6 +39,22 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') AS terms FROM documents),
+sized AS (SELECT row, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+stats AS (SELECT count(*) AS total, sum(n)::BIGINT AS length FROM sized),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM sized) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') AS terms FROM benchmark),
+asked AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+weighed AS (SELECT item, item_id, term, times * floor(1000 * ln((2 * total + 2) / (2 * df + 1)))::BIGINT AS w FROM asked JOIN df USING (term), stats),
+m AS (SELECT row, doc_id, 100 - 25 + (25 * n * total) // length AS m FROM sized, stats),
+scored AS (SELECT item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM weighed JOIN tf USING (term) JOIN m USING (row) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT_DEDUP, "op11_phrases": PHRASES}
+    return {"op8_exact_dedup": EXACT_DEDUP, "op11_phrases": PHRASES, "op13_search": SEARCH}
