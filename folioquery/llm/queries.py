@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import ann, bpe, exact_dedup, extraction, line_dedup, near_dedup, packing, pfor, phrases, search, sharding, toxicity
+from folioquery.llm import ann, bpe, exact_dedup, extraction, line_dedup, near_dedup, packing, pfor, phrases, search, sharding, toxicity, urls
 from folioquery.llm.shared import table
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
