@@ -29,14 +29,15 @@ ROWS = [(3, "text a"), (5, "TEXT A"), (5, "text b"), (9, "text b"), (None, "text
 
 def test_stages_decide_by_row(spark, sf, tmp_path):
     """Null and repeated doc_ids, empty and long texts, columns that clash, an empty table."""
-    columns = "doc_id long, text string, lang string, source string, n_chars long, key string, row long, kept boolean, node string"
-    docs = spark.createDataFrame([(i, t, "en", "s", 0, "k", n, False, "n") for n, (i, t) in enumerate(ROWS)], columns)
+    columns = "doc_id long, text string, lang string, source string, n_chars long, key string, row long, kept boolean, node string, row_of_stage string, `Row_Of_Stage_` long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "k", n, False, "n", "mine", 7) for n, (i, t) in enumerate(ROWS)], columns)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     assert sorted(map(repr, stages["toxicity"](spark, docs, str(tmp_path)).collect())) == sorted(map(repr, docs.collect()))
     exact = written(stages["exact dedup"](spark, docs, str(tmp_path)), "t")
+    assert {(r.row_of_stage, r.Row_Of_Stage_) for r in exact.collect()} == {("mine", 7)}
     got = sorted(((r.doc_id, r.text) for r in exact.collect()), key=repr)
     want = [(5, "TEXT A"), (9, "text b"), (10, "text c"), (None, "no other"), (11, ""), (12, NEAR), (13, NEAR + " end"), (13, "quite another text of thirteen"), (14, "é" * 100_000), (15, "same row"), (16, " ")]
     assert exact.columns == docs.columns and got == sorted(want, key=repr)
@@ -61,13 +62,14 @@ def test_written_tables_are_deleted(spark, sf):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_sql(spark, sf, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = queries.queries()[name](spark, sf)
     found = c.execute(sql.oracle_sql()[name])
     names = [d[0] for d in found.description]
