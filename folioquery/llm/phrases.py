@@ -26,7 +26,7 @@ from folioquery.llm.shared import scratch, struct, written
 
 LEAST, WORDS, TOP, COVERED = 10, 3, 2000, 50
 #: Bytes of texts of a block, entries of a bucket.
-BLOCK_BYTES, ENTRIES = 8 << 20, 2_000_000
+BLOCK_BYTES, ENTRIES = 4 << 20, 1_000_000
 #: First places are found among so many parts of a lang's phrases, then among their first places.
 PARTS = 64
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
