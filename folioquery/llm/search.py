@@ -27,7 +27,7 @@ from folioquery.llm.shared import scratch, struct, written
 
 TOP = 20
 #: Bytes of texts whose documents are put in order of their length; terms of a block; blocks whose bounds a task holds.
-RUN_BYTES, BLOCK_TERMS, HELD_BLOCKS = 8 << 20, 4096, 256
+RUN_BYTES, BLOCK_TERMS, HELD_BLOCKS = 2 << 20, 4096, 256
 #: Bytes of the queries' texts that go to every task at once; more are searched in as many turns as it takes.
 QUERY_BYTES = 8 << 20
 #: Bytes of terms.
