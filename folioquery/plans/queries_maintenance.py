@@ -134,7 +134,10 @@ def prefixed(spark, sf):
 SQL_ENDED = "e.us > least(r.us + 7200000000, r.first + 21600000000)"
 
 
-@query("bounded_bursts", f"WITH RECURSIVE e AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), r AS (SELECT user_id, n, us, us AS first, 1 AS starts FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, e.us, CASE WHEN {SQL_ENDED} THEN e.us ELSE r.first END, CASE WHEN {SQL_ENDED} THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(sum(starts) AS BIGINT) AS bursts, count(*) AS changes FROM r GROUP BY 1")
+SQL_BURSTS = f"WITH RECURSIVE e AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), r AS (SELECT user_id, n, us, us AS first, 1 AS starts FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, e.us, CASE WHEN {SQL_ENDED} THEN e.us ELSE r.first END, CASE WHEN {SQL_ENDED} THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(sum(starts) AS BIGINT) AS bursts, count(*) AS changes FROM r GROUP BY 1"
+
+
+@query("bounded_bursts", SQL_BURSTS)
 def bursts(spark, sf):
     """Bursts of each user's events that two quiet hours end, or six hours in all."""
     own = table(spark, sf, "events", "user_id", "ts").select("user_id", F.col("ts").alias("at"))
