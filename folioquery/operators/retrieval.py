@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import clean_lines, query_terms, words
+from folioquery.sources.segments import Segments
 
 K1, B, RRF_K, DEPTH = 1.2, 0.75, 60, 50
 #: A chunk's id is its item's id times this, and its place; an item of more chunks raises an error.
@@ -78,6 +79,23 @@ def build_index(chunks: DataFrame, folder: str, exact_mean: bool = False) -> Ind
     return open_index(spark, folder)
 
 
+def index_store(spark: SparkSession, folder: str) -> Segments:
+    """A stored index of chunks(chunk_id, item_id, ordinal, text) that insertions and deletions change by what they hold."""
+    in_order = lambda own: postings(own).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    return Segments(spark, folder, "chunk_id", {"postings": in_order}, lambda: F.size(words(F.col("text"))))
+
+
+def stored_index(store: Segments, exact_mean: bool = False) -> Index:
+    """The newest version of an index as it can be searched; its statistics are sums that each change carried on."""
+    version = store.version()
+    n, total = version.rows, version.weight
+    mean = total / n if exact_mean and n else (2 * total + n) // (2 * n) if n else 1
+    chunks, terms = store.read("rows", version), store.read("postings", version)
+    if chunks is None:
+        raise ValueError("the index has no version yet")
+    return Index(chunks, terms, store.spark.createDataFrame([(n, max(1.0, float(mean)))], "n long, avg_len double"))
+
+
 def open_index(spark: SparkSession, folder: str) -> Index:
     return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("chunks", "postings", "statistics")))
 
