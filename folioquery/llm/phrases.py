@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioquery.llm.runs import gathered, numbers, planes, runs, slices
+from folioquery.llm.runs import gathered, numbers, planes, rested, runs, slices
 from folioquery.llm.shared import scratch, struct, written
 
 LEAST, WORDS, TOP, COVERED = 10, 3, 2000, 50
@@ -66,7 +66,7 @@ def word_hashes(keys: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
-def cut(block: int, hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+def cut(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """The part of each bucket in sorted hashes."""
     own = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     bounds = np.flatnonzero(np.diff(own, prepend=-1.0, append=-1.0)) if len(own) else np.zeros(1, np.int64)
@@ -105,14 +105,15 @@ def split(documents: DataFrame, block_bytes: int) -> DataFrame:
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), listed]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=schema.names)
             block += 1
+            rested()
 
     texts = documents.select(F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     return texts.mapInArrow(run, schema)
 
 
-def words_of(keys: bytes, ends: bytes) -> list[bytes]:
-    bounds = np.append(0, numbers(ends, "<u4")).tolist()
-    return [keys[i:j] for i, j in zip(bounds, bounds[1:])]
+def words_of(keys: bytes, ends: bytes) -> pa.Array:
+    bounds = np.append(0, numbers(ends, "<u4")).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(keys)])
 
 
 def word_slices(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -121,11 +122,11 @@ def word_slices(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, keys, ends, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                words, counts = words_of(keys, ends), numbers(counts, "<u4")
-                for bucket, part in cut(block, word_hashes(words), buckets):
-                    own = words[part]
-                    sizes = np.cumsum(np.fromiter(map(len, own), np.int64, len(own))).astype(np.uint32)
-                    yield pa.RecordBatch.from_pylist([{"bucket": bucket, "block": block, "keys": b"".join(own), "ends": planes(sizes), "counts": planes(counts[part])}], SENT)
+                counts, bounds = numbers(counts, "<u4"), np.append(0, numbers(ends, "<u4")).astype(np.int64)
+                for bucket, part in cut(word_hashes(words_of(keys, ends).to_pylist()), buckets):
+                    first, last = bounds[part.start], bounds[part.stop]
+                    sizes = (bounds[part.start + 1 : part.stop + 1] - first).astype(np.uint32)
+                    yield pa.RecordBatch.from_pylist([{"bucket": bucket, "block": block, "keys": keys[first:last], "ends": planes(sizes), "counts": planes(counts[part])}], SENT)
 
     return blocks.select("block", "keys", "ends", "counts").mapInArrow(run, ddl(SENT))
 
@@ -149,7 +150,7 @@ def pair_slices(blocks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for block, seq, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 _, _, halves, counts = pairs(numbers(seq, "<u4"), numbers(ids, "<i8"))
-                for bucket, part in cut(block, mixed(*halves), buckets):
+                for bucket, part in cut(mixed(*halves), buckets):
                     keys = planes(np.ascontiguousarray(halves[0, part])) + planes(np.ascontiguousarray(halves[1, part]))
                     yield pa.RecordBatch.from_pylist([{"bucket": bucket, "block": block, "keys": keys, "ends": b"", "counts": planes(counts[part].astype(np.uint32))}], SENT)
 
@@ -168,7 +169,7 @@ def name(sent: DataFrame, least: int, paired: bool, last: bool) -> DataFrame:
             other, b = np.unique(rest, return_inverse=True)
             _, one, of = np.unique(a * np.int64(len(other)) + b, return_index=True, return_inverse=True)
         else:
-            words = pa.array([w for _, keys, ends, _ in held for w in words_of(keys, ends)], pa.large_binary()).dictionary_encode()
+            words = pa.concat_arrays([words_of(keys, ends) for _, keys, ends, _ in held]).dictionary_encode()
             of, one = words.indices.to_numpy(zero_copy_only=False), np.arange(len(words.dictionary))
         total = np.zeros(len(one), np.int64)
         np.add.at(total, of, counts)
@@ -194,6 +195,7 @@ def name(sent: DataFrame, least: int, paired: bool, last: bool) -> DataFrame:
                 if bucket != now and held:
                     yield from close(now, held)
                     held = []
+                    rested()
                 now = bucket
                 held.append(tuple(row))
         if held:

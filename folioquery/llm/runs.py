@@ -46,6 +46,11 @@ def numbers(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def rested() -> None:
+    """Gives the memory back that Arrow keeps for later, between two pieces of work: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+
+
 def gathered(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows in runs of about so many bytes of text, one row at least: (the rows, their texts; null is empty)."""
     held: list[pa.RecordBatch] = []

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioquery.llm.runs import gathered, numbers, planes, runs, slices
+from folioquery.llm.runs import gathered, numbers, planes, rested, runs, slices
 from folioquery.llm.shared import scratch, struct, written
 
 TOP = 20
@@ -77,6 +77,7 @@ def build_index(documents: DataFrame, run_bytes: int = RUN_BYTES, block_terms: i
             kinds = [pa.int64()] * 2 + [pa.binary()] * 11
             for i in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 64]), kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
+            rested()
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return written(texts.mapInArrow(run, BLOCKS), "search-index")
