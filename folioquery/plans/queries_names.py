@@ -20,3 +20,34 @@ def contacts(spark, sf):
 def nations(spark, sf):
     rows = table(spark, sf, "nation", "n_nationkey", "n_name").select(F.col("n_name").alias("label"), F.concat(F.lit("org.nation."), F.lower("n_name")).alias("package"), F.col("n_nationkey").cast("string").alias("component"))
     return O.search_apps(rows, [(1, "open inda"), (2, "brasil"), (3, "germny"), (4, "फ्रांस"), (5, "NATION")]).select("query_id", "label", F.round("score", 6).alias("score"), "rank")
+
+
+#: A syllable for each digit, of which names are made.
+SYLLABLES = ["ka", "ri", "mo", "te", "su", "na", "phi", "ghu", "lo", "cha"]
+
+
+def spoken(number):
+    """Two words of four syllables, one for each digit of a number."""
+    digits = F.split(F.lpad(number.cast("string"), 8, "0"), "")
+    word = lambda first: F.initcap(F.array_join(F.transform(F.slice(digits, first, 4), lambda d: F.element_at(F.array(*map(F.lit, SYLLABLES)), d.cast("int") + 1)), ""))
+    return F.concat(word(1), F.lit(" "), word(5))
+
+
+def customers(spark, sf):
+    return table(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("id"), spoken(F.col("c_custkey") * 48_271 % 99_999_989).alias("name"), F.concat(F.lit("+91 9"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("number"))
+
+
+def typed(spark, sf):
+    """A request for each 25th customer: the last word with two letters swapped, one left out or a sound spelt otherwise, the first word, or the whole name."""
+    own = customers(spark, sf).where("id % 25 = 0").withColumn("w", F.split("name", " "))
+    last, k = F.col("w")[1], F.col("id") / 25 % 5
+    swapped = F.concat(F.substring(last, 1, 2), F.substring(last, 4, 1), F.substring(last, 3, 1), F.expr("substring(w[1], 5)"))
+    lacking = F.concat(F.substring(last, 1, 3), F.expr("substring(w[1], 5)"))
+    text = F.when(k == 0, swapped).when(k == 1, lacking).when(k == 2, F.translate(last, "gd", "kt")).when(k == 3, F.col("w")[0]).otherwise(F.col("name"))
+    return own.select(F.col("id").alias("query_id"), F.concat(F.lit("call "), F.lower(text)).alias("text"))
+
+
+@query("name_search")
+def found(spark, sf):
+    """The customers that each typed name may mean."""
+    return O.search_contacts(customers(spark, sf), typed(spark, sf)).select("query_id", "id", "name", F.round("score", 6).alias("score"), "rank")

@@ -56,20 +56,6 @@ def test_pooled_vectors(spark):
     assert np.allclose(got[1], mean / np.linalg.norm(mean)) and got[2] == [1.0, 0.0] and got[3] is None
 
 
-def test_many_requests_and_labels_meet_in_blocks(spark, monkeypatch):
-    labels = spark.createDataFrame([(f"name{k}", f"org.n{k}", str(k)) for k in range(30)], "label string, package string, component string")
-    asked = spark.createDataFrame([(k, f"name{k}") for k in range(25)], "query_id long, text string")
-    want = None
-    for sent in (10_000, 27, 5):  # requests are sent, labels are sent, neither
-        monkeypatch.setattr(names, "MOST_SENT", sent if sent != 27 else 24)
-        own = labels if sent != 27 else labels.limit(20)
-        got = sorted(map(tuple, names.search_apps(own, asked, 1).select("query_id", "label", "rank").collect()))
-        if sent != 27:
-            assert want is None or got == want
-            want = got
-    assert len(want) == 25 and all(label == f"name{k}" for k, label, _ in want)
-
-
 def test_router_says_what_it_understood(spark):
     typed = spark.createDataFrame([(1, "2+2"), (2, "spent this month"), (3, "when is the due date"), (4, "timer 5 min"), (5, "india"), (6, "beach photos"), (7, " ")], "query_id long, text string")
     apps = spark.createDataFrame([("India", "org.nation.india", "8")], "label string, package string, component string")
