@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
-MODULES = ("retrieval", "ledger", "ingest", "relational", "notifications", "facts", "answers", "names", "scalars", "evaluation", "routing", "streams", "maintenance", "requests")
+MODULES = ("retrieval", "ledger", "ingest", "relational", "notifications", "facts", "answers", "names", "scalars", "evaluation", "routing", "streams", "maintenance", "requests", "vocabulary")
 
 
 def query(name: str, sql: str | None = None):
