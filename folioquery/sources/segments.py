@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ Derive = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Version:
-    """segments: number -> rows written; tombstones: number -> keys; rows, weight, signature: of what is live."""
+    """segments: number -> rows written; tombstones: number -> keys; rows, weight, signature: of what is live; note: the last that a writer gave."""
 
     number: int = 0
     segments: dict[int, int] = field(default_factory=dict)
@@ -37,6 +37,7 @@ class Version:
     rows: int = 0
     weight: int = 0
     signature: int = 0
+    note: int = -1
 
 
 class Segments:
@@ -48,19 +49,28 @@ class Segments:
 
     # ---- versions ----
 
-    def version(self) -> Version:
-        """The newest version that was written to its end."""
+    def _numbers(self) -> list[int]:
+        """Of the versions that were written to their end, the newest first."""
         place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/versions/*/_SUCCESS")
         found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place) or []
-        numbers = [int(x.getPath().getParent().getName()) for x in found]
-        if not numbers:
-            return Version()
-        own = json.loads(self.spark.read.text(f"{self.folder}/versions/{max(numbers):010d}").first()[0])
-        return Version(own["number"], *({int(k): n for k, n in own[name].items()} for name in ("segments", "tombstones")), own["rows"], own["weight"], own["signature"])
+        return sorted((int(x.getPath().getParent().getName()) for x in found), reverse=True)
+
+    def _open(self, number: int) -> Version:
+        own = json.loads(self.spark.read.text(f"{self.folder}/versions/{number:010d}").first()[0])
+        return Version(**own | {name: {int(k): n for k, n in own[name].items()} for name in ("segments", "tombstones")})
+
+    def version(self) -> Version:
+        """The newest version."""
+        numbers = self._numbers()
+        return self._open(numbers[0]) if numbers else Version()
+
+    def before(self, note: int) -> Version:
+        """The newest version of a lesser note."""
+        return next((v for v in map(self._open, self._numbers()) if v.note < note), Version())
 
     def _commit(self, version: Version) -> Version:
         least = min(version.segments, default=version.number + 1)
-        version = Version(version.number, version.segments, {k: n for k, n in version.tombstones.items() if k > least}, version.rows, version.weight, version.signature)
+        version = replace(version, tombstones={k: n for k, n in version.tombstones.items() if k > least})
         self.spark.createDataFrame([(json.dumps(version.__dict__),)], "value string").coalesce(1).write.text(f"{self.folder}/versions/{version.number:010d}")
         return version
 
@@ -105,9 +115,15 @@ class Segments:
             derive(own).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(self._place(name, number))
         return self._sums(own)
 
-    def change(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> Version:
-        """One version further: rows of upserts replace those of their keys, keys of deletes go. Only these are written."""
+    def change(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, note: int | None = None) -> Version:
+        """One version further: rows of upserts replace those of their keys, keys of deletes go. Only these are written.
+
+        note: a number that grows from change to change, such as that of a stream's batch; a change whose note is there
+        already isn't made again.
+        """
         old = self.version()
+        if note is not None and old.note >= note:
+            return old
         number = old.number + 1
         rows, weight, signature = old.rows, old.weight, old.signature
         segments, tombstones = dict(old.segments), dict(old.tombstones)
@@ -130,7 +146,7 @@ class Segments:
                 if n:
                     tombstones[number] = n
                     rows, weight, signature = rows - n, weight - lost, signature - keys
-        return self.merge(self._commit(Version(number, segments, tombstones, rows, weight, signature)))
+        return self.merge(self._commit(Version(number, segments, tombstones, rows, weight, signature, old.note if note is None else note)))
 
     def refresh(self, rows: DataFrame, new_keys: bool = False) -> Version:
         """Brings the table to what rows are; of them and of the stored rows only what differs is written.
@@ -172,7 +188,7 @@ class Segments:
             number = version.number + 1
             n, *_ = self._write_segment(self.read(version=version, only=set(full)), number)
             segments = {k: m for k, m in version.segments.items() if k not in full} | ({number: n} if n else {})
-            version = self._commit(Version(number, segments, version.tombstones, version.rows, version.weight, version.signature))
+            version = self._commit(replace(version, number=number, segments=segments))
 
     def vacuum(self) -> list[str]:
         """Deletes what the newest version doesn't need, for when no reader holds an older one; returns the folders."""
