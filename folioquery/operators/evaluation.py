@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioquery.operators import answers as A
+from folioquery.operators import retrieval as R
+from folioquery.sources.store import written
+
 
 def quality(rankings: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
     """rankings(query_id, rank, item_id), relevant(query_id, item_id), queries(query_id, style) -> style, queries, recall_1, recall_5, mrr.
@@ -75,16 +81,41 @@ VARIANTS = [("B0", False, 0.0, 1.0), ("S1", True, 0.0, 1.0), ("C1", False, 0.5,
 GATES = [("A0", False, False, False), ("A1", True, False, False), ("A2", True, True, False), ("A3", True, True, True)]
 
 
-def sweep(search, judge, variants=VARIANTS, gates=GATES) -> DataFrame:
-    """Every variant with every gate. search(extended, coverage, weight) -> (ranking, quality of one row); judge(ranking, grounded,
-    without function words, without generic words) -> one row of counts. Rows: variant, gate, and the columns of both."""
-    out = None
-    for name, extended, coverage, weight in variants:
-        ranking, scores = search(extended, coverage, weight)
-        for gate, *switches in gates:
-            one = scores.join(F.broadcast(judge(ranking, *switches))).select(F.lit(name).alias("variant"), F.lit(gate).alias("gate"), "*")  # a row each
-            out = one if out is None else out.unionByName(one)
-    return out
+def sweep(index: R.Index, vectors: DataFrame, queries: DataFrame, relevant: DataFrame, facts_of: Callable[[DataFrame], DataFrame], variants=VARIANTS, gates=GATES) -> DataFrame:
+    """Every variant of retrieval with every answer gate against known truth, the settings being rows: variant, gate, queries, recall_1,
+    recall_5, mrr, and of the queries that ask for a value correct, wrong, made_up, declined, not_a_question.
+
+    queries(query_id, text, vector, asks, value): whether a value is asked for, and which is right (null: there is none);
+    relevant(query_id, item_id); facts_of(items(item_id, text)) reads facts, of the first two items of any ranking only.
+    """
+    spark = queries.sparkSession
+    of_variant = spark.createDataFrame(variants, "variant string, extended boolean, coverage double, weight double")
+    of_gate = spark.createDataFrame(gates, "gate string, grounded boolean, function_words boolean, generic_words boolean")
+    found = R.search_variants(index, vectors, queries, of_variant)
+    found = written(found, "sweep-rankings")
+    every = queries.select("query_id", F.explode(F.array(*[F.lit(v[0]) for v in variants])).alias("style"))
+    key = F.struct("query_id", F.col("style").alias("variant"))
+    rankings, true = found.select(F.struct("query_id", "variant").alias("query_id"), "rank", "item_id"), relevant.join(every, "query_id").select(key.alias("query_id"), "item_id")
+    scores = quality(rankings, true, every.select(key.alias("query_id"), "style")).withColumnRenamed("style", "variant")
+
+    few = F.broadcast(of_gate)  # settings
+    texts = index.chunks.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    top = found.where("rank <= 2").join(queries.where("asks").select("query_id"), "query_id", "left_semi").join(texts, "item_id")
+    cell = F.struct("query_id", "variant", "gate")
+    top = written(top.join(few).select(cell.alias("query_id"), "rank", "item_id", "text", "meaning_rank", "meaning_score"), "sweep-items")
+    asked = queries.where("asks").join(F.broadcast(of_variant.select("variant"))).join(few)
+    own = asked.select(cell.alias("query_id"), "text")
+    questions = A.classify(own).where("kind IS NOT NULL")
+    switches = questions.join(asked.select(cell.alias("query_id"), "grounded", "function_words", "generic_words"), "query_id").where("grounded")
+    topic = F.when(F.col("function_words"), A.grounding_topic(F.col("topic"), True, False)).otherwise(F.col("topic"))
+    topic = F.when(F.col("generic_words"), A.grounding_topic(topic, False, True)).otherwise(topic)
+    best = top.where("rank = 1").join(switches.select("query_id", topic.alias("grounding")), "query_id").select("query_id", "text", "grounding")
+    words = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    lacking = A.ungrounded(best, words, int(index.statistics.first()["n"]))
+    given = A.answer(top, own, facts_of(top.where("rank = 1").select("item_id", "text").distinct()), lacking)
+    expected = asked.select(cell.alias("query_id"), F.struct("variant", "gate").alias("style"), "value")
+    counts = outcomes(given, expected)
+    return counts.select("style.variant", "style.gate", *counts.columns[1:]).join(F.broadcast(scores), "variant")
 
 
 def choose_gate(scores: DataFrame) -> DataFrame:

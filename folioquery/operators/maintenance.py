@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioquery.operators import ingest
 from folioquery.operators.retrieval import Index, build_index
-from folioquery.sources.store import spread
+from folioquery.sources.segments import Segments
+from folioquery.sources.store import spread, written
 
 MOST_ERROR = 300
 #: Columns that later versions of the item table added, with their types and defaults.
@@ -55,12 +57,18 @@ def migrate(rows: DataFrame, versions: dict[int, dict[str, tuple]] = ITEM_VERSIO
     return rows
 
 
-def cleared(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Empties the stored tables: each is overwritten by one of its columns without rows."""
+def cleared(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Empties stored tables, each read from a folder of its own: it is overwritten by one of its columns without rows, so that it can be read on as before."""
     out = {}
     for name, df in tables.items():
-        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{folder}/{name}")
-        out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+        spark, schema = df.sparkSession, df.schema
+        folders = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+        if len(folders) > 1:
+            raise ValueError(f"{name} lies in {len(folders)} folders")
+        for folder in folders:
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(folder)
+            out[name] = spark.read.schema(schema).parquet(folder)
+        out.setdefault(name, df)  # it has no file, so no row
     return out
 
 
@@ -170,6 +178,26 @@ def bounded_bursts(changes: DataFrame, key: str, quiet: int = 10, most: int = 60
     return found.withColumnRenamed("key", key)
 
 
+def backfill(items: Segments, facts: Segments, version: int, read: Callable[[DataFrame], DataFrame]) -> int:
+    """Reads the facts of items anew that were read by older rules; how many items there were.
+
+    items(id, text, status, facts_version, ...) and facts(fact_id, item_id, ...) are stored tables; read(items(item_id, text))
+    gives the facts of these items, fact_ids included. Only outdated items and their facts are written, the items with the
+    stamp last: a run that is stopped between the two finds them outdated again and replaces the same facts.
+    """
+    live = items.read()
+    due = ingest.outdated(live, version) if live is not None else None
+    if due is None or due.isEmpty():
+        return 0
+    due = written(due, "outdated-items")
+    own = facts.read()
+    gone = own.join(due.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("fact_id") if own is not None else None
+    new = written(read(due.select(F.col("id").alias("item_id"), "text")), "facts-read")
+    facts.change(new, gone if gone is None else gone.join(new.select("fact_id"), "fact_id", "left_anti"))
+    items.change(due.withColumn("facts_version", F.lit(version)))
+    return due.count()
+
+
 def counts(**tables: DataFrame) -> DataFrame:
     """name and rows of each table: items, pending, indexed, chunks, vectors, facts, payments, notifications and the like."""
     out = None

@@ -113,11 +113,13 @@ def statistics(chunks: DataFrame, exact_mean: bool = False) -> DataFrame:
 
 
 def prefix_hits(index: DataFrame, queries: DataFrame, options: SearchOptions = BASELINE) -> DataFrame:
-    """query_id, phrases, token, chunk_id, len, hits: how often a chunk's words start with a query's token.
+    """query_id, phrases, token, chunk_id, len, hits: how often a chunk's words start with a query's token. A column `extended` of queries goes before the option.
 
     The theta join of tokens and terms becomes an equi-join: a term is joined by its beginnings, of the lengths that tokens have.
     """
-    asked = queries.select("query_id", query_terms(F.col("text"), extended=options.extended).alias("t")).select("query_id", F.size("t").alias("phrases"), F.explode("t").alias("token"))
+    of = lambda extended: query_terms(F.col("text"), extended=extended)
+    terms = F.when(F.col("extended"), of(True)).otherwise(of(False)) if "extended" in queries.columns else of(options.extended)
+    asked = queries.select("query_id", terms.alias("t")).select("query_id", F.size("t").alias("phrases"), F.explode("t").alias("token"))
     tokens = [r["token"] for r in asked.select("token").distinct().limit(PUSHED_TOKENS + 1).collect()]
     if len(tokens) <= PUSHED_TOKENS:  # the scan of a stored index skips what holds none of them
         index = index.where(reduce(lambda a, b: a | b, (F.col("term").startswith(t) for t in tokens), F.lit(False)))
@@ -128,16 +130,25 @@ def prefix_hits(index: DataFrame, queries: DataFrame, options: SearchOptions = B
     return starts.join(asked, "token").groupBy("query_id", "phrases", "token", "chunk_id", "len").agg(F.sum("tf").alias("hits"))
 
 
-def bm25(chunks: DataFrame | Index, queries: DataFrame, options: SearchOptions = BASELINE, depth: int = DEPTH) -> DataFrame:
-    """The keyword leg: query_id, chunk_id, score, matched, rank - best first, ties to the smaller chunk_id."""
+def keyword_scores(chunks: DataFrame | Index, queries: DataFrame, options: SearchOptions = BASELINE) -> DataFrame:
+    """query_id, phrases (terms of the query), chunk_id, score, matched (how many of them the chunk has)."""
     stored = isinstance(chunks, Index)
     hits = prefix_hits(chunks.postings if stored else postings(chunks), queries, options)
     df = hits.groupBy("query_id", "token").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = idf * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.join(df, ["query_id", "token"]).join(F.broadcast(chunks.statistics if stored else statistics(chunks))).groupBy("query_id", "phrases", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
-    least = F.greatest(F.lit(1), F.least(F.greatest(F.lit(1), F.col("phrases")), F.ceil(F.col("phrases") * options.coverage - 1e-9)))
-    return ranked(scored.where(F.col("matched") >= least), depth).select("query_id", "chunk_id", "score", "matched", "rank")
+    return hits.join(df, ["query_id", "token"]).join(F.broadcast(chunks.statistics if stored else statistics(chunks))).groupBy("query_id", "phrases", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+
+
+def covers(coverage: Column) -> Column:
+    """Whether a chunk matched that share of a query's terms."""
+    return F.col("matched") >= F.greatest(F.lit(1), F.least(F.greatest(F.lit(1), F.col("phrases")), F.ceil(F.col("phrases") * coverage - 1e-9)))
+
+
+def bm25(chunks: DataFrame | Index, queries: DataFrame, options: SearchOptions = BASELINE, depth: int = DEPTH) -> DataFrame:
+    """The keyword leg: query_id, chunk_id, score, matched, rank - best first, ties to the smaller chunk_id."""
+    scored = keyword_scores(chunks, queries, options)
+    return ranked(scored.where(covers(F.lit(options.coverage))), depth).select("query_id", "chunk_id", "score", "matched", "rank")
 
 
 def ranked(scored: DataFrame, depth: int, *ties: str) -> DataFrame:
@@ -198,7 +209,8 @@ def fuse(keyword: DataFrame | None, meaning: DataFrame | None, options: SearchOp
         by_words = options.mode == "KEYWORDS"
         rank, none, nothing = F.col("rank"), F.lit(None).cast("int"), F.lit(None).cast("double")
         return (keyword if by_words else meaning).select("query_id", "chunk_id", "score", (rank if by_words else none).alias("keyword_rank"), (none if by_words else rank).alias("meaning_rank"), (nothing if by_words else F.col("score")).alias("meaning_score"))
-    a = keyword.select("query_id", "chunk_id", F.lit(options.keyword_weight).alias("w"), F.col("rank").alias("k"), F.lit(None).cast("int").alias("m"), F.lit(None).cast("double").alias("s"))
+    weight = F.col("weight") if "weight" in keyword.columns else F.lit(options.keyword_weight)
+    a = keyword.select("query_id", "chunk_id", weight.alias("w"), F.col("rank").alias("k"), F.lit(None).cast("int").alias("m"), F.lit(None).cast("double").alias("s"))
     b = meaning.select("query_id", "chunk_id", F.lit(1.0).alias("w"), F.lit(None).cast("int").alias("k"), F.col("rank").alias("m"), F.col("score").alias("s"))
     score = F.sum(F.col("w") / (RRF_K + F.coalesce("k", "m")))
     return a.unionByName(b).groupBy("query_id", "chunk_id").agg(score.alias("score"), F.max("k").alias("keyword_rank"), F.max("m").alias("meaning_rank"), F.max("s").alias("meaning_score"))
@@ -221,6 +233,23 @@ def search(chunks: DataFrame | Index, vectors: DataFrame, queries: DataFrame, op
     return per_item(fuse(keyword, meaning, options), chunks, limit)
 
 
+def search_variants(chunks: Index, vectors: DataFrame, queries: DataFrame, variants: DataFrame, limit: int = 20) -> DataFrame:
+    """search() for each query with each of variants(variant, extended, coverage, weight), all in one plan: columns of per_item(), with variant.
+
+    Keyword scores only depend on the terms, so they are made once for each way of taking them, and the meaning leg once.
+    """
+    real = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    few = F.broadcast(variants.select("variant", "extended", F.col("coverage").cast("double").alias("coverage"), F.col("weight").cast("double").alias("weight")))  # settings
+    ways = real.select(F.col("query_id").alias("asked"), "text").join(F.broadcast(variants.select("extended").distinct()))
+    ways = ways.select(F.struct("asked", "extended").alias("query_id"), "text", "extended")
+    scored = keyword_scores(chunks, ways).withColumn("extended", F.col("query_id.extended")).join(few, "extended")
+    own = F.struct(F.col("query_id.asked").alias("asked"), "variant").alias("query_id")
+    keyword = ranked(scored.where(covers(F.col("coverage"))).select(own, "chunk_id", "score", "weight"), DEPTH)
+    meaning = cosine(vectors, real).join(few.select("variant")).select(F.struct(F.col("query_id").alias("asked"), "variant").alias("query_id"), "chunk_id", "score", "rank")
+    found = per_item(fuse(keyword, meaning), chunks, limit)
+    return found.select(F.col("query_id.asked").alias("query_id"), F.col("query_id.variant").alias("variant"), *found.columns[1:])
+
+
 @dataclass
 class Timings:
     """Milliseconds of each stage of a search, and how many chunks it went over."""

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioquery.functions.ranks import nearest_rank
-from folioquery.operators import answers as A
 from folioquery.operators import evaluation as E
 from folioquery.operators import facts as X
 from folioquery.operators import ledger as L
 from folioquery.operators import retrieval as R
-from folioquery.plans.queries_answers import questions
 from folioquery.plans.queries_facts import texts
 from folioquery.plans.queries_ledger import SQL_LEDGER, payments
 from folioquery.plans.registry import query
-from folioquery.sources.store import kept, new_folder, signature
+from folioquery.sources.store import kept, new_folder, signature, spread
 from folioquery.sources.tables import table
 
 SQL_Q = """
@@ -130,29 +128,45 @@ def amounts(spark, sf):
     return E.amount_outcomes(E.judged_amounts(read, truth))
 
 
+def sweep_index(spark, sf):
+    """The stored index of texts made of orders, one chunk an item."""
+    chunks = texts(spark, sf).select(F.col("item_id").alias("chunk_id"), "item_id", F.lit(0).alias("ordinal"), "text")
+    return kept(spark, ("orders-index", *signature(spark, f"{sf}/orders.parquet")), lambda: R.build_index(spread(chunks), new_folder(spark, "orders-index")))
+
+
+def sweep_vectors(spark, sf):
+    """Items share the vectors of the table in turn: their meaning leads to a few dozen items, one of which is right."""
+    own = table(spark, sf, "embeddings", "vec_id", "embedding")
+    return table(spark, sf, "orders", "o_orderkey").join(F.broadcast(own.agg(F.count("*").alias("n")))).select(F.col("o_orderkey").alias("chunk_id"), (F.col("o_orderkey") % F.col("n")).alias("vec_id")).join(own, "vec_id").select("chunk_id", F.col("embedding").alias("vector"))
+
+
+#: Questions about the order {k} by what is left of its number by 9: text, whether a value is asked for, which one is right.
+UTR = "CAST(100000000000 + o_orderkey AS STRING)"
+SWEPT = [
+    (f"concat('how much was transaction ', {UTR})", True, "amount"), (f"concat('when was transaction ', {UTR}, ' paid')", True, "day"), (f"concat('shop payment paid ', {UTR}, ' ka amount kitna tha mein')", True, "amount"),
+    ("concat('how much was the shop payment paid ', CAST(900000000000 + o_orderkey AS STRING))", True, None), ("concat('hai shop photo c', o_custkey)", False, None), (f"concat('what amount bhara shop paid ', {UTR})", True, "amount"),
+    (f"concat('how much was the boat shop payment paid ', {UTR})", True, None), ("concat('amount paid to c', o_custkey, ' kitna ')", True, "amount"), (f"concat('se ', {UTR}, ' ko payment september')", False, None),
+]
+
+
+def swept(spark, sf):
+    """Queries and their relevant items: each order whose number is divisible by 100 asks one question against all of them."""
+    choose = lambda place: "CASE (o_orderkey div 300) % 9 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(r[place] for r in SWEPT)) + " END"
+    values = {"amount": "regexp_replace(regexp_replace(format_number(o_totalprice, 2), ',', ''), '[.]?0+$', '')", "day": "concat(date_format(o_orderdate, 'yyyy-MM-dd'), CASE WHEN o_orderkey % 3 < 2 THEN date_format(o_orderdate, \"'T'HH:mm\") ELSE '' END)", None: "CAST(NULL AS STRING)"}
+    value = "CASE (o_orderkey div 300) % 9 " + " ".join(f"WHEN {k} THEN {values[r[2]]}" for k, r in enumerate(SWEPT)) + " END"
+    own = table(spark, sf, "embeddings", "vec_id", "embedding")
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").where("o_orderkey % 100 = 0")
+    asked = o.selectExpr("o_orderkey AS query_id", f"{choose(0)} AS text", f"{choose(1)} AS asks", f"{value} AS value").join(F.broadcast(own.agg(F.count("*").alias("n"))))
+    near = asked.withColumn("vec_id", (F.col("query_id") + F.when(F.col("query_id") % 400 == 0, 1).otherwise(0)) % F.col("n"))
+    return near.join(own, "vec_id").select("query_id", "text", F.col("embedding").alias("vector"), "asks", "value"), o.select(F.col("o_orderkey").alias("query_id"), F.col("o_orderkey").alias("item_id"))
+
+
 @query("variant_sweep")
 def sweep(spark, sf):
-    """Five variants of retrieval by four answer gates, over questions about texts made of orders; a row each."""
-    own = texts(spark, sf)
-    chunks = own.select(F.col("item_id").alias("chunk_id"), "item_id", "text")
-    index = kept(spark, ("orders-index", *signature(spark, f"{sf}/orders.parquet")), lambda: R.build_index(chunks, new_folder(spark, "orders-index")))
-    asked = questions(spark)
-    classes = A.classify(asked).where("kind is not null")
-    df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    n = int(index.statistics.first()["n"])
-
-    def search(extended, coverage, weight):
-        found = R.bm25(index, asked, R.SearchOptions(extended=extended, coverage=coverage, keyword_weight=weight), 10)
-        best = found.where("rank = 1").join(index.chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "text")
-        return best, found.agg(F.countDistinct("query_id").alias("found"), F.round(F.avg("matched"), 6).alias("matched"))
-
-    def judge(best, grounded, function_words, generic_words):
-        rows = best.join(classes, "query_id").select("query_id", "topic", "text")
-        if not grounded:
-            return spark.createDataFrame([(0,)], "declined long")
-        return A.ungrounded(rows, df, n, function_words, generic_words).agg(F.count("*").alias("declined"))
-
-    return E.sweep(search, judge)
+    """Five variants of retrieval by four answer gates, over questions about texts made of orders whose answers are known."""
+    queries, relevant = swept(spark, sf)
+    found = E.sweep(sweep_index(spark, sf), sweep_vectors(spark, sf), queries, relevant, X.facts)
+    return found.select("variant", "gate", "queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr")], "correct", "wrong", "made_up", "declined", "not_a_question")
 
 
 @query("choose_variant", "SELECT 'S2' AS variant, 0.74 AS metric, 0.90 AS guard")

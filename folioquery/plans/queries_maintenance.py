@@ -8,10 +8,13 @@ from folioquery.functions import embedding
 from folioquery.operators import ledger as L
 from folioquery.operators import maintenance as M
 from folioquery.operators import retrieval as R
+from folioquery.operators.facts import facts
+from folioquery.plans.queries_facts import texts
 from folioquery.plans.queries_ledger import SQL_LEDGER, ledger
 from folioquery.plans.queries_retrieval import chunks, vectors
 from folioquery.plans.registry import query
-from folioquery.sources.store import new_folder
+from folioquery.sources.segments import Segments
+from folioquery.sources.store import new_folder, written
 from folioquery.sources.tables import table
 
 SQL_LOG = "log AS (SELECT o_custkey AS id, o_orderdate AS decided_at, o_orderkey AS entry, CASE o_orderkey % 3 WHEN 0 THEN 'INCLUDE' WHEN 1 THEN 'EXCLUDE' END AS decision FROM orders), last AS (SELECT id, (arg_max({decision: decision}, (decided_at, entry))).decision AS decision FROM log GROUP BY id)"
@@ -47,11 +50,33 @@ def migrated(spark, sf):
     return M.migrate(old)
 
 
-@query("cleared_tables", "SELECT 'items' AS name, count(*) FILTER (false) AS rows FROM orders UNION ALL SELECT 'lines', count(*) FILTER (false) FROM lineitem")
+@query("cleared_tables", "SELECT 'items' AS name, count(*) AS before, 0 AS rows FROM orders UNION ALL SELECT 'lines', count(*), 0 FROM lineitem")
 def cleared(spark, sf):
-    place = new_folder(spark, "cleared")
-    own = {"items": table(spark, sf, "orders"), "lines": table(spark, sf, "lineitem")}
-    return M.counts(**M.cleared(own, place))
+    """Tables that are written, counted, emptied and counted again."""
+    place, names = new_folder(spark, "cleared"), {"items": "orders", "lines": "lineitem"}
+    for name, of in names.items():
+        table(spark, sf, of).write.parquet(f"{place}/{name}")
+    stored = {name: spark.read.parquet(f"{place}/{name}") for name in names}
+    before = written(M.counts(**stored), "counts").withColumnRenamed("rows", "before")
+    return before.join(M.counts(**M.cleared(stored)), "name")
+
+
+@query("facts_backfilled", "SELECT run, items, CAST(CASE WHEN run = 3 THEN 2 ELSE run END AS INTEGER) AS version, facts FROM (SELECT unnest([1, 2, 3]) AS run), (SELECT count(*) AS facts FROM orders), LATERAL (SELECT count(*) AS items FROM orders WHERE run = 1 OR run = 2 AND o_orderkey % 3 = 0) WHERE run < 3 UNION ALL SELECT 3, 0, 2, count(*) FROM orders")
+def backfilled(spark, sf):
+    """Dates read from all items, then again from those whose stamp is old, then once more, with nothing left to do: items read, the newest stamp, facts stored."""
+    place = new_folder(spark, "backfill")
+    items, stored = Segments(spark, f"{place}/items", "id"), Segments(spark, f"{place}/facts", "fact_id")
+    own = texts(spark, sf).select(F.col("item_id").alias("id"), "text", F.lit("INDEXED").alias("status"), F.lit(0).alias("facts_version"))
+    items.change(own)
+    dates = lambda some: facts(some).where("kind = 'DATE'").withColumn("fact_id", F.xxhash64("item_id", "line", "value"))
+    runs = []
+    for version in (1, 2, 2):
+        n = M.backfill(items, stored, version, dates)
+        newest = items.read().agg(F.max("facts_version")).first()[0]
+        runs.append((len(runs) + 1, n, newest, stored.version().rows))
+        if version == 1:  # two thirds were read by the newer rules already
+            items.change(items.read().where("id % 3 <> 0").withColumn("facts_version", F.lit(2)))
+    return spark.createDataFrame(runs, "run int, items long, version int, facts long")
 
 
 @query("table_counts", "SELECT 'items' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'pending', count(*) FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'indexed', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'chunks', count(*) FROM lineitem UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'facts', count(*) FROM part UNION ALL SELECT 'payments', count(*) FROM customer UNION ALL SELECT 'notifications', count(*) FROM events")

@@ -25,6 +25,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: it is made once, however often it is read, and outlives executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def signature(spark: SparkSession, path: str) -> tuple:
     """Name, size and time of each file of a table: another one, once the table changes."""
     jvm = spark.sparkContext._jvm
