@@ -115,12 +115,22 @@ def hits(spark, sf):
 MODES = ["OFF", "LOOKALIKE", "GUARD", "ALTERNATIVE"]
 
 
-@query("amount_outcomes", "SELECT mode, count(*) AS items, count(*) FILTER (good) AS correct_confident, 0 AS correct_flagged, 0 AS wrong_confident, 0 AS wrong_flagged, count(*) FILTER (NOT good) AS none, count(*) FILTER (good) AS offered, 0 AS regressed, 0 AS false_flags FROM (SELECT unnest(['OFF', 'LOOKALIKE', 'GUARD', 'ALTERNATIVE']) AS mode, o_orderkey % 3 = 0 AS good FROM orders) GROUP BY mode")
+#: Readings of an amount by what is left of the order's number by 7: a clean one, two digits as look-alikes of another script, a
+#: foreign digit behind it, the sign lost and read as a 2, nothing, the sign lost, another one, of which nothing was written.
+SQL_DAMAGED = """CASE {k} WHEN 0 THEN 'Amount: ₹' || {w} WHEN 1 THEN 'Amount: ₹' || {w} || '৪০' WHEN 2 THEN 'Amount: ₹' || {w} || '৯' WHEN 3 THEN 'Paid' || {nl} || '2' || {w}
+  WHEN 4 THEN 'Amount: none' WHEN 5 THEN 'Total' || {nl} || {w} ELSE 'Amount: ₹' || {w} || '३' END"""
+
+
+@query("amount_outcomes", """WITH o AS (SELECT o_orderkey % 7 AS k, unnest(['OFF', 'LOOKALIKE', 'GUARD', 'ALTERNATIVE']) AS mode FROM orders),
+r AS (SELECT *, CASE WHEN k = 0 THEN 'CC' WHEN k = 1 THEN CASE WHEN mode = 'OFF' THEN 'WC' ELSE 'CF' END WHEN k = 2 THEN CASE WHEN mode IN ('OFF', 'LOOKALIKE') THEN 'WC' ELSE 'WF' END
+  WHEN k = 3 THEN 'WF' WHEN k = 4 THEN 'N' WHEN k = 5 THEN 'CF' ELSE CASE WHEN mode IN ('OFF', 'LOOKALIKE') THEN 'CC' ELSE 'CF' END END AS r FROM o)
+SELECT mode, count(*) AS items, count(*) FILTER (r = 'CC') AS correct_confident, count(*) FILTER (r = 'CF') AS correct_flagged, count(*) FILTER (r = 'WC') AS wrong_confident, count(*) FILTER (r = 'WF') AS wrong_flagged, count(*) FILTER (r = 'N') AS none,
+  count(*) FILTER (r IN ('CC', 'CF') OR (k = 3 AND mode = 'ALTERNATIVE')) AS offered, count(*) FILTER (k = 6 AND r <> 'CC') AS regressed, count(*) FILTER (k = 6 AND r = 'CF') AS false_flags FROM r GROUP BY mode""")
 def amounts(spark, sf):
-    """Amounts of one line, which two of three texts don't show, in each mode of reading."""
-    o = table(spark, sf, "orders", "o_orderkey", "o_totalprice")
-    shown = o.selectExpr("o_orderkey AS item_id", "CASE WHEN o_orderkey % 3 = 0 THEN concat('Amount: ₹', format_number(o_totalprice, 2)) ELSE 'Amount: none' END AS text")
-    truth = o.selectExpr("o_orderkey AS item_id", "regexp_replace(regexp_replace(format_number(o_totalprice, 2), ',', ''), '[.]?0+$', '') AS value")
+    """Amounts of damaged readings in each mode, judged against what was written."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_totalprice").selectExpr("o_orderkey", "o_orderkey % 7 AS k", "CAST(CAST(o_totalprice AS BIGINT) + 1000 AS STRING) AS w")
+    shown = o.selectExpr("o_orderkey AS item_id", SQL_DAMAGED.format(k="k", w="w", nl="chr(10)") + " AS text")
+    truth = o.selectExpr("o_orderkey AS item_id", "CASE k WHEN 1 THEN w || '80' WHEN 2 THEN w || '9' ELSE w END AS value")
     read = None
     for mode in MODES:
         one = X.facts(shown, mode).where("kind = 'AMOUNT'").select(F.lit(mode).alias("mode"), "item_id", "value", "confidence", "line")
@@ -169,9 +179,11 @@ def sweep(spark, sf):
     return found.select("variant", "gate", "queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr")], "correct", "wrong", "made_up", "declined", "not_a_question")
 
 
-@query("choose_variant", "SELECT 'S2' AS variant, 0.74 AS metric, 0.90 AS guard")
+@query("choose_variant", "WITH s AS (SELECT 'l' || l_linenumber AS variant, round(avg(l_discount), 6) AS metric, round(avg(l_quantity), 6) AS guard FROM lineitem GROUP BY 1) SELECT variant, metric, guard FROM s WHERE guard >= (SELECT guard FROM s WHERE variant = 'l1') - 0.5 ORDER BY metric DESC, variant LIMIT 1")
 def variant(spark, sf):
-    return E.choose_variant(spark.createDataFrame([("B0", 0.69, 0.90), ("S1", 0.80, 0.85), ("S2", 0.74, 0.90), ("S3", 0.74, 0.95)], "variant string, metric double, guard double"), "B0")
+    """With some loss of the guard allowed."""
+    scores = table(spark, sf, "lineitem", "l_linenumber", "l_discount", "l_quantity").groupBy(F.concat(F.lit("l"), F.col("l_linenumber").cast("string")).alias("variant")).agg(F.round(F.avg("l_discount"), 6).alias("metric"), F.round(F.avg("l_quantity"), 6).alias("guard"))
+    return E.choose_variant(scores, "l1", 0.5)
 
 
 @query("variant_chosen", "WITH s AS (SELECT 'v' || o_custkey % 9 AS variant, round(avg(o_totalprice), 4) AS metric, CAST(count(*) AS DOUBLE) AS guard FROM orders GROUP BY 1) SELECT variant, metric, guard FROM s WHERE guard >= (SELECT guard FROM s WHERE variant = 'v0') ORDER BY metric DESC, variant LIMIT 1")

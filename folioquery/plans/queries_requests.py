@@ -25,12 +25,23 @@ def incoming(spark, sf):
     return Q.parse(rows)
 
 
+def settings_catalogue(spark):
+    return spark.createDataFrame(Q.SETTINGS, "label string, action string, names array<string>")
+
+
+def settings_typed(spark, sf):
+    """For each customer a name of a settings screen: as it is, wrapped in other words, with a letter lacking, or with words that aren't a name."""
+    names = [name for _, _, known in Q.SETTINGS for name in known]
+    name = F.element_at(F.array(*map(F.lit, names)), (1 + F.col("c_custkey") % len(names)).cast("int"))
+    k = F.col("c_custkey") / 7 % 4
+    text = F.when(k < 1, name).when(k < 2, F.concat(F.lit("open "), name, F.lit(" settings"))).when(k < 3, F.concat(F.substring(name, 1, 2), F.expr("substring(name, 4)"))).otherwise(F.concat(name, F.lit(" bill of march")))
+    return table(spark, sf, "customer", "c_custkey").withColumn("name", name).select(F.col("c_custkey").alias("query_id"), text.alias("text"))
+
+
 @query("settings_search")
 def settings(spark, sf):
     """Settings screens for typed names, as they are, wrapped in other words, and misspelt."""
-    rows = spark.createDataFrame(Q.SETTINGS, "label string, action string, names array<string>")
-    asked = [(1, "wifi"), (2, "open bluetooth settings"), (3, "turn on gps"), (4, "batery saver"), (5, "battery bill of march"), (6, "bt"), (7, "btt"), (8, "వైఫై"), (9, "time zone"), (10, "settings")]
-    return O.search_settings(rows, asked).select("query_id", "label", F.round("score", 6).alias("score"), "rank")
+    return O.search_settings(settings_catalogue(spark), settings_typed(spark, sf)).select("query_id", "label", F.round("score", 6).alias("score"), "rank")
 
 
 SQL_CLOCK = "(CASE WHEN (o_orderkey % 24) % 12 = 0 THEN 12 ELSE (o_orderkey % 24) % 12 END) || ':' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0') || CASE WHEN o_orderkey % 24 < 12 THEN ' AM' ELSE ' PM' END || ' (' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0') || ')'"

@@ -93,9 +93,10 @@ def chunk_documents(spark, sf):
     return chunks(spark, sf)
 
 
-@query("query_terms", rf"WITH q(query_id, text, vec_id) AS (VALUES {VALUES}) SELECT query_id, array_to_string(list_filter(regexp_extract_all(lower(text), '{WORDS}'), lambda w: len(w) >= 2 AND w NOT IN {STOP}), ' ') AS terms FROM q")
-def terms_of_queries(spark, sf):
-    return texts(spark).select("query_id", F.array_join(query_terms(F.col("text")), " ").alias("terms"))
+@query("query_terms", rf"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '{WORDS}'), lambda w: NOT (regexp_full_match(w, '[\x00-\x7f]*') AND (len(w) < 2 OR w IN {STOP}))))), ' ') AS terms FROM documents")
+def terms_of_texts(spark, sf):
+    """Whole documents, taken as queries; their terms in order."""
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.array_join(F.array_sort(query_terms(F.col("text"))), " ").alias("terms"))
 
 
 @query("postings", rf"SELECT term, count(*) AS df, sum(tf) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS term FROM documents) GROUP BY ALL) GROUP BY term")

@@ -8,23 +8,23 @@ from folioquery.operators import routing
 from folioquery.plans.registry import query
 from folioquery.sources.tables import table
 
-TEXTS = [(1, "2+2"), (2, "how much did I spend in september 2026"), (3, "when is the due date"), (4, "set alarm 7"), (5, "india"), (6, "beach photos"), (7, "   "), (8, "spent this month"), (9, "5 kg in m")]
-KINDS = [(1, "CALCULATOR"), (2, "SPENDING,FILE_SEARCH"), (3, "QUESTION,FILE_SEARCH"), (4, "COMMAND,FILE_SEARCH"), (5, "APP,FILE_SEARCH"), (6, "FILE_SEARCH"), (7, ""), (8, "SPENDING,FILE_SEARCH"), (9, "CALCULATOR")]
+#: What is typed by the customer's number by 7, and what it may be.
+TYPED = [("concat('2+', c_custkey)", "CALCULATOR"), ("'how much did I spend in september 2026'", "SPENDING,FILE_SEARCH"), ("concat('when is bill ', c_custkey, ' due')", "QUESTION,FILE_SEARCH"), ("'set alarm 7'", "COMMAND,FILE_SEARCH"), ("concat('open ', lower(n_name))", "APP,FILE_SEARCH"), ("concat('beach photos ', c_custkey)", "FILE_SEARCH"), ("'   '", "")]
 
 
-def texts(spark):
-    return spark.createDataFrame(TEXTS, "query_id long, text string")
-
-
-@query("route", "SELECT * FROM (VALUES " + ", ".join(f"({a}, '{b}')" for a, b in KINDS) + ") t(query_id, kinds)")
+@query("route", "SELECT c_custkey AS query_id, CASE c_custkey % 7 " + " ".join(f"WHEN {k} THEN '{kinds}'" for k, (_, kinds) in enumerate(TYPED)) + " END AS kinds FROM customer")
 def routed(spark, sf):
-    apps = spark.createDataFrame([("India", "org.nation.india", "8"), ("Weather", "com.sky", "9")], "label string, package string, component string")
-    return routing.route(texts(spark), "2026-10-05", apps=apps).select("query_id", "kinds")
+    nations = table(spark, sf, "nation", "n_nationkey", "n_name")
+    typed = table(spark, sf, "customer", "c_custkey", "c_nationkey").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("c_custkey AS query_id", "CASE c_custkey % 7 " + " ".join(f"WHEN {k} THEN {text}" for k, (text, _) in enumerate(TYPED)) + " END AS text")
+    apps = nations.selectExpr("n_name AS label", "concat('org.nation.', lower(n_name)) AS package", "CAST(n_nationkey AS STRING) AS component")
+    return routing.route(typed, "2026-10-05", apps=apps).select("query_id", "kinds")
 
 
-@query("spending_queries", "SELECT * FROM (VALUES (2, 9, 2026, NULL), (8, NULL, NULL, 'THIS_MONTH')) t(query_id, month_number, year, relative)")
+@query("spending_queries", "SELECT o_orderkey AS query_id, CAST(CASE WHEN o_orderkey % 3 < 2 THEN month(o_orderdate) END AS INTEGER) AS month_number, CAST(CASE WHEN o_orderkey % 3 = 0 THEN year(o_orderdate) + 30 END AS INTEGER) AS year, CASE WHEN o_orderkey % 3 = 2 THEN 'THIS_MONTH' END AS relative FROM orders")
 def spending(spark, sf):
-    return routing.spending(texts(spark))
+    """Spending asked for by month and year, by month alone, and by this month."""
+    typed = table(spark, sf, "orders", "o_orderkey", "o_orderdate").selectExpr("o_orderkey AS query_id", "CASE o_orderkey % 3 WHEN 0 THEN concat(date_format(o_orderdate, \"'how much did I spend in 'MMMM \"), year(o_orderdate) + 30) WHEN 1 THEN date_format(o_orderdate, \"'spent in 'MMMM\") ELSE 'spent this month' END AS text")
+    return routing.spending(typed)
 
 
 @query("calendar_plans", "SELECT o_orderkey AS fact_id, 'CALENDAR' AS action, strftime(o_orderdate, '%Y-%m-%d') || '/all-day' AS target, CASE WHEN CAST(o_orderdate AS DATE) < DATE '1998-01-01' THEN 'in the past' ELSE '' END AS note FROM orders UNION ALL SELECT o_orderkey, 'SHARE', strftime(o_orderdate, '%Y-%m-%d'), CASE WHEN CAST(o_orderdate AS DATE) < DATE '1998-01-01' THEN 'in the past' ELSE '' END FROM orders")

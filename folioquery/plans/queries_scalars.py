@@ -9,15 +9,21 @@ from folioquery.plans.registry import query
 from folioquery.sources.tables import table
 
 TODAY = "2026-10-05"
-SUMS = [(1, "2+3*4", "14"), (2, "4500 + 18%", "5,310"), (3, "10% of 20% of 50000", "1,000"), (4, "2^3^2", "512"), (5, "two hundred and fifty plus 3", "253"), (6, "2.5 lakh", "2,50,000"), (7, "12-09", None), (8, "12 km to m", "12,000 m"), (9, "100 f to c", "37.777778 °C"), (10, "2 acres in sq ft", "87,120 sq ft"), (11, "days until 25 dec", "81 days until Fri 25 Dec 2026"), (12, "in 2 weeks", "Mon 19 Oct 2026"), (13, "100 usd to inr", "8,350 INR"), (14, "hello", None), (15, "1 gb in mb", "1,024 MB")]
-COMMANDS = [(1, "set alarm 7"), (2, "alarm 6:30 pm"), (3, "timer 10 min"), (4, "timer 5"), (5, "set timer 1 hour 30 minutes"), (6, "alarm clock shop")]
-text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+#: What is typed by the order's number by 10, and what it works out to, without marks of grouping; a: the customer, b: 1 to 90.
+SQL_HUNDREDTHS = "({p}) // 100 || CASE WHEN ({p}) % 100 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(({p}) % 100 AS VARCHAR), 2, '0'), '0') END"
+SUMS = [
+    ("concat(a, ' + ', b, '%')", SQL_HUNDREDTHS.format(p="a * (100 + b)")), ("concat(b, '% of ', a)", SQL_HUNDREDTHS.format(p="a * b")), ("concat(a, '^2')", "a * a"), ("concat('two hundred and fifty plus ', b)", "250 + b"),
+    ("concat(a, ' lakh')", "a * 100000"), ("concat(a, ' km to m')", "a * 1000 || ' m'"), ("concat(a, ' gb in mb')", "a * 1024 || ' MB'"), ("concat('in ', b, ' days')", f"strftime(DATE '{TODAY}' + CAST(b AS INTEGER), '%a %-d %b %Y')"),
+    ("concat(a, ' usd to inr')", SQL_HUNDREDTHS.format(p="a * 8350") + " || ' INR'"), ("concat('order of ', a)", "NULL"),
+]
+by_tenth = lambda place: "CASE k " + " ".join(f"WHEN {k} THEN {x[place]}" if place == 0 else f"WHEN {k} THEN CAST({x[place]} AS VARCHAR)" for k, x in enumerate(SUMS)) + " END"
 
 
-@query("calculate", "SELECT * FROM (VALUES " + ", ".join(f"({a}, {text(c)})" for a, _, c in SUMS) + ") t(id, shown)")
+@query("calculate", f"SELECT id, {by_tenth(1)} AS shown FROM (SELECT o_orderkey AS id, o_orderkey % 10 AS k, o_custkey AS a, 1 + o_orderkey % 90 AS b FROM orders)")
 def calculate(spark, sf):
-    rows = spark.createDataFrame([(a, b) for a, b, _ in SUMS], "id int, text string")
-    return rows.select("id", scalars.calculate(F.col("text"), TODAY, [("USD", "INR", "83.5", "2026-10-01")])["primary"].alias("shown"))
+    """Sums, shares, powers, words, units, dates and currencies, made of the orders' numbers."""
+    rows = table(spark, sf, "orders", "o_orderkey", "o_custkey").selectExpr("o_orderkey AS id", "o_orderkey % 10 AS k", "o_custkey AS a", "1 + o_orderkey % 90 AS b").selectExpr("id", f"{by_tenth(0)} AS text")
+    return rows.select("id", F.replace(scalars.calculate(F.col("text"), TODAY, [("USD", "INR", "83.5", "2026-10-01")])["primary"], F.lit(","), F.lit("")).alias("shown"))
 
 
 @query("calculate_columns", "SELECT o_orderkey, CAST(o_custkey + o_orderkey * 2 AS VARCHAR) AS value FROM orders")
@@ -26,9 +32,14 @@ def columns(spark, sf):
     return sums.select("o_orderkey", F.regexp_replace(scalars.calculate(F.col("text"), TODAY)["primary"], ",", "").alias("value"))
 
 
-@query("commands", "SELECT * FROM (VALUES (1, 'ALARM', 420), (1, 'ALARM', 1140), (2, 'ALARM', 1110), (3, 'TIMER', 600), (5, 'TIMER', 5400)) t(query_id, kind, value)")
+SQL_TYPED = "SELECT o_orderkey AS query_id, o_orderkey % 4 AS k, 1 + o_custkey % 12 AS h, o_custkey % 60 AS m FROM orders"
+
+
+@query("commands", f"SELECT query_id, 'ALARM' AS kind, CAST((h % 12) * 60 + unnest([0, 720]) AS INTEGER) AS value FROM ({SQL_TYPED}) WHERE k = 0 UNION ALL SELECT query_id, 'ALARM', CAST((h % 12) * 60 + m + 720 AS INTEGER) FROM ({SQL_TYPED}) WHERE k = 1 UNION ALL SELECT query_id, 'TIMER', CAST((m + 1) * 60 AS INTEGER) FROM ({SQL_TYPED}) WHERE k = 2")
 def commands(spark, sf):
-    return scalars.commands(spark.createDataFrame(COMMANDS, "query_id int, text string"))
+    """Alarms with and without a half of the day, timers, and what only looks like one."""
+    typed = table(spark, sf, "orders", "o_orderkey", "o_custkey").selectExpr("o_orderkey AS query_id", "o_orderkey % 4 AS k", "1 + o_custkey % 12 AS h", "o_custkey % 60 AS m")
+    return scalars.commands(typed.selectExpr("query_id", "CASE k WHEN 0 THEN concat('set alarm ', h) WHEN 1 THEN concat('alarm ', h, ':', lpad(CAST(m AS STRING), 2, '0'), ' pm') WHEN 2 THEN concat('timer ', m + 1, ' min') ELSE 'alarm clock shop' END AS text"))
 
 
 @query("sound_keys")
