@@ -11,8 +11,9 @@ from folioquery.operators import ledger as L
 from folioquery.operators import retrieval as R
 from folioquery.plans.queries_facts import texts
 from folioquery.plans.queries_ledger import SQL_LEDGER, payments
+from folioquery.plans.queries_retrieval import index, vectors
 from folioquery.plans.registry import query
-from folioquery.sources.store import kept, new_folder, signature, spread
+from folioquery.sources.store import kept, new_folder, signature, spread, written
 from folioquery.sources.tables import table
 
 SQL_Q = """
@@ -47,9 +48,9 @@ def quality_by_mode(spark, sf):
     documents = table(spark, sf, "documents", "doc_id", "text")
     opening = documents.select(F.col("doc_id").alias("vec_id"), F.array_join(F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 8), " ").alias("text"))
     asked = asking.join(opening, "vec_id", "left").select(F.col("vec_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("embedding").alias("vector"))
-    own = R.chunk(documents, "doc_id", "text")
-    keyword = R.bm25(own, asked.select("query_id", "text"))
-    meaning = R.cosine_in_blocks(v.select((F.col("vec_id") * R.CHUNKS_AN_ITEM).alias("chunk_id"), F.col("embedding").alias("vector")), asked.select("query_id", "vector"))
+    own = index(spark, sf)  # the stored one; each leg is made once for all modes
+    keyword = written(R.bm25(own, asked.select("query_id", "text")), "keyword-leg")
+    meaning = written(R.cosine(vectors(spark, sf), asked.select("query_id", "vector")), "meaning-leg")
     of_query, of_item = (d.select(F.col("vec_id").alias(c), "label") for d, c in ((asking, "query_id"), (v, "item_id")))
     styles = asking.select(F.col("vec_id").alias("query_id"), (F.col("label") % 3).alias("style"))
     scored = None

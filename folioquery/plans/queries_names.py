@@ -16,10 +16,18 @@ def contacts(spark, sf):
     return O.search_contacts(named, [(1, "call amma")]).select("query_id", F.when(F.col("id") == 7, F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0"))).alias("name"), F.round("score", 6).alias("score"), "rank")
 
 
+def nations_typed(spark, sf):
+    """For each nation its name in lower case: in a request, without its second letter, with two letters swapped, or its first four."""
+    k, n = F.col("n_nationkey") % 4, F.lower("n_name")
+    text = F.when(k == 0, F.concat(F.lit("open "), n)).when(k == 1, F.concat(F.substring(n, 1, 1), n.substr(F.lit(3), F.length(n)))).when(k == 2, F.concat(F.substring(n, 2, 1), F.substring(n, 1, 1), n.substr(F.lit(3), F.length(n)))).otherwise(F.substring(n, 1, 4))
+    return table(spark, sf, "nation", "n_nationkey", "n_name").select(F.col("n_nationkey").cast("long").alias("query_id"), text.alias("text"))
+
+
 @query("nation_search")
 def nations(spark, sf):
+    """The nations that a typed name may mean, as apps would be found."""
     rows = table(spark, sf, "nation", "n_nationkey", "n_name").select(F.col("n_name").alias("label"), F.concat(F.lit("org.nation."), F.lower("n_name")).alias("package"), F.col("n_nationkey").cast("string").alias("component"))
-    return O.search_apps(rows, [(1, "open inda"), (2, "brasil"), (3, "germny"), (4, "फ्रांस"), (5, "NATION")]).select("query_id", "label", F.round("score", 6).alias("score"), "rank")
+    return O.search_apps(rows, nations_typed(spark, sf)).select("query_id", "label", F.round("score", 6).alias("score"), "rank")
 
 
 #: A syllable for each digit, of which names are made.

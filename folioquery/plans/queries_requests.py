@@ -82,13 +82,28 @@ def detail(spark, sf):
     return own.select("item_id").join(read, "item_id", "left")
 
 
-@query("facts_of_documents")
+#: What is written below a document: by kind the line, and the value that it holds.
+PLANTED = {
+    "AMOUNT": ("'Amount: ₹' || (1000 + doc_id)", "CAST(1000 + doc_id AS {text})"), "DATE": ("'Due date: 15 Sep ' || (2001 + doc_id % 90)", "(2001 + doc_id % 90) || '-09-15'"),
+    "PHONE": ("'Mobile: 98765 ' || lpad(CAST(doc_id % 100000 AS {text}), 5, '0')", "'+9198765' || lpad(CAST(doc_id % 100000 AS {text}), 5, '0')"), "ADDRESS": ("'Address: Plot ' || doc_id || ', Main Road'", "'Plot ' || doc_id || ', Main Road'"),
+}
+
+
+def planted(spark, sf):
+    """(texts, facts): whole documents with four lines below each, and what these hold."""
+    d = table(spark, sf, "documents", "doc_id", "text")
+    lines = " || chr(10) || ".join(line for line, _ in PLANTED.values()).format(text="STRING")
+    values = ", ".join(f"'{kind}', {value.format(text='STRING')}" for kind, (_, value) in PLANTED.items())
+    return d.selectExpr("doc_id AS item_id", f"coalesce(text, '') || chr(10) || {lines} AS text"), d.selectExpr("doc_id AS item_id", f"stack({len(PLANTED)}, {values}) AS (kind, value)")
+
+
+@query("facts_of_documents", " UNION ALL ".join(f"SELECT '{kind}' AS kind, count(*) AS planted, count(*) AS found, count(DISTINCT {value.format(text='VARCHAR')}) AS distinct_values FROM documents" for kind, (_, value) in PLANTED.items()))
 def facts_of_documents(spark, sf):
-    """Phones, dates, amounts and addresses that the documents themselves show: a row for each kind."""
-    read = X.facts(table(spark, sf, "documents", "doc_id", "text").withColumnRenamed("doc_id", "item_id"))
-    found = read.groupBy("kind").agg(F.count("*").alias("facts"), F.countDistinct("item_id").alias("items"))
-    kinds = spark.createDataFrame([(k,) for k in ("PHONE", "DATE", "AMOUNT", "ADDRESS")], "kind string")
-    return kinds.join(found, "kind", "left").na.fill(0, ["facts", "items"])
+    """Amounts, dates, phone numbers and addresses below whole documents: a row for each kind, with how many were written and are found."""
+    texts, written = planted(spark, sf)
+    read = X.facts(texts).select("item_id", "kind", "value").distinct().withColumn("hit", F.lit(1))
+    found = written.join(read, ["item_id", "kind", "value"], "left")
+    return found.groupBy("kind").agg(F.count("*").alias("planted"), F.count("hit").alias("found"), F.countDistinct(F.when(F.col("hit") == 1, F.col("value"))).alias("distinct_values"))
 
 
 @query("phones_and_addresses", "SELECT s_suppkey AS item_id, 'PHONE' AS kind, '+9198765' || lpad(CAST(s_suppkey % 100000 AS VARCHAR), 5, '0') AS value FROM supplier UNION ALL SELECT s_suppkey, 'ADDRESS', 'Plot ' || s_nationkey || ', Main Road, Hyderabad 500' || lpad(CAST(s_nationkey AS VARCHAR), 3, '0') FROM supplier")

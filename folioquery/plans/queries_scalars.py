@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioquery.operators import scalars
+from folioquery.plans.queries_names import customers
 from folioquery.plans.registry import query
 from folioquery.sources.tables import table
 
@@ -42,7 +43,15 @@ def commands(spark, sf):
     return scalars.commands(typed.selectExpr("query_id", "CASE k WHEN 0 THEN concat('set alarm ', h) WHEN 1 THEN concat('alarm ', h, ':', lpad(CAST(m AS STRING), 2, '0'), ' pm') WHEN 2 THEN concat('timer ', m + 1, ' min') ELSE 'alarm clock shop' END AS text"))
 
 
-@query("sound_keys")
+SQL_SOUNDS = "translate(lpad(CAST(c_custkey * 48271 % 99999989 AS VARCHAR), 8, '0'), '0123456789', 'krmtsnpglc')"
+for _c in "krmtsnpglc":
+    SQL_SOUNDS = f"regexp_replace({SQL_SOUNDS}, '{_c}+', '{_c}', 'g')"
+
+
+@query("sound_keys", f"SELECT c_custkey AS id, {SQL_SOUNDS} AS sounds, 1 AS edits, 1 AS swapped FROM customer")
 def sounds(spark, sf):
+    """The sounds of spoken names by SQL functions, and their edits from names with a letter less and with two letters swapped."""
     scalars.register(spark)
-    return table(spark, sf, "nation", "n_name").selectExpr("n_name", "sound_key(n_name) AS sounds", "edit_distance(n_name, upper(substr(n_name, 2))) AS edits")
+    names = customers(spark, sf).withColumn("n", F.lower("name"))
+    other = "concat(substr(n, 1, 4), substr(n, 6, 1), substr(n, 5, 1), substr(n, 7))"
+    return names.selectExpr("id", "sound_key(name) AS sounds", "CAST(edit_distance(n, substr(n, 2)) AS INT) AS edits", f"CAST(CASE WHEN substr(n, 5, 1) = substr(n, 6, 1) THEN 1 ELSE edit_distance(n, {other}) END AS INT) AS swapped")

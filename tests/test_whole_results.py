@@ -5,9 +5,14 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 
 from folioquery.operators import evaluation
-from folioquery.plans import registry
+from folioquery.functions.text import STOPWORDS
+from folioquery.plans import queries_retrieval, registry
+
+
+WORD = regex.compile(r"[\p{L}\p{Nd}\p{M}\u200c\u200d]+")
 
 
 def edits(a, b):
@@ -29,19 +34,41 @@ def test_character_errors_of_whole_texts(spark):
     assert {r.lang: r.error for r in evaluation.character_errors(rows).collect()} == pytest.approx(want)
 
 
+def keyword_leg(chunks, text):
+    """Chunk ids by BM25 over prefix terms, best first, as many as a leg holds."""
+    terms = [w for w in dict.fromkeys(WORD.findall(text.lower())) if not (w.isascii() and (len(w) < 2 or w in STOPWORDS))]
+    words = {k: WORD.findall(t.lower()) for k, t in chunks.items()}
+    mean = max(1, int(np.floor(np.mean([len(w) for w in words.values()]) + 0.5)))
+    total = defaultdict(float)
+    for t in terms:
+        hits = {k: n for k, w in words.items() if (n := sum(x.startswith(t) for x in w))}
+        idf = np.log((len(words) - len(hits) + 0.5) / (len(hits) + 0.5) + 1)
+        for k, n in hits.items():
+            total[k] += idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words[k]) / mean))
+    return sorted(total, key=lambda k: (-round(total[k], 9), k))[:50]
+
+
 def test_retrieval_quality_asks_in_three_modes_over_the_whole_table(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
-    items = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").where("trim(text) <> ''").select("doc_id").collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    chunks = {r.chunk_id: r.text for r in queries_retrieval.chunks(spark, sf).collect()}
     label, x = {r.vec_id: r.label for r in v}, np.array([r.embedding for r in v], np.float64)
     asking = [k for k, r in enumerate(v) if r.vec_id % 100 == 0]
-    want = defaultdict(list)
+    want = {mode: defaultdict(list) for mode in ("KEYWORDS", "MEANING", "MERGED")}
     for k in asking:
         score = np.round(x @ x[k], 9)
-        near = [v[j].vec_id for j in np.lexsort((np.arange(len(v)), -score))[:50]]
-        near = [i for i in near if i in items][:21]
-        near = [i for i in near if i != v[k].vec_id][:20]
-        want[v[k].label % 3].append(next((1 / n for n, i in enumerate(near, 1) if label[i] == v[k].label), 0.0))
+        meaning = [v[j].vec_id << 20 for j in np.lexsort((np.arange(len(v)), -score))[:50]]
+        keyword = keyword_leg(chunks, " ".join(texts.get(v[k].vec_id, "").split()[:8]))
+        both = defaultdict(float)
+        for leg in (keyword, meaning):
+            for n, c in enumerate(leg, 1):
+                both[c] += 1 / (60 + n)
+        merged = sorted(both, key=lambda c: (-round(both[c], 9), c))[:50]
+        for mode, leg in (("KEYWORDS", keyword), ("MEANING", meaning), ("MERGED", merged)):
+            items = list(dict.fromkeys(c >> 20 for c in leg if c in chunks))[:21]
+            near = [i for i in items if i != v[k].vec_id][:20]
+            want[mode][v[k].label % 3].append(next((1 / n for n, i in enumerate(near, 1) if label.get(i) == v[k].label), 0.0))
     got = registry.queries()["retrieval_quality_modes"](spark, sf).collect()
-    for mode in ("KEYWORDS", "MEANING", "MERGED"):
+    for mode, styles in want.items():
         assert sum(r.queries for r in got if r.mode == mode) == len(asking) > 0
-    assert {r.style: r.mrr for r in got if r.mode == "MEANING"} == pytest.approx({s: np.mean(m) for s, m in want.items()}, abs=1e-5)
+        assert {r.style: r.mrr for r in got if r.mode == mode} == pytest.approx({s: np.mean(m) for s, m in styles.items()}, abs=1e-5), mode
