@@ -35,6 +35,32 @@ def scan(files: DataFrame, most: int = MOST_FILES) -> DataFrame:
     return files.where(F.least("width", "height") >= LEAST_SIDE).orderBy(F.desc("added_at"), F.desc("uri")).limit(most)
 
 
+def scan_result(files: DataFrame, existing: DataFrame, access: str, most: int = MOST_FILES) -> DataFrame:
+    """One row: seen, added, changed, removed, skipped_small, of a scan with access FULL, PARTIAL or NONE (which looks at nothing).
+
+    Files are those that scan() takes; a small one is skipped. What is gone is told only by a scan with FULL access that
+    found fewer files than it takes.
+    """
+    if access == "NONE":
+        return files.sparkSession.createDataFrame([(0, 0, 0, 0, 0)], "seen long, added long, changed long, removed long, skipped_small long")
+    small = F.least("width", "height") < LEAST_SIDE
+    newest = F.struct("added_at", "uri")
+    # The files that are taken are those from the last of them on, so that the small ones between them are told, too.
+    taken = scan(files, most)
+    ends = taken.agg(F.min(newest).alias("last"), F.count("*").alias("seen"))
+    skipped = files.join(F.broadcast(ends)).where(small & ((F.col("seen") < most) | (newest > F.col("last")))).agg(F.count("*").alias("skipped_small"))
+    both = reconcile(taken, existing, complete=access == "FULL").groupBy().agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "changed", "removed")])
+    whole = ends.select("seen").join(F.broadcast(both)).join(F.broadcast(skipped))  # a row each
+    return whole.select("seen", "added", "changed", F.when(F.col("seen") < most, F.col("removed")).otherwise(0).alias("removed"), "skipped_small")
+
+
+def indexed_copies(items: DataFrame) -> DataFrame:
+    """items(id, content_hash, status) -> id, copies: how many others of that content are INDEXED or NO_TEXT; by counts, which have partial sums."""
+    worked = F.col("status").isin("INDEXED", "NO_TEXT")
+    known = items.where(worked).groupBy("content_hash").agg(F.count("*").alias("n"))
+    return items.join(known, "content_hash", "left").select("id", (F.coalesce("n", F.lit(0)) - worked.cast("int")).alias("copies"))
+
+
 def reconcile(scanned: DataFrame, existing: DataFrame, complete: bool) -> DataFrame:
     """uri and change (added, changed, same, removed); removed only if the scan was complete. Both have uri, modified_at, size_bytes."""
     old = existing.select("uri", F.col("modified_at").alias("old_time"), F.col("size_bytes").alias("old_size"), F.lit(True).alias("known"))

@@ -176,8 +176,9 @@ CONTACTS = Kind(["id", "name", "number"], lambda _, name, __: [name], contact_na
 SETTINGS = Kind(["label", "action", "names"], lambda label, action, names: names or [], lambda text: [n] if (n := setting_name(text)) else [], setting_score, 0.85)
 
 
-def search_apps(apps: DataFrame, requests: DataFrame | list[tuple[int, str]], limit: int = 4) -> DataFrame:
-    """apps(label, package, component)"""
+def search_apps(apps: DataFrame, requests: DataFrame | list[tuple[int, str]], limit: int = 4, own: str | None = None) -> DataFrame:
+    """apps(label, package, component), each component once; own: the package that asks, which isn't found."""
+    apps = apps.where(~F.col("package").eqNullSafe(F.lit(own))) if own is not None else apps
     return best(scored(apps.dropDuplicates(["component"]), requests, APPS), limit, "label", "component")
 
 

@@ -38,6 +38,11 @@ def escape_like(term: str) -> str:
     return term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
+def holds(column: str, term: str) -> Column:
+    """Whether a column holds a term as it stands, by a pattern in which the term's own signs mean nothing; sources that take patterns can be asked for it."""
+    return F.call_function("like", F.col(column), F.lit(f"%{escape_like(term)}%"))
+
+
 def search(rows: DataFrame, text: str, limit: int = RESULTS) -> DataFrame:
     """The newest rows that hold every term in app_label, title or text; upper and lower case of A-Z are alike."""
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -14,6 +14,12 @@ def key() -> Column:
     return F.concat("value", F.lit("|"), F.lower(F.rtrim(F.trim(F.coalesce("label", F.lit(""))), F.lit(":"))))
 
 
+def candidates(facts: DataFrame, items: DataFrame) -> DataFrame:
+    """facts(fact_id, item_id, kind, label, value), items(item_id, item_name, status) -> what suggest() takes: labelled dates with a year, of INDEXED items."""
+    dates = facts.where((F.col("kind") == "DATE") & ~F.col("value").startswith("--") & F.col("label").isNotNull())
+    return dates.join(items.where("status = 'INDEXED'").select("item_id", "item_name"), "item_id").select("fact_id", "item_id", "item_name", "label", "value")
+
+
 def suggest(dates: DataFrame, today: str, dismissed: DataFrame | None = None) -> DataFrame:
     """dates(fact_id, item_id, item_name, label, value): the nearest MOST deadlines of the coming WINDOW_DAYS days.
 

@@ -60,6 +60,13 @@ def chunk(documents: DataFrame, id_column: str, text_column: str, budget: int =
     return rows.select((F.col("item_id") * CHUNKS_AN_ITEM + checked).alias("chunk_id"), "item_id", "ordinal", "text")
 
 
+def recent(items: DataFrame, limit: int, budget: int = 256) -> DataFrame:
+    """items(item_id, name, status, indexed_at, text): the last of those that aren't PENDING, each with its first chunk, if it has one; only their texts are cut."""
+    last = items.where("status <> 'PENDING'").orderBy(F.desc("indexed_at"), F.desc("item_id")).limit(limit)
+    first = chunk(last, "item_id", "text", budget).where("ordinal = 0").select("item_id", F.col("text").alias("snippet"))
+    return last.drop("text").join(first, "item_id", "left").orderBy(F.desc("indexed_at"), F.desc("item_id"))
+
+
 @dataclass(frozen=True)
 class Index:
     """A stored index: chunks(chunk_id, item_id, ordinal, text), postings by term, statistics (one row)."""
@@ -120,12 +127,15 @@ def prefix_hits(index: DataFrame, queries: DataFrame, options: SearchOptions = B
     of = lambda extended: query_terms(F.col("text"), extended=extended)
     terms = F.when(F.col("extended"), of(True)).otherwise(of(False)) if "extended" in queries.columns else of(options.extended)
     asked = queries.select("query_id", terms.alias("t")).select("query_id", F.size("t").alias("phrases"), F.explode("t").alias("token"))
-    tokens = [r["token"] for r in asked.select("token").distinct().limit(PUSHED_TOKENS + 1).collect()]
-    if len(tokens) <= PUSHED_TOKENS:  # the scan of a stored index skips what holds none of them
+    rows = asked.limit(PUSHED_TOKENS + 1).collect()
+    if len(rows) <= PUSHED_TOKENS:  # the scan of a stored index skips what holds none of them
+        tokens = sorted({r["token"] for r in rows})
         index = index.where(reduce(lambda a, b: a | b, (F.col("term").startswith(t) for t in tokens), F.lit(False)))
-        asked = F.broadcast(asked) if queries.limit(PUSHED_TOKENS + 1).count() <= PUSHED_TOKENS else asked
-    lengths = asked.agg(F.collect_set(F.length("token")).alias("lengths"))  # one row of a few numbers
-    starts = index.join(F.broadcast(lengths)).select("term", "chunk_id", "len", "tf", F.explode(F.filter("lengths", lambda n: n <= F.length("term"))).alias("n"))
+        asked = F.broadcast(queries.sparkSession.createDataFrame(rows, asked.schema))
+        index = index.withColumn("lengths", F.array(*map(F.lit, sorted({len(t) for t in tokens}))).cast("array<int>"))
+    else:
+        index = index.join(F.broadcast(asked.agg(F.collect_set(F.length("token")).alias("lengths"))))  # one row of a few numbers
+    starts = index.select("term", "chunk_id", "len", "tf", F.explode(F.filter("lengths", lambda n: n <= F.length("term"))).alias("n"))
     starts = starts.select("chunk_id", "len", "tf", F.col("term").substr(F.lit(1), F.col("n")).alias("token"))
     return starts.join(asked, "token").groupBy("query_id", "phrases", "token", "chunk_id", "len").agg(F.sum("tf").alias("hits"))
 

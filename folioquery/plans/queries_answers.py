@@ -36,15 +36,10 @@ def classified(spark, sf):
 @query("answers")
 def answered(spark, sf):
     """Only the items that were found go through fact reading."""
-
     found = results(spark, sf)
     top = found.where("rank = 1").select("item_id", "text").distinct()
-    own = texts(spark, sf)
-    df = R.postings(own.select(F.col("item_id").alias("chunk_id"), "text")).groupBy("term").agg(F.count("*").alias("df"))
-    asked = A.classify(questions(spark)).where("kind is not null")
-    best = found.where("rank = 1").join(asked, "query_id").select("query_id", "topic", "text")
-    lacking = A.ungrounded(best, df, own.count())
-    return A.answer(found, questions(spark), X.facts(top), lacking)
+    own = texts(spark, sf).select(F.col("item_id").alias("chunk_id"), "item_id", "text")
+    return A.ask(found, questions(spark), X.facts(top), R.Index(own, R.postings(own), R.statistics(own)), A.AnswerOptions(True, True, True))
 
 
 SQL_YEARLESS = "make_date(2024, CAST(1 + p_partkey % 12 AS INTEGER), CAST(1 + p_partkey % 28 AS INTEGER))"

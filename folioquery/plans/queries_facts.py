@@ -46,3 +46,14 @@ def due(spark, sf):
     o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     rows = o.selectExpr("o_orderkey AS fact_id", "o_custkey AS item_id", "concat('item ', o_custkey) AS item_name", "CASE o_orderkey % 4 WHEN 0 THEN 'Due date' WHEN 1 THEN 'Valid till:' WHEN 2 THEN 'Issued on' END AS label", "CASE WHEN o_orderkey % 9 = 0 THEN date_format(o_orderdate, '--MM-dd') WHEN o_orderkey % 7 = 0 THEN date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm\") ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS value")
     return reminders.suggest(rows, "1997-02-01").select("key", "fact_id", "item_name", "days_away")
+
+
+SQL_CANDIDATES = "SELECT o_orderkey AS fact_id, o_custkey AS item_id, c_name AS item_name, CASE o_orderkey % 4 WHEN 0 THEN 'Due date' WHEN 1 THEN 'Valid till:' WHEN 2 THEN 'Issued on' END AS label, CASE WHEN o_orderkey % 9 = 0 THEN strftime(o_orderdate, '--%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 5 <> 0 AND o_orderkey % 3 <> 1"
+
+
+@query("deadline_candidates", f"SELECT * FROM ({SQL_CANDIDATES}) WHERE label IS NOT NULL AND NOT starts_with(value, '--')")
+def deadlines(spark, sf):
+    """Labelled dates with a year, of items that are indexed; other kinds of facts stand between them."""
+    facts = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate").selectExpr("o_orderkey AS fact_id", "o_custkey AS item_id", "CASE WHEN o_orderkey % 3 = 1 THEN 'PHONE' ELSE 'DATE' END AS kind", "CASE o_orderkey % 4 WHEN 0 THEN 'Due date' WHEN 1 THEN 'Valid till:' WHEN 2 THEN 'Issued on' END AS label", "CASE WHEN o_orderkey % 9 = 0 THEN date_format(o_orderdate, '--MM-dd') ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS value")
+    items = table(spark, sf, "customer", "c_custkey", "c_name").selectExpr("c_custkey AS item_id", "c_name AS item_name", "CASE WHEN c_custkey % 5 = 0 THEN 'FAILED' ELSE 'INDEXED' END AS status")
+    return reminders.candidates(facts, items)

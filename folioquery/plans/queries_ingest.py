@@ -110,3 +110,35 @@ def lengths(spark, sf):
     rows = table(spark, sf, "documents", "source", "text", "n_chars")
     sums = rows.groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.min("n_chars").alias("least"))
     return sums.join(upper_median(rows, ["source"], "n_chars", "upper_median"), "source", "left")
+
+
+def sql_scan_result(access, most):
+    """What a scan of at most so many files tells, in SQL; those that were there are two thirds of the files, some with another size, and some that are gone."""
+    return f"""WITH {SQL_SCAN}, was AS (SELECT * FROM existing UNION ALL SELECT 'gone/' || doc_id, 0, 0 FROM f WHERE doc_id % 11 = 0),
+t AS (SELECT uri, added_at, modified_at, size_bytes FROM f WHERE least(width, height) >= 200 ORDER BY added_at DESC, uri DESC LIMIT {most}),
+s AS (SELECT count(*) AS seen, min(added_at) AS last FROM t),
+c AS (SELECT CASE WHEN w.uri IS NULL THEN 'added' WHEN t.uri IS NULL THEN 'removed' WHEN w.modified_at <> t.modified_at OR w.size_bytes <> t.size_bytes THEN 'changed' END AS change FROM t FULL JOIN was w USING (uri))
+SELECT '{access}' AS access, {most} AS most, seen, (SELECT count(*) FROM c WHERE change = 'added') AS added, (SELECT count(*) FROM c WHERE change = 'changed') AS changed,
+  CASE WHEN '{access}' = 'FULL' AND seen < {most} THEN (SELECT count(*) FROM c WHERE change = 'removed') ELSE 0 END AS removed, (SELECT count(*) FROM f WHERE least(width, height) < 200 AND (seen < {most} OR added_at > last)) AS skipped_small FROM s"""
+
+
+SCANS = [("FULL", 1_000_000), ("FULL", 40), ("PARTIAL", 1_000_000)]
+
+
+@query("scan_result", " UNION ALL ".join(f"SELECT * FROM ({sql_scan_result(a, n)})" for a, n in SCANS) + " UNION ALL SELECT 'NONE', 40, 0, 0, 0, 0, 0 FROM (SELECT count(*) FROM documents)")
+def scans(spark, sf):
+    """Scans with full access, with few files taken, with access to some of them, and with none."""
+    files, (_, was) = found(spark, sf), sides(spark, sf)
+    gone = files.where("doc_id % 11 = 0").selectExpr("concat('gone/', doc_id) AS uri", "0 AS modified_at", "0 AS size_bytes")
+    existing = was.select("uri", "modified_at", "size_bytes").unionByName(gone)
+    out = None
+    for access, most in [*SCANS, ("NONE", 40)]:
+        one = I.scan_result(files, existing, access, most).select(F.lit(access).alias("access"), F.lit(most).alias("most"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("indexed_copies", "WITH " + SQL_ITEMS + "SELECT a.id, (SELECT count(*) FROM statuses b WHERE b.content_hash = a.content_hash AND b.id <> a.id AND b.status IN ('INDEXED', 'NO_TEXT')) AS copies FROM statuses a")
+def copies(spark, sf):
+    """How many worked-on items of the same content each item has beside it."""
+    return I.indexed_copies(I.statuses(items(spark, sf)))

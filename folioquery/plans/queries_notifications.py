@@ -41,6 +41,12 @@ def searched(spark, sf):
     return N.search(history(spark, sf), "100% Item_7 x PURCHASE").select("id", "text", "posted_at")
 
 
+@query("notifications_like", KEPT + "SELECT id, contains(text, '100%') AS percent, contains(text, 'item_7') AS underline, contains(text, 'e\\') AS backslash FROM k")
+def matched(spark, sf):
+    """Terms whose signs would mean something in a pattern."""
+    return history(spark, sf).select("id", *[N.holds("text", term).alias(name) for name, term in (("percent", "100%"), ("underline", "item_7"), ("backslash", "e\\"))])
+
+
 @query("notifications_retained", KEPT + f"SELECT id, posted_at FROM k WHERE posted_at >= {NOW_MS} - 20 * 86400000 ORDER BY posted_at DESC, id DESC LIMIT 500")
 def retained(spark, sf):
     return ingest.retain(history(spark, sf), NOW_MS, 20, 500).select("id", "posted_at")

@@ -73,7 +73,7 @@ def chunks(spark, sf):
     return R.chunk(spread(table(spark, sf, "documents", "doc_id", "text")), "doc_id", "text")
 
 
-def index(spark, sf):
+def store(spark, sf):
     """The stored index of the documents' chunks, built once in an application and refreshed once the table changes."""
     path = f"{sf}/documents.parquet"
     held = kept(spark, ("index", path), lambda: {"store": R.index_store(spark, new_folder(spark, "search-index")), "of": None})
@@ -81,7 +81,11 @@ def index(spark, sf):
     if held["of"] != now:
         held["store"].refresh(chunks(spark, sf))
         held["of"] = now
-    return R.stored_index(held["store"])
+    return held["store"]
+
+
+def index(spark, sf):
+    return R.stored_index(store(spark, sf))
 
 
 def vectors(spark, sf):
@@ -127,6 +131,19 @@ def keyword_gated(spark, sf):
     return R.bm25(index(spark, sf), texts(spark), R.RECOMMENDED).withColumn("score", F.round("score", 6))
 
 
+@query("bm25_exact_mean", keyword_sql(0.0).replace("round(avg(len(w)))", "avg(len(w))") + "SELECT query_id, chunk_id, round(score, 6) AS score, matched, rank FROM keyword")
+def keyword_exact(spark, sf):
+    """The keyword leg by a mean length that isn't rounded."""
+    return R.bm25(R.stored_index(store(spark, sf), exact_mean=True), texts(spark)).withColumn("score", F.round("score", 6))
+
+
+@query("recent_snippets", "WITH RECURSIVE " + SQL_CHUNKS + ", last AS (SELECT doc_id AS item_id, source AS name, doc_id // 3 AS indexed_at FROM documents WHERE doc_id % 4 <> 0 ORDER BY doc_id // 3 DESC, doc_id DESC LIMIT 20) SELECT l.item_id, name, indexed_at, c.text AS snippet FROM last l LEFT JOIN chunks c ON c.item_id = l.item_id AND c.ordinal = 0")
+def recently(spark, sf):
+    """The items that were worked on last, with their first chunks."""
+    items = table(spark, sf, "documents", "doc_id", "source", "text").selectExpr("doc_id AS item_id", "source AS name", "CASE WHEN doc_id % 4 = 0 THEN 'PENDING' ELSE 'INDEXED' END AS status", "doc_id div 3 AS indexed_at", "text")
+    return R.recent(items, 20).select("item_id", "name", "indexed_at", "snippet")
+
+
 @query("cosine_top_k", f"WITH q(query_id, text, vec_id) AS (VALUES {VALUES})" + SQL_MEANING + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM meaning")
 def meaning(spark, sf):
     return R.cosine(vectors(spark, sf), asked(spark, sf)).withColumn("score", F.round("score", 6))

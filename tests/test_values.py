@@ -152,3 +152,22 @@ def test_every_query_reads_a_table(spark):
         with pytest.raises(Exception, match="nowhere"):
             queries()[name](spark, "/nowhere").collect()
     assert F.lit(1) is not None
+
+
+def test_answer_options(spark):
+    """A rare word that the item lacks matters only with grounding, a function word only without its switch."""
+    rows = [(1, 1, 10, BILL, 1, 0.9), (2, 1, 10, BILL, 1, 0.9)]
+    results = spark.createDataFrame(rows, "query_id long, rank int, item_id long, text string, meaning_rank int, meaning_score double")
+    asked = spark.createDataFrame([(1, "how much is the electricity bill for zeppelin"), (2, "electricity bill ka amount kitna tha")], "query_id long, text string")
+    chunks = spark.createDataFrame([(10, 10, BILL)] + [(k, k, "electricity bill words") for k in range(20, 140)], "chunk_id long, item_id long, text string")
+    index, facts = R.Index(chunks, R.postings(chunks), R.statistics(chunks)), X.facts(spark.createDataFrame([(10, BILL)], "item_id long, text string"))
+    given = lambda options: {r.query_id: r.outcome for r in A.ask(results, asked, facts, index, options).collect()}
+    assert given(A.BASELINE) == {1: "FOUND", 2: "FOUND"}
+    assert given(A.AnswerOptions(grounding=True)) == {1: "DECLINED", 2: "DECLINED"}
+    assert given(A.RECOMMENDED) == {1: "DECLINED", 2: "FOUND"}
+
+
+def test_an_app_doesn_t_find_itself(spark):
+    apps = spark.createDataFrame([("Folio", "org.folio", "a"), ("Folio too", "org.other", "b"), ("Folio nameless", None, "c")], "label string, package string, component string")
+    assert [r.label for r in O.search_apps(apps, [(1, "folio")], own="org.folio").orderBy("rank").collect()] == ["Folio nameless", "Folio too"]
+    assert O.search_apps(apps, [(1, "folio")]).count() == 3
