@@ -7,23 +7,28 @@ only; chunks that aren't stored are indexed as they are searched.
 from __future__ import annotations
 
 import time
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import clean_lines, query_terms, words
 from folioquery.sources.segments import Segments
+from folioquery.sources.store import written
 
 K1, B, RRF_K, DEPTH = 1.2, 0.75, 60, 50
 #: A chunk's id is its item's id times this, and its place; an item of more chunks raises an error.
 CHUNKS_AN_ITEM = 1 << 20
 #: Tokens that are pushed down to the scan of the index, and query vectors that are sent to every task; more are joined.
 PUSHED_TOKENS, SENT_VECTORS = 256, 1024
+#: Vectors of a block, and queries of one, where they are joined.
+BLOCK = 8192
 
 
 @dataclass(frozen=True)
@@ -204,13 +209,62 @@ def cosine(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH, model: st
     return ranked(found.where("NOT isnan(score)"), depth)
 
 
-def cosine_in_blocks(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH, blocks: int = 16) -> DataFrame:
-    """cosine() for as many queries as grow with the table: both sides are dealt into blocks, and every two blocks meet."""
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    q = queries.select("query_id", F.col("vector").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("i"), every.alias("j"))
-    v = vectors.select("chunk_id", F.col("vector").alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("j"), every.alias("i"))
-    pairs = q.join(v, ["i", "j"]).where(F.size("q") == F.size("v"))
-    return ranked(pairs.select("query_id", "chunk_id", dot(F.col("q"), F.col("v")).alias("score")), depth)
+def packed(rows: DataFrame, number: str, name: str) -> DataFrame:
+    """rows(number, vector) as a table of blocks of up to BLOCK vectors of one length: n, block, ids, matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, defaultdict(list)
+
+        def close(n: int) -> pa.RecordBatch:
+            nonlocal block
+            ids, own = (np.concatenate(x) for x in zip(*held.pop(n)))
+            block += 1
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([block]), pa.array([ids.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())], names=["n", "block", "ids", "matrix"])
+
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                own = batch.filter(pa.array(sizes == n))
+                matrix = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+                for k in range(0, len(matrix), BLOCK):
+                    held[n].append((own.column(0).to_numpy()[k : k + BLOCK], matrix[k : k + BLOCK]))
+                    if sum(len(ids) for ids, _ in held[n]) >= BLOCK:
+                        yield close(n)
+        for n in list(held):
+            yield close(n)
+
+    own = rows.select(F.col(number).cast("long"), F.col("vector").cast("array<double>").alias("vector"))
+    return written(own.mapInArrow(run, "n int, block long, ids binary, matrix binary"), name)
+
+
+def cosine_in_blocks(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """cosine() for as many queries as grow with the table: blocks of vectors meet blocks of queries, each pair in one task, which multiplies them.
+
+    A vector is sent once for each block of queries, and a query once for each block of vectors; only each query's best
+    leave a pair.
+    """
+    v, q = packed(vectors, "chunk_id", "vector-blocks"), packed(queries, "query_id", "query-blocks")
+    numbers = lambda df, name: F.broadcast(df.select("n", F.col("block").alias(name)))  # noqa: E731  a number for each block
+    left = q.withColumnRenamed("block", "j").join(numbers(v, "i"), "n").select("i", "j", F.lit(0).alias("side"), "n", "ids", "matrix")
+    right = v.withColumnRenamed("block", "i").join(numbers(q, "j"), "n").select("i", "j", F.lit(1).alias("side"), "n", "ids", "matrix")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None
+        for batch in batches:
+            for side, n, ids, matrix in zip(*(batch.column(c).to_pylist() for c in ("side", "n", "ids", "matrix"))):
+                own = np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.float64).reshape(-1, n)
+                if side == 0:
+                    asked = own
+                    continue
+                for k in range(0, len(asked[0]), SENT_VECTORS):
+                    score = asked[1][k : k + SENT_VECTORS] @ own[1].T
+                    for query_id, row in zip(asked[0][k : k + SENT_VECTORS].tolist(), score):
+                        first = np.lexsort((own[0], -np.round(row, 9)))[:depth]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), query_id)), pa.array(own[0][first]), pa.array(row[first])], names=["query_id", "chunk_id", "score"])
+
+    pairs = left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j", "side")
+    return ranked(pairs.mapInArrow(meet, "query_id long, chunk_id long, score double").where("NOT isnan(score)"), depth)
 
 
 def fuse(keyword: DataFrame | None, meaning: DataFrame | None, options: SearchOptions = BASELINE) -> DataFrame:

@@ -72,3 +72,28 @@ def test_retrieval_quality_asks_in_three_modes_over_the_whole_table(spark, sf):
     for mode, styles in want.items():
         assert sum(r.queries for r in got if r.mode == mode) == len(asking) > 0
         assert {r.style: r.mrr for r in got if r.mode == mode} == pytest.approx({s: np.mean(m) for s, m in styles.items()}, abs=1e-5), mode
+
+
+def test_more_queries_than_are_sent_meet_vectors_in_blocks(spark, monkeypatch):
+    """With blocks of any size, the same hits as one matrix product; vectors of other lengths, null ones and ties among them."""
+    from folioquery.operators import retrieval as R
+
+    draw = np.random.default_rng(3)
+    x = np.round(draw.normal(size=(60, 4)), 2)
+    x[10:14] = x[3]
+    rows = [(100 + k, v.tolist()) for k, v in enumerate(x)] + [(900, [1.0, 2.0]), (901, None), (902, []), (903, [None, 1.0, 1.0, 1.0]), (904, [2.0, 0.0])]
+    q = np.round(draw.normal(size=(33, 4)), 2)
+    asked = [(k, v.tolist()) for k, v in enumerate(q)] + [(70, [1.0, 1.0]), (71, None), (72, [0.0] * 9)]
+    want = {}
+    for k, v in enumerate(q):
+        score = np.round(x @ v, 9)
+        want[k] = [(int(100 + i), rank) for rank, i in enumerate(np.lexsort((np.arange(60), -score))[:7], 1)]
+    want[70] = [(900, 1), (904, 2)]
+    vectors, queries = spark.createDataFrame(rows, "chunk_id long, vector array<double>").repartition(3), spark.createDataFrame(asked, "query_id long, vector array<double>")
+    for block, sent in ((8192, 5), (7, 5), (1, 1)):
+        monkeypatch.setattr(R, "BLOCK", block)
+        monkeypatch.setattr(R, "SENT_VECTORS", sent)
+        found = defaultdict(list)
+        for r in R.cosine(vectors, queries, 7).orderBy("query_id", "rank").collect():
+            found[r.query_id].append((r.chunk_id, r["rank"]))
+        assert dict(found) == want
