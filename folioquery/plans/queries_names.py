@@ -9,11 +9,27 @@ from folioquery.plans.registry import query
 from folioquery.sources.tables import table
 
 
-@query("contact_search", "SELECT 1 AS query_id, s_name AS name, 0.95 AS score, 1 AS rank FROM supplier WHERE s_suppkey = 7 UNION ALL SELECT query_id, name, score, rank FROM (SELECT 2 AS query_id, s_name AS name, 0.9 AS score, row_number() OVER (ORDER BY s_name, s_suppkey) AS rank FROM supplier WHERE false)")
+#: A syllable for each digit, of which names are made.
+SYLLABLES = ["ka", "ri", "mo", "te", "su", "na", "phi", "ghu", "lo", "cha"]
+
+
+def spoken(number):
+    """Two words of four syllables, one for each digit of a number."""
+    digits = F.split(F.lpad(number.cast("string"), 8, "0"), "")
+    word = lambda first: F.initcap(F.array_join(F.transform(F.slice(digits, first, 4), lambda d: F.element_at(F.array(*map(F.lit, SYLLABLES)), d.cast("int") + 1)), ""))
+    return F.concat(word(1), F.lit(" "), word(5))
+
+
+SQL_WORD = "array_to_string(list_transform(string_split(substr(d, {first}, 4), ''), lambda c: ([" + ", ".join(f"'{x}'" for x in SYLLABLES) + "])[CAST(c AS INTEGER) + 1]), '')"
+SQL_SPOKEN = " || ' ' || ".join(f"upper(substr({w}, 1, 1)) || substr({w}, 2)" for w in (SQL_WORD.format(first=1), SQL_WORD.format(first=5)))
+
+
+@query("contact_search", f"SELECT id AS query_id, {SQL_SPOKEN} AS name, 1.0 AS score, 1 AS rank FROM (SELECT s_suppkey AS id, lpad(CAST(s_suppkey * 48271 % 99999989 AS VARCHAR), 8, '0') AS d FROM supplier)")
 def contacts(spark, sf):
-    rows = table(spark, sf, "supplier", "s_suppkey", "s_name").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("+91 98765"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("number"))
-    named = rows.withColumn("name", F.when(F.col("id") == 7, F.lit("Amma Home")).otherwise(F.col("name")))
-    return O.search_contacts(named, [(1, "call amma")]).select("query_id", F.when(F.col("id") == 7, F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0"))).alias("name"), F.round("score", 6).alias("score"), "rank")
+    """For each supplier, called by the whole name, the contact that is meant first."""
+    rows = table(spark, sf, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("id"), spoken(F.col("s_suppkey") * 48_271 % 99_999_989).alias("name"), F.concat(F.lit("+91 98765"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("number"))
+    typed = rows.select(F.col("id").alias("query_id"), F.concat(F.lit("call "), F.lower("name")).alias("text"))
+    return O.search_contacts(rows, typed).where("rank = 1").select("query_id", "name", F.round("score", 6).alias("score"), "rank")
 
 
 def nations_typed(spark, sf):
@@ -30,17 +46,6 @@ def nations(spark, sf):
     return O.search_apps(rows, nations_typed(spark, sf)).select("query_id", "label", F.round("score", 6).alias("score"), "rank")
 
 
-#: A syllable for each digit, of which names are made.
-SYLLABLES = ["ka", "ri", "mo", "te", "su", "na", "phi", "ghu", "lo", "cha"]
-
-
-def spoken(number):
-    """Two words of four syllables, one for each digit of a number."""
-    digits = F.split(F.lpad(number.cast("string"), 8, "0"), "")
-    word = lambda first: F.initcap(F.array_join(F.transform(F.slice(digits, first, 4), lambda d: F.element_at(F.array(*map(F.lit, SYLLABLES)), d.cast("int") + 1)), ""))
-    return F.concat(word(1), F.lit(" "), word(5))
-
-
 def customers(spark, sf):
     return table(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("id"), spoken(F.col("c_custkey") * 48_271 % 99_999_989).alias("name"), F.concat(F.lit("+91 9"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("number"))
 
