@@ -65,13 +65,34 @@ def understood(kinds: Column, mode: str) -> Column:
     )
 
 
+def event_day(value: Column, today: str) -> Column:
+    """The day of a stored date; one without a year is the next on or after today, 29 February within eight years; null if there is none."""
+    day, now = F.substring_index(value, "T", 1), F.lit(today).cast("date")
+    years = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.try_to_date(F.concat((F.year(now) + k).cast("string"), F.substring(day, 2, 6)), "yyyy-MM-dd"))
+    return F.when(value.startswith("--"), F.get(F.filter(years, lambda d: d.isNotNull() & (d >= now)), F.lit(0))).otherwise(F.try_to_date(day, "yyyy-MM-dd"))
+
+
+def calendar_times(facts: DataFrame, today: str, zone: str) -> DataFrame:
+    """facts(fact_id, value, ...) that are days, or days with a time -> fact_id, all_day, begin_ms, end_ms.
+
+    A whole day is from midnight to midnight of UTC, as calendars store it; an event with a time lasts an hour from that time
+    in the zone. Values that are no day, or whose time is none, are left out.
+    """
+    clock = F.when(F.contains(F.col("value"), F.lit("T")), F.substring_index("value", "T", -1))
+    rows = facts.select("fact_id", event_day(F.col("value"), today).alias("day"), clock.alias("clock")).where("day IS NOT NULL")
+    valid = F.col("clock").isNull() | F.col("clock").rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$")
+    local = F.concat(F.col("day").cast("string"), F.lit(" "), F.coalesce("clock", F.lit("00:00")), F.lit(":00")).cast("timestamp_ntz")
+    utc = F.when(F.col("clock").isNull(), local).otherwise(F.convert_timezone(F.lit(zone), F.lit("UTC"), local))
+    begin = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), utc)
+    rows = rows.where(valid)
+    return rows.select("fact_id", F.col("clock").isNull().alias("all_day"), begin.alias("begin_ms")).withColumn("end_ms", F.col("begin_ms") + F.when(F.col("all_day"), 86_400_000).otherwise(3_600_000))
+
+
 def actions(facts: DataFrame, today: str) -> DataFrame:
     """What each of facts(fact_id, kind, value, confidence) can be used for: fact_id, action, target, note. Sharing is always one."""
-    day = F.substring_index("value", "T", 1)
     yearless = F.col("value").startswith("--")
     now = F.lit(today).cast("date")
-    years = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.try_to_date(F.concat((F.year(now) + k).cast("string"), F.substring(day, 2, 6)), "yyyy-MM-dd"))
-    when = F.when(yearless, F.get(F.filter(years, lambda d: d.isNotNull() & (d >= now)), F.lit(0))).otherwise(F.try_to_date(day, "yyyy-MM-dd"))
+    when = event_day(F.col("value"), today)
     clock = F.when(F.contains(F.col("value"), F.lit("T")), F.substring_index("value", "T", -1))
     unsure = (F.col("confidence") < 0.6) | yearless
     event = F.concat(when.cast("string"), F.coalesce(F.concat(F.lit("T"), clock, F.lit("/1h")), F.lit("/all-day")))

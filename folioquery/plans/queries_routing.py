@@ -31,3 +31,13 @@ def spending(spark, sf):
 def plans(spark, sf):
     facts = table(spark, sf, "orders", "o_orderkey", "o_orderdate").select(F.col("o_orderkey").alias("fact_id"), F.lit("DATE").alias("kind"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value"), F.lit(0.9).alias("confidence"))
     return routing.actions(facts, "1998-01-01").select("fact_id", "action", "target", "note")
+
+
+SQL_EVENT = "SELECT o_orderkey AS fact_id, o_orderkey % 3 <> 0 AS all_day, epoch_ms(CAST(strftime(o_orderdate, '%Y-%m-%d') AS TIMESTAMP)) + CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey % 24) * 3600000 + (o_orderkey % 60) * 60000 - 19800000 ELSE 0 END AS begin_ms FROM orders WHERE o_orderkey % 7 <> 0"
+
+
+@query("calendar_times", f"SELECT *, begin_ms + CASE WHEN all_day THEN 86400000 ELSE 3600000 END AS end_ms FROM ({SQL_EVENT})")
+def times(spark, sf):
+    """Begin and end of whole days, and of hours in a zone ahead of UTC; what is no day has none."""
+    facts = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate").selectExpr("o_orderkey AS fact_id", "CASE WHEN o_orderkey % 7 = 0 THEN 'someday' WHEN o_orderkey % 3 = 0 THEN concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T', lpad(CAST(o_custkey % 24 AS STRING), 2, '0'), ':', lpad(CAST(o_orderkey % 60 AS STRING), 2, '0')) ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS value")
+    return routing.calendar_times(facts, "1998-01-01", "Asia/Kolkata")

@@ -94,3 +94,23 @@ def test_plans_for_facts(spark):
     made = {(r.fact_id, r.action): (r.target, r.note, r.low_confidence) for r in got}
     assert made[1, "CALENDAR"] == ("2027-10-01/all-day", "year not read", True) and made[2, "CALENDAR"] == ("2026-10-07T18:00/1h", "low confidence", True)
     assert made[3, "CALL"][0] == "tel:+919876543210" and made[4, "MAPS"][0] == "geo:0,0?q=Main+Road" and sum(a == "SHARE" for _, a in made) == 4
+
+
+def test_calendar_times_don_t_depend_on_the_session(spark):
+    """Whole days in UTC, hours in the event's zone (with its summer time), days without a year as the next ones."""
+    import datetime as d
+    from zoneinfo import ZoneInfo
+
+    values = ["2026-10-05", "2026-10-05T18:45", "2026-07-01T00:00", "--02-29", "--10-04T09:00", "--10-05", "2026-02-30", "2026-10-05T25:00", "no day", None]
+    facts = spark.createDataFrame(list(enumerate(values)), "fact_id int, value string")
+    at = lambda *x, zone="UTC": int(d.datetime(*x, tzinfo=ZoneInfo(zone)).timestamp() * 1000)
+    zone = "Europe/Berlin"
+    want = {0: (True, at(2026, 10, 5)), 1: (False, at(2026, 10, 5, 18, 45, zone=zone)), 2: (False, at(2026, 7, 1, zone=zone)), 3: (True, at(2028, 2, 29)), 4: (False, at(2027, 10, 4, 9, zone=zone)), 5: (True, at(2026, 10, 5))}
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for session in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            got = {r.fact_id: (r.all_day, r.begin_ms, r.end_ms) for r in routing.calendar_times(facts, "2026-10-05", zone).collect()}
+            assert got == {k: (day, begin, begin + (86_400_000 if day else 3_600_000)) for k, (day, begin) in want.items()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
