@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioquery.sources.store import written
+
 #: Groups of more values are narrowed down first, to the values between two approximate quantiles this far from the one asked for.
 SMALL, MARGIN, ACCURACY = 20_000, 0.001, 10_000
+#: Groups whose bounds are broadcast, so that the rows stay where they are; those of more are joined.
+SENT_GROUPS = 100_000
 
 
 def value_at(rows: DataFrame, groups: list[str], column: str, share: float, place: Callable[[Column], Column], name: str) -> DataFrame:
@@ -22,7 +26,9 @@ def value_at(rows: DataFrame, groups: list[str], column: str, share: float, plac
     bounds = known.groupBy(*groups).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), sketch.alias("near"))
     large = F.col("n") > SMALL
     bounds = bounds.select(*groups, "n", F.when(large & (share > MARGIN), F.col("near")[0]).otherwise(F.col("least")).alias("low"), F.when(large & (share < 1 - MARGIN), F.col("near")[1]).otherwise(F.col("most")).alias("high"))
-    met = known.join(bounds, groups) if groups else known.join(F.broadcast(bounds))
+    bounds = written(bounds, "rank-bounds")  # a row for each group
+    few = F.broadcast(bounds) if bounds.count() <= SENT_GROUPS else bounds
+    met = known.join(few, groups) if groups else known.join(few)
     # What lies below counts with the lowest value that is looked at.
     level = F.when(F.col("value") < F.col("low"), F.lit(None)).otherwise(F.col("value"))
     counted = met.where(F.col("value") <= F.col("high")).groupBy(*groups, "n", level.alias("value")).agg(F.count("*").alias("here"))
