@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioquery.functions.ranks import nearest_rank
+from folioquery.operators import corpus as C
 from folioquery.operators import evaluation as E
 from folioquery.operators import facts as X
 from folioquery.operators import ledger as L
@@ -192,3 +193,27 @@ def chosen(spark, sf):
     """Of nine variants whose figures come from the orders, the best whose guard isn't below the first one's."""
     scores = table(spark, sf, "orders", "o_custkey", "o_totalprice").groupBy(F.concat(F.lit("v"), (F.col("o_custkey") % 9).cast("string")).alias("variant")).agg(F.round(F.avg("o_totalprice"), 4).alias("metric"), F.count("*").cast("double").alias("guard"))
     return E.choose_variant(scores, "v0")
+
+
+def seeded(spark, sf):
+    """The corpus that is made of the orders."""
+    o, c = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), table(spark, sf, "customer", "c_custkey", "c_name")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.translate("c_name", "0123456789#", "abcdefghij ").alias("name"), F.round(F.col("o_totalprice") * 100).cast("long").alias("paise"), F.col("o_orderdate").cast("date").alias("day"))
+    return C.documents(rows, 11)
+
+
+SQL_SEEDED = "SELECT o_orderkey AS id, (['bill', 'receipt', 'card', 'note'])[1 + (o_orderkey * 7 + 11) % 4] AS type, (['en', 'hi', 'te'])[1 + (o_orderkey * 5 + 11) % 3] AS lang FROM orders"
+
+
+@query("corpus_facts", f"SELECT kind, lang, count(*) AS facts, 1.0 AS share FROM (SELECT lang, unnest(CASE type WHEN 'card' THEN ['PHONE', 'ADDRESS'] WHEN 'note' THEN [] ELSE ['AMOUNT', 'DATE'] END) AS kind FROM ({SQL_SEEDED})) GROUP BY ALL")
+def corpus_facts(spark, sf):
+    """Which share of the facts of the seeded corpus is read from its texts, by kind and language."""
+    corpus = seeded(spark, sf)
+    truth = corpus.select(F.col("doc_id").alias("item_id"), "lang", F.explode("facts").alias("kind", "value"))
+    return E.hit_rates(X.facts(corpus.select(F.col("doc_id").alias("item_id"), "text")), truth).withColumn("share", F.round("share", 6))
+
+
+@query("corpus_questions", f"SELECT style, kind, count(*) AS questions, count(relevant) AS with_item FROM (SELECT lang AS style, CASE WHEN type = 'note' THEN 'find' WHEN (id // 10) % 3 = 0 THEN 'negative' ELSE 'value' END AS kind, CASE WHEN type = 'note' OR (id // 10) % 3 <> 0 THEN id END AS relevant FROM ({SQL_SEEDED}) WHERE id % 10 = 0) GROUP BY ALL")
+def corpus_questions(spark, sf):
+    """Questions about the seeded corpus, by language and kind."""
+    return C.questions(seeded(spark, sf)).groupBy("style", "kind").agg(F.count("*").alias("questions"), F.count("relevant").alias("with_item"))

@@ -122,3 +122,33 @@ def test_search_variants_are_searches(spark):
         one = R.search(index, vectors, queries.where(F.col("query_id") == query_id), R.SearchOptions(extended, coverage, weight)).collect()
         mine = [r for r in got if (r.variant, r.query_id) == (name, query_id)]
         assert sorted((r["rank"], r.item_id, round(r.score, 9)) for r in mine) == sorted((r["rank"], r.item_id, round(r.score, 9)) for r in one)
+
+
+def test_a_seeded_corpus(spark, sf):
+    """The same rows and seed give the same corpus; its facts are in its texts; a question's answer is in the item that it names."""
+    from folioquery.operators import corpus as C
+
+    ship(spark)
+    rows = spark.createDataFrame([(k, f"Shop {'abc'[k % 3]}", 1000 * k + k % 7, f"2026-0{1 + k % 9}-1{k % 10}") for k in range(120)], "id long, name string, paise long, day string")
+    made = {r.doc_id: r for r in C.documents(rows, 5).collect()}
+    assert made == {r.doc_id: r for r in C.documents(rows.repartition(7), 5).collect()} and len(made) == 120
+    other = {r.doc_id: r for r in C.documents(rows, 6).collect()}
+    assert all(made[k].anchor != other[k].anchor and made[k].type != other[k].type for k in made)
+    assert {(r.type, r.lang) for r in made.values()} == {(t, lang) for t in C.TYPES for lang in C.LANGS} and len({r.anchor for r in made.values()}) == 120
+    read = {}
+    for r in X.facts(C.documents(rows, 5).select(F.col("doc_id").alias("item_id"), "text")).collect():
+        read.setdefault(r.item_id, {}).setdefault(r.kind, []).append(r.value)
+    for k, r in made.items():
+        assert {kind: [v] for kind, v in r.facts.items() if v != "0"} == {kind: v for kind, v in read.get(k, {}).items()}, r
+    kinds = {}
+    for q in C.questions(C.documents(rows, 5), 2).collect():
+        own = made[q.query_id]
+        kinds[q.kind] = kinds.get(q.kind, 0) + 1
+        assert (own.anchor in q.text) == (q.kind != "negative") == (q.relevant == q.query_id) and q.style == own.lang
+        assert q.value in own.facts.values() if q.kind == "value" else q.value is None
+    assert set(kinds) == {"value", "find", "negative"}
+    asked = C.questions(C.documents(rows, 5), 1).where("kind = 'value'")
+    assert {r.kind for r in A.classify(asked.select("query_id", "text")).collect()} == {"AMOUNT", "DATE", "PHONE"}
+    with pytest.raises(Exception, match="anchor comes again"):
+        C.documents(rows.unionByName(rows.limit(1)), 5).collect()
+    assert C.questions(C.documents(rows.limit(0))).count() == 0
