@@ -205,7 +205,7 @@ def seeded(spark, sf):
 SQL_SEEDED = "SELECT o_orderkey AS id, (['bill', 'receipt', 'card', 'note'])[1 + (o_orderkey * 7 + 11) % 4] AS type, (['en', 'hi', 'te'])[1 + (o_orderkey * 5 + 11) % 3] AS lang FROM orders"
 
 
-@query("corpus_facts", f"SELECT kind, lang, count(*) AS facts, 1.0 AS share FROM (SELECT lang, unnest(CASE type WHEN 'card' THEN ['PHONE', 'ADDRESS'] WHEN 'note' THEN [] ELSE ['AMOUNT', 'DATE'] END) AS kind FROM ({SQL_SEEDED})) GROUP BY ALL")
+@query("corpus_facts", f"SELECT kind, lang, count(*) AS facts, CAST(1 AS DOUBLE) AS share FROM (SELECT lang, unnest(CASE type WHEN 'card' THEN ['PHONE', 'ADDRESS'] WHEN 'note' THEN [] ELSE ['AMOUNT', 'DATE'] END) AS kind FROM ({SQL_SEEDED})) GROUP BY ALL")
 def corpus_facts(spark, sf):
     """Which share of the facts of the seeded corpus is read from its texts, by kind and language."""
     corpus = seeded(spark, sf)

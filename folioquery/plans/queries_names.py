@@ -24,7 +24,7 @@ SQL_WORD = "array_to_string(list_transform(string_split(substr(d, {first}, 4), '
 SQL_SPOKEN = " || ' ' || ".join(f"upper(substr({w}, 1, 1)) || substr({w}, 2)" for w in (SQL_WORD.format(first=1), SQL_WORD.format(first=5)))
 
 
-@query("contact_search", f"SELECT id AS query_id, {SQL_SPOKEN} AS name, 1.0 AS score, 1 AS rank FROM (SELECT s_suppkey AS id, lpad(CAST(s_suppkey * 48271 % 99999989 AS VARCHAR), 8, '0') AS d FROM supplier)")
+@query("contact_search", f"SELECT id AS query_id, {SQL_SPOKEN} AS name, CAST(1 AS DOUBLE) AS score, 1 AS rank FROM (SELECT s_suppkey AS id, lpad(CAST(s_suppkey * 48271 % 99999989 AS VARCHAR), 8, '0') AS d FROM supplier)")
 def contacts(spark, sf):
     """For each supplier, called by the whole name, the contact that is meant first."""
     rows = table(spark, sf, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("id"), spoken(F.col("s_suppkey") * 48_271 % 99_999_989).alias("name"), F.concat(F.lit("+91 98765"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("number"))

@@ -24,12 +24,19 @@ def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def followed(stream: DataFrame, store: Segments, checkpoint: str, order: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Keeps the newest row of each key of a stream in a stored table. after(batch's rows as written, batch) runs before the rows are stored."""
+    """Keeps the newest row of each key of a stream in a stored table; a row that comes after a newer one of its key changes nothing.
+
+    after(batch's rows as they are stored, batch) runs before the rows are stored.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
         place = f"{store.folder}/batches/{number:010d}"
         if store.version().note < number:  # else the rows are there, and what was written of them, too
-            newest(batch, store.key, order).write.mode("overwrite").parquet(place)
+            rows, stored = newest(batch, store.key, order), store.read(version=store.before(number))
+            if stored is not None:
+                late = stored.select(store.key, F.col(order).alias("_was")).join(rows.select(store.key, order), store.key).where(F.col(order) < F.col("_was")).select(store.key)
+                rows = rows.join(late, store.key, "left_anti")
+            rows.write.mode("overwrite").parquet(place)
         fresh = batch.sparkSession.read.parquet(place)
         if after:
             after(fresh, number)

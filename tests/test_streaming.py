@@ -146,6 +146,18 @@ def test_status_counts_follow(spark, tmp_path):
         assert {r.status: r["items"] for r in counts.read().collect()} == want
 
 
+def test_older_rows_that_come_late_change_nothing(spark, tmp_path):
+    from folioquery.sources.segments import Segments
+    from folioquery.streaming import live
+
+    schema, items, counts = "id long, status string, at long", Segments(spark, f"file://{tmp_path}/items", "id"), Segments(spark, f"file://{tmp_path}/counts", "status")
+    for part in ([(1, "INDEXED", 5), (2, "FAILED", 5)], [(1, "PENDING", 1), (2, "INDEXED", 6), (3, "PENDING", 1)], [(2, "PENDING", 2), (3, "PENDING", 0)]):
+        bits(tmp_path / "in", spark, part, schema)
+        live.keep_status_counts(files(spark, tmp_path / "in", schema), items, counts, f"file://{tmp_path}/log").awaitTermination()
+    assert {(r.id, r.status) for r in items.read().collect()} == {(1, "INDEXED"), (2, "INDEXED"), (3, "PENDING")}
+    assert {r.status: r["items"] for r in counts.read().collect()} == {"INDEXED": 2, "PENDING": 1}
+
+
 def test_a_run_that_was_stopped_goes_on(spark, tmp_path, monkeypatch):
     """The sink fails once between writing and its batch's commit; then every row is there once, and work goes on with what is left."""
     from pyspark.sql import functions as F
