@@ -54,7 +54,7 @@ def shingles(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     left = np.repeat(ends, counts) - np.arange(n)  # words from here to the text's end
     for k in range(SHINGLE):
         word = np.zeros(n, np.uint64)
-        word[: n - k] = flat[k:].astype(np.uint64) + 1
+        word[: max(0, n - k)] = flat[k:].astype(np.uint64) + 1
         word[left <= k] = 0
         mix = (mix ^ word) * np.uint64(0x9E3779B97F4A7C15)
         mix ^= mix >> np.uint64(29)
@@ -216,7 +216,7 @@ def verified(needed: DataFrame, texts: DataFrame, rare: np.ndarray) -> DataFrame
     needed: band, key, i, j (the group), asked, node, class. A group's asked members are held, the others pass by.
     """
     needed = written(needed, "needed-texts")
-    rows = only(texts, needed).join(needed, "node").select("band", "key", "i", "j", "asked", "node", "class", "text")
+    rows = only(texts, needed).join(sent(needed), "node").select("band", "key", "i", "j", "asked", "node", "class", "text")
     dealt = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", F.desc("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +256,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(both, "links-both-ways")
     labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("class")).select(F.col("x").alias("node"), "class"), "classes")
     while True:
-        said = both.join(labels.select(F.col("node").alias("y"), "class"), "y").select(F.col("x").alias("node"), "class", F.lit(None).cast("binary").alias("was"))
+        said = both.join(sent(labels.select(F.col("node").alias("y"), "class")), "y").select(F.col("x").alias("node"), "class", F.lit(None).cast("binary").alias("was"))
         low = said.unionByName(labels.select("node", "class", F.col("class").alias("was"))).groupBy("node").agg(F.min("class").alias("low"), F.max("was").alias("was"))
         jump = labels.select(F.col("node").alias("low"), F.col("class").alias("of_low"))
-        new = written(low.join(jump, "low").select("node", F.least("low", "of_low").alias("class"), (F.least("low", "of_low") < F.col("was")).alias("moved")), "classes")
+        new = written(low.join(sent(jump), "low").select("node", F.least("low", "of_low").alias("class"), (F.least("low", "of_low") < F.col("was")).alias("moved")), "classes")
         labels = new.select("node", "class")
         if not new.where("moved").limit(1).count():
             return labels
@@ -268,16 +268,22 @@ def components(edges: DataFrame) -> DataFrame:
 def merged(classes: DataFrame, more: DataFrame) -> DataFrame:
     """(node, class) after links between nodes of classes or of their own: the links are carried over to classes first."""
     of = lambda name: classes.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class"))
-    edges = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).where("a <> b").distinct()
+    edges = more.join(sent(of("a")), "a", "left").join(sent(of("b")), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).where("a <> b").distinct()
     joined = components(edges)
-    kept = classes.join(joined.select(F.col("node").alias("class"), F.col("class").alias("new")), "class", "left").select("node", F.coalesce("new", "class").alias("class"))
-    return written(kept.unionByName(joined.join(classes, "node", "left_anti")), "classes")
+    kept = classes.join(sent(joined.select(F.col("node").alias("class"), F.col("class").alias("new"))), "class", "left").select("node", F.coalesce("new", "class").alias("class"))
+    return written(kept.unionByName(joined.join(sent(classes), "node", "left_anti")), "classes")
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """rows as the side of a join that is shuffled and never broadcast: their number grows with the documents, and what Spark takes
+    them for leaves out how many times rows are sent, and that digests in memory are several times those in a file."""
+    return rows.hint("merge")
 
 
 def salted(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
     """The join of rows(node, ...) with few(by, ...), whose keys each stand in SALTS rows, as a key may hold most of rows."""
     few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int")).join(few, [*by, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int")).join(sent(few), [*by, "salt"]).drop("salt")
 
 
 def parts(total: str, size: int):
@@ -305,7 +311,7 @@ def with_pivots(members: DataFrame) -> DataFrame:
 
 def between_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Groups of members outside the class of their bucket's pivot and of all members, in blocks."""
-    own = members.join(classes, "node", "left").select("band", "key", "node", "size", "popularity", F.coalesce("class", "node").alias("class"))
+    own = members.join(sent(classes), "node", "left").select("band", "key", "node", "size", "popularity", F.coalesce("class", "node").alias("class"))
     own = written(own, "classed-members")
     top = F.max(F.struct("popularity", "node", "class"))["class"]
     mixed = own.groupBy("band", "key").agg(top.alias("main"), F.min("class").alias("low"), F.max("class").alias("high"), F.sum("size").alias("total")).where("low <> high").select("band", "key", "main", parts("total", BLOCK).alias("all"))
@@ -326,7 +332,7 @@ def buckets(sketches: DataFrame) -> DataFrame:
     counts = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     held = written(salted(rows, counts, ["band", "key"]), "bucket-members")
     popular = held.groupBy("node").agg(F.sum("n").alias("popularity"))
-    return written(held.drop("n").join(popular, "node"), "bucket-members")
+    return written(held.drop("n").join(sent(popular), "node"), "bucket-members")
 
 
 def near_dedup(documents: DataFrame, row: str | None = None) -> DataFrame:
@@ -350,12 +356,12 @@ def near_dedup(documents: DataFrame, row: str | None = None) -> DataFrame:
         members = buckets(written(sketch(texts, rare), "sketches"))
         classes = components(verified(with_pivots(members), texts, rare))
         classes = merged(classes, verified(between_classes(members, classes), texts, rare))
-        known = written(rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "classed", keep=1)
+        known = written(rows.join(sent(classes), "node", "left").withColumn("class", F.coalesce("class", "node")), "classed", keep=1)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), *own)
     firsts = known.groupBy("class").agg(F.min(first).alias("first"), F.count("*").alias("class_size"))
     # A class may hold most rows, all of one text: its entry stands in each salt, and its rows are salted by doc_id.
     salt = F.pmod(F.xxhash64("doc_id", "node", F.lit(5)), F.lit(SALTS)).cast("int")
     many = firsts.where("class_size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = known.withColumn("salt", salt).join(many, ["class", "salt"], "left")
+    found = known.withColumn("salt", salt).join(sent(many), ["class", "salt"], "left")
     best = F.coalesce("first", first)
     return found.select("doc_id", best["doc_id"].alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), best.eqNullSafe(first).alias("kept"), *([F.col("row").alias(row)] if row else []))
