@@ -14,8 +14,8 @@ from folioquery.functions import names as N
 from folioquery.operators.requests import SETTINGS_NOISE
 from folioquery.sources.store import new_folder, spread
 
-#: Letters of a piece of a name; edits at most between names that match.
-PIECE, EDITS = 3, 2
+#: Letters of pieces of a name: a request looks up one of its longest; edits at most between names that match.
+PIECES, EDITS = (3, 6, 12), 2
 #: Confusable sounds as one: what sounds alike by half an edit is equal then, so that only whole edits are left.
 ALIKE = str.maketrans("gjcsdb", "kkkktp")
 
@@ -51,27 +51,43 @@ def spelt(name: str) -> tuple[str, set[str]]:
     return whole, {x for x in (whole, *N.name_parts(name.lower())) if x}
 
 
-def pieces(text: str) -> set[str]:
-    return {text[k : k + PIECE] for k in range(len(text) - PIECE + 1)}
+def pieces(text: str, size: int) -> set[str]:
+    return {text[k : k + size] for k in range(len(text) - size + 1)}
 
 
-def keys_of_name(name: str) -> set[str]:
-    """Under which keys a label's name is found: one of them is among keys_of_request(), or is the request's rarest piece, if the pair scores at all."""
+def edits_for(least: float) -> int:
+    """How many edits between spellings can score least: the scores of N.text_score()."""
+    return 0 if least > 0.8 + NEARLY else 1 if least > 0.75 + NEARLY else EDITS
+
+
+#: The best scores of N.key_score(): of equal sounds, and of other ones.
+SAME_SOUNDS, LIKE_SOUNDS, NEARLY = 0.82, 0.74, 1e-9
+
+
+def keys_of_name(name: str, least: float = 0.0) -> set[str]:
+    """Under which keys a label's name is found: one of them is among keys_of_request(), or is the request's rarest piece, if the pair scores least at all."""
     whole, texts = spelt(name)
+    most = edits_for(least)
+    out = {f"2{x[:2]}" for x in texts if len(x) >= 2} | {f"3{x}" for n in PIECES for x in pieces(whole, n)} | {f"d{x}" for t in texts for x in deletions(t, min(most, edits_of(len(t), len(whole))))}
+    if least > SAME_SOUNDS + NEARLY:
+        return out
     sounds = {k for x in (name.lower(), *texts) if len(k := N.sound_key(x)) >= 2}
-    out = {f"2{x[:2]}" for x in texts if len(x) >= 2} | {f"3{x}" for x in pieces(whole)} | {f"d{x}" for t in texts for x in deletions(t, edits_of(len(t), len(whole)))}
+    if least > LIKE_SOUNDS + NEARLY:
+        return out | {f"s{k}" for k in sounds}
     return out | {f"s{k[:n]}" for k in sounds for n in range(3, len(k) + 1)} | {f"e{x}" for k in sounds for x in deletions(k.translate(ALIKE), edits_of(len(k), 0))}
 
 
-def keys_of_request(name: str) -> tuple[set[str], set[str]]:
+def keys_of_request(name: str, least: float = 0.0) -> tuple[set[str], set[str]]:
     """(keys to look up, pieces of which the rarest has to be looked up)"""
     whole, own = N.normal(name.lower()), N.sound_key(name.lower())
     if len(whole) < 2 and len(own) < 3:
         return set(), set()
-    out = {f"d{x}" for x in deletions(whole, EDITS)} | ({f"2{whole}"} if len(whole) == 2 else set())
-    if len(own) >= 3:
-        out |= {f"s{own}"} | {f"e{x}" for x in deletions(own.translate(ALIKE), edits_of(len(own), 0))}
-    return out, {f"3{x}" for x in pieces(whole)}
+    out = {f"d{x}" for x in deletions(whole, edits_for(least))} | ({f"2{whole}"} if len(whole) == 2 else set())
+    if len(own) >= 3 and least <= SAME_SOUNDS + NEARLY:
+        out |= {f"s{own}"}
+        if least <= LIKE_SOUNDS + NEARLY:
+            out |= {f"e{x}" for x in deletions(own.translate(ALIKE), edits_of(len(own), 0))}
+    return out, {f"3{x}" for x in pieces(whole, max((n for n in PIECES if n <= len(whole)), default=PIECES[0]))}
 
 
 def hashed(key: str) -> int:
@@ -87,6 +103,11 @@ def numbered(labels: DataFrame, kind: Kind) -> DataFrame:
     return labels.sparkSession.read.parquet(place)
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """rows as the side of a join that is shuffled and never broadcast: a name has hundreds of keys, which Spark takes for one row."""
+    return rows.hint("merge")
+
+
 def candidates(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
     """(query_id, _row) of all pairs of asked(query_id, text) and numbered labels that could score, found by equal keys.
 
@@ -98,7 +119,7 @@ def candidates(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
         for batch in batches:
             row, key = [], []
             for number, *values in zip(*(c.to_pylist() for c in batch.columns)):
-                own = {hashed(k) for name in kind.known(*values) for k in keys_of_name(name or "")}
+                own = {hashed(k) for name in kind.known(*values) for k in keys_of_name(name or "", kind.least)}
                 key += own
                 row += [number] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(row, pa.int64())], names=["key", "_row"])
@@ -108,7 +129,7 @@ def candidates(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
             out = []
             for query_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for place, name in enumerate(kind.asked(text or "")):
-                    keys, parts = keys_of_request(name)
+                    keys, parts = keys_of_request(name, kind.least)
                     out += [(query_id, place, hashed(k), False) for k in keys] + [(query_id, place, hashed(k), True) for k in parts]
             columns = list(zip(*out)) or [[]] * 4
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
@@ -117,10 +138,10 @@ def candidates(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
     own = spread(rows.select("_row", *kind.columns)).mapInArrow(known, "key long, _row long")
     keys = spread(asked.select(F.col("query_id").cast("long"), F.col("text").cast("string"))).mapInArrow(wanted, "query_id long, place int, key long, piece boolean")
     parts = keys.where("piece")
-    held = own.join(parts.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-    rarest = parts.join(held, "key", "left").groupBy("query_id", "place").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))["key"].alias("key"))
+    held = own.join(sent(parts.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    rarest = parts.join(sent(held), "key", "left").groupBy("query_id", "place").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))["key"].alias("key"))
     asked_keys = keys.where("NOT piece").select("query_id", "key").unionByName(rarest.select("query_id", "key")).distinct()
-    return own.join(asked_keys, "key").select("query_id", "_row").distinct()
+    return own.join(sent(asked_keys), "key").select("query_id", "_row").distinct()
 
 
 def scored(labels: DataFrame, requests: DataFrame | list[tuple[int, str]], kind: Kind) -> DataFrame:
@@ -128,7 +149,7 @@ def scored(labels: DataFrame, requests: DataFrame | list[tuple[int, str]], kind:
     spark = labels.sparkSession
     asked = spark.createDataFrame(requests, "query_id long, text string") if isinstance(requests, list) else requests.select(F.col("query_id").cast("long"), F.col("text").cast("string"))
     rows = numbered(labels, kind)
-    pairs = candidates(rows, asked, kind).join(asked.withColumnRenamed("text", "_text"), "query_id").join(rows, "_row").select("query_id", "_text", *kind.columns)
+    pairs = candidates(rows, asked, kind).join(sent(asked.withColumnRenamed("text", "_text")), "query_id").join(sent(rows), "_row").select("query_id", "_text", *kind.columns)
     schema = pairs.select("query_id", F.lit(0.0).alias("score"), *kind.columns).schema
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
