@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,13 +40,17 @@ class Pieces:
     scores: dict[str, tuple[float, int]]
     unknown: int
 
+    @cached_property
+    def bounds(self) -> tuple[float, int]:
+        """The score of an unknown letter, and the length of the longest piece: made once for a vocabulary, not for each word."""
+        return min(s for s, _ in self.scores.values()) - UNKNOWN_PENALTY, max(map(len, self.scores))
+
     def segment(self, text: str) -> list[int]:
         """Ids of the likeliest segmentation. An unknown letter scores UNKNOWN_PENALTY under the least piece; a run of such is one id.
 
         Of segmentations of equal score the one whose last piece starts first counts, at each place.
         """
-        least = min(s for s, _ in self.scores.values()) - UNKNOWN_PENALTY
-        longest = max(map(len, self.scores))
+        least, longest = self.bounds
         paths: list[tuple[float, int, int]] = [(0.0, 0, -1)]  # score, start and id of the best last piece
         for end in range(1, len(text) + 1):
             ways = [(paths[start][0] + s, start, k) for start in range(max(0, end - longest), end) for s, k in [self.scores.get(text[start:end], (None, -1))] if s is not None]
