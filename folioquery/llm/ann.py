@@ -4,8 +4,8 @@ Centroids and codebooks are fitted in numpy on a bounded sample; every vector is
 list is split into blocks of bounded size, and a query goes to the blocks of the lists that it probes, and to no others. A
 vector is sent once, save that the block of a list which more than QUERY_PART queries probe meets them in several parts.
 Vectors and queries travel as matrices, one row for what a batch has for a block. In a block, asymmetric distance tables give
-each query a shortlist, which is reranked by exact inner products of the original vectors in double precision; the best of
-all blocks are the query's answer.
+each query a shortlist, which is reranked by exact inner products of the original vectors in double precision, as is every row
+whose estimate, by how far its codes are off, could still be among the best; the best of all blocks are the query's answer.
 
 How many lists have to be probed is measured on the sample. Where vectors have no structure, as those of random directions,
 that is a constant share of the lists, and work grows as queries times vectors, with this as with any inverted file.
@@ -98,6 +98,11 @@ class Quantiser:
         rest = x - self.coarse[at]
         return at, np.stack([nearest(rest[:, a:b], book)[0] for a, b, book in zip(self.bounds, self.bounds[1:], self.books)], 1).astype(np.uint8)
 
+    def missed(self, at: int, codes: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """How far each row of list at lies from what its codes stand for: an estimate errs by that times the query's length at most."""
+        held = np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1) + self.coarse[at]
+        return np.linalg.norm(x - held, axis=1)
+
     def estimates(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Inner products of queries and the coded rows of list at, from each query's table of parts and codes."""
         out = np.repeat((q @ self.coarse[at])[:, None], len(codes), 1)
@@ -125,8 +130,12 @@ def share_needed(model: Quantiser, x: np.ndarray, wanted: float = WANTED, asked:
     return (np.quantile(np.concatenate(ranks), wanted) + 1) / model.lists
 
 
-def answers(model: Quantiser, at: int, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, top: int):
-    """(query_id, vec_id, score) of the best of one block for each query; ids ascend."""
+def answers(model: Quantiser, at: int, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, missed: np.ndarray, query_ids: np.ndarray, q: np.ndarray, top: int):
+    """(query_id, vec_id, score) of the best of one block for each query; ids ascend.
+
+    The shortlist's exact scores say what has to be reached; every other row whose estimate could reach it is reranked, too. So
+    vectors that lie too close together for their codes to tell them apart are told apart.
+    """
     found = []
     for i in range(0, len(q), 128):
         part = q[i : i + 128]
@@ -135,10 +144,15 @@ def answers(model: Quantiser, at: int, ids: np.ndarray, codes: np.ndarray, x: np
         short = np.argsort(-estimate, axis=1, kind="stable")[:, :SHORTLIST]
         score = (x[short] * part[:, None, :]).sum(-1)
         score[np.take_along_axis(estimate, short, 1) == -np.inf] = -np.inf
+        reached = np.sort(score, axis=1)[:, -top] if score.shape[1] >= top else np.full(len(part), -np.inf)
+        length = np.linalg.norm(part, axis=1)
+        could = estimate + length[:, None] * missed[None, :] * (1 + 1e-9)
+        enough = reached - 1e-9 * (np.abs(reached) + length * np.abs(x).max(initial=0))
         for k in range(len(part)):
-            best = np.lexsort((short[k], -score[k]))[:top]
-            best = best[score[k][best] > -np.inf]
-            found.append((np.full(len(best), query_ids[i + k]), ids[short[k][best]], score[k][best]))
+            own = np.flatnonzero((could[k] >= enough[k]) & (estimate[k] > -np.inf)) if np.isfinite(reached[k]) else np.flatnonzero(estimate[k] > -np.inf)
+            exact = (x[own] * part[k]).sum(-1)
+            best = np.lexsort((own, -exact))[:top]
+            found.append((np.full(len(best), query_ids[i + k]), ids[own[best]], exact[best]))
     return [np.concatenate(c) for c in zip(*found)]
 
 
@@ -243,6 +257,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
                         block_of = [np.concatenate(c) for c in zip(*found)]
                         order = np.argsort(block_of[0], kind="stable")
                         block_of = [c[order] for c in block_of]
+                        block_of.append(model.missed(at, *block_of[1:]))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in answers(model, at, *block_of, ids, x, top)], names=["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(meet, struct(query_id="long", vec_id="long", score="double"))
