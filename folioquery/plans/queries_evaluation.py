@@ -14,7 +14,7 @@ from folioquery.plans.queries_facts import texts
 from folioquery.plans.queries_ledger import SQL_LEDGER, payments
 from folioquery.plans.queries_retrieval import index, vectors
 from folioquery.plans.registry import query
-from folioquery.sources.store import kept, new_folder, signature, spread, written
+from folioquery.sources.store import kept, signature, spread, written
 from folioquery.sources.tables import table
 
 SQL_Q = """
@@ -141,15 +141,20 @@ def amounts(spark, sf):
 
 
 def sweep_index(spark, sf):
-    """The stored index of texts made of orders, one chunk an item."""
+    """Texts made of orders as an index, one chunk an item; its postings are only made where they are read."""
     chunks = texts(spark, sf).select(F.col("item_id").alias("chunk_id"), "item_id", F.lit(0).alias("ordinal"), "text")
-    return kept(spark, ("orders-index", *signature(spark, f"{sf}/orders.parquet")), lambda: R.build_index(spread(chunks), new_folder(spark, "orders-index")))
+
+    def make() -> R.Index:
+        own = written(spread(chunks), "orders-chunks")
+        return R.Index(own, R.postings(own), written(R.statistics(own), "orders-statistics"))
+
+    return kept(spark, ("orders-index", *signature(spark, f"{sf}/orders.parquet")), make)
 
 
 def sweep_vectors(spark, sf):
     """Items share the vectors of the table in turn: their meaning leads to a few dozen items, one of which is right."""
     own = table(spark, sf, "embeddings", "vec_id", "embedding")
-    return table(spark, sf, "orders", "o_orderkey").join(F.broadcast(own.agg(F.count("*").alias("n")))).select(F.col("o_orderkey").alias("chunk_id"), (F.col("o_orderkey") % F.col("n")).alias("vec_id")).join(own, "vec_id").select("chunk_id", F.col("embedding").alias("vector"))
+    return table(spark, sf, "orders", "o_orderkey").join(F.broadcast(own.agg(F.count("*").alias("n")))).select(F.col("o_orderkey").alias("chunk_id"), (F.col("o_orderkey") % F.col("n")).alias("vec_id")).join(own, "vec_id").select("chunk_id", F.col("vec_id").alias("same"), F.col("embedding").alias("vector"))
 
 
 #: Questions about the order {k} by what is left of its number by 9: text, whether a value is asked for, which one is right.
