@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioquery.functions.ranks import nearest_rank
+from folioquery.functions.text import query_terms
 from folioquery.operators import corpus as C
 from folioquery.operators import evaluation as E
 from folioquery.operators import facts as X
 from folioquery.operators import ledger as L
 from folioquery.operators import retrieval as R
+from folioquery.operators.keywords import rank_all
 from folioquery.plans.queries_facts import texts
 from folioquery.plans.queries_ledger import SQL_LEDGER, payments
-from folioquery.plans.queries_retrieval import index, vectors
+from folioquery.plans.queries_retrieval import chunks, vectors
 from folioquery.plans.registry import query
 from folioquery.sources.store import kept, signature, spread, written
 from folioquery.sources.tables import table
@@ -49,8 +51,9 @@ def quality_by_mode(spark, sf):
     documents = table(spark, sf, "documents", "doc_id", "text")
     opening = documents.select(F.col("doc_id").alias("vec_id"), F.array_join(F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 8), " ").alias("text"))
     asked = asking.join(opening, "vec_id", "left").select(F.col("vec_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("embedding").alias("vector"))
-    own = index(spark, sf)  # the stored one; each leg is made once for all modes
-    keyword = written(R.bm25(own, asked.select("query_id", "text")), "keyword-leg")
+    own = written(chunks(spark, sf), "chunks")  # each leg is made once for all modes; an index of all words would take several times the table's disk
+    terms = query_terms(F.col("text"))
+    keyword = written(rank_all(own, asked.select("query_id", terms.alias("terms"), F.lit(1).alias("least"))), "keyword-leg")
     meaning = written(R.cosine(vectors(spark, sf), asked.select("query_id", "vector")), "meaning-leg")
     of_query, of_item = (d.select(F.col("vec_id").alias(c), "label") for d, c in ((asking, "query_id"), (v, "item_id")))
     styles = asking.select(F.col("vec_id").alias("query_id"), (F.col("label") % 3).alias("style"))
