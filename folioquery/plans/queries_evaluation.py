@@ -51,7 +51,7 @@ def quality_by_mode(spark, sf):
     documents = table(spark, sf, "documents", "doc_id", "text")
     opening = documents.select(F.col("doc_id").alias("vec_id"), F.array_join(F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 8), " ").alias("text"))
     asked = asking.join(opening, "vec_id", "left").select(F.col("vec_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("embedding").alias("vector"))
-    own = written(chunks(spark, sf), "chunks")  # each leg is made once for all modes; an index of all words would take several times the table's disk
+    own = written(chunks(spark, sf), "chunks", "zstd")  # each leg is made once for all modes; an index of all words would take several times the table's disk
     terms = query_terms(F.col("text"))
     keyword = written(rank_all(own, asked.select("query_id", terms.alias("terms"), F.lit(1).alias("least"))), "keyword-leg")
     meaning = written(R.cosine(vectors(spark, sf), asked.select("query_id", "vector")), "meaning-leg")
