@@ -35,11 +35,38 @@ def widths(values: np.ndarray) -> np.ndarray:
     return np.where(values > 0, np.floor(np.log2(np.maximum(values, 1))).astype(np.int64) + 1, 0)
 
 
+def pack(values: np.ndarray, w: int) -> np.ndarray:
+    """The lowest w bits of each value, one after the other, lowest first; a row for each row. Eight values fill w bytes, each at its own shift."""
+    kind = np.uint32 if w <= 25 else np.uint64
+    eights = (values & np.uint32((1 << w) - 1)).astype(kind).reshape(len(values), -1, 8)
+    out = np.zeros((w, *eights.shape[:2]), np.uint8)
+    for k in range(8):
+        at, shift = divmod(k * w, 8)
+        own = eights[:, :, k] << kind(shift)
+        for b in range((shift + w + 7) // 8):
+            out[at + b] |= (own >> kind(8 * b)).astype(np.uint8)
+    return np.moveaxis(out, 0, 2).reshape(len(values), -1)
+
+
+def unpack(packed: np.ndarray, w: int) -> np.ndarray:
+    """What pack() was given."""
+    kind = np.uint32 if w <= 25 else np.uint64
+    eights = np.ascontiguousarray(np.moveaxis(packed.reshape(len(packed), -1, w), 2, 0))
+    out = np.empty((*eights.shape[1:], 8), np.uint32)
+    for k in range(8):
+        at, shift = divmod(k * w, 8)
+        own = eights[at].astype(kind)
+        for b in range(1, (shift + w + 7) // 8):
+            own |= eights[at + b].astype(kind) << kind(8 * b)
+        out[:, :, k] = (own >> kind(shift)) & kind((1 << w) - 1)
+    return out.reshape(len(packed), -1)
+
+
 def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
     """Blocks of BLOCK ids; the last one may be shorter."""
     out = []
     for at in range(0, len(ids), RUN * BLOCK):
-        part = ids[at : at + RUN * BLOCK].astype(np.int64)
+        part = ids[at : at + RUN * BLOCK].astype(np.uint32)
         n = -(-len(part) // BLOCK)
         sizes = np.full(n, BLOCK)
         sizes[-1] = len(part) - (n - 1) * BLOCK
@@ -48,13 +75,12 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
         rest = grid - low[:, None]
         rank = min(BLOCK - 1, BLOCK * percentile // 100)
         width = widths(np.partition(rest, rank, axis=1)[:, rank])
-        far = rest >= (1 << width)[:, None]
+        far = rest > ((1 << width) - 1).astype(np.uint32)[:, None]
         packed: list[bytes] = [b""] * n
-        for w in np.unique(width[width > 0]):
+        for w in np.unique(width[width > 0]).tolist():
             own = np.flatnonzero(width == w)
-            bits = (rest[own][:, :, None] >> np.arange(w)).astype(np.uint8) & 1
-            for k, row in zip(own, np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")):
-                packed[k] = row[: -(-int(sizes[k]) * int(w) // 8)].tobytes()
+            for k, row in zip(own, pack(rest[own], w)):
+                packed[k] = row[: -(-int(sizes[k]) * w // 8)].tobytes()
         for k in range(n):
             where = np.flatnonzero(far[k][: sizes[k]])
             out.append(HEAD.pack(low[k], width[k], sizes[k], len(where)) + packed[k] + where.astype("<u2").tobytes() + rest[k][where].astype("<u4").tobytes())
@@ -66,22 +92,18 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     heads = [HEAD.unpack_from(data, s) for s in starts[:-1]]
     low, width, sizes, patches = map(np.array, zip(*heads))
     raw = np.frombuffer(data, np.uint8)
-    grid = np.zeros((len(heads), BLOCK), np.int64)
+    grid = np.zeros((len(heads), BLOCK), np.uint32)
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        full = np.zeros((len(own), BLOCK * w // 8 + 5), np.uint8)  # a value's bits lie in five bytes from the one of its first bit
+        full = np.zeros((len(own), BLOCK * w // 8), np.uint8)
         for row, k in enumerate(own):
             n, at = -(-int(sizes[k]) * w // 8), int(starts[k]) + HEAD.size
             full[row, :n] = raw[at : at + n]
-        bit = np.arange(BLOCK) * w
-        value = np.zeros((len(own), BLOCK), np.int64)
-        for b in range((w + 14) // 8):
-            value |= full[:, (bit >> 3) + b].astype(np.int64) << (8 * b)
-        grid[own] = value >> (bit & 7) & ((1 << w) - 1)
+        grid[own] = unpack(full, w)
     for k in np.flatnonzero(patches):
         n, at = int(patches[k]), int(starts[k]) + HEAD.size + -(-int(sizes[k]) * int(width[k]) // 8)
         grid[k, np.frombuffer(data, "<u2", n, at)] = np.frombuffer(data, "<u4", n, at + 2 * n)
-    grid += low[:, None]
+    grid += low.astype(np.uint32)[:, None]
     return grid.ravel()[: int(sizes.sum())] if (sizes[:-1] == BLOCK).all() else np.concatenate([g[:s] for g, s in zip(grid, sizes)])
 
 
@@ -139,7 +161,7 @@ class Reader:
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the file; only their blocks are read."""
         if stop <= start:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.uint32)
         a, b = start // BLOCK, -(-stop // BLOCK)
         self.stream.seek(int(self.starts[a]))
         data = self.stream.read(int(self.starts[b] - self.starts[a]))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,12 @@ import pyarrow as pa
 LETTER, NUMBER, SPACE, OTHER, EDGE = 1, 2, 3, 0, 4
 CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
-#: Distinct words whose ids a Python worker remembers; beyond it the table starts anew.
-KNOWN_WORDS = 300_000
+#: Distinct words whose ids a Python worker remembers, and of them those of the tokenizers library, which have few ids each.
+KNOWN_WORDS, LIBRARY_WORDS = 300_000, 450_000
 #: Words that go to a tokenizer in one text.
 JOINED = 1000
+#: A byte that UTF-8 has not.
+NO_BYTE = 0xFF
 
 
 @lru_cache(1)
@@ -174,17 +177,27 @@ def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(real)), counts
 
 
+def listed(words: pa.LargeBinaryArray) -> list[bytes]:
+    """Words of UTF-8, none of them empty, as a list: cut at a byte that UTF-8 has not, which is far quicker than to_pylist()."""
+    if not len(words):
+        return []
+    bounds = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    return np.insert(data, bounds[1:-1] - bounds[0], NO_BYTE).tobytes().split(bytes([NO_BYTE]))
+
+
 class WordTable:
-    """Ids of distinct words, filled by encode_new(list of words as bytes) -> (counts, flat ids)."""
+    """Ids of distinct words, filled by encode_new(list of words as bytes) -> (counts, flat ids).
 
-    def __init__(self, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode_new = encode_new
-        self.clear()
+    Beyond most words, the half that was met in the most runs of texts stays.
+    """
 
-    def clear(self) -> None:
+    def __init__(self, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = KNOWN_WORDS):
+        self.encode_new, self.most = encode_new, most
         self.number: dict[bytes, int] = {}
         self.start = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.met = np.zeros(0, np.int32)
 
     def add(self, new: list[bytes]) -> None:
         counts, flat = self.encode_new(new)
@@ -192,6 +205,18 @@ class WordTable:
         self.number.update(zip(new, range(base, base + len(new))))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
         self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+
+    def thin(self) -> None:
+        stays = np.sort(np.argsort(self.met, kind="stable")[len(self.met) - self.most // 2 :])
+        size = np.diff(self.start)
+        held = np.zeros(len(size), bool)
+        held[stays] = True
+        self.ids = self.ids[np.repeat(held, size)]
+        self.start = np.append(0, np.cumsum(size[stays]))
+        self.met = self.met[stays] // 2  # what was met long ago counts less and less
+        names = list(self.number)  # in the order of their numbers
+        self.number = {names[k]: n for n, k in enumerate(stays.tolist())}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids of all texts, number of ids of each text)"""
@@ -199,18 +224,20 @@ class WordTable:
         if len(words) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.number) > KNOWN_WORDS:
-            self.clear()
-        known = list(map(self.number.get, distinct))
-        fresh = iter(range(len(self.number), len(self.number) + len(known)))
-        if new := [w for w, k in zip(distinct, known) if k is None]:
-            self.add(new)
-        places = np.fromiter((next(fresh) if k is None else k for k in known), np.int64, len(known))
-        own = places[coded.indices.to_numpy(zero_copy_only=False)]
-        first, size = self.start[own], self.start[own + 1] - self.start[own]
-        ends = np.cumsum(size)
-        flat = self.ids[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
+        distinct = listed(coded.dictionary)
+        if len(self.number) > self.most:
+            self.thin()
+        places = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = len(self.number) + np.arange(len(new))
+            self.add([distinct[k] for k in new.tolist()])
+        self.met[places] += 1
+        first, size = self.start[places], self.start[places + 1] - self.start[places]
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = size[word]
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.repeat(first[word] - (ends - sizes), sizes) + np.arange(ends[-1])]
         at = np.append(0, ends)[np.append(0, np.cumsum(per_text))]
         return flat, np.diff(at)
 
@@ -228,6 +255,16 @@ def chunks(sizes: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 _tables: dict[tuple[str, str], object] = {}
 
 
+def byte_names() -> np.ndarray:
+    """The character by which a byte-level vocabulary names each byte; a line feed for NO_BYTE."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.arange(256, dtype="<u4")
+    others = np.setdiff1d(out, own)
+    out[others] = 256 + np.arange(len(others))
+    out[NO_BYTE] = ord("\n")
+    return out
+
+
 def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """texts -> (flat ids, counts) as Tokenizer.from_file(path).encode(text, add_special_tokens=False) gives them.
 
@@ -238,7 +275,7 @@ def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.nda
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tok = Tokenizer.from_file(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
@@ -247,35 +284,35 @@ def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.nda
     for name, k in tok.get_vocab(with_added_tokens=False).items():
         width[k] = len(name)
 
-    def one_by_one(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    # The same tokenizer for words that are split and whose bytes are named already, a line each: it need not search them for words again.
+    split = tok.pre_tokenizer
+    in_lines = tok.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+    lines = Tokenizer.from_file(path)
+    lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+    names = byte_names()
+
+    def one_by_one(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return counts, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
 
     def encode_new(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """A blank and letters are a word wherever they stand, so many such words go to the library in one text; its ids are told apart by their bytes."""
-        plain = [w.decode() for w in words]
-        joined = np.fromiter((w[:1] == " " and w[1:].isalpha() for w in plain), bool, len(plain))
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        own = np.flatnonzero(joined)
-        runs = [own[k : k + JOINED] for k in range(0, len(own), JOINED)]
-        for run, got in zip(runs, tok.encode_batch_fast(["".join([plain[k] for k in run]) for run in runs], add_special_tokens=False)):
-            ids = np.array(got.ids, np.uint32)
-            ends, upto = np.cumsum([len(words[k]) for k in run]), np.cumsum(width[ids])
+        """Many words go to the library in one text; their ids are told apart by their bytes."""
+        runs = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        texts = [names[np.frombuffer(bytes([NO_BYTE]).join(run), np.uint8)].tobytes().decode("utf-32-le") for run in runs] if in_lines else []
+        parts = []
+        for run, got in zip_longest(runs, lines.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(got.ids if got else [], np.uint32)
+            ends, upto = np.cumsum(np.fromiter(map(len, run), np.int64, len(run))), np.cumsum(width[ids])
             at = np.searchsorted(upto, ends)
             if len(ids) and upto[-1] == ends[-1] and (upto[at] == ends).all():
-                parts.append((run, np.diff(np.append(-1, at)), ids))
+                parts.append((np.diff(at, prepend=-1), ids))
             else:
-                joined[run] = False  # the library splits it otherwise
-        other = np.flatnonzero(~joined)
-        parts.append((other, *one_by_one([plain[k] for k in other])))
-        order, sizes, flat = (np.concatenate(x) for x in zip(*parts))
-        counts, begin = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        counts[order], begin[order] = sizes, np.cumsum(sizes) - sizes
-        ends = np.cumsum(counts)
-        return counts, flat[np.repeat(begin - (ends - counts), counts) + np.arange(len(flat))]
-
-    words = WordTable(encode_new)
+                parts.append(one_by_one(run))  # the library splits it otherwise
+        counts, flat = zip(*parts)
+        return np.concatenate(counts), np.concatenate(flat)
+
+    words = WordTable(encode_new, LIBRARY_WORDS)
 
     def encode(texts: list[str]):
         odd = [k for k, t in enumerate(texts) if any(s in t for s in special)]

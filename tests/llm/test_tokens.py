@@ -3,7 +3,7 @@
 import base64
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -63,6 +63,64 @@ def test_library_encoder(library):
     assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(ALPHABET, st.text(max_size=30), st.text("ab", max_size=80)), max_size=10))
+def test_library_encoder_is_the_library(library, texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    flat, counts = pretok.library_encoder(LIBRARY)(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])][: len(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_many_words_are_one_text_for_the_library(library, monkeypatch):
+    import tokenizers
+
+    asked = []
+
+    class Counted:
+        def __init__(self, own):
+            object.__setattr__(self, "own", own)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.own, name, value)
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(real.from_file(path))
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.own.encode_batch_fast(texts, **options)
+
+    real = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    monkeypatch.setattr(pretok, "_tables", {})
+    texts = ["\n".join(f"Été{k}, {k * 7919}?! x{k:b}" for k in range(i, i + 1000)) for i in (0, 1000)]
+    flat, counts = pretok.library_encoder(LIBRARY)(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < len(asked) < 20
+
+
+def test_words_met_often_stay_known():
+    asked = Counter()
+
+    def encode_new(words):
+        asked.update(words)
+        return np.full(len(words), 2), np.array([[zlib.crc32(w), len(w)] for w in words], np.uint32).ravel()
+
+    table = pretok.WordTable(encode_new)
+    often = " the of and"
+    for k in range(40):
+        own = "".join(f" {n:x}" for n in range(k * 10_000, k * 10_000 + 10_000)).translate(str.maketrans("0123456789", "ghijklmnop"))
+        flat, counts = table.encode([often, own])
+        words = [" " + w for w in (often + own).split()]
+        assert counts.tolist() == [6, 20_000] and flat.tolist() == [x for w in words for x in (zlib.crc32(w.encode()), len(w))]
+    assert sum(asked.values()) > pretok.KNOWN_WORDS and [asked[w] for w in (b" the", b" of", b" and")] == [1, 1, 1]
+    assert len(table.number) <= pretok.KNOWN_WORDS + 10_003
+
+
 def test_bpe_query(odd, none, tiktoken_own):
     got = bpe.encode(odd, RANKS).collect()
     assert len(got) == len(ODD) and bpe.encode(none, RANKS).count() == 0
@@ -125,6 +183,16 @@ def test_blocks(values, small):
         assert (pfor.decode_blocks(b"".join(blocks), starts) == ids).all()
 
 
+def test_bits_of_every_width():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 32, (3, 1024), dtype=np.uint64).astype(np.uint32)
+    for w in range(1, 33):
+        packed = pfor.pack(values, w)
+        bits = (values.astype(np.int64)[:, :, None] >> np.arange(w)).astype(np.uint8) & 1
+        assert (packed == np.packbits(bits.reshape(3, -1), axis=1, bitorder="little")).all()
+        assert (pfor.unpack(packed, w) == values.astype(np.int64) & ((1 << w) - 1)).all()
+
+
 def test_outliers_are_few_bytes():
     ids = np.arange(1024, dtype=np.uint32) % 16
     ids[500] = 4_000_000_000
