@@ -38,25 +38,29 @@ LEAST_SIZE = 4
 #: A word is frequent from so many lines on; its list is split by the next shared word.
 FREQUENT = 1 << 14
 #: Sets of a block of a list, and their words; postings that a task holds before it passes them on.
-BLOCK, BLOCK_WORDS, HELD = 2048, 1 << 17, 1 << 20
+BLOCK, BLOCK_WORDS, HELD = 2048, 1 << 17, 1 << 18
+#: Words that are counted at once, and pairs of a list that are compared at once, besides those of one set.
+COUNTED, PAIRS = 1 << 20, 1 << 16
 #: Words that are looked up at once; sets of a list from which on they are compared by a matrix of words, and its cells.
 LOOKED_UP, MANY, CELLS = 1 << 19, 24, 1 << 22
 #: Bytes of text that are verified at once, besides what belongs to the group of the last of them.
 VERIFIED = 1 << 20
-SALTS, CHUNK = 16, 1 << 18
+CHUNK = 1 << 18
+#: A set with more than one in SHARE of all lines is a hot one; there are fewer than SHARE of them. Their lines are dealt by SALTS.
+SHARE, SALTS = 1000, 16
 #: Bits of the filter for lines whose text is needed: so many for each, and at most.
 BITS_A_LINE, MOST_BITS = 16, 1 << 26
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Sets of more words have parities in MORE numbers besides the first.
 LONG, MORE = 56, 2
-POSTING = np.dtype([("list", "<u4"), ("size", "<u4"), ("position", "<u4"), ("key", "<i8"), ("parities", "<u8"), ("before", "<u8"), *((f"more{k}", "<u8") for k in range(MORE))])
-
-
 PARITIES = ["parities", *(f"more{k}" for k in range(MORE))]
+#: The columns of postings.
+POSTING = {"list": "<u4", "size": "<u4", "position": "<u4", "key": "<i8", "before": "<u8"} | dict.fromkeys(PARITIES, "<u8")
+Postings = dict[str, np.ndarray]
 
 
 def counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)  # the first 20 bits
+    return (hashes >> np.uint64(44)).view(np.int64)  # the first 20 bits
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,17 +82,22 @@ class Sets:
     """The sets of words of lines, each in the order of rarity: hashes of all words, and where each line's begin and end."""
 
     def __init__(self, words: Words, lines: int, often: np.ndarray | None = None):
-        rarity = np.zeros(len(words.hashes), np.int64) if often is None else np.minimum(often[counter(words.hashes)], (1 << 24) - 1)
         # One number has line, rarity and the first bits of the hash; where that ties different words, the whole hash decides.
         bits = max(1, lines).bit_length()
-        place = words.line.astype(np.uint64) << np.uint64(64 - bits) | rarity.astype(np.uint64) << np.uint64(40 - bits) | words.hashes >> np.uint64(24 + bits)
+        place = words.line.astype(np.uint64) << np.uint64(64 - bits) | words.hashes >> np.uint64(24 + bits)
+        rarity = None if often is None else often.take(counter(words.hashes)).astype(np.uint64)
+        if rarity is not None:
+            place |= rarity << np.uint64(40 - bits)
         order = np.argsort(place)
-        tied = place[order[1:]] == place[order[:-1]]
-        if (words.hashes[order[1:][tied]] != words.hashes[order[:-1][tied]]).any():
-            order = np.lexsort((words.hashes, rarity, words.line))
-        line, flat = words.line[order], words.hashes[order]
-        new = np.append(True, (line[1:] != line[:-1]) | (flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
-        self.order, self.line, self.flat = order[new], line[new], flat[new]
+        place, flat = place.take(order), words.hashes.take(order)
+        new = np.append(True, place[1:] != place[:-1]) if len(flat) else np.zeros(0, bool)
+        tied = np.flatnonzero(~new)
+        if (flat[tied] != flat[tied - 1]).any():
+            order = np.lexsort((words.hashes, words.line) if rarity is None else (words.hashes, rarity, words.line))
+            line, flat = words.line[order], words.hashes[order]
+            new = np.append(True, (line[1:] != line[:-1]) | (flat[1:] != flat[:-1]))
+        self.order, self.flat = order[new], flat[new]
+        self.line = words.line.take(self.order)
         self.size = np.bincount(self.line, minlength=lines)
         self.ends = np.cumsum(self.size)
         self.begin = self.ends - self.size
@@ -113,17 +122,23 @@ def lines_of(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
             texts, sizes = texts_of(batch.column(1))
             for i, j in chunks(sizes, CHUNK):
                 words = Words(texts[i:j])
                 n = int(words.n_lines.sum())
                 sets = Sets(words, n)
-                total += np.bincount(counter(sets.flat), minlength=COUNTERS)
+                held.append(counter(sets.flat))
+                if sum(map(len, held)) >= COUNTED:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held = []
                 keys, none = sets.keys(), sets.size == 0
                 doc = np.repeat(np.arange(j - i), words.n_lines)
                 number = np.arange(n) - np.repeat(np.cumsum(words.n_lines) - words.n_lines, words.n_lines)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(keys[:, 0], mask=none), pa.array(keys[:, 1], mask=none), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
         counts = counting.sliced(total)
         nulls = [pa.nulls(len(counts), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
         yield pa.RecordBatch.from_arrays([*nulls, *counts.columns], names=schema.names)
@@ -154,20 +169,20 @@ def lists_of(sets: Sets, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out
 
 
-def postings_of(sets: Sets, often: np.ndarray, chosen: np.ndarray, key: np.ndarray, many: int) -> np.ndarray:
+def postings_of(sets: Sets, often: np.ndarray, chosen: np.ndarray, key: np.ndarray, many: int) -> Postings:
     """The postings of the chosen sets; a word of so many lines is frequent."""
     first, second = listed_words(sets, often, chosen, many)
-    row = sets.line[second]
-    out = np.empty(len(first), POSTING)
-    out["list"] = lists_of(sets, first, second)
-    out["position"] = sets.position[second] - (first != second)
+    row = sets.line.take(second)
     before = second - 1
     before -= (before == first) & (first != second)
-    out["before"] = np.where(before >= sets.begin[row], sets.flat[before], np.uint64(0))
-    out["size"], out["key"] = sets.size[row], key[row]
-    for name, parities in zip(PARITIES, sets.parities()):
-        out[name] = parities[row]
-    return out
+    out = {
+        "list": lists_of(sets, first, second),
+        "size": sets.size.astype(np.uint32).take(row),
+        "position": (sets.position.take(second) - (first != second)).astype(np.uint32),
+        "key": key.take(row),
+        "before": np.where(before >= sets.begin.take(row), sets.flat[before], np.uint64(0)),
+    }
+    return out | {name: parities.take(row) for name, parities in zip(PARITIES, sets.parities())}
 
 
 def apart(parities: list[np.ndarray], x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -178,7 +193,7 @@ def apart(parities: list[np.ndarray], x: np.ndarray, y: np.ndarray, size_x: np.n
     return ok
 
 
-def similar_sizes(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def similar_sizes(p: Postings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which pairs of postings, as places in p, may be of similar sets."""
     a, b = p["size"][x].astype(np.int64), p["size"][y].astype(np.int64)
     need = least_overlap(a, b)
@@ -189,21 +204,32 @@ def similar_sizes(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ok & ((before != p["before"][y]) | (before == 0))
 
 
-def candidates(postings: np.ndarray) -> np.ndarray:
-    """Of lists in the order of list and size, which postings pass the filters with another one of their list."""
-    found = np.zeros(len(postings), bool)
-    of, size = postings["list"], np.minimum(postings["size"], (1 << 18) - 1).astype(np.int64)
-    live, back = np.arange(len(postings)), 0
-    while True:
-        back += 1
-        live = live[live >= back]
-        x = live - back
-        near = (of[x] == of[live]) & (size[x] * SIMILAR_DEN >= size[live] * SIMILAR_NUM)  # sizes ascend up to 2**18, beyond which they count as that
-        live, x = live[near], x[near]
-        if not len(live):
-            return found
-        ok = similar_sizes(postings, x, live)
-        found[x[ok]] = found[live[ok]] = True
+def place_of(lists: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One number for list and size; sizes ascend up to 2**18, beyond which they count as that."""
+    return lists.astype(np.uint64) << np.uint64(32) | np.clip(size, 0, (1 << 18) - 1).astype(np.uint64) << np.uint64(14)
+
+
+def candidates(p: Postings) -> np.ndarray:
+    """Of lists in the order of list and size, which postings pass the filters with another one of their list.
+
+    A set's size and position bound the sizes of those that may be similar, thus where they end behind it in the list, and
+    how many places of the parities may differ.
+    """
+    found = np.zeros(len(p["list"]), bool)
+    size = p["size"].astype(np.int64)
+    most = (SIMILAR_DEN * size - (SIMILAR_NUM + SIMILAR_DEN) * p["position"].astype(np.int64)) // SIMILAR_NUM
+    ends = np.searchsorted(place_of(p["list"], size), place_of(p["list"], most), "right")
+    behind = np.maximum(ends - np.arange(len(size)) - 1, 0)
+    differ = ((size + most) * (SIMILAR_DEN - SIMILAR_NUM) // (SIMILAR_NUM + SIMILAR_DEN)).clip(0, 64).astype(np.uint8)
+    live = np.flatnonzero(behind)
+    for i, j in chunks(behind[live], PAIRS):
+        one, n = live[i:j], behind[live[i:j]]
+        y = np.arange(1, n.sum() + 1) + np.repeat(one - (np.cumsum(n) - n), n)
+        near = np.flatnonzero(np.bitwise_count(np.repeat(p["parities"][one], n) ^ p["parities"].take(y)) <= np.repeat(differ[one], n))
+        x, y = np.repeat(one, n)[near], y[near]
+        ok = similar_sizes(p, x, y)
+        found[x[ok]] = found[y[ok]] = True
+    return found
 
 
 def listed(documents: DataFrame, often: np.ndarray) -> DataFrame:
@@ -211,18 +237,20 @@ def listed(documents: DataFrame, often: np.ndarray) -> DataFrame:
     tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * tasks  # so that each task gets about as many
 
-    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held)
-        part = rows["list"] % parts
-        order = np.argsort(part, kind="stable")
-        rows, part = rows[order], part[order]
+    def pack(held: list[Postings]) -> pa.RecordBatch:
+        part = np.concatenate([rows["list"] for rows in held]) % np.uint32(parts)
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+        part = part[order]
         cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-        blobs = [b"".join(np.ascontiguousarray(rows[n][i:j]).tobytes() for n in POSTING.names) for i, j in zip(cut, cut[1:])]  # column by column, as they are compressed
+        columns = [np.concatenate([rows.pop(name) for rows in held]).take(order) for name in POSTING]  # what is held goes as its copy is made
+        blobs = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(cut, cut[1:])]  # column by column, as they are compressed
+        columns.clear()
         return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array(np.diff(cut)), pa.array(blobs, pa.binary())], names=["part", "n", "blob"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        held: list[np.ndarray] = []
+        held: list[Postings] = []
+        n_held = 0
         for batch in batches:
             texts, sizes = texts_of(batch.column(0))
             for i, j in chunks(sizes, CHUNK):
@@ -235,34 +263,38 @@ def listed(documents: DataFrame, often: np.ndarray) -> DataFrame:
                         seen.add(name)
                         first[k] = True
                 held.append(postings_of(sets, often, first, keys[:, 0], FREQUENT))
-                if sum(map(len, held)) >= HELD:
+                n_held += len(held[-1]["list"])
+                if n_held >= HELD:
                     yield pack(held)
-                    held = []
-        if sum(map(len, held)):
+                    held, n_held = [], 0
+        if n_held:
             yield pack(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: dict[str, list[np.ndarray]] = {name: [] for name in POSTING}
         for batch in batches:
             for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rows, at = np.empty(n, POSTING), 0
-                for name in POSTING.names:
-                    kind = POSTING[name]
-                    rows[name] = np.frombuffer(blob, kind, n, at)
-                    at += n * kind.itemsize
-                held.append(rows)
-        if held:
-            rows = np.concatenate(held)
-            held.clear()
-            place = rows["list"].astype(np.uint64) << np.uint64(32) | np.minimum(rows["size"], (1 << 18) - 1).astype(np.uint64) << np.uint64(14) | (rows["key"] & 0x3FFF).astype(np.uint64)
-            rows = rows[np.argsort(place)]  # a set that isn't beside its own copy is met with it, which does no harm
-            rows = rows[np.append(True, (rows["list"][1:] != rows["list"][:-1]) | (rows["key"][1:] != rows["key"][:-1]))]
-            rows = rows[candidates(rows)]
-            _, place, n = np.unique(rows["list"], return_inverse=True, return_counts=True)
-            blocks = np.maximum(-(-n // BLOCK), -(-np.bincount(place, rows["size"], len(n)).astype(np.int64) // BLOCK_WORDS))
-            for k in range(0, len(rows), 100_000):
-                own = rows[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(own["list"].astype(np.int64)), pa.array(own["key"]), pa.array(blocks[place[k : k + 100_000]].astype(np.int32))], names=["list", "a", "blocks"])
+                at = 0
+                for name, kind in POSTING.items():
+                    held[name].append(np.frombuffer(blob, kind, n, at))
+                    at += n * np.dtype(kind).itemsize
+        if held["list"]:
+            column = {name: np.concatenate(held.pop(name)) for name in POSTING}
+            place = place_of(column["list"], column["size"]) | (column["key"] & 0x3FFF).astype(np.uint64)
+            order = np.argsort(place)  # a set that isn't beside its own copy is met with it, which does no harm
+            lists, keys = column["list"].take(order), column["key"].take(order)
+            new = np.append(True, (lists[1:] != lists[:-1]) | (keys[1:] != keys[:-1]))
+            order, lists = order[new], lists[new]
+            beside = lists[1:] == lists[:-1]
+            order = order[np.append(False, beside) | np.append(beside, False)]
+            rows = {name: column.pop(name).take(order) for name in POSTING}
+            some = np.flatnonzero(candidates(rows))
+            own = {name: rows[name].take(some) for name in ("list", "key", "size")}
+            _, place, n = np.unique(own["list"], return_inverse=True, return_counts=True)
+            blocks = np.maximum(-(-n // BLOCK), -(-np.bincount(place, own["size"], len(n)).astype(np.int64) // BLOCK_WORDS))[place]
+            for k in range(0, len(some), 100_000):
+                part = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(own["list"][part].astype(np.int64)), pa.array(own["key"][part]), pa.array(blocks[part].astype(np.int32))], names=["list", "a", "blocks"])
 
     dealt = documents.select("text").mapInArrow(make, struct(part="int", n="long", blob="binary")).repartition(tasks, "part")
     return dealt.mapInArrow(meet, struct(list="long", a="long", blocks="int"))
@@ -369,10 +401,11 @@ def verified(rows: DataFrame, often: np.ndarray, many: int) -> DataFrame:
             _, column, n = np.unique(column, return_inverse=True, return_counts=True)
             row, column = row[n[column] > 1], np.unique(column[n[column] > 1], return_inverse=True)[1]
             out = np.zeros((len(members), len(members)), np.float32)
-            step = max(1, CELLS // len(members))
+            columns = int(column.max(initial=-1)) + 1
+            step = max(1, min(columns, CELLS // len(members)))
             order = np.argsort(column, kind="stable")
             row, column = row[order], column[order]
-            for low in range(0, int(column.max(initial=-1)) + 1, step):
+            for low in range(0, columns, step):
                 part = slice(*np.searchsorted(column, [low, low + step]))
                 grid = np.zeros((len(members), step), np.float32)
                 grid[row[part], column[part] - low] = 1
@@ -450,6 +483,7 @@ def matches(documents: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFr
 
 def linked(documents: DataFrame, often: np.ndarray, firsts: DataFrame) -> DataFrame:
     """matches(), by the number of lines of each counter's words."""
+    often = np.minimum(often, (1 << 24) - 1).astype(np.uint32)
     sets = written(listed(documents, often).join(firsts.select("a", "b", "doc_id", "line"), "a"), "listed-sets")
     texts = texts_of_lines(documents, sets.select("doc_id", "line").distinct())
     flag = lambda df: df.withColumns({"no_id": F.col("doc_id").isNull(), "doc": F.coalesce("doc_id", F.lit(0))})  # noqa: E731  joins don't match nulls
@@ -480,9 +514,12 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     firsts = lines.where("a is not null").groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
     firsts = written(firsts.select("a", "b", "at.doc_id", "at.line", "n"), "first-lines")
     links = matches(documents, table, firsts)
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    in_all = firsts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.col("a").isin([r["a"] for r in firsts.where(F.col("n") > in_all / SHARE).where(F.col("n") > SALTS).select("a").collect()])
+    salt = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    dealt = F.xxhash64("doc_id", "line")
     told = firsts.join(links, ["a", "b"], "left").where("match is not null or n > 1").select("a", "b", F.struct("doc_id", "line").alias("first"), "match", "matched", salt)
-    rows = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int")).join(told, ["a", "b", "salt"], "left")
+    rows = lines.withColumn("salt", F.when(F.col("a").isNull(), F.pmod(dealt, F.lit(1 << 30))).when(hot, F.pmod(dealt, F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).join(told, ["a", "b", "salt"], "left")
     own = F.struct("doc_id", "line")
     source = F.when(F.col("match").isNotNull(), F.least("match", "first")).when(F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first")), F.col("first"))
     copied = (F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first"))).cast("long")

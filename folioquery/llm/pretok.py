@@ -78,14 +78,21 @@ def starts_of_words(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 @lru_cache(1)
 def lower_points() -> np.ndarray:
-    """The lower case of each code point, where it is one."""
-    out = np.arange(0x110000, dtype=np.uint32)
+    """The lower case of each code point, where it is one, in 64 bits."""
+    out = np.arange(0x110000, dtype=np.uint64)
     for c in range(0x20000):
         if len(x := chr(c).lower()) == 1:
             out[c] = ord(x)
     return out
 
 
+@lru_cache(1)
+def word_classes() -> np.ndarray:
+    """The class of each code point that is a letter or a digit, else 0."""
+    kind = classes()
+    return np.where((kind == LETTER) | (kind == NUMBER), kind, 0).astype(np.uint8)
+
+
 @lru_cache(2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse, modulo 2**64."""
@@ -106,22 +113,22 @@ class Words:
 
     def __init__(self, texts: list[str]):
         joined = "\n".join(texts) + "\n"
-        raw = np.frombuffer(joined.encode("utf-32-le"), "<u4")
-        kind = classes()[raw]
-        kind = np.where((kind == LETTER) | (kind == NUMBER), kind, 0)
-        edge = np.flatnonzero(np.diff(kind, prepend=0, append=0))  # where the kind changes
-        start, end = edge[:-1], edge[1:]
-        real = kind[start] > 0
-        self.start, self.end = start[real], end[real]
+        coded = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        raw = coded.astype(np.intp)
+        kind = np.zeros(len(raw) + 2, np.uint8)
+        word_classes().take(raw, out=kind[1:-1], mode="clip")
+        edge = kind[1:] != kind[:-1]
+        self.start, self.end = np.flatnonzero(edge & (kind[1:] > 0)), np.flatnonzero(edge & (kind[:-1] > 0))
         up, down = powers(1 << max(12, int(len(raw)).bit_length()))
-        self.points = lower_points()[raw]
-        total = np.cumsum(self.points * up[: len(raw)])
-        mixed = (total[self.end - 1] - np.where(self.start > 0, total[np.maximum(self.start - 1, 0)], 0)) * down[self.start]
+        self.points = lower_points().take(raw, mode="clip")
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.points * up[: len(raw)], out=total[1:])
+        mixed = (total.take(self.end) - total.take(self.start)) * down.take(self.start)
         self.hashes = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-        breaks = np.flatnonzero(raw == 10)
+        breaks = np.flatnonzero(coded == 10)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.n_lines = np.diff(np.append(-1, np.searchsorted(breaks, np.cumsum(lengths + 1) - 1)))
-        self.line = np.searchsorted(breaks, self.start)
+        self.line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(self.start, breaks), prepend=0))
 
     def numbers(self) -> np.ndarray:
         """A number for each word, the same for equal words and for no others: words of one hash are compared by their letters."""
@@ -335,7 +342,8 @@ def texts_of(column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Texts with null as empty, and their sizes in bytes."""
     import pyarrow.compute as pc
 
-    column = pc.fill_null(column.cast(pa.large_string()), "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.to_pylist(), pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    column = column.cast(pa.large_binary())  # bytes become a list far quicker than strings
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return [t.decode() if t else "" for k in range(0, len(column), 256) for t in column.slice(k, 256).to_pylist()], sizes
