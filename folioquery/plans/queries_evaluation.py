@@ -134,13 +134,9 @@ SELECT mode, count(*) AS items, count(*) FILTER (r = 'CC') AS correct_confident,
 def amounts(spark, sf):
     """Amounts of damaged readings in each mode, judged against what was written."""
     o = table(spark, sf, "orders", "o_orderkey", "o_totalprice").selectExpr("o_orderkey", "o_orderkey % 7 AS k", "CAST(CAST(o_totalprice AS BIGINT) + 1000 AS STRING) AS w")
-    shown = o.selectExpr("o_orderkey AS item_id", SQL_DAMAGED.format(k="k", w="w", nl="chr(10)") + " AS text")
-    truth = o.selectExpr("o_orderkey AS item_id", "CASE k WHEN 1 THEN w || '80' WHEN 2 THEN w || '9' ELSE w END AS value")
-    read = None
-    for mode in MODES:
-        one = X.facts(shown, mode).where("kind = 'AMOUNT'").select(F.lit(mode).alias("mode"), "item_id", "value", "confidence", "line")
-        read = one if read is None else read.unionByName(one)
-    return E.amount_outcomes(E.judged_amounts(read, truth))
+    true = "CASE k WHEN 1 THEN w || '80' WHEN 2 THEN w || '9' ELSE w END AS true_value"
+    shown = o.selectExpr("o_orderkey AS item_id", true, SQL_DAMAGED.format(k="k", w="w", nl="chr(10)") + " AS text")
+    return E.amount_outcomes(E.judged_amounts(X.amounts(shown, MODES), MODES))
 
 
 def sweep_index(spark, sf):
