@@ -194,7 +194,7 @@ def backfill(items: Segments, facts: Segments, version: int, read: Callable[[Dat
     gone = own.join(due.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("fact_id") if own is not None else None
     new = written(read(due.select(F.col("id").alias("item_id"), "text")), "facts-read")
     facts.change(new, gone if gone is None else gone.join(new.select("fact_id"), "fact_id", "left_anti"))
-    items.change(due.withColumn("facts_version", F.lit(version)))
+    items.change(due.withColumn("facts_version", F.lit(version)), unique=True)
     return due.count()
 
 

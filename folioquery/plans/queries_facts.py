@@ -12,9 +12,10 @@ from folioquery.sources.tables import table
 NAME = "'Shop ' || translate(CAST(o_custkey AS STRING), '0123456789', 'abcdefghij')"
 
 
-def texts(spark, sf):
-    """Payment screens in three layouts; of each tenth the payment failed, of each eleventh it was received."""
+def texts(spark, sf, once=False):
+    """Payment screens in three layouts; of each tenth the payment failed, of each eleventh it was received. once: one screen for a key."""
     orders = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = orders.dropDuplicates(["o_orderkey"]) if once else orders
     rupees = "format_number(o_totalprice, 2)"
     name = NAME.replace("||", "||")
     cue = "CASE WHEN o_orderkey % 10 = 0 THEN 'Payment failed' ELSE 'Payment successful' END"

@@ -66,16 +66,16 @@ def backfilled(spark, sf):
     """Dates read from all items, then again from those whose stamp is old, then once more, with nothing left to do: items read, the newest stamp, facts stored."""
     place = new_folder(spark, "backfill")
     items, stored = Segments(spark, f"{place}/items", "id"), Segments(spark, f"{place}/facts", "fact_id")
-    own = texts(spark, sf).select(F.col("item_id").alias("id"), "text", F.lit("INDEXED").alias("status"), F.lit(0).alias("facts_version"))
-    items.change(own)
-    dates = lambda some: facts(some).where("kind = 'DATE'").withColumn("fact_id", F.xxhash64("item_id", "line", "value"))
+    own = texts(spark, sf, once=True).select(F.col("item_id").alias("id"), "text", F.lit("INDEXED").alias("status"), F.lit(0).alias("facts_version"))
+    items.change(own, unique=True)
+    dates = lambda some: facts(some, kinds=("DATE",)).withColumn("fact_id", F.xxhash64("item_id", "line", "value"))
     runs = []
     for version in (1, 2, 2):
         n = M.backfill(items, stored, version, dates)
         newest = items.read().agg(F.max("facts_version")).first()[0]
         runs.append((len(runs) + 1, n, newest, stored.version().rows))
         if version == 1:  # two thirds were read by the newer rules already
-            items.change(items.read().where("id % 3 <> 0").withColumn("facts_version", F.lit(2)))
+            items.change(items.read().where("id % 3 <> 0").withColumn("facts_version", F.lit(2)), unique=True)
     return spark.createDataFrame(runs, "run int, items long, version int, facts long")
 
 

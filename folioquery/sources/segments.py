@@ -29,11 +29,13 @@ Derive = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Version:
-    """segments: number -> rows written; tombstones: number -> keys; rows, weight, signature: of what is live; note: the last that a writer gave."""
+    """segments: number -> rows written; tombstones: number -> keys; dead: number of a segment -> its rows that tombstones hold for;
+    rows, weight, signature: of what is live; note: the last that a writer gave."""
 
     number: int = 0
     segments: dict[int, int] = field(default_factory=dict)
     tombstones: dict[int, int] = field(default_factory=dict)
+    dead: dict[int, int] = field(default_factory=dict)
     rows: int = 0
     weight: int = 0
     signature: int = 0
@@ -57,7 +59,7 @@ class Segments:
 
     def _open(self, number: int) -> Version:
         own = json.loads(self.spark.read.text(f"{self.folder}/versions/{number:010d}").first()[0])
-        return Version(**own | {name: {int(k): n for k, n in own[name].items()} for name in ("segments", "tombstones")})
+        return Version(**own | {name: {int(k): n for k, n in own.get(name, {}).items()} for name in ("segments", "tombstones", "dead")})
 
     def version(self) -> Version:
         """The newest version."""
@@ -69,6 +71,10 @@ class Segments:
         return next((v for v in map(self._open, self._numbers()) if v.note < note), Version())
 
     def _commit(self, version: Version) -> Version:
+        """A segment without live rows goes, but for the newest, and with it the tombstones that held for older ones only."""
+        newest = max(version.segments, default=0)
+        segments = {k: n for k, n in version.segments.items() if k == newest or n > version.dead.get(k, 0)}
+        version = replace(version, segments=segments, dead={k: n for k, n in version.dead.items() if k in segments})
         least = min(version.segments, default=version.number + 1)
         version = replace(version, tombstones={k: n for k, n in version.tombstones.items() if k > least})
         self.spark.createDataFrame([(json.dumps(version.__dict__),)], "value string").coalesce(1).write.text(f"{self.folder}/versions/{version.number:010d}")
@@ -79,8 +85,8 @@ class Segments:
 
     # ---- reading ----
 
-    def read(self, name: str = "rows", version: Version | None = None, only: set[int] | None = None) -> DataFrame | None:
-        """The live rows, or those of a derived table; None if there never was a segment. only: of these segments."""
+    def read(self, name: str = "rows", version: Version | None = None, only: set[int] | None = None, segment: bool = False) -> DataFrame | None:
+        """The live rows, or those of a derived table; None if there never was a segment. only: of these segments; segment: with its number as a column."""
         version = version or self.version()
         numbers = [k for k in version.segments if only is None or k in only]
         if not numbers:
@@ -98,7 +104,7 @@ class Segments:
             keys = keys.groupBy(self.key).agg(F.max("_dead").alias("_dead"))
             whole = whole.join(F.broadcast(keys) if sum(dead.values()) <= SENT_TOMBSTONES else keys, self.key, "left")
             whole = whole.where(F.col("_dead").isNull() | (F.col(SEGMENT) >= F.col("_dead"))).drop("_dead")
-        return whole.drop(SEGMENT)
+        return whole if segment else whole.drop(SEGMENT)
 
     # ---- writing ----
 
@@ -115,9 +121,11 @@ class Segments:
             derive(own).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(self._place(name, number))
         return self._sums(own)
 
-    def change(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, note: int | None = None) -> Version:
+    def change(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, note: int | None = None, unique: bool = False) -> Version:
         """One version further: rows of upserts replace those of their keys, keys of deletes go. Only these are written.
 
+        unique: no key comes twice in upserts, as in what read() gave; else one row of each key is taken, which shuffles whole rows.
+
         note: a number that grows from change to change, such as that of a stream's batch; a change whose note is there
         already isn't made again.
         """
@@ -126,27 +134,28 @@ class Segments:
             return old
         number = old.number + 1
         rows, weight, signature = old.rows, old.weight, old.signature
-        segments, tombstones = dict(old.segments), dict(old.tombstones)
+        segments, tombstones, dead_rows = dict(old.segments), dict(old.tombstones), dict(old.dead)
         # Segments first: what they hold is read by their tombstones.
         if upserts is not None:
-            added = self._write_segment(upserts.dropDuplicates([self.key]), number)
+            added = self._write_segment(upserts if unique else upserts.dropDuplicates([self.key]), number)
             if added[0] or not segments:
                 segments[number] = added[0]
                 rows, weight, signature = rows + added[0], weight + added[1], signature + added[2]
-        live = self.read(version=old)
+        live = self.read(version=old, segment=True)
         if live is not None:
             gone = self.spark.read.parquet(self._place("rows", number)).select(self.key) if number in segments else None
             if deletes is not None:
                 gone = deletes.select(self.key) if gone is None else gone.unionByName(deletes.select(self.key))
             if gone is not None:
-                dying = live.join(gone.distinct(), self.key, "left_semi").select(self.key, self.weight().cast("long").alias("_weight"))
+                dying = live.join(gone.distinct(), self.key, "left_semi").select(self.key, SEGMENT, self.weight().cast("long").alias("_weight"))
                 dying.write.mode("overwrite").parquet(self._place("tombstones", number))
                 dead = self.spark.read.parquet(self._place("tombstones", number))
-                n, lost, keys = dead.agg(F.count("*"), F.coalesce(F.sum("_weight"), F.lit(0)), F.coalesce(F.sum(F.pmod(F.xxhash64(self.key), F.lit(1 << 31))), F.lit(0))).first()
-                if n:
-                    tombstones[number] = n
+                sums = [F.count("*"), F.coalesce(F.sum("_weight"), F.lit(0)), F.coalesce(F.sum(F.pmod(F.xxhash64(self.key), F.lit(1 << 31))), F.lit(0))]
+                for k, n, lost, keys in dead.groupBy(SEGMENT).agg(*sums).collect():  # a row for each segment
+                    tombstones[number] = tombstones.get(number, 0) + n
+                    dead_rows[k] = dead_rows.get(k, 0) + n
                     rows, weight, signature = rows - n, weight - lost, signature - keys
-        return self.merge(self._commit(Version(number, segments, tombstones, rows, weight, signature, old.note if note is None else note)))
+        return self.merge(self._commit(Version(number, segments, tombstones, dead_rows, rows, weight, signature, old.note if note is None else note)))
 
     def refresh(self, rows: DataFrame, new_keys: bool = False) -> Version:
         """Brings the table to what rows are; of them and of the stored rows only what differs is written.
@@ -188,7 +197,7 @@ class Segments:
             number = version.number + 1
             n, *_ = self._write_segment(self.read(version=version, only=set(full)), number)
             segments = {k: m for k, m in version.segments.items() if k not in full} | ({number: n} if n else {})
-            version = self._commit(replace(version, number=number, segments=segments))
+            version = self._commit(replace(version, number=number, segments=segments))  # a merged segment has no dead rows
 
     def vacuum(self) -> list[str]:
         """Deletes what the newest version doesn't need, for when no reader holds an older one; returns the folders."""
